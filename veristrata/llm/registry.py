@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, tokenfile
+from . import bpe, simhash, suffix_dedup, tokenfile
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op4_suffix_array_dedup": suffix_dedup.query,
     "op5_byte_bpe": bpe.query,
     "op10_token_files": tokenfile.query,
 }
