@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, suffix_dedup, tokenfile
+from . import bpe, language_id, line_crf, pu_quality, simhash, suffix_dedup, tokenfile
 
 QUERIES = {
+    "op1_line_crf_quality": line_crf.query,
     "op2_simhash_near_dedup": simhash.query,
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op5_byte_bpe": bpe.query,
+    "op6_pu_quality": pu_quality.query,
+    "op7_language_id": language_id.query,
     "op10_token_files": tokenfile.query,
 }
 ORACLE_SQL: dict[str, str] = {}
