@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_crf, pu_quality, simhash, suffix_dedup, tokenfile
+from . import bpe, language_id, line_crf, mixing, pu_quality, simhash, suffix_dedup, tokenfile
 
 QUERIES = {
     "op1_line_crf_quality": line_crf.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.query,
     "op6_pu_quality": pu_quality.query,
     "op7_language_id": language_id.query,
+    "op9_mix_sources": mixing.query,
     "op10_token_files": tokenfile.query,
 }
 ORACLE_SQL: dict[str, str] = {}
