@@ -3,7 +3,8 @@
 Both byte-level vocabularies split a text by the same kind of pattern, in which a blank may only
 open a match. A single blank between two characters that are not white space therefore always
 opens a match, so the text may be cut there and each part encoded alone. Runs of white space are
-never cut. The cache maps a part to its ids; it is emptied when it reaches ``limit`` parts.
+never cut. The cache maps a part to its ids in two generations of about ``limit`` parts: a full one
+ages, and parts that are met again move on from the older one before it is dropped.
 """
 
 from __future__ import annotations
@@ -36,35 +37,52 @@ class WordCache:
     """``encode``: list of strings to (flat ids, ids per string). Keys: a word stands for the word
     with the blank before it; a 1-tuple stands for the first part of a text, with no blank."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
+        self._start()
+        self.older: tuple = ({}, self.flat, self.starts, self.lens)
+
+    def _start(self) -> None:
         self.numbers = _Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.lens = np.zeros(1 << 12, np.int64)
 
+    def _turn(self) -> None:
+        """The full generation becomes the older one; what is met again moves on from it."""
+        self.older = (dict(self.numbers), self.flat[: self.used].copy(), self.starts, self.lens)
+        self._start()
+
     def _learn(self) -> None:
         keys, self.numbers.fresh = self.numbers.fresh, []
-        flat, lens = self.encode([k[0] if type(k) is tuple else " " + k for k in keys])
-        n, m = len(self.numbers), len(flat)
+        known, old_flat, old_starts, old_lens = self.older
+        at = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+        new = at < 0
+        flat, counts = self.encode([k[0] if type(k) is tuple else " " + k for k, n in zip(keys, new.tolist()) if n])
+        pool = np.concatenate([old_flat, flat])
+        lens, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        lens[new], first[new] = counts, len(old_flat) + np.cumsum(counts) - counts
+        lens[~new], first[~new] = old_lens[at[~new]], old_starts[at[~new]]
+        ends = np.cumsum(lens)
+        n, m = len(self.numbers), int(lens.sum())
         while self.used + m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-        self.flat[self.used : self.used + m] = flat
+        self.flat[self.used : self.used + m] = pool[np.repeat(first - (ends - lens), lens) + np.arange(m)]
         self.lens[n - len(keys) : n] = lens
-        self.starts[n - len(keys) : n] = self.used + np.cumsum(lens) - lens
+        self.starts[n - len(keys) : n] = self.used + ends - lens
         self.used += m
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all ``texts`` in order, and the number of ids of each."""
         if len(self.numbers) > self.limit:
-            self.clear()
+            self._turn()
         number, unsafe = self.numbers.__getitem__, self.numbers.unsafe
         found = []
         for text in texts:
