@@ -7,6 +7,7 @@ Only when that setting is absent *and* Spark runs in one local JVM is a temporar
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import workers_import
 
-#: Scratch folders written since the last :func:`begin_stage`, newest last.
+#: Scratch folders written so far, newest last.
 _scratch: list[tuple[SparkSession, str]] = []
+#: Those of the last pipeline stage.
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,22 @@ def release_scratch() -> None:
             continue
 
 
+def staged(fn: Callable) -> Callable:
+    """A pipeline stage that deletes the intermediate tables of the stage before it: those are stored
+    by then, since stages are written and read again."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _stored:
+            delete_path(*_stored.pop())
+        first = len(_scratch)
+        out = fn(spark, docs, sf_dir)
+        _stored.extend(x for x in _scratch[first:] if x[0] is spark)
+        return out
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each slice holds about ``max_bytes`` of text (one row at least)."""
     import pyarrow.compute as pc

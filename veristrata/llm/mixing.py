@@ -69,12 +69,11 @@ def schedule(spark: SparkSession, targets: list[float], slots: int) -> DataFrame
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS, keep_columns: list[str] | None = None) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``keep_columns`` for every row of ``docs``."""
+def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
     spark = docs.sparkSession
-    extra = keep_columns or []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), *[F.col(c).alias(f"_{c}") for c in extra])
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
     sized = durable(sized, "mix-sizes")
     totals = sorted(((r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda t: (t[0] is None, t[0] or ""))
     sizes = [s for _, s in totals]
@@ -100,14 +99,16 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, keep_columns: list[str] | None =
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     taken = pieces.join(F.broadcast(times), ["sid", "block"]).groupBy("sid", "start", "end").agg(F.sum(words * F.col("times")).alias("taken"))
     out = placed.join(taken.withColumn("size", F.col("end") - F.col("start")).drop("end"), ["sid", "start", "size"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_{c}").alias(c) for c in extra])
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as many times as it is begun."""
-    mixed = mix(docs, keep_columns=[c for c in docs.columns if c != "doc_id"])
-    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.where("taken > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_nth")).drop("_nth")
+    """The rows of ``docs`` as the mix takes them: each as many times as the mix begins it. Rows that
+    share an id are repeated alike, by the largest number."""
+    mixed = mix(docs).where("taken > 0")
+    times = mixed.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_nth")).drop("_nth")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_crf, mixing, pu_quality, simhash, suffix_dedup, tokenfile
+from . import ann, bpe, language_id, line_crf, mixing, pu_quality, simhash, suffix_dedup, tokenfile, wrapper
 
 QUERIES = {
     "op1_line_crf_quality": line_crf.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_wrapper_induction": wrapper.query,
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op5_byte_bpe": bpe.query,
     "op6_pu_quality": pu_quality.query,
     "op7_language_id": language_id.query,
+    "op8_pruned_graph_ann": ann.query,
     "op9_mix_sources": mixing.query,
     "op10_token_files": tokenfile.query,
 }

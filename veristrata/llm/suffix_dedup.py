@@ -489,5 +489,22 @@ def removed(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_unrepeated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of ``text`` (``n_chars`` follows, if there);
+    later copies of a whole text and documents left without a word go. Rows that share id and text
+    count as one; a code point cut in two loses its other bytes too."""
+    rows, cut = repeats(docs, keep_text=True)
+    keyed = rows.join(cut.select("ord", "tkey", "kept").withColumn("is_first", F.lit(True)), ["ord", "tkey", "is_first"], "left")
+    copy = ~F.col("is_first") & (F.col("n_bytes") >= LENGTH)
+    changes = keyed.where(copy | F.col("kept").isNotNull()).select("ord", "tkey", copy.alias("_copy"), F.col("kept").alias("_kept"))
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("tkey"))
+    out = tagged.join(changes, ["ord", "tkey"], "left").where("_copy is null or not _copy").withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
