@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog
+from . import catalog, corpus, evaluation, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = (catalog, staging, corpus, evaluation)
 
 
 def core_queries() -> dict[str, Query]:
-    return {name: q[0] for name, q in catalog.QUERIES.items()}
+    return {name: q[0] for m in _ALL for name, q in m.QUERIES.items()}
 
 
 def core_oracle_sql() -> dict[str, str]:
-    return {name: q[1] for name, q in catalog.QUERIES.items() if q[1]}
+    return {name: q[1] for m in _ALL for name, q in m.QUERIES.items() if q[1]}
