@@ -106,9 +106,9 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as many times as the mix begins it. Rows that
     share an id are repeated alike, by the largest number."""
     mixed = mix(docs).where("taken > 0")
-    times = mixed.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_nth")).drop("_nth")
+    times = mixed.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__v_times")).withColumnRenamed("doc_id", "__v_id")
+    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("__v_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__v_times"))).alias("__v_nth")).drop("__v_nth")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -496,11 +496,12 @@ def keep_unrepeated(docs: DataFrame) -> DataFrame:
     rows, cut = repeats(docs, keep_text=True)
     keyed = rows.join(cut.select("ord", "tkey", "kept").withColumn("is_first", F.lit(True)), ["ord", "tkey", "is_first"], "left")
     copy = ~F.col("is_first") & (F.col("n_bytes") >= LENGTH)
-    changes = keyed.where(copy | F.col("kept").isNotNull()).select("ord", "tkey", copy.alias("_copy"), F.col("kept").alias("_kept"))
+    # names of their own, for tables with columns of any name
+    changes = keyed.where(copy | F.col("kept").isNotNull()).select(F.col("ord").alias("__v_ord"), F.col("tkey").alias("__v_tkey"), copy.alias("__v_copy"), F.col("kept").alias("__v_kept"))
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("tkey"))
-    out = tagged.join(changes, ["ord", "tkey"], "left").where("_copy is null or not _copy").withColumn("text", F.coalesce("_kept", "text"))
+    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__v_ord"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("__v_tkey"))
+    out = tagged.join(changes, ["__v_ord", "__v_tkey"], "left").where("__v_copy is null or not __v_copy").withColumn("text", F.coalesce("__v_kept", "text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
