@@ -244,6 +244,10 @@ def repeat_groups(left: list[bytes], right: list[bytes], length: int = LENGTH) -
     llcp = [_common(left[a], left[b]) for a, b in zip(by_left, by_left[1:])]
     most = max(llcp)
     table_: list[list[int]] = []
+    right_table: list[list[int]] = []
+    place = [0] * m
+    for k, i in enumerate(array):
+        place[i] = k
     for value, first, last in intervals(lcp, max(1, length - most)):
         need = max(0, length - value)
         own = sorted(rank[array[k]] for k in range(first, last + 1))
@@ -258,7 +262,11 @@ def repeat_groups(left: list[bytes], right: list[bytes], length: int = LENGTH) -
             yield whole, value, [by_left[k] for k in own]
         for width, a, b in intervals(between, max(1, need)):
             if width > whole or whole < need:  # narrower classes: their left extensions differ
-                yield width, value, [by_left[k] for k in own[a : b + 1]]
+                occurrences = [by_left[k] for k in own[a : b + 1]]
+                right_table = right_table or _minima(lcp)
+                at = [place[i] for i in occurrences]
+                if _least(right_table, min(at), max(at)) == value:  # else a longer string has them all
+                    yield width, value, occurrences
 
 
 def _minima(values: list[int]) -> list[list[int]]:
