@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
-from .wordcache import WordCache
+from .wordcache import WordCache, gather, split_pieces
 
 MATRIX_BYTES = 512
 _BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128, 256, MATRIX_BYTES)
@@ -118,36 +118,9 @@ class ByteBpe:
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each part by the pattern, each distinct piece encoded once."""
-        number: dict[str, int] = {}
-        counts = np.zeros(len(parts), np.int64)
-        # a line feed between two parts without inner white space is always a match of its own
-        plain = [i for i, p in enumerate(parts) if len(p.split()) == 1 and not p[-1].isspace() and not p[:2].isspace()]
-        at = np.zeros(0, np.int64)
-        if plain:
-            at = np.array([number.setdefault(p, len(number)) for p in self.pieces.findall("\n".join([parts[i] for i in plain]))], np.int64)
-            cuts = np.flatnonzero(at == number.get("\n", -1))
-            counts[plain] = np.diff(np.concatenate([[-1], cuts, [len(at)]])) - 1
-            at = np.delete(at, cuts)
-        others = sorted(set(range(len(parts))).difference(plain))
-        rest: list[int] = []
-        for i in others:
-            found = self.pieces.findall(parts[i])
-            counts[i] = len(found)
-            rest += [number.setdefault(p, len(number)) for p in found]
-        if others:  # back into the order of the parts
-            at = np.concatenate([at, np.array(rest, np.int64)])
-            first = np.zeros(len(parts), np.int64)
-            both = [*plain, *others]
-            first[both] = np.cumsum(counts[both]) - counts[both]
-            ends = np.cumsum(counts)
-            at = at[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        number, at, counts = split_pieces(self.pieces, parts)
         flat, lens = self._encode_pieces([p.encode() for p in number])
-        starts = np.cumsum(lens) - lens
-        n = lens[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        sums, bounds = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(counts)])
-        return ids, sums[bounds[1:]] - sums[bounds[:-1]]
+        return gather(flat, lens, at, counts)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.ones(len(pieces), np.int64)

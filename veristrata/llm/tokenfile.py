@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, scratch_path, slices, table
-from .wordcache import WordCache
+from .wordcache import WordCache, gather, split_pieces
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
@@ -140,27 +140,48 @@ class FrameReader:
 
 
 _loaded: dict[str, WordCache] = {}
+#: The bytes that byte-level vocabularies write as themselves; the others follow from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Below this code point the library's pattern engine and ``regex`` know the same letters and digits.
+_LATIN_END = "\u0250"
 
 
 def _cache(path: str) -> WordCache:
+    """Ids by the library: its model encodes each distinct piece of Latin words once, its whole
+    encoder the other words. Strings of special tokens are ordinary text."""
     if path not in _loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
+        model, pattern = library.model, regex.compile(public_tokenizers.PATTERN)
+
+        def latin(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            pieces, at, counts = split_pieces(pattern, parts)
+            found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))] for p in pieces]
+            flat = np.fromiter((i for ids in found for i in ids), np.uint32)
+            return gather(flat, np.fromiter(map(len, found), np.int64, len(found)), at, counts)
 
         def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids: list[int] = []
-            lens = np.zeros(len(parts), np.int64)
-            for s in range(0, len(parts), 5000):
-                for i, e in enumerate(library.encode_batch(parts[s : s + 5000], add_special_tokens=False), s):
-                    found = e.ids
-                    lens[i] = len(found)
-                    ids += found
-            return np.array(ids, np.uint32), lens
+            plain = np.fromiter((max(p, default="") < _LATIN_END for p in parts), bool, len(parts))
+            if plain.all():
+                return latin(parts)
+            ids, lens = latin([p for p, k in zip(parts, plain.tolist()) if k])
+            rest = [e.ids for e in library.encode_batch([p for p, k in zip(parts, plain.tolist()) if not k], add_special_tokens=False)]
+            pool = np.concatenate([ids, np.array([i for r in rest for i in r], np.uint32)])
+            counts = np.zeros(len(parts), np.int64)
+            counts[plain], counts[~plain] = lens, [len(r) for r in rest]
+            first = np.zeros(len(parts), np.int64)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            first[order] = np.cumsum(counts[order]) - counts[order]
+            ends = np.cumsum(counts)
+            return pool[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))], counts
 
         _loaded[path] = WordCache(encode)
     return _loaded[path]

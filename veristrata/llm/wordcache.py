@@ -17,6 +17,45 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def split_pieces(pattern, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The matches of ``pattern`` in each part: the distinct ones, which of them follow each other over
+    all parts, and how many each part has."""
+    number: dict[str, int] = {}
+    counts = np.zeros(len(parts), np.int64)
+    # a line feed between two parts without inner white space is always a match of its own
+    plain = [i for i, p in enumerate(parts) if len(p.split()) == 1 and not p[-1].isspace() and not p[:2].isspace()]
+    at = np.zeros(0, np.int64)
+    if plain:
+        at = np.array([number.setdefault(p, len(number)) for p in pattern.findall("\n".join([parts[i] for i in plain]))], np.int64)
+        cuts = np.flatnonzero(at == number.get("\n", -1))
+        counts[plain] = np.diff(np.concatenate([[-1], cuts, [len(at)]])) - 1
+        at = np.delete(at, cuts)
+    others = sorted(set(range(len(parts))).difference(plain))
+    rest: list[int] = []
+    for i in others:
+        found = pattern.findall(parts[i])
+        counts[i] = len(found)
+        rest += [number.setdefault(p, len(number)) for p in found]
+    if others:  # back into the order of the parts
+        at = np.concatenate([at, np.array(rest, np.int64)])
+        first = np.zeros(len(parts), np.int64)
+        both = [*plain, *others]
+        first[both] = np.cumsum(counts[both]) - counts[both]
+        ends = np.cumsum(counts)
+        at = at[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))]
+    return list(number), at, counts
+
+
+def gather(flat: np.ndarray, lens: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts, and ids per part: piece ``k`` has ``lens[k]`` ids in ``flat``."""
+    starts = np.cumsum(lens) - lens
+    n = lens[at]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
+    sums, bounds = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(counts)])
+    return ids, sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 class _Numbers(dict):
     """Gives each new key the next number, and notes keys that start or end with white space."""
 
