@@ -23,7 +23,7 @@ def split_pieces(pattern, parts: list[str]) -> tuple[list[str], np.ndarray, np.n
     number: dict[str, int] = {}
     counts = np.zeros(len(parts), np.int64)
     # a line feed between two parts without inner white space is always a match of its own
-    plain = [i for i, p in enumerate(parts) if len(p.split()) == 1 and not p[-1].isspace() and not p[:2].isspace()]
+    plain = [i for i, p in enumerate(parts) if len(w := p.split()) == 1 and len(p) - len(w[0]) <= (p[0] == " ")]
     at = np.zeros(0, np.int64)
     if plain:
         at = np.array([number.setdefault(p, len(number)) for p in pattern.findall("\n".join([parts[i] for i in plain]))], np.int64)
@@ -134,7 +134,11 @@ class WordCache:
                 at = np.fromiter(map(number, words), np.int32, len(words))
             found.append(at)
         if self.numbers.fresh:
-            self._learn()
+            try:
+                self._learn()
+            except BaseException:  # a worker outlives a failed task: leave no keys without ids
+                self.clear()
+                raise
         at = np.concatenate(found) if found else np.zeros(0, np.int32)
         lens = self.lens[at]
         ends = np.cumsum(lens)
