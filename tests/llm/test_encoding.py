@@ -57,7 +57,7 @@ def test_pair_table_finds_every_pair(library):
 
 
 def _docs(spark):
-    rows = [(i, t, f"x{i}") for i, t in enumerate(ODD)] + [(None, "no id", "y"), (7, "a b  c", "again"), (7, "a b  c", "again"), (99, None, None)]
+    rows = [(i, t, f"x{i}") for i, t in enumerate(ODD)] + [(None, "no id", "y"), (8, ODD[8], "again"), (8, ODD[8], "again"), (99, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string")
 
 
