@@ -93,12 +93,12 @@ def test_mix(spark):
     sums = {}
     for g in got:
         assert 0 <= g.taken <= 2 * g.size
-        own = sums.setdefault(g.target, [0, 0, g.source_size])
+        own = sums.setdefault((g.target, g.source_size), [0, 0])
         own[0] += g.taken
         own[1] += g.size
     total = sum(g.size for g in got)
-    assert sum(sums) == pytest.approx(1.5 * total)
-    for target, (taken, size, source_size) in sums.items():
+    assert sum(target for target, _ in sums) == pytest.approx(1.5 * total)
+    for (target, source_size), (taken, size) in sums.items():
         assert size == source_size and taken == pytest.approx(target, rel=0.01, abs=3)
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.where("source = 'only'")).first().taken == 0
