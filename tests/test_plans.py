@@ -3,6 +3,7 @@
 import pytest
 from veristrata.operators.facts import CategoryFilter, GroupFilter, LineageFilter, LocusFilter
 from veristrata.operators.ranking import round_robin
+from veristrata.plans import lexical
 from veristrata.plans.algebra import Plan, Refused
 from veristrata.plans.language import Entry, Resolver, parse, route
 from veristrata.plans.paging import decode_cursor, encode_cursor, page
@@ -112,3 +113,38 @@ def test_round_robin():
     assert round_robin([["a", "b", "c"], ["a", "d"], []]) == ["a", "d", "b", "c"]
     assert round_robin([["a", "b", "c"], ["a", "d"]], 2) == ["a", "d"]
     assert round_robin([]) == []
+
+
+def test_lexical_plan():
+    text = "so what does GCA_000001405.15 say on Homo sapiens and 10.1000/xyz12. for ABC-1 genes?"
+    spans = [(s.kind, s.text) for s in lexical.entities(text)]
+    assert spans == [("accession", "GCA_000001405.15"), ("binomial", "Homo sapiens"), ("doi", "10.1000/xyz12"), ("acronym", "ABC-1")]
+    groups = lexical.plan(text, stop=frozenset("so what does say on and for".split()))
+    assert [g.kind for g in groups] == ["accession", "entity", "doi", "entity", "topic"] and groups[-1].terms == ("genes",)
+    for bad, code in (("?", "no_usable_terms"), ("a b c d e f g", "lexical_plan_too_large")):
+        with pytest.raises(Refused) as e:
+            lexical.plan(bad)
+        assert e.value.code == code
+
+
+def test_search_syntax_and_clauses():
+    assert lexical.search_query('red "big fox" -dog or cat').alternatives == [{"words": ["red"], "phrases": [["big", "fox"]], "excluded": ["dog"]}, {"words": ["cat"], "phrases": [], "excluded": []}]
+    assert lexical.clauses("a, b (c, d); e [f; g]") == ["a", "b (c, d)", "e [f; g]"]
+    with pytest.raises(Refused):
+        lexical.clauses("a (b")
+
+
+def test_packs_targets_and_claims():
+    assert [c["citation_id"] for c in lexical.context_pack([{"text": "a"}, {"text": "b"}])] == ["D1", "D2"]
+    for bad in ([{"text": "a"}] * 9, [{"text": "é" * 70_000}]):
+        with pytest.raises(Refused):
+            lexical.context_pack(bad)
+    assert lexical.anchor_targets([("lineage", "b", None), ("locus", "z", None), ("locus", "z", None)]) == [("locus", "z", None), ("lineage", "b", None)]
+    with pytest.raises(Refused):
+        lexical.anchor_targets([("locus", str(i), None) for i in range(65)])
+    evidence = {"D1": "We saw 12 copies in CM000001.1 here."}
+    assert lexical.claim_faults("12 copies in CM000001.1", [("D1", "12 copies in CM000001.1")], evidence) == []
+    assert lexical.claim_faults("13 copies [D1]", [("D1", "12 copies"), ("D2", "x")], evidence) == ["unknown_citation:D2", "unsupported_value:13", "citation_marker"]
+    assert lexical.claim_faults("a", [("D1", "not there")], evidence) == ["quote_not_contained:D1"]
+    assert lexical.ordered_citations(["D10", "D2", "D2"]) == ["D2", "D10"]
+    assert RESOLVER.suggest("group", "first", 2) == ["G1.1", "G3.1"]

@@ -52,6 +52,11 @@ def longest_run(text: Column, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern}+)"), 1), F.length)), F.lit(0))
 
 
+def utc_timestamp(text: Column) -> Column:
+    """RFC 3339 texts in UTC with a Z; anything else is null."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z$"), F.try_to_timestamp(text))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 

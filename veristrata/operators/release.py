@@ -26,6 +26,18 @@ def release_digest(tables: dict[str, DataFrame]) -> DataFrame:
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "digest"))), lambda x: F.concat(x["table"], F.lit(":"), x["digest"])), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
+def sealed_faults(rows: DataFrame, own: str = "record_sha256") -> DataFrame:
+    """Records whose own digest is not that of their other fields."""
+    rest = [c for c in sorted(rows.columns) if c != own]
+    return rows.where(~F.col(own).eqNullSafe(F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)))
+
+
+def unresolved_locators(locators: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Locators that do not name exactly one block."""
+    counts = blocks.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return locators.join(counts, keys, "left").where(F.coalesce("_n", F.lit(0)) != 1).drop("_n")
+
+
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows of one side only, with multiplicity: an empty result means an equal rebuild."""
     a, b = expected.exceptAll(actual).withColumn("side", F.lit("missing")), actual.exceptAll(expected).withColumn("side", F.lit("extra"))
