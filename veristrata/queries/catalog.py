@@ -33,7 +33,7 @@ _TYPED = "locus_id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey =
 _BRAND = "locus_id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2')"
 _filtered("F1_base_relation", "true")
 _filtered("F2_group_filter", "group_id = 42", f.GroupFilter(42))
-_filtered("F3_locus_filter", "locus_id = 31", f.LocusFilter((31,)))
+_filtered("F3_locus_filter", "locus_id = 1", f.LocusFilter((1,)))
 _filtered("F4_lineage_exact", _EXACT, f.LineageFilter("n5"))
 _filtered("F5_lineage_descendants", _BELOW, f.LineageFilter("r1", True))
 _filtered("F6_category_exact", _TYPED, f.CategoryFilter("PROMO"))
