@@ -452,7 +452,8 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     buckets = 4 * parts
     keyed = _keyed(docs)
     rows = durable(keyed.groupBy("doc_id", "ord", "tkey", "digest", "n_bytes").agg(F.count("*").alias("times")), "suffix-rows")
-    least = rows.groupBy("digest").agg(F.min("ord").alias("least"))
+    # written, so that adaptive execution can split the join where one text has most of the rows
+    least = durable(rows.groupBy("digest").agg(F.min("ord").alias("least")), "suffix-least")
     rows = rows.join(least, "digest").withColumn("is_first", F.col("ord") == F.col("least")).drop("least")
     firsts = rows.where("is_first and n_bytes >= %d" % LENGTH).select("tkey", F.col("ord").alias("own"))
     local = map_arrow(keyed.where("n_bytes >= %d" % LENGTH).select("ord", "tkey", "text"), _local_firsts, "ord long, tkey long, text string")
