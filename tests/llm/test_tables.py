@@ -106,6 +106,16 @@ def test_mix(spark):
     assert repeated.columns == docs.columns and repeated.count() >= sum(1 for g in got if g.taken)
 
 
+def test_mix_equals_its_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    got = mixing.query(spark, SF).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(f"SELECT {', '.join(cols)} FROM ({mixing.SQL})").fetchall())
+
+
 def test_schedule_is_even(spark):
     rows = mixing.schedule(spark, [50.0, 20.0, 10.0], 4000).orderBy("slot").collect()
     for s in range(0, 4000, 400):  # any stretch is near the weights

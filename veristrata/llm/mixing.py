@@ -79,11 +79,12 @@ def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     sizes = [s for _, s in totals]
     targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     block = max(1, math.ceil(sum(sizes) / blocks))
-    slots = round(sum(targets) / block)
+    slots = math.floor(SHARE * sum(sizes)) // block
     sources = spark.createDataFrame([(i, name, size, target, -(-size // block)) for i, ((name, size), target) in enumerate(zip(totals, targets))], "sid int, source string, source_size long, target double, n_blocks long")
     known = sources.withColumnRenamed("source", "_name")
-    rows = sized.join(known, sized.source.eqNullSafe(known._name)).drop("_name").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(2023)))
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 52))
+    rows = sized.join(known, sized.source.eqNullSafe(known._name)).drop("_name")
+    digest = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rows = rows.withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")).withColumn("bucket", F.shiftright("h", 40))
     # two-level running sums give each document its place in the stream of its source
     part = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("part"))
     part = part.withColumn("before", F.sum("part").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("sid", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
@@ -113,3 +114,22 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB: targets by the sorted form of the filling, slots and blocks as above.
+SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS sid FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {CAP} * source_size AS cap, floor({SHARE} * sum(source_size) OVER ())::BIGINT AS words, {SHARE} * sum(source_size) OVER () AS whole,
+  greatest(1, ceil(sum(source_size) OVER () / {BLOCKS}.0))::BIGINT AS block FROM totals),
+ordered AS (SELECT *, row_number() OVER (ORDER BY cap / w::DOUBLE, sid) AS k FROM weighed),
+units AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM ordered),
+stop AS (SELECT min(k) AS k0, arg_min(unit, k) AS unit FROM units WHERE w * unit <= cap),
+sources AS (SELECT u.*, CASE WHEN u.k < s.k0 THEN cap::DOUBLE ELSE u.w * s.unit END AS target, (source_size + block - 1) // block AS n_blocks FROM units u, stop s),
+edges AS (SELECT sid, n_blocks, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS hi, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo FROM sources),
+slots AS (SELECT i AS slot, (i + 1) * {GOLDEN}::DOUBLE - floor((i + 1) * {GOLDEN}::DOUBLE) AS point FROM range((SELECT max(words // block) FROM sources)) t(i)),
+ranked AS (SELECT sid, n_blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM slots JOIN edges ON point >= lo AND point < hi),
+times AS (SELECT sid, rank % n_blocks AS b, count(*) AS times FROM ranked WHERE rank < {CAP} * n_blocks GROUP BY ALL),
+placed AS (SELECT doc_id, size, s.sid, source_size, target, block, row_number() OVER () AS row_id, sum(size) OVER (PARTITION BY s.sid ORDER BY ('0x' || md5('mix-' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT, doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+pieces AS (SELECT *, unnest(range(((e - size) // block)::BIGINT, ((e - 1) // block)::BIGINT + 1)) AS b FROM placed WHERE size > 0),
+words AS (SELECT row_id, sum((least(e, (b + 1) * block) - greatest(e - size, b * block)) * times) AS taken FROM pieces JOIN times USING (sid, b) GROUP BY row_id)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN words USING (row_id)"""

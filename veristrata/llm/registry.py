@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mix_sources": mixing.query,
     "op10_token_files": tokenfile.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mix_sources": mixing.SQL}
