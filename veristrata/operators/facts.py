@@ -7,6 +7,7 @@ small dimensions into broadcasts by their measured size; nothing here forces one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ class Facts:
     groups: DataFrame
     assignment: DataFrame
     term: DataFrame
-    closure: DataFrame
+    closure: DataFrame | Callable[[], DataFrame]  # built only for queries that descend
     assertion: DataFrame
     call: DataFrame
 
@@ -66,7 +67,8 @@ def matched_loci(t: Facts, release: str, filters: tuple = ()) -> DataFrame:
         elif isinstance(f, LineageFilter):
             own = t.assignment.where(F.col("role") == f.role)
             if f.descendants:
-                below = t.closure.where(F.col("ancestor_id") == f.term_id).select(F.col("descendant_id").alias("term_id"))
+                closed = t.closure() if callable(t.closure) else t.closure
+                below = closed.where(F.col("ancestor_id") == f.term_id).select(F.col("descendant_id").alias("term_id"))
                 own = own.join(below, "term_id", "left_semi")
             else:
                 own = own.where(F.col("term_id") == f.term_id)

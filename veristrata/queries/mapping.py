@@ -23,12 +23,24 @@ def lineage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, nodes.where("parent_id is not null").select(F.col("node_id").alias("child_id"), "parent_id")
 
 
+_closed: dict[tuple[str, str], DataFrame] = {}
+
+
+def closed_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The closure of a release's hierarchy, built and persisted once an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _closed:
+        nodes, edges = lineage(spark, d)
+        _closed[key] = closure(edges, nodes).persist()
+    return _closed[key]
+
+
 CALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def facts(spark: SparkSession, d: str) -> Facts:
     orders, customer, line, part = (table(spark, d, n) for n in ("orders", "customer", "lineitem", "part"))
-    nodes, edges = lineage(spark, d)
+    nodes, _ = lineage(spark, d)
     typed = line.join(part, line.l_partkey == part.p_partkey)
     formal = typed.select(F.col("l_orderkey").alias("locus_id"), F.col("p_type").alias("category"), F.lit("formal").alias("kind"))
     study = typed.select(F.col("l_orderkey").alias("locus_id"), F.col("p_brand").alias("category"), F.lit("study").alias("kind"))
@@ -38,7 +50,7 @@ def facts(spark: SparkSession, d: str) -> Facts:
         groups=customer.select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("group_name")),
         assignment=customer.select(F.col("c_custkey").alias("group_id"), F.concat(F.lit("n"), "c_nationkey").alias("term_id"), F.lit("source").alias("role")),
         term=nodes.select(F.col("node_id").alias("term_id"), "term_name", "rank"),
-        closure=closure(edges, nodes),
+        closure=lambda: closed_lineage(spark, d),
         assertion=formal.unionByName(study),
         call=line.select(F.col("l_orderkey").alias("locus_id"), F.struct(*CALL).alias("call_key"), F.col("l_quantity").alias("score")),
     )
