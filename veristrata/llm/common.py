@@ -8,6 +8,7 @@ Only when that setting is absent *and* Spark runs in one local JVM is a temporar
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veristrata-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)  # a path without a scheme is the default file system's
+    full = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
