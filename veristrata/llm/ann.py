@@ -244,7 +244,8 @@ def build_index(vectors: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS
     distinct = durable(map_arrow(partial.repartition("h").sortWithinPartitions("h", "vec"), _merge(top + 1), "h long, vec binary, ids array<long>"), "ann-distinct")
     shards = max(1, -(-distinct.count() // shard_rows))
     dealt = distinct.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
-    index = dealt.groupBy("shard").applyInArrow(_build, "shard int, node long, vec binary, ids array<long>, edges array<long>, entry boolean")
+    # a fixed number of partitions: small shards are much work, so none may be merged into one task by size
+    index = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_build, "shard int, node long, vec binary, ids array<long>, edges array<long>, entry boolean")
     return durable(index, "ann-index"), shards, size
 
 
