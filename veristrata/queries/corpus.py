@@ -170,10 +170,19 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("X38_quote_containment", "SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS contained FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
 def quotes(spark: SparkSession, d: str) -> DataFrame:
+    """One pair in about 40, with a verdict each; ``X38_quote_containment_all`` tests every pair."""
     b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text")
     return docs.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", F.contains("text", "quote").alias("contained"))
 
 
+@_add("X38_quote_containment_all", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def all_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Every quote against every whole text; the pairs of a document that holds the quote. The quotes are
+    dealt to all texts, in blocks of both tables once they outgrow Spark's broadcast threshold."""
+    b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text")
+    return docs.join(b, F.contains("text", "quote")).select("item_id", "doc_id")
+
+
 @_add("H25_context_bytes", "SELECT conv_id, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations WHERE turn < 8 GROUP BY conv_id HAVING sum(strlen(text)) <= 131072")
 def pack(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("turn < 8").groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"))
