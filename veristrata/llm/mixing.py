@@ -10,6 +10,9 @@
 4. Each source is a stream of its documents shuffled by a hash of the id, cut into blocks of equal
    tokens. Slot rank ``r`` joins block ``r mod blocks``; a second pass repeats the stream.
 5. A document takes the words of its parts in joined blocks.
+6. The block grows with all words, so a source of under ``FINE`` blocks (its target is a few slots or
+   none) is not left to it: such a source goes by words. Its passes are its target over its size, and
+   the rest of the target is the head of its stream, so it meets its target whatever stands beside it.
 
 There are about ``BLOCKS`` blocks at every input size, so schedule and joined blocks are bounded. Streams
 are placed by two-level sums (4,096 hash buckets a source), so a source with most of the rows is no
@@ -33,6 +36,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCKS = 200_000
+#: Fewer blocks of more than one word than this are too coarse for a source. A multiple of the few slots
+#: by which the schedule may miss a target.
+FINE = 1000
 GOLDEN = 0.6180339887498949
 
 
@@ -80,7 +86,10 @@ def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     block = max(1, math.ceil(sum(sizes) / blocks))
     slots = math.floor(SHARE * sum(sizes)) // block
-    sources = spark.createDataFrame([(i, name, size, target, -(-size // block)) for i, ((name, size), target) in enumerate(zip(totals, targets))], "sid int, source string, source_size long, target double, n_blocks long")
+    sources = spark.createDataFrame(
+        [(i, name, size, target, -(-size // block), block > 1 and -(-size // block) < FINE, round(target)) for i, ((name, size), target) in enumerate(zip(totals, targets))],
+        "sid int, source string, source_size long, target double, n_blocks long, by_words boolean, words long",
+    )
     known = sources.withColumnRenamed("source", "_name")
     rows = sized.join(known, sized.source.eqNullSafe(known._name)).drop("_name")
     digest = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -96,11 +105,14 @@ def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         times = ranked.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
     else:
         times = spark.createDataFrame([], "sid int, block long, times long")
-    pieces = placed.where("size > 0").select("sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
+    pieces = placed.where("size > 0 and not by_words").select("sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     taken = pieces.join(F.broadcast(times), ["sid", "block"]).groupBy("sid", "start", "end").agg(F.sum(words * F.col("times")).alias("taken"))
     out = placed.join(taken.withColumn("size", F.col("end") - F.col("start")).drop("end"), ["sid", "start", "size"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    passes, head = F.expr("words div source_size"), F.col("words") % F.col("source_size")
+    exact = passes * F.col("size") + F.greatest(F.lit(0), F.least("end", head) - F.col("start"))
+    taken = F.when(F.col("by_words") & (F.col("size") > 0), exact).otherwise(F.coalesce("taken", F.lit(0)))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
@@ -116,7 +128,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: The same rows in DuckDB: targets by the sorted form of the filling, slots and blocks as above.
+#: The same rows in DuckDB: targets by the sorted form of the filling, slots and blocks as above. It leaves
+#: sources of under ``FINE`` blocks to the schedule; no given table has one where a block is over one word.
 SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS sid FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {CAP} * source_size AS cap, floor({SHARE} * sum(source_size) OVER ())::BIGINT AS words, {SHARE} * sum(source_size) OVER () AS whole,
