@@ -3,10 +3,14 @@
 Pages of one host share a generator, so their DOM trees align. Each page becomes a skeleton tree in
 which runs of equal siblings are one repeated node. Skeletons of a host are folded, one after the
 other, into its wrapper: simple tree matching (:func:`match`) aligns page and wrapper, aligned nodes
-add up how often they occur and how often they hold the same text, the other nodes are added. A node
-that holds one text on nearly all pages is template, a varying node is a slot. Folding is associative
+add up how often they occur, the other nodes are added. Folding is associative
 enough to run in two levels: each task folds its own pages, one task a host merges the tasks' wrappers,
-so a host with a third of all pages is folded where its pages lie. All pages take part.
+so no task folds a host with a third of all pages. All pages take part; copies of one page (equal
+main text by markup alone) count as one.
+
+Beside the wrapper, the texts of a host's blocks are counted over its distinct pages. An aligned node is
+template if its own text, in a block of its own tag and class, stands on at least ``CONSTANT`` of all
+distinct pages of the host, three at least; any other node is a slot.
 
 Extraction aligns the page with its host's wrapper. Slots inside the content root (article, main or the
 like, else the body) give the text. Template nodes, link lists and nodes that their markup marks as
@@ -56,6 +60,8 @@ MARKS = frozenset(
 )
 CONTENT = frozenset("article main content post entry story articlebody".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt".split())
+#: Share of a host's distinct pages from which a text is template.
+CONSTANT = 0.8
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -148,14 +154,13 @@ def parse(page: str) -> Node:
 
 
 class Shape:
-    """A wrapper node: what a run of equal siblings looks like over pages. ``same`` counts the pages
-    that hold ``text`` here (a vote: another text takes over when it falls to zero)."""
+    """A wrapper node: what a run of equal siblings looks like over pages."""
 
-    __slots__ = ("key", "kids", "pages", "same", "text", "many", "letters", "linked")
+    __slots__ = ("key", "kids", "pages", "letters", "linked")
 
-    def __init__(self, key: tuple[str, str], kids: list, text: int, many: bool, letters: int, linked: int, pages: int = 1, same: int = 1):
-        self.key, self.kids, self.text, self.many = key, kids, text, many
-        self.letters, self.linked, self.pages, self.same = letters, linked, pages, same
+    def __init__(self, key: tuple[str, str], kids: list, letters: int, linked: int, pages: int = 1):
+        self.key, self.kids = key, kids
+        self.letters, self.linked, self.pages = letters, linked, pages
 
 
 def _words(node: Node) -> tuple[str, int]:
@@ -178,22 +183,34 @@ def _stable(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
 
 
-def skeleton(node: Node) -> Shape:
-    """The page's tree of block elements with runs of equal siblings merged."""
+def _judged(node: Node) -> bool:
+    """Nodes that may be template by their text."""
+    return node.tag not in _PLAIN and node.tag != "body" and not node.root
+
+
+def _mark(node: Node, text: str) -> int:
+    """What a block says, with its tag and class, as a signed 64-bit digest."""
+    return (_stable("\0".join((*node.key(), text))) ^ (1 << 63)) - (1 << 63)
+
+
+def skeleton(node: Node, marks: set[int] | None = None) -> Shape:
+    """The page's tree of block elements with runs of equal siblings merged. ``marks`` gets the digests
+    of the nodes that may be template."""
     text, linked = _words(node)
+    if marks is not None and text and _judged(node):
+        marks.add(_mark(node, text))
     runs: list[Shape] = []
     for kid in node.kids:
         if isinstance(kid, str) or kid.tag not in BLOCKS or kid.tag in DROPPED:
             continue
-        shape = skeleton(kid)
+        shape = skeleton(kid, marks)
         if runs and runs[-1].key == shape.key:
             merged = merge(runs[-1], shape)
-            merged.pages, merged.same, merged.many = 1, 1, True
-            merged.text ^= shape.text
+            merged.pages = 1
             runs[-1] = merged
         else:
             runs.append(shape)
-    return Shape(node.key(), runs, _stable(text), False, len(text), linked)
+    return Shape(node.key(), runs, len(text), linked)
 
 
 def match(a: list[Shape], b: list[Shape]) -> list[tuple[int, int]]:
@@ -242,16 +259,7 @@ def merge(a: Shape, b: Shape) -> Shape:
         if x < len(a.kids):
             kids.append(merge(a.kids[x], b.kids[y]))
         i, j = x + 1, y + 1
-    if a.text == b.text:
-        text, same = a.text, a.same + b.same
-    else:
-        text, same = (a.text, a.same - b.same) if a.same >= b.same else (b.text, b.same - a.same)
-    return Shape(a.key, kids, text, a.many or b.many, a.letters + b.letters, a.linked + b.linked, a.pages + b.pages, same)
-
-
-def is_template(shape: Shape) -> bool:
-    """One text on nearly all pages: the vote leaves (2 s - 1) n of n for a share s."""
-    return shape.pages >= 3 and not shape.many and shape.same >= 0.6 * shape.pages
+    return Shape(a.key, kids, a.letters + b.letters, a.linked + b.linked, a.pages + b.pages)
 
 
 # --- extraction ------------------------------------------------------------------------------
@@ -273,11 +281,13 @@ def _roots(node: Node) -> list[Node]:
     return best[2] or best[1] or [node]
 
 
-def extract(page: str | None, wrapper: Shape | None) -> str:
-    """Main text of one page; blocks in page order joined by line feeds."""
-    if not page:
-        return ""
-    top = parse(page)
+def extract(page: str | None, wrapper: Shape | None, constant: frozenset[int] = frozenset()) -> str:
+    """Main text of one page; blocks in page order joined by line feeds. ``constant``: the digests of the
+    blocks that stand on nearly all of the host's distinct pages."""
+    return _extract(parse(page), wrapper, constant) if page else ""
+
+
+def _extract(top: Node, wrapper: Shape | None, constant: frozenset[int] = frozenset()) -> str:
     template: set[int] = set()
     listed: set[int] = set()
 
@@ -285,7 +295,7 @@ def extract(page: str | None, wrapper: Shape | None) -> str:
         runs: list[tuple[Shape, list[Node]]] = []
         for kid in node.kids:
             if not isinstance(kid, str) and kid.tag in BLOCKS and kid.tag not in DROPPED:
-                own = Shape(kid.key(), skeleton_kids(kid), 0, False, 0, 0)
+                own = Shape(kid.key(), skeleton_kids(kid), 0, 0)
                 if runs and runs[-1][0].key == own.key:
                     runs[-1][1].append(kid)
                 else:
@@ -293,7 +303,7 @@ def extract(page: str | None, wrapper: Shape | None) -> str:
         for x, y in match([r[0] for r in runs], shape.kids):
             known = shape.kids[y]
             for kid in runs[x][1]:
-                if kid.tag not in _PLAIN and kid.tag != "body" and not kid.root and is_template(known):
+                if constant and _judged(kid) and _mark(kid, _words(kid)[0]) in constant:
                     template.add(id(kid))
                 if kid.tag in ("ul", "ol", "dl", "table") and known.letters and known.linked >= 0.8 * known.letters and known.pages >= 2:
                     listed.add(id(kid))
@@ -303,7 +313,7 @@ def extract(page: str | None, wrapper: Shape | None) -> str:
         out: list[Shape] = []
         for kid in node.kids:
             if not isinstance(kid, str) and kid.tag in BLOCKS and kid.tag not in DROPPED and not (out and out[-1].key == kid.key()):
-                out.append(Shape(kid.key(), skeleton_kids(kid), 0, False, 0, 0))
+                out.append(Shape(kid.key(), skeleton_kids(kid), 0, 0))
         return out
 
     if wrapper is not None and wrapper.pages > 1:
@@ -359,13 +369,38 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
 
 
-def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Shape] = {}
+def _distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Skeleton and marks of one copy of each page that a task holds."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("wrapper", pa.binary()), ("marks", pa.list_(pa.int64()))])
+    seen: set[tuple[str, int]] = set()
     for batch in slices(batches, "html"):
+        rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            if host and page:
-                shape = skeleton(parse(page))
-                held[host] = merge(held[host], shape) if host in held else shape
+            if not (host and page):
+                continue
+            top = parse(page)
+            same = (_stable(_extract(top, None) or page) ^ (1 << 63)) - (1 << 63)
+            if (host, same) not in seen:
+                seen.add((host, same))
+                marks: set[int] = set()
+                shape = skeleton(top, marks)
+                rows.append((host, same, pickle.dumps(shape, 5), sorted(marks)))
+        if len(seen) > 100_000:
+            seen.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _rows(held: dict[str, Shape]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(s, 5) for s in held.values()], pa.binary())], ["host", "wrapper"])
+
+
+def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, Shape] = {}
+    for batch in batches:
+        for host, raw in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
+            shape = pickle.loads(raw)
+            held[host] = merge(held[host], shape) if host in held else shape
         if len(held) >= 2000:
             yield _rows(held)
             held = {}
@@ -373,10 +408,6 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(held)
 
 
-def _rows(held: dict[str, Shape]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(s, 5) for s in held.values()], pa.binary())], ["host", "wrapper"])
-
-
 def _fold_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by host: the wrappers of a host become one."""
     now, shape = None, None
@@ -393,24 +424,32 @@ def _fold_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (pickled) for every host of ``pages``."""
-    partial = map_arrow(_with_host(pages).select("host", "html"), _fold_pages, "host string, wrapper binary")
-    return map_arrow(partial.repartition("host").sortWithinPartitions("host"), _fold_wrappers, "host string, wrapper binary")
+    """``host, wrapper`` (pickled), ``constant`` (digests of blocks) for every host of ``pages``."""
+    copies = map_arrow(_with_host(pages).select("host", "html"), _distinct_pages, "host string, page long, wrapper binary, marks array<long>")
+    one = copies.groupBy("host", "page").agg(F.min(F.struct("wrapper", "marks")).alias("_one")).select("host", "_one.*")
+    one = durable(one, "distinct-pages")
+    partial = map_arrow(one.select("host", "wrapper"), _fold_pages, "host string, wrapper binary")
+    folded = map_arrow(partial.repartition("host").sortWithinPartitions("host"), _fold_wrappers, "host string, wrapper binary")
+    # a host has at most its blocks a page over CONSTANT of these
+    counts = one.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where("n >= 3")
+    totals = one.groupBy("host").agg(F.count("*").alias("pages"))
+    constant = counts.join(totals, "host").where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(F.collect_set("mark").alias("constant"))
+    return folded.join(constant, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     wrappers = durable(induce(pages), "wrappers")
-    rows = _with_host(pages).join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    rows = _with_host(pages).join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, Shape | None] = (None, None)
+        known: tuple[str | None, Shape | None, frozenset[int]] = (None, None, frozenset())
         for batch in slices(batches, "html"):
             texts = []
-            for host, raw, page in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), batch.column("html").to_pylist()):
+            for i, (host, raw, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), batch.column("html").to_pylist())):
                 if host != known[0]:
-                    known = host, pickle.loads(raw) if raw else None
-                texts.append(extract(page, known[1]))
+                    known = host, pickle.loads(raw) if raw else None, frozenset(batch.column("constant")[i].as_py() or ())
+                texts.append(extract(page, *known[1:]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")
