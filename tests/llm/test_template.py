@@ -27,3 +27,12 @@ def test_three_pages_are_no_large_share(spark):
 def test_constant_block_goes_where_it_stands(spark):
     got = _texts(spark, [_page(i, f"<div class=box>{'Other text' if i == 0 else 'One text on all'}</div>") for i in range(12)])
     assert got[0].endswith("\nOther text") and not any("One text on all" in got[i] for i in range(1, 12))
+
+
+def test_constant_paragraphs_and_headings_go(spark):
+    end = "<p>Read us daily</p><p class=outro>One outro on all pages</p><h2>More</h2><ul><li>item {0}<li>kept item</ul>"
+    got = _texts(spark, [_page(i, end.format(i)) for i in range(12)] + [_page(0, end.format(0))] * 60)
+    assert len(got) == 72
+    for i, text in got.items():
+        n = i if i < 12 else 0
+        assert text.split("\n") == [f"Title {n}", " ".join([f"own words of page{n}"] * 6), f"item {n}", "kept item"]

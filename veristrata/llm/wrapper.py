@@ -15,8 +15,9 @@ distinct pages of the host, three at least; any other node is a slot.
 Extraction aligns the page with its host's wrapper. Slots inside the content root (article, main or the
 like, else the body) give the text. Template nodes, link lists and nodes that their markup marks as
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments are left out.
-Headings and paragraphs of the content root are never template, and if template nodes held most of
-the text of a page (copies of one article), they stay.
+Headings and paragraphs are judged like other blocks, one by one also in a run of equal siblings; items
+of lists and cells of tables only with their whole list or table. If template nodes held most of the
+text of a page (near copies of one article), they stay.
 
 Defined cases: null html gives an empty text; a page without a host, or alone on its host, is judged by
 markup alone; unclosed and stray tags follow the usual recovery rules; repeated rows give repeated rows.
@@ -59,7 +60,8 @@ MARKS = frozenset(
     "copyright skip complementary contentinfo".split()
 )
 CONTENT = frozenset("article main content post entry story articlebody".split())
-_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt".split())
+#: Items and cells: one text on every page can be one of the values there.
+_PARTS = frozenset("li td th dd dt".split())
 #: Share of a host's distinct pages from which a text is template.
 CONSTANT = 0.8
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -185,7 +187,7 @@ def _stable(text: str) -> int:
 
 def _judged(node: Node) -> bool:
     """Nodes that may be template by their text."""
-    return node.tag not in _PLAIN and node.tag != "body" and not node.root
+    return node.tag not in _PARTS and node.tag != "body" and not node.root
 
 
 def _mark(node: Node, text: str) -> int:
