@@ -18,3 +18,10 @@ def test_every_quote_meets_every_document(spark):
     got = sorted(map(tuple, run(spark, SF).select("item_id", "doc_id").collect()))
     assert got == _oracle(sql, "benchmark", "documents")
     assert any(doc % 40 != item % 40 for item, doc in got)
+
+
+def test_every_question_is_searched(spark):
+    run, sql = corpus.QUERIES["H24_dense_batch_all"]
+    got = sorted(map(tuple, run(spark, SF).select("query_id", "vec_id", "score", "rank").collect()))
+    assert got == _oracle(f"SELECT query_id, vec_id, score, rank FROM ({sql})", "embeddings")
+    assert {g[0] for g in got} == set(range(0, 500, 50))

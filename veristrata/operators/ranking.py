@@ -32,6 +32,17 @@ def dense_batch(queries: DataFrame, rows: DataFrame, key: str, depth: int = DEPT
     return ranked(scored, [F.desc("score"), F.col(key)], ["query_id"]).where(F.col("rank") <= depth)
 
 
+def dense_blocks(queries: DataFrame, rows: DataFrame, key: str, depth: int = DEPTH, places: int = 9) -> DataFrame:
+    """As :func:`dense_batch` for queries that grow with the rows: blocks of rows meet all queries, each
+    block in a task, and neither side is broadcast."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * parts
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(parts, "_block")
+    copied = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(parts, "_block")
+    scored = dealt.join(copied.hint("merge"), "_block").select("query_id", key, F.round(dot(F.col("v"), F.col("q")), places).alias("score"))
+    return ranked(scored, [F.desc("score"), F.col(key)], ["query_id"]).where(F.col("rank") <= depth)
+
+
 def first_ranks(rows: DataFrame, by: list[str]) -> DataFrame:
     """Least rank of every key; a repeated key keeps its first place."""
     return rows.groupBy(*by).agg(F.min("rank").alias("rank"))

@@ -44,11 +44,18 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("H24_dense_batch", f"SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q)) WHERE rank <= 10")
 def batch(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmark's stated question set (20 questions) against all rows in one job."""
+    """The first 20 rows as questions against all rows in one job; ``H24_dense_batch_all`` asks the questions that grow with the table."""
     e = table(spark, d, "embeddings")
     return r.dense_batch(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), "vec_id", 10, places=6)
 
 
+@_add("H24_dense_batch_all", f"SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 10")
+def whole_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows."""
+    e = table(spark, d, "embeddings")
+    return r.dense_blocks(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), "vec_id", 10, places=6)
+
+
 _WORDS = r"[\p{L}][\p{L}\p{N}]*"
 _POSTS = f"SELECT doc_id, lexeme, weight, count(*) AS hits FROM (SELECT doc_id, 'A' AS weight, unnest(regexp_extract_all(lower(source), '{_WORDS}')) AS lexeme FROM documents UNION ALL SELECT doc_id, 'D', unnest(regexp_extract_all(lower(text), '{_WORDS}')) FROM documents) GROUP BY ALL"
 
