@@ -182,10 +182,18 @@ def merged_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("H33_name_mapping", "SELECT name, rank, CASE WHEN count(t) = 1 THEN min(t) END AS term_id, count(t) AS matches FROM (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) AS rank FROM part WHERE p_partkey < 100) LEFT JOIN (SELECT p_name AS name, CAST(p_size AS VARCHAR) AS rank, p_partkey AS t FROM part WHERE p_partkey >= 100) USING (name, rank) GROUP BY name, rank")
 def name_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The names of the first 99 parts; ``H33_name_mapping_all`` maps every name."""
     part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("rank"), F.col("p_partkey").alias("term_id"))
     return taxonomy.map_names(part.where("term_id < 100").select("name", "rank").distinct(), part.where("term_id >= 100"))
 
 
+@_add("H33_name_mapping_all", "SELECT name, rank, CASE WHEN count(t) = 1 THEN min(t) END AS term_id, count(t) AS matches FROM (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) AS rank FROM part) LEFT JOIN (SELECT p_name AS name, CAST(p_size AS VARCHAR) AS rank, p_partkey AS t FROM part) USING (name, rank) GROUP BY name, rank")
+def whole_name_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct name and rank, looked up among all."""
+    part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("rank"), F.col("p_partkey").alias("term_id"))
+    return taxonomy.map_names(part.select("name", "rank").distinct(), part)
+
+
 @_add("J9_join_to_aggregate", "SELECT c_custkey, statuses FROM customer LEFT JOIN (SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def join_to_aggregate(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
