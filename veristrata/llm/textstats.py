@@ -34,6 +34,7 @@ class Batch:
         self.space = space
         before = np.concatenate([[True], space[:-1]])
         starts = np.flatnonzero(~space & before)
+        self.word_starts = starts
         words = blob.split()
         numbers = _Numbers()
         self.words = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
