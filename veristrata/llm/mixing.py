@@ -7,16 +7,17 @@
 3. The schedule has one slot per block of tokens. Slot ``i`` falls on the point ``frac((i + 1) g)`` of
    the golden ratio ``g``; the cumulative weights map the point to a source, so every stretch of the
    schedule is near the weights. Slots are ranked within their source.
-4. Each source is a stream of its documents shuffled by a hash of the id, cut into blocks of equal
+4. Each source is a stream of its documents shuffled by a hash of id and text, cut into blocks of equal
    tokens. Slot rank ``r`` joins block ``r mod blocks``; a second pass repeats the stream.
-5. A document takes the words of its parts in joined blocks.
-6. The block grows with all words, so a source of under ``FINE`` blocks (its target is a few slots or
-   none) is not left to it: such a source goes by words. Its passes are its target over its size, and
-   the rest of the target is the head of its stream, so it meets its target whatever stands beside it.
-
-There are about ``BLOCKS`` blocks at every input size, so schedule and joined blocks are bounded. Streams
-are placed by two-level sums (4,096 hash buckets a source), so a source with most of the rows is no
-single task. Defined cases: a null text has size 0 and takes nothing; null doc_ids shuffle together;
+5. The schedule is settled to words: a source has the slots that its target needs (a few closing slots
+   follow where the schedule gave too few, later ones fall away), and its last slot takes the head of its
+   block only. So every source meets its target to the word, whatever stands beside it.
+6. A document takes the words of its parts in joined blocks.
+
+There are about ``BLOCKS`` blocks at every input size, so schedule and joined blocks are bounded. Equal
+rows are one entry with a count; streams are placed by two-level sums over hash buckets whose number
+follows from the largest source, so neither a source nor an id with most of the rows is a single task.
+Defined cases: a null text has size 0 and takes nothing; null doc_ids are told apart by their texts;
 repeated rows each have a place of their own; an empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, map_arrow, table
@@ -36,9 +37,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCKS = 200_000
-#: Fewer blocks of more than one word than this are too coarse for a source. A multiple of the few slots
-#: by which the schedule may miss a target.
-FINE = 1000
+#: Rows of a source in one bucket of its stream, at most about.
+BUCKET_ROWS = 250_000
 GOLDEN = 0.6180339887498949
 
 
@@ -75,74 +75,102 @@ def schedule(spark: SparkSession, targets: list[float], slots: int) -> DataFrame
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _place() -> Column:
+    """A row's place in the shuffled stream of its source, 52 bits of a digest of id and text."""
+    own = F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit("-"), F.md5(_text()))
+    return F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long")
+
+
+def _shuffled(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h`` of every row; ``h``: its place in the stream."""
+    size = F.regexp_count(_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _place().alias("h"))
+
+
+def _settled(spark: SparkSession, targets: list[float], sources: DataFrame, slots: int, block: int) -> DataFrame:
+    """``sid, block, times, rest``: how often the schedule joins a block whole, and the words of its head
+    that the last slot takes beside that. At most a row a block."""
+    ranked = schedule(spark, targets, slots).select("sid", "rank") if slots else spark.createDataFrame([], "sid int, rank long")
+    given = ranked.groupBy("sid").agg(F.count("*").alias("given"))
+    needed = F.expr("words div source_size") * F.col("n_blocks") + F.ceil(F.expr("words % source_size") / block)
+    wanted = sources.where("words > 0").select("sid", "n_blocks", "words", "source_size", needed.cast("long").alias("needed"))
+    closing = wanted.join(given, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed").select("sid", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
+    known = F.broadcast(wanted)  # one row a source
+    used = ranked.unionByName(closing).join(known, "sid").where("rank < needed")
+    head = F.expr("words % source_size")
+    rest = F.when((F.col("rank") == F.col("needed") - 1) & (head > 0) & (head % block > 0), head % block)
+    return used.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count_if(rest.isNull()).alias("times"), F.coalesce(F.max(rest), F.lit(0)).alias("rest"))
+
+
+def _mixed(docs: DataFrame, blocks: int) -> DataFrame:
+    """``doc_id, source, h, size, source_size, target, taken`` for every row of ``docs``."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
-    sized = durable(sized, "mix-sizes")
-    totals = sorted(((r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda t: (t[0] is None, t[0] or ""))
-    sizes = [s for _, s in totals]
+    entries = durable(_shuffled(docs).groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    totals = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows")).collect()  # one row a source
+    totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
+    sizes = [r.size for r in totals]
     targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     block = max(1, math.ceil(sum(sizes) / blocks))
     slots = math.floor(SHARE * sum(sizes)) // block
+    bits = max(12, math.ceil(math.log2(max([1, *[r.rows for r in totals]]) / BUCKET_ROWS)))
     sources = spark.createDataFrame(
-        [(i, name, size, target, -(-size // block), block > 1 and -(-size // block) < FINE, round(target)) for i, ((name, size), target) in enumerate(zip(totals, targets))],
-        "sid int, source string, source_size long, target double, n_blocks long, by_words boolean, words long",
+        [(i, r.source, r.size, target, -(-r.size // block), math.floor(target + 0.5)) for i, (r, target) in enumerate(zip(totals, targets))],
+        "sid int, source string, source_size long, target double, n_blocks long, words long",
     )
     known = sources.withColumnRenamed("source", "_name")
-    rows = sized.join(known, sized.source.eqNullSafe(known._name)).drop("_name")
-    digest = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")).withColumn("bucket", F.shiftright("h", 40))
-    # two-level running sums give each document its place in the stream of its source
-    part = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("part"))
+    rows = entries.join(known, entries.source.eqNullSafe(known._name)).drop("_name").withColumn("bucket", F.shiftright("h", 52 - bits))
+    # two-level running sums give each entry its place in the stream of its source
+    whole = F.col("size") * F.col("n")
+    part = rows.groupBy("sid", "bucket").agg(F.sum(whole).alias("part"))
     part = part.withColumn("before", F.sum("part").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("sid", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     inner = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("end", F.sum("size").over(inner)).join(part, ["sid", "bucket"]).withColumn("end", F.col("before") + F.col("end")).withColumn("start", F.col("end") - F.col("size"))
-    if slots:
-        ranked = schedule(spark, targets, slots).join(F.broadcast(sources.select("sid", "n_blocks")), "sid").where(F.col("rank") < CAP * F.col("n_blocks"))
-        # at most one row a block: about BLOCKS rows plus one a source
-        times = ranked.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
-    else:
-        times = spark.createDataFrame([], "sid int, block long, times long")
-    pieces = placed.where("size > 0 and not by_words").select("sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
-    words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = pieces.join(F.broadcast(times), ["sid", "block"]).groupBy("sid", "start", "end").agg(F.sum(words * F.col("times")).alias("taken"))
-    out = placed.join(taken.withColumn("size", F.col("end") - F.col("start")).drop("end"), ["sid", "start", "size"], "left")
-    passes, head = F.expr("words div source_size"), F.col("words") % F.col("source_size")
-    exact = passes * F.col("size") + F.greatest(F.lit(0), F.least("end", head) - F.col("start"))
-    taken = F.when(F.col("by_words") & (F.col("size") > 0), exact).otherwise(F.coalesce("taken", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as many times as the mix begins it. Rows that
-    share an id are repeated alike, by the largest number."""
-    mixed = mix(docs).where("taken > 0")
-    times = mixed.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__v_times")).withColumnRenamed("doc_id", "__v_id")
-    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("__v_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__v_times"))).alias("__v_nth")).drop("__v_nth")
+    first = F.col("before") + F.col("end") - whole
+    placed = rows.withColumn("end", F.sum(whole).over(inner)).join(part, ["sid", "bucket"]).withColumn("first", first)
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("first") + F.col("nth") * F.col("size"))
+    placed = placed.select("sid", "doc_id", "source", "h", "size", "source_size", "target", "nth", "start", (F.col("start") + F.col("size")).alias("end"))
+    times = _settled(spark, targets, sources, slots, block)
+    pieces = placed.where("size > 0").select("sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
+    low, high = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    words = (high - low) * F.col("times") + F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.col("rest")) - low)
+    taken = pieces.join(F.broadcast(times), ["sid", "block"]).groupBy("sid", "start", "end").agg(F.sum(words).alias("taken"))
+    out = placed.join(taken, ["sid", "start", "end"], "left")
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
+    return _mixed(docs, blocks).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat_by_mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them. A source's words are the head of its stream, so one
+    document a source at most is taken in part: it counts if half of it or more is taken. The totals so
+    stay within half a document of the targets. Equal rows are repeated alike, by their mean."""
+    mixed = _mixed(docs, blocks).where("size > 0")
+    share = F.sum("taken") / F.sum("size")
+    times = mixed.groupBy("source", "h", "doc_id").agg(F.floor(share + 0.5).cast("int").alias("__v_times")).where("__v_times > 0")
+    times = times.select(F.col("source").alias("__v_source"), F.col("h").alias("__v_h"), F.col("doc_id").alias("__v_id"), "__v_times")
+    tagged = docs.select("*", _place().alias("__v_own"))
+    same = (F.col("__v_own") == F.col("__v_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__v_id")) & F.col("source").cast("string").eqNullSafe(F.col("__v_source"))
+    return tagged.join(times, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__v_times"))).alias("__v_nth")).drop("__v_nth")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: The same rows in DuckDB: targets by the sorted form of the filling, slots and blocks as above. It leaves
-#: sources of under ``FINE`` blocks to the schedule; no given table has one where a block is over one word.
-SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+#: The same rows in DuckDB: targets by the sorted form of the filling. The settled slots of a source are the
+#: ranks from 0 on, so its words are whole passes of its stream and the head of one more.
+SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, ('0x' || md5('mix-' || coalesce(doc_id::VARCHAR, 'null') || '-' || md5(coalesce(text, '')))[1:13])::BIGINT AS h FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS sid FROM sized GROUP BY source),
-weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {CAP} * source_size AS cap, floor({SHARE} * sum(source_size) OVER ())::BIGINT AS words, {SHARE} * sum(source_size) OVER () AS whole,
-  greatest(1, ceil(sum(source_size) OVER () / {BLOCKS}.0))::BIGINT AS block FROM totals),
+weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {CAP} * source_size AS cap, {SHARE} * sum(source_size) OVER () AS whole FROM totals),
 ordered AS (SELECT *, row_number() OVER (ORDER BY cap / w::DOUBLE, sid) AS k FROM weighed),
 units AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM ordered),
 stop AS (SELECT min(k) AS k0, arg_min(unit, k) AS unit FROM units WHERE w * unit <= cap),
-sources AS (SELECT u.*, CASE WHEN u.k < s.k0 THEN cap::DOUBLE ELSE u.w * s.unit END AS target, (source_size + block - 1) // block AS n_blocks FROM units u, stop s),
-edges AS (SELECT sid, n_blocks, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS hi, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo FROM sources),
-slots AS (SELECT i AS slot, (i + 1) * {GOLDEN}::DOUBLE - floor((i + 1) * {GOLDEN}::DOUBLE) AS point FROM range((SELECT max(words // block) FROM sources)) t(i)),
-ranked AS (SELECT sid, n_blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM slots JOIN edges ON point >= lo AND point < hi),
-times AS (SELECT sid, rank % n_blocks AS b, count(*) AS times FROM ranked WHERE rank < {CAP} * n_blocks GROUP BY ALL),
-placed AS (SELECT doc_id, size, s.sid, source_size, target, block, row_number() OVER () AS row_id, sum(size) OVER (PARTITION BY s.sid ORDER BY ('0x' || md5('mix-' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT, doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
-pieces AS (SELECT *, unnest(range(((e - size) // block)::BIGINT, ((e - 1) // block)::BIGINT + 1)) AS b FROM placed WHERE size > 0),
-words AS (SELECT row_id, sum((least(e, (b + 1) * block) - greatest(e - size, b * block)) * times) AS taken FROM pieces JOIN times USING (sid, b) GROUP BY row_id)
-SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN words USING (row_id)"""
+sources AS (SELECT u.*, CASE WHEN u.k < s.k0 THEN cap::DOUBLE ELSE u.w * s.unit END AS target FROM units u, stop s),
+placed AS (SELECT doc_id, size::BIGINT AS size, source_size, target, floor(target + 0.5)::BIGINT AS words, sum(size) OVER (PARTITION BY s.sid ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(e, words % source_size) - (e - size)) END)::BIGINT AS taken FROM placed"""
