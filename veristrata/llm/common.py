@@ -7,6 +7,7 @@ Only when that setting is absent *and* Spark runs in one local JVM is a temporar
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
@@ -63,14 +64,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch() -> None:
-    """Deletes the intermediate tables written so far; call when every result that reads them is stored."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            delete_path(spark, path)
-        except Exception:  # noqa: BLE001  a stopped session has no file system any more; its folder is temporary
-            continue
+@contextlib.contextmanager
+def passing(spark: SparkSession, *lasting: str):
+    """Deletes the intermediate tables written inside, once all inside has run, but for those whose
+    labels are ``lasting``: the result still reads them."""
+    first = len(_scratch)
+    yield
+    own = _scratch[first:]
+    del _scratch[first:]
+    for entry in own:
+        if entry[0] is spark and not any(entry[1].rpartition("/")[2].startswith(f"{label}-") for label in lasting):
+            delete_path(*entry)
+        else:
+            _scratch.append(entry)
 
 
 def staged(fn: Callable) -> Callable:

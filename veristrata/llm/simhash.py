@@ -7,7 +7,9 @@
    however many, meet in no task.
 3. Fingerprints within ``budget`` bits agree on at least ``exact`` of ``budget + exact`` blocks of bits,
    so each distinct fingerprint goes to one bucket per choice of blocks. ``exact`` follows from their
-   number (buckets of about ``target`` fingerprints); every choice finds the same links.
+   number (buckets of about ``target`` fingerprints beside near copies); every choice finds the same
+   links. Only distinct fingerprints count: those within 4 bits of one are at most 680,000, so a group of
+   near copies, however many, adds an array of some megabytes to a bucket.
 4. In a bucket the sorted fingerprints form an implicit binary trie: a node is a range whose members
    share a prefix. Node pairs are traversed together from the pair (root, root); the bits in which the
    shared prefixes differ accumulate, and a pair beyond the budget is dropped. Pairs whose members are
@@ -15,7 +17,8 @@
 5. Each bucket emits a star per local component; stars join by distributed connected components.
 
 Defined cases: repeated rows and repeated ids give repeated rows; a null ``doc_id`` never is a
-``component_id`` unless a component has no other (then null); an empty table gives an empty result.
+``component_id`` unless a component has no other (then null); different texts of one id are told apart by
+their digest; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow, slices, table
+from .common import durable, map_arrow, passing, slices, table
 from .components import connected_components
 
 BUDGET = 4
@@ -57,14 +60,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+    """``doc_id, fp, digest``: the fingerprint as a signed long, and the text's MD5 to tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("digest")], ["doc_id", "fp", "digest"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _digest().alias("digest")), run, "doc_id long, fp long, digest string")
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 class TrieJoin:
@@ -222,26 +230,39 @@ def near_links(distinct: DataFrame, budget: int = BUDGET, exact: int = 1, group_
     return map_arrow(placed, run, "child long, parent long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+def _rooted(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """All fingerprints, and ``fp, least, root`` of the distinct ones."""
+    spark = docs.sparkSession
     fps = durable(fingerprints(docs), "simhash")
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    # the row that stands for a fingerprint: the least id (none comes last), of its texts the least digest
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    distinct = durable(fps.groupBy("fp").agg(own.alias("least")), "simhash-distinct")
     edges = near_links(distinct.select("fp"), budget, blocks_for(distinct.count(), budget))
-    roots = connected_components(edges, "simhash-components")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    with passing(spark, "simhash-roots"):
+        roots = durable(connected_components(edges, "simhash-components"), "simhash-roots")
+    return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def _least(rooted: DataFrame) -> DataFrame:
+    # written, so that adaptive execution can split the join where one component has most of the rows
+    return durable(rooted.groupBy("root").agg(F.min("least").alias("first")), "simhash-least")
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+    fps, rooted = _rooted(docs, budget)
+    named = rooted.join(_least(rooted), "root").select("fp", F.col("first.doc_id").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the least document, once.
-
-    A component without any id keeps one row of each of its texts."""
-    found = near_duplicates(docs, budget)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """The rows of ``docs`` that stay: of each component the row of least doc_id (a null id comes last)
+    and, among its texts, the least digest; once, if it is repeated."""
+    _, rooted = _rooted(docs, budget)
+    first = _least(rooted).select(F.col("first.doc_id").alias("__v_id"), F.col("first.digest").alias("__v_digest"))
+    tagged = docs.select("*", F.col("doc_id").cast("long").alias("__v_own"), _digest().alias("__v_text"))
+    stay = tagged.join(first, F.col("__v_own").eqNullSafe(F.col("__v_id")) & (F.col("__v_text") == F.col("__v_digest")), "left_semi")
+    return stay.dropDuplicates(["__v_own", "__v_text"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
