@@ -18,7 +18,13 @@ is cut by content:
 4. Spans meet at their text, whose other bytes are kept.
 
 Hot passages: occurrences of one gram, and equal contexts, combine within each map task before the
-shuffle, so a group grows with the number of tasks at most, not with the number of documents.
+shuffle. An anchor with more than ``HOT`` occurrences (counted exactly; more on corpora so large that over
+``HOT_GRAMS`` anchors would be hot) is split by what surrounds it: a window with the anchor at offset
+``a`` goes to class ``a div STEP``, whose windows all hold the same ``LENGTH - STEP + 1`` bytes around
+the anchor, and these bytes name its group. Equal windows still meet, while different surroundings part.
+
+Texts are told apart by their whole digest: ``tid`` is its first 60 bits, and another number where two
+texts share these. Partitions and buckets follow from the bytes of the distinct texts.
 
 Defined cases: a null text is empty; null doc_ids come last; texts that share a doc_id are ordered by
 their digest; a repeated row is a later copy of the first; an empty table gives an empty result.
@@ -28,17 +34,24 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow, slices, table
+from .common import durable, map_arrow, passing, scratch_path, slices, table
 
 LENGTH = 100
 GRAM = 24
+STEP = 11  # offsets of an anchor in a window, 0 to 76, fall into seven classes
+HOT = 1000
+HOT_GRAMS = 2_000_000
+PART_BYTES = 32 << 20
+BUCKET_BYTES = 4 << 20
+MOST_PARTS = 50_000
 _LAST = 2**63 - 1
 _MASK = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -123,25 +136,26 @@ def _packed(found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _find_anchors(buckets: int) -> Callable:
     """Map side: all anchors by bucket. Those that repeat within the task pass (bucket below zero)
-    and send one representative."""
+    and send one representative with their number."""
 
     def flush(held: list, salt: int) -> pa.RecordBatch:
-        h, ord_, tkey, place = (np.concatenate(x) for x in zip(*held))
+        h, ord_, tid, place = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
-        h, ord_, tkey, place = h[order], ord_[order], tkey[order], place[order]
+        h, ord_, tid, place = h[order], ord_[order], tid[order], place[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         again = np.concatenate([h[1:] == h[:-1], [False]]) | ~new
 
         def one(_: int, rows: np.ndarray) -> bytes:
             own = sent[rows]
-            return pickle.dumps(((h[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ord_[own], tkey[own], place[own].astype(np.int32), again[own]), 5)
+            return pickle.dumps((h[own], ord_[own], tid[own], place[own].astype(np.int32), counts[rows]), 5)
 
         sent = np.flatnonzero(new)
+        counts = np.diff(np.append(sent, len(h))).astype(np.uint32)
         found = list(_by_bucket((h[sent] >> np.uint64(32)).astype(np.int64) % buckets, one))
         passed = np.flatnonzero(again)
         for s in range(0, len(passed), 100_000):
             own = passed[s : s + 100_000]
-            found.append((-1 - (salt + s) % buckets, pickle.dumps((ord_[own], tkey[own], place[own].astype(np.int32)), 5)))
+            found.append((-1 - (salt + s) % buckets, pickle.dumps((ord_[own], tid[own], place[own].astype(np.int32)), 5)))
         return _packed(iter(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +165,7 @@ def _find_anchors(buckets: int) -> Callable:
             _, _, place, h = anchors(data, ends)
             doc = np.searchsorted(ends, place, "right")
             starts = np.concatenate([[0], ends[:-1]])
-            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tkey")]
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tid")]
             held.append((h, ids[0][doc], ids[1][doc], place - starts[doc]))
             rows += len(h)
             if rows >= 1_000_000:
@@ -163,25 +177,32 @@ def _find_anchors(buckets: int) -> Callable:
     return run
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: places of the grams that occur twice or more."""
+def _repeated_anchors(hot: int) -> Callable:
+    """Reduce side: places of the grams that occur twice or more; ``gram`` is set on one row of a gram
+    that occurs more than ``hot`` times."""
 
-    def out(ord_: np.ndarray, tkey: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ord_, pa.int64()), pa.array(tkey, pa.int64()), pa.array(place, pa.int32())], ["ord", "tkey", "place"])
+    def out(ord_: np.ndarray, tid: np.ndarray, place: np.ndarray, gram: np.ndarray | None = None) -> pa.RecordBatch:
+        cols = [pa.array(ord_, pa.int64()), pa.array(tid, pa.int64()), pa.array(place, pa.int32()), pa.array(gram.view(np.int64)) if gram is not None else pa.nulls(len(ord_), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["ord", "tid", "place", "gram"])
 
-    for bucket, blobs in _groups(batches):
-        if bucket < 0:
-            for blob in blobs:
-                yield out(*pickle.loads(blob))
-            continue
-        h, ord_, tkey, place, done = (np.concatenate(x) for x in zip(*map(pickle.loads, blobs)))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        twice &= ~done
-        yield out(ord_[twice], tkey[twice], place[twice])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _groups(batches):
+            if bucket < 0:
+                for blob in blobs:
+                    yield out(*pickle.loads(blob))
+                continue
+            h, ord_, tid, place, counts = (np.concatenate(x) for x in zip(*map(pickle.loads, blobs)))
+            order = np.argsort(h, kind="stable")
+            h, ord_, tid, place, counts = h[order], ord_[order], tid[order], place[order], counts[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total = np.add.reduceat(counts, first)
+            twice = np.repeat(total > 1, np.diff(np.append(first, len(h)))) & (counts == 1)  # the others have passed
+            yield out(ord_[twice], tid[twice], place[twice])
+            many = first[total > hot]
+            if len(many):
+                yield out(ord_[many], tid[many], place[many], h[many])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -285,8 +306,8 @@ def _least(rows: list[list[int]], a: int, b: int) -> int:
 
 
 def later_spans(members: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """``members``: ``(ord, tkey, first window, anchor offset, bytes)`` of one anchor group. Yields
-    ``(ord, tkey, start, end)`` of every occurrence of a maximal repeat but the earliest."""
+    """``members``: ``(ord, tid, first window, anchor offset, bytes)`` of one anchor group. Yields
+    ``(ord, tid, start, end)`` of every occurrence of a maximal repeat but the earliest."""
     distinct: dict[tuple[int, bytes], tuple] = {}
     for x in sorted(set(members)):
         key = (x[3], x[4])
@@ -306,17 +327,31 @@ def later_spans(members: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
             if i != first:
                 widest.setdefault(i, set()).add((a, b))
     for i, spans in widest.items():
-        ord_, tkey, start, offset, _ = rows[i]
+        ord_, tid, start, offset, _ = rows[i]
         place, reach = start + offset, -1
         for a, b in sorted(spans, key=lambda s: (-s[0], -s[1])):
             if b > reach:  # spans inside an earlier one add nothing
                 reach = b
-                yield ord_, tkey, place - a, place + b
+                yield ord_, tid, place - a, place + b
 
 
-def _contexts(buckets: int) -> Callable:
+def _split(h: int, x: tuple) -> Iterator[tuple[int, tuple]]:
+    """A hot anchor's context cut into the classes of its windows, each with the key of its group."""
+    import xxhash
+
+    ord_, tid, start, offset, raw = x
+    windows = len(raw) - LENGTH + 1
+    for low in range(0, LENGTH - GRAM + 1, STEP):  # anchor offsets of the class: low to low + STEP - 1
+        a, z = max(0, offset - low - STEP + 1), min(windows - 1, offset - low)
+        if a <= z:
+            shared = raw[offset - low : offset - low + LENGTH - STEP + 1]
+            yield xxhash.xxh64_intdigest(shared, (h ^ low) & 0xFFFFFFFFFFFFFFFF), (ord_, tid, start + a, offset - a, raw[a : z + LENGTH])
+
+
+def _contexts(buckets: int, hot: np.ndarray) -> Callable:
     """Map side of the group join: each repeated anchor with the bytes of its windows. Equal contexts
-    within the task combine: all but the earliest become spans at once (bucket below zero)."""
+    within the task combine: all but the earliest become spans at once (bucket below zero). ``hot``:
+    sorted hashes of the hot grams."""
 
     def flush(held: list, salt: int) -> pa.RecordBatch:
         seen: dict[tuple[int, bytes], tuple] = {}
@@ -329,6 +364,18 @@ def _contexts(buckets: int) -> Callable:
             else:
                 seen[key] = x
                 sent.append((h, x))
+        if len(hot) and sent:
+            hashes = np.array([h for h, _ in sent], np.uint64)
+            known = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+            sent, parted = [r for r, k in zip(sent, known.tolist()) if not k], [r for r, k in zip(sent, known.tolist()) if k]
+            classes: dict[tuple[int, int, bytes], tuple] = {}
+            for h, x in parted:  # in order: the earliest of equal parts is sent, the others are spans
+                for key, y in _split(h, x):
+                    if (key, y[3], y[4]) in classes:
+                        spans.append((y[0], y[1], y[2], y[2] + len(y[4])))
+                    else:
+                        classes[key, y[3], y[4]] = y
+            sent += [(key, y) for (key, _, _), y in classes.items()]
         found = []
         if sent:
             hashes = np.array([h for h, _ in sent], np.uint64)
@@ -338,11 +385,11 @@ def _contexts(buckets: int) -> Callable:
         return _packed(iter(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, salt = [], 0, 0
+        held, salt = [], 0
         for batch in slices(batches, "text"):
             data, ends = _laid_out(batch)
             starts = np.concatenate([[0], ends[:-1]])
-            ords, tkeys = batch.column("ord").to_pylist(), batch.column("tkey").to_pylist()
+            ords, tids = batch.column("ord").to_pylist(), batch.column("tid").to_pylist()
             places = batch.column("places")
             per_doc = np.diff(places.offsets.to_numpy())
             wanted = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts, per_doc)
@@ -352,8 +399,7 @@ def _contexts(buckets: int) -> Callable:
             doc = np.searchsorted(ends, place, "right")
             raw = data.tobytes()
             for d, a, b, p, x in zip(doc.tolist(), first.tolist(), last.tolist(), place.tolist(), h.tolist()):
-                held.append((x, (ords[d], tkeys[d], a - int(starts[d]), p - a, raw[a : b + LENGTH])))
-            size += len(own)
+                held.append((x, (ords[d], tids[d], a - int(starts[d]), p - a, raw[a : b + LENGTH])))
             if len(held) >= 200_000:
                 yield flush(held, salt)
                 held, salt = [], salt + 7919
@@ -368,7 +414,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ord", "tkey", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ord", "tid", "start", "end"])
 
     for bucket, blobs in _groups(batches):
         if bucket < 0:
@@ -410,83 +456,93 @@ def _cut(keep_text: bool) -> Callable:
                 rest = b"".join(kept)
                 for c, v in zip(cols, (gone, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text else None)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("tkey"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["ord", "tkey", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("tid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["ord", "tid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
 def _local_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops a text that an earlier row of the task holds under a smaller or equal doc_id."""
-    seen: dict[int, int] = {}
+    seen: dict[bytes, int] = {}
     for batch in batches:
         keep = []
-        for i, (ord_, tkey) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("tkey").to_pylist())):
-            if seen.get(tkey, _LAST + 1) > ord_:
+        for i, (ord_, digest) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("digest").to_pylist())):
+            if seen.get(digest, _LAST + 1) > ord_:
                 if len(seen) >= 500_000:
                     seen.clear()
-                seen[tkey] = ord_
+                seen[digest] = ord_
                 keep.append(i)
         if keep:
             yield batch.take(pa.array(keep, pa.int64()))
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digest = F.sha2(text, 256)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("tkey"),
-        digest.alias("digest"),
+        _digest().alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         text.alias("text"),
-    )
+    ).withColumn("tkey", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"))
 
 
 def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(rows, results)``. Rows: ``doc_id, ord, tkey, digest, n_bytes, times, is_first`` for each
-    distinct pair of document id and text. Results: ``ord, tkey, n_removed, n_spans, kept_sha256,
+    """``(rows, results)``. Rows: ``doc_id, ord, tid, digest, n_bytes, times, is_first`` for each
+    distinct pair of document id and text. Results: ``ord, tid, n_removed, n_spans, kept_sha256,
     kept`` for the first texts that lose bytes."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
     keyed = _keyed(docs)
     rows = durable(keyed.groupBy("doc_id", "ord", "tkey", "digest", "n_bytes").agg(F.count("*").alias("times")), "suffix-rows")
+    # two texts with one key: the second and later ones take a negative number of their own
+    nth = F.row_number().over(Window.partitionBy("tkey").orderBy("digest"))
+    own = F.when(nth == 1, F.col("tkey")).otherwise(-1 - F.pmod(F.xxhash64("digest"), F.lit(1 << 62)))
     # written, so that adaptive execution can split the join where one text has most of the rows
-    least = durable(rows.groupBy("digest").agg(F.min("ord").alias("least")), "suffix-least")
-    rows = rows.join(least, "digest").withColumn("is_first", F.col("ord") == F.col("least")).drop("least")
-    firsts = rows.where("is_first and n_bytes >= %d" % LENGTH).select("tkey", F.col("ord").alias("own"))
-    local = map_arrow(keyed.where("n_bytes >= %d" % LENGTH).select("ord", "tkey", "text"), _local_firsts, "ord long, tkey long, text string")
-    # own is the least ord of the text, so <= keeps exactly that one; one key keeps the bucketing
-    texts = local.repartition(parts, "tkey").join(firsts.repartition(parts, "tkey").hint("shuffle_hash"), "tkey").where("ord <= own").select("ord", "tkey", "text")
-    texts = _bucketed(texts, parts)
-    found = map_arrow(texts, _find_anchors(buckets), "bucket long, blob binary")
-    places = map_arrow(found.repartition(parts, "bucket").sortWithinPartitions("bucket"), _repeated_anchors, "ord long, tkey long, place int")
-    per_text = places.groupBy("tkey").agg(F.collect_list("place").alias("places"))
-    held = map_arrow(texts.join(per_text, "tkey").select("ord", "tkey", "text", "places"), _contexts(buckets), "bucket long, blob binary")
-    spans = map_arrow(held.repartition(parts, "bucket").sortWithinPartitions("bucket"), _spans, "ord long, tkey long, start long, end long")
-    gone = spans.groupBy("tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = map_arrow(texts.join(gone, "tkey").select("ord", "tkey", "text", "spans"), _cut(keep_text), "ord long, tkey long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return rows, durable(cut, "suffix-cut")
-
-
-def _bucketed(texts: DataFrame, parts: int) -> DataFrame:
-    """The distinct texts written once, bucketed by their key: later joins shuffle no text."""
-    import uuid
-
-    from .common import scratch_path
-
+    least = durable(rows.groupBy("tkey", "digest", "n_bytes").agg(F.min("ord").alias("least")).withColumn("tid", own), "suffix-least")
+    size = least.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES))
+    buckets = max(4 * parts, size // BUCKET_BYTES)
+    hot = max(HOT, 2 * size // (LENGTH - GRAM) // HOT_GRAMS)  # about two anchors in as many bytes as have offsets
+    rows = rows.join(least.select("digest", "tid", "least"), "digest").withColumn("is_first", F.col("ord") == F.col("least")).drop("least")
+    long = F.col("n_bytes") >= LENGTH
+    with passing(spark, "suffix-rows", "suffix-least", "suffix-cut"):
+        local = map_arrow(keyed.where(long).select("ord", "tkey", "digest", "text"), _local_firsts, "ord long, tkey long, digest binary, text string")
+        firsts = least.where(long).select("tkey", F.col("digest").alias("known"), "tid", F.col("least").alias("own"))
+        # own is the least ord of the text, so <= keeps exactly that one; both sides by the key that is the bucket's
+        same = local.repartition(parts, "tkey").join(firsts.repartition(parts, "tkey").hint("shuffle_hash"), "tkey").where("digest = known and ord <= own")
+        texts, name = _bucketed(same.select("ord", "tid", "text"), parts)
+        found = map_arrow(texts, _find_anchors(buckets), "bucket long, blob binary")
+        places = durable(map_arrow(found.repartition(parts, "bucket").sortWithinPartitions("bucket"), _repeated_anchors(hot), "ord long, tid long, place int, gram long"), "suffix-places")
+        # at most HOT_GRAMS numbers by the choice of ``hot``
+        grams = np.array([r.gram for r in places.where("gram is not null").select("gram").collect()], np.int64).view(np.uint64)
+        per_text = places.where("gram is null").groupBy("tid").agg(F.collect_list("place").alias("places"))
+        held = map_arrow(texts.join(per_text, "tid").select("ord", "tid", "text", "places"), _contexts(buckets, np.unique(grams)), "bucket long, blob binary")
+        spans = map_arrow(held.repartition(parts, "bucket").sortWithinPartitions("bucket"), _spans, "ord long, tid long, start long, end long")
+        gone = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        cut = map_arrow(texts.join(gone, "tid").select("ord", "tid", "text", "spans"), _cut(keep_text), "ord long, tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
+        cut = durable(cut, "suffix-cut")
+        spark.sql(f"DROP TABLE {name}")
+    return rows, cut
+
+
+def _bucketed(texts: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """The distinct texts written once, bucketed by their number, as a table and its name: later joins
+    shuffle no text."""
     spark = texts.sparkSession
     name = "veristrata_texts_" + uuid.uuid4().hex[:12]
-    texts.write.bucketBy(parts, "tkey").option("path", scratch_path(spark, "suffix-texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    texts.write.bucketBy(parts, "tid").option("path", scratch_path(spark, "suffix-texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name), name
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
     rows, cut = repeats(docs)
     nothing = hashlib.sha256(b"").hexdigest()
-    each = rows.join(cut.select("ord", "tkey", "n_removed", "n_spans", "kept_sha256").withColumn("is_first", F.lit(True)), ["ord", "tkey", "is_first"], "left")
+    each = rows.join(cut.select("ord", "tid", "n_removed", "n_spans", "kept_sha256").withColumn("is_first", F.lit(True)), ["ord", "tid", "is_first"], "left")
     each = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
     copy = (~F.col("is_first") | (F.col("nth") > 1)) & (F.col("n_bytes") >= LENGTH)
     return each.select(
@@ -494,7 +550,7 @@ def removed(docs: DataFrame) -> DataFrame:
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
 
 
@@ -503,14 +559,13 @@ def keep_unrepeated(docs: DataFrame) -> DataFrame:
     later copies of a whole text and documents left without a word go. Rows that share id and text
     count as one; a code point cut in two loses its other bytes too."""
     rows, cut = repeats(docs, keep_text=True)
-    keyed = rows.join(cut.select("ord", "tkey", "kept").withColumn("is_first", F.lit(True)), ["ord", "tkey", "is_first"], "left")
+    keyed = rows.join(cut.select("ord", "tid", "kept").withColumn("is_first", F.lit(True)), ["ord", "tid", "is_first"], "left")
     copy = ~F.col("is_first") & (F.col("n_bytes") >= LENGTH)
     # names of their own, for tables with columns of any name
-    changes = keyed.where(copy | F.col("kept").isNotNull()).select(F.col("ord").alias("__v_ord"), F.col("tkey").alias("__v_tkey"), copy.alias("__v_copy"), F.col("kept").alias("__v_kept"))
+    changes = keyed.where(copy | F.col("kept").isNotNull()).select(F.col("ord").alias("__v_ord"), F.col("digest").alias("__v_digest"), copy.alias("__v_copy"), F.col("kept").alias("__v_kept"))
     names = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__v_ord"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("__v_tkey"))
-    out = tagged.join(changes, ["__v_ord", "__v_tkey"], "left").where("__v_copy is null or not __v_copy").withColumn("text", F.coalesce("__v_kept", "text"))
+    tagged = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__v_ord"), _digest().alias("__v_digest"))
+    out = tagged.join(changes, ["__v_ord", "__v_digest"], "left").where("__v_copy is null or not __v_copy").withColumn("text", F.coalesce("__v_kept", "text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
