@@ -3,15 +3,17 @@
 A text is a sequence of lower-cased letters with single blanks between words; its features are the
 relative frequencies of hashed byte 2-grams and 3-grams. Linear support vector machines (dual
 coordinate descent, trained here) first decide the family, one against one, by votes and then margin;
-inside the family a second set decides the language in the same way. A family of one language needs
-no second step. Weights are looked up for every n-gram of the whole text.
+inside the family a second set decides the language in the same way, for the texts of that family alone.
+A family of one language needs no second step. Weights are looked up for every n-gram of the whole text.
+A machine is kept as its nonzero weights, so the model grows with the n-grams that its languages have.
 
 Families are a fixed table of language codes; a code outside it is a family of its own. Learning sees
 only rows with a language whose crc32(doc_id) mod 4 is not 2, at most about ``SAMPLE`` documents split
 evenly over the languages and chosen by a hash of the id.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without training rows
-every text is ``und``; with one language that language has score 1; repeated rows give repeated rows.
+every text is ``und``; with one language that language has score 1; equal votes go to the greater sum of
+margins, then to the first language by code point; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -103,27 +105,31 @@ class Hierarchy:
         for lang in langs:
             self.members.setdefault(_FAMILY_OF.get(lang, lang), []).append(lang)
         self.families = sorted(self.members)
-        machines: list[np.ndarray] = []
+        self.machines: list[tuple[np.ndarray, np.ndarray, float]] = []  # places and values of the weights, bias
         self.pairs: dict[str, list[tuple[int, int, int]]] = {}
 
         def fit(name: str, classes: list[str], of) -> None:
             self.pairs[name] = []
             for a, b in combinations(range(len(classes)), 2):
                 own = [(x, 1.0 if of(lang) == classes[a] else -1.0) for lang, x in rows if of(lang) in (classes[a], classes[b])]
-                self.pairs[name].append((a, b, len(machines)))
-                machines.append(fit_svm([x for x, _ in own], np.array([s for _, s in own])))
+                self.pairs[name].append((a, b, len(self.machines)))
+                w = fit_svm([x for x, _ in own], np.array([s for _, s in own]))
+                at = np.flatnonzero(w[:-1]).astype(np.int32)
+                self.machines.append((at, w[at].astype(np.float32), float(w[-1])))
 
         fit("", self.families, lambda lang: _FAMILY_OF.get(lang, lang))
         for family, own in self.members.items():
             fit(family, own, lambda lang: lang)
-        self.weights = np.stack(machines, axis=1).astype(np.float32) if machines else np.zeros(((1 << BITS) + 1, 0), np.float32)
 
-    def _vote(self, name: str, n: int, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Winner of each row and its least margin against the others."""
-        votes, total = np.zeros((len(margins), n)), np.zeros((len(margins), n))
-        least = np.full((len(margins), n), np.inf)
+    def _vote(self, name: str, n: int, codes: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Winner of each text and its least margin against the others."""
+        votes, total = np.zeros((len(starts), n)), np.zeros((len(starts), n))
+        least = np.full((len(starts), n), np.inf)
         for a, b, k in self.pairs[name]:
-            m = margins[:, k]
+            at, value, bias = self.machines[k]
+            column = np.zeros(1 << BITS, np.float32)
+            column[at] = value
+            m = np.add.reduceat(column[codes], starts, dtype=np.float64) / count + bias
             votes[:, a] += m > 0
             votes[:, b] += m <= 0
             total[:, a] += m
@@ -131,26 +137,29 @@ class Hierarchy:
             least[:, a] = np.minimum(least[:, a], m)
             least[:, b] = np.minimum(least[:, b], -m)
         best = (votes + 1e-3 * np.tanh(total)).argmax(axis=1)
-        return best, least[np.arange(len(margins)), best]
+        return best, least[np.arange(len(starts)), best]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not texts:
+            return [], np.zeros(0)
         codes, ends = ngrams(texts)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         count = np.maximum(ends - starts, 1)
-        margins = np.zeros((len(texts), self.weights.shape[1]), np.float64)
-        for k in range(self.weights.shape[1]):
-            column = np.ascontiguousarray(self.weights[:-1, k])
-            sums = np.add.reduceat(column[codes], starts, dtype=np.float64) if len(texts) else np.zeros(0)
-            margins[:, k] = sums / count + self.weights[-1, k]
-        family, sure = self._vote("", len(self.families), margins)
+        codes = codes[: ends[-1]]
+        family, sure = self._vote("", len(self.families), codes, starts, count)
         langs = [""] * len(texts)
         for f, name in enumerate(self.families):
             own = np.flatnonzero(family == f)
-            if len(own):
-                lang, inner = self._vote(name, len(self.members[name]), margins[own])
+            members = self.members[name]
+            lang = np.zeros(len(own), np.int64)
+            if len(own) and len(members) > 1:
+                n = count[own]
+                first = np.cumsum(n) - n
+                at = np.repeat(starts[own] - first, n) + np.arange(int(n.sum()))
+                lang, inner = self._vote(name, len(members), codes[at], first, n)
                 sure[own] = np.minimum(sure[own], inner)
-                for i, x in zip(own, lang):
-                    langs[i] = self.members[name][x]
+            for i, x in zip(own, lang):
+                langs[i] = members[x]
         return langs, 1 / (1 + np.exp(-np.clip(3 * sure, -40, 40)))
 
 

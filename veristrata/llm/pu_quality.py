@@ -1,23 +1,26 @@
 """Operator 6: quality classifier by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are labelled documents of quality 1; the unlabelled set is a sample of all training
-documents. A network with one hidden layer on the features of :func:`features` minimises the
+Trusted positives are labelled documents of quality 1; all training documents, labels unseen, are the
+unlabelled set. A network with one hidden layer on the features of :func:`features` minimises the
 non-negative unbiased risk ``p R+(g) + max(0, Ru-(g) - p Rp-(g))`` with the sigmoid loss; when the
 bracket falls below zero the step ascends on it instead. The class prior ``p`` is estimated from the
-scores of held-back positives and unlabelled rows: the least bound of the ratio of their shares above
-a threshold. A final logistic map of the network's output, fitted on training labels of both values,
-turns it into a score.
+scores of held-back positives and of all unlabelled rows: the least bound of the ratio of their shares
+above a threshold. A final logistic map of the network's output minimises the unbiased logistic risk on
+positives and unlabelled rows with the same prior, so labelled negatives take no part at all.
 
-Learning sees rows outside the held-out fold only (crc32 of the id mod 5 is 0 there), at most about
-``SAMPLE`` of each set, chosen by a hash of the id. Scores use the text alone.
+Learning sees rows outside the held-out fold only (crc32 of the id mod 5 is 0 there). The network and the
+map are fitted on at most about ``SAMPLE`` positives and as many unlabelled rows, chosen by a hash of the
+id; means, deviations and the shares behind the prior are aggregates over all training documents.
+Scores use the text alone.
 
 Defined cases: null and empty texts score like a text without words; without positives every score is
-0.5; repeated rows give repeated rows; a null id belongs to no fold (``held_out`` false).
+0.5; a score of exactly ``THRESHOLD`` is predicted 1; repeated rows give repeated rows and a repeated id
+trains once for each of its texts; a null id belongs to no fold (``held_out`` false).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats as ts
-from .common import map_arrow, slices, table
+from .common import durable, map_arrow, passing, slices, table
 from .sampling import fold, hashed_share, train_labels
 
 SAMPLE = 12_000
@@ -119,80 +122,96 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return p
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled scores: the least ratio of shares above a threshold, each
-    with its deviation bound, over thresholds that keep at least a tenth of the positives."""
+def estimate_prior(positive: np.ndarray, above: Callable[[np.ndarray], np.ndarray], size: int) -> float:
+    """Share of positives among ``size`` unlabelled scores: the least ratio of shares above a threshold, each
+    with its deviation bound, over thresholds that keep at least a tenth of the positives. ``above`` counts
+    the unlabelled scores at or above each of some thresholds."""
     slack = np.sqrt(np.log(20) / 2)
-    best, prior = np.inf, 0.5
-    for t in np.quantile(positive, np.linspace(0, 0.9, 46)):
-        above = (positive >= t).mean()
-        if above >= 0.1:
-            share = (unlabelled >= t).mean()
-            bound = (share + slack / np.sqrt(len(unlabelled)) + slack / np.sqrt(len(positive))) / above
-            if bound < best:  # the tightest bound names the threshold, the ratio there is the estimate
-                best, prior = bound, share / above
-    return float(np.clip(prior, 0.05, 0.98))
-
-
-def fit_logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic map with a weak ridge, by Newton steps that never lose."""
-    mean, std = z.mean(), z.std() + 1e-9
-    x = np.stack([(z - mean) / std, np.ones(len(z))], axis=1)
-    ridge = np.array([1e-2, 0.0])
+    steps = np.quantile(positive, np.linspace(0, 0.9, 46))
+    own = (positive[None, :] >= steps[:, None]).mean(axis=1)
+    share = above(steps) / size
+    bound = (share + slack / np.sqrt(size) + slack / np.sqrt(len(positive))) / np.maximum(own, 1e-9)
+    bound[own < 0.1] = np.inf
+    best = int(bound.argmin())  # the tightest bound names the threshold, the ratio there is the estimate
+    return float(np.clip(share[best] / own[best], 0.05, 0.98)) if np.isfinite(bound[best]) else 0.5
+
+
+def fit_logistic(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and intercept that minimise the unbiased logistic risk ``-p E+[t] + Eu[log(1 + exp t)]`` of
+    ``t = a z + b`` (convex), with a weak ridge, by Newton steps that never lose."""
+    mean, std = unlabelled.mean(), unlabelled.std() + 1e-9
+    x = np.stack([(unlabelled - mean) / std, np.ones(len(unlabelled))], axis=1)
+    pull = prior * np.array([((positive - mean) / std).mean(), 1.0])
+    ridge = np.array([1e-3, 1e-6])
     w = np.zeros(2)
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * (ridge * w * w).sum())
+    def risk(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).mean() - pull @ w + 0.5 * (ridge * w * w).sum())
 
-    now = loss(w)
+    now = risk(w)
     for _ in range(100):
         q = _sigmoid(x @ w)
-        h = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
-        move, step = np.linalg.solve(h, x.T @ (q - y) + ridge * w), 1.0
-        while step > 1e-4 and loss(w - step * move) > now:
+        h = (x * (q * (1 - q))[:, None]).T @ x / len(x) + np.diag(ridge)
+        move, step = np.linalg.solve(h, x.T @ q / len(x) - pull + ridge * w), 1.0
+        while step > 1e-4 and risk(w - step * move) > now:
             step /= 2
         w, before = w - step * move, now
-        now = loss(w)
-        if before - now < 1e-9:
+        now = risk(w)
+        if before - now < 1e-10:
             break
     return float(w[0] / std), float(w[1] - w[0] * mean / std)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> dict | None:
-    """Standardisation, network, prior and logistic map; ``None`` without trusted positives."""
-    known = hashed_share(train_labels(labels, "quality"), limit).withColumn("known", F.lit(True))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    free = hashed_share(ids, limit).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(False).alias("known"))
-    chosen = F.broadcast(known.select("doc_id", "quality", "known").unionAll(free))  # two samples of about ``limit`` rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+def _featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` of every training document, once for each text of an id."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).where(doc_id.isNotNull() & (fold(doc_id, 5) != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = features([(t or "").encode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("known"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "known", "x"])
-
-    found = map_arrow(rows.select("doc_id", "text", "quality", "known"), run, "doc_id long, quality int, known boolean, x binary").collect()
-    found = sorted((r.known, r.doc_id, -1 if r.quality is None else r.quality, bytes(r.x)) for r in found)
-    known_x = [(q, v) for k, _, q, v in found if k]
-    to_rows = lambda vs: np.frombuffer(b"".join(vs), np.float32).reshape(len(vs), -1).astype(float)
-    positive, negative = [v for q, v in known_x if q == 1], [v for q, v in known_x if q == 0]
-    unlabelled = [v for k, _, _, v in found if not k]
-    if len(positive) < 2 or not unlabelled:
-        return None
-    xp, xu = to_rows(positive), to_rows(unlabelled)
-    mean, std = xu.mean(axis=0), xu.std(axis=0) + 1e-6
-    norm = lambda x: np.clip((x - mean) / std, -6, 6)
-    xp, xu = norm(xp), norm(xu)
-    half = np.arange(len(xp)) % 2 == 0
-    half_u = np.arange(len(xu)) % 2 == 0
-    first = fit_nnpu(xp[half], xu[half_u], 0.5, epochs=20)
-    prior = estimate_prior(_forward(first, xp[~half])[1], _forward(first, xu[~half_u])[1])
-    net = fit_nnpu(xp, xu, prior)
-    a, b = 1.0, 0.0
-    if negative:
-        z = np.concatenate([_forward(net, xp)[1], _forward(net, norm(to_rows(negative)))[1]])
-        y = np.concatenate([np.ones(len(xp)), np.zeros(len(negative))])
-        a, b = fit_logistic(z, y)
+            flat = pa.array(x.ravel(), pa.float32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), flat)], ["doc_id", "x"])
+
+    return map_arrow(rows, run, "doc_id long, x array<float>")
+
+
+def _rows(df: DataFrame) -> np.ndarray:
+    """A bounded sample's features, in the order of ids."""
+    return np.array([r.x for r in sorted(df.collect(), key=lambda r: (r.doc_id, r.x))], float)
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> dict | None:
+    """Standardisation, network, prior and logistic map; ``None`` without trusted positives."""
+    with passing(docs.sparkSession):
+        rows = durable(_featured(docs), "pu-features")
+        trusted = hashed_share(train_labels(labels, "quality").where("quality = 1"), limit).select("doc_id")
+        xp = _rows(rows.join(F.broadcast(trusted), "doc_id", "left_semi").distinct())  # at most about ``limit`` ids
+        if len(xp) < 2:
+            return None
+        xu = _rows(hashed_share(rows, limit).distinct())
+        width = xp.shape[1]
+        sums = rows.agg(F.count("*"), *[F.avg(F.col("x")[i].cast("double")) for i in range(width)], *[F.stddev_pop(F.col("x")[i].cast("double")) for i in range(width)]).first()
+        size, mean, std = sums[0], np.array(sums[1 : width + 1]), np.array(sums[width + 1 :]) + 1e-6
+        norm = lambda x: np.clip((x - mean) / std, -6, 6)
+        zp, zu = norm(xp), norm(xu)
+        half, half_u = np.arange(len(zp)) % 2 == 0, np.arange(len(zu)) % 2 == 0
+        first = fit_nnpu(zp[half], zu[half_u], 0.5, epochs=20)
+
+        def above(steps: np.ndarray) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(len(steps), np.int64)
+                for batch in batches:
+                    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+                    total += (_forward(first, norm(x))[1][None, :] >= steps[:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(steps))), pa.array(total)], ["step", "n"])
+
+            counted = map_arrow(rows.select("x"), run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()  # one row a step
+            return np.array([r.n for r in sorted(counted)], float)
+
+        prior = estimate_prior(_forward(first, zp[~half])[1], above, size)
+    net = fit_nnpu(zp, zu, prior)
+    a, b = fit_logistic(_forward(net, zp)[1], _forward(net, zu)[1], prior)
     return {"mean": mean, "std": std, "net": net, "prior": prior, "a": a, "b": b}
 
 

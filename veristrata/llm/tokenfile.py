@@ -14,8 +14,13 @@ the frames of the documents asked for; each frame is held against its checksum.
 by the executors through ``pyarrow.fs`` (local, HDFS or object stores) below the shared folder,
 each under a name of its own attempt; the manifest rows of successful tasks name the files that count.
 
+Files number as the input's bytes over ``FILE_BYTES``, or as the shuffle partitions if those are more, so
+neither a file nor its index grows with the corpus. Rows are dealt by id, then by a digest of the text, then
+by their place in the input, so an id with most of the rows spreads over files.
+
 Defined cases: a null text is an empty document (only the end id); null doc_ids sort first; repeated
-ids sort by text; strings of special tokens are ordinary text; an empty table writes no file.
+ids sort by a digest of their texts; strings of added tokens in a text become these tokens, as the library's
+encoder has it; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from .wordcache import WordCache, gather, split_pieces
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
+FILE_BYTES = 64 << 20
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -149,7 +155,7 @@ _LATIN_END = "\u0250"
 
 def _cache(path: str) -> WordCache:
     """Ids by the library: its model encodes each distinct piece of Latin words once, its whole
-    encoder the other words. Strings of special tokens are ordinary text."""
+    encoder the other words. For texts without an added token (:func:`_added`)."""
     if path not in _loaded:
         import os
 
@@ -159,7 +165,6 @@ def _cache(path: str) -> WordCache:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         model, pattern = library.model, regex.compile(public_tokenizers.PATTERN)
 
         def latin(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,18 +192,45 @@ def _cache(path: str) -> WordCache:
     return _loaded[path]
 
 
+def _added(path: str):
+    """The library's encoder for whole texts and a pattern of its added tokens (none: ``None``)."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    tokens = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=lambda t: (-len(t), t))
+    return library, re.compile("|".join(map(re.escape, tokens))) if tokens else None
+
+
+def _encoded(cache: WordCache, added, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts and their counts; texts with an added token go whole to the library's encoder."""
+    library, pattern = added
+    whole = [i for i, t in enumerate(texts) if pattern and pattern.search(t)]
+    if not whole:
+        return cache.texts(texts)
+    parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+    rest = sorted(set(range(len(texts))).difference(whole))
+    ids, counts = cache.texts([texts[i] for i in rest])
+    for i, own in zip(rest, np.split(ids, np.cumsum(counts)[:-1]) if rest else []):
+        parts[i] = own
+    for i in whole:
+        parts[i] = np.array(library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES) -> list:
     """Encodes and writes all documents; returns one manifest row a file, in document order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, writer, part = _cache(tokenizer_path), None, TaskContext.get().partitionId()
+        cache, added, writer, part = _cache(tokenizer_path), _added(tokenizer_path), None, TaskContext.get().partitionId()
         path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:8]}.bin"
         tail = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
             writer = writer or FrameWriter(path, frame_bytes)
-            ids, counts = cache.texts([t or "" for t in batch.column("text").to_pylist()])
+            ids, counts = _encoded(cache, added, [t or "" for t in batch.column("text").to_pylist()])
             blob, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
             for doc_id, n, end in zip(batch.column("doc_id").to_pylist(), counts.tolist(), ends):
                 writer.add(doc_id, blob[4 * (end - n) : 4 * end] + tail)
@@ -206,8 +238,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             n, total = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n], "n_ids": [total]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc_nulls_first(), "nth"]
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # one row a file: as many as there are tasks
     return sorted(map_arrow(ordered, run, "part long, path string, n_docs long, n_ids long").collect(), key=lambda r: r.part)
 
