@@ -61,9 +61,10 @@ def test_nearest(spark):
     rows += [(i, rows[7][1]) for i in range(200, 240)]  # copies of one vector
     rows += [(300, None), (400, [0.0] * 8), (500, [float("nan")] * 8), (600, [1.0, None] + [1.0] * 6), (700, [1.0]), (800, []), (None, rows[3][1]), (900, [float("inf")] * 8)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    index, shards, size = ann.build_index(table, shard_rows=40)
+    index, layout = ann.build_index(table, shard_rows=40)
     queries = ann._usable(table).where("size(v) = 8 and vec_id % 100 = 0").selectExpr("vec_id as query_id", "v")
-    got = ann.search(index, shards, queries, size).collect()
+    got = ann.search(index, layout, queries).collect()
+    shards = sum(n for _, _, n in layout)
     fine = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
     assert shards > 2 and {g.query_id for g in got} == {0, 100, 200}
     for q, point in [f for f in fine if f[0] % 100 == 0]:

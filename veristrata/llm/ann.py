@@ -1,18 +1,21 @@
 """Operator 8: approximate nearest neighbours on robust-pruned directed graphs, one a shard.
 
-1. Usable vectors (finite, non-zero, of the common length) collapse to distinct ones with their least
-   ids, combined within each task first, so copies of one vector meet in no task.
-2. Distinct vectors are dealt to shards of about ``SHARD_ROWS`` by a hash. In each shard a directed
-   graph grows in doubling batches: a greedy beam search on the graph so far proposes neighbours, relaxed
-   distance pruning keeps diverse edges (a candidate goes if a kept neighbour is ``ALPHA`` times
-   nearer to it than the node), reverse edges are added and pruned again.
+1. Usable vectors (finite, non-zero) collapse to distinct ones with their least ids, combined within
+   each task first, so copies of one vector meet in no task. Each length has shards of its own.
+2. Distinct vectors are dealt to shards by a hash: ``SHARDS`` of them, of ``LEAST_ROWS`` vectors at least
+   and ``MOST_ROWS`` at most (a bound on a task's memory). In each shard a directed graph grows in doubling
+   batches: a greedy beam search on the graph so far proposes neighbours, relaxed distance pruning keeps
+   diverse edges (a candidate goes if a kept neighbour is ``ALPHA`` times nearer to it than the node),
+   reverse edges are added and pruned again.
 3. Every query searches every shard by beam search from the medoid and a few spread entry points. Queries
    are dealt in blocks, so a task holds one shard and one bounded block. The best of all shards win.
 
-All rows are indexed. Distances are Euclidean in double precision on the given vectors. Defined
-cases: vectors that are null, empty, zero, of another length than the most common, or that hold null or
-non-finite components take no part; fewer candidates give fewer rows; ties go to the smaller id; a
-repeated id counts once per distinct vector; empty tables give empty results.
+All rows are indexed. Distances are Euclidean in double precision on the given vectors. Work grows with
+queries times shards: from ``SHARDS * MOST_ROWS`` vectors on, with the square of their number over
+``100 * MOST_ROWS``. Defined cases: vectors that are null, empty, zero, or that hold null or non-finite
+components take no part; vectors of different lengths have no distance and never meet; fewer candidates
+give fewer rows; ties go to the smaller id; a repeated id counts once per distinct vector, and asks with
+its least one; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .common import durable, map_arrow, table
 
 TOP = 10
 EVERY = 100
-SHARD_ROWS = 5000
-BLOCK_QUERIES = 2000
+SHARDS = 16
+LEAST_ROWS = 5000
+MOST_ROWS = 200_000
+BLOCK_QUERIES = 100_000
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 96
@@ -229,58 +234,94 @@ def _build(t: pa.Table) -> pa.Table:
     graph, entries = build_graph(x)
     entry = np.zeros(len(x), bool)
     entry[entries] = True
-    edges = pa.array([g[g >= 0] for g in graph], pa.list_(pa.int64()))
+    there = graph >= 0
+    edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], there.sum(axis=1).cumsum()]), pa.int32()), pa.array(graph[there], pa.int64()))
     return pa.table({"shard": t.column("shard"), "node": pa.array(np.arange(len(x))), "vec": t.column("vec"), "ids": t.column("ids"), "edges": edges, "entry": pa.array(entry)})
 
 
-def build_index(vectors: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int, int]:
-    """``(index rows, shards, vector length)``; index rows: ``shard, node, vec, ids, edges, entry``."""
-    workers_import(vectors.sparkSession)
-    usable = _usable(vectors)
-    common = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()  # one row a length
-    size = common.d if common else 0
-    usable = usable.where(F.size("v") == size)
-    partial = map_arrow(usable, _combine(top + 1), "h long, vec binary, ids array<long>")
+def shard_counts(sizes: dict[int, int], shard_rows: int | None = None) -> list[tuple[int, int, int]]:
+    """``(length, first shard, shards)`` for the number of distinct vectors of each length."""
+    out, first = [], 0
+    for d, n in sorted(sizes.items()):
+        rows = shard_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))
+        out.append((d, first, max(1, -(-n // rows))))
+        first += out[-1][2]
+    return out
+
+
+def build_index(vectors: DataFrame, top: int = TOP, shard_rows: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Index rows ``shard, node, vec, ids, edges, entry``, and the shards of each length."""
+    spark = vectors.sparkSession
+    workers_import(spark)
+    partial = map_arrow(_usable(vectors), _combine(top + 1), "h long, vec binary, ids array<long>")
     distinct = durable(map_arrow(partial.repartition("h").sortWithinPartitions("h", "vec"), _merge(top + 1), "h long, vec binary, ids array<long>"), "ann-distinct")
-    shards = max(1, -(-distinct.count() // shard_rows))
-    dealt = distinct.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
+    d = (F.octet_length("vec") / 8).cast("int")
+    layout = shard_counts({r.d: r["count"] for r in distinct.groupBy(d.alias("d")).count().collect()}, shard_rows)  # one row a length
+    shards = sum(n for _, _, n in layout)
+    sized = F.broadcast(spark.createDataFrame(layout, "d int, first int, n int"))
+    dealt = distinct.withColumn("d", d).join(sized, "d").select("h", "vec", "ids", (F.col("first") + F.pmod(F.col("h"), F.col("n"))).cast("int").alias("shard"))
     # a fixed number of partitions: small shards are much work, so none may be merged into one task by size
-    index = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_build, "shard int, node long, vec binary, ids array<long>, edges array<long>, entry boolean")
-    return durable(index, "ann-index"), shards, size
+    index = dealt.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(_build, "shard int, node long, vec binary, ids array<long>, edges array<long>, entry boolean")
+    return durable(index, "ann-index"), layout
+
+
+def _vectors(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(rows, -1)
+
+
+def _nearest_in(t: pa.Table, q: pa.Table, top: int, beam: int) -> Iterator[pa.Table]:
+    """The best of one shard for one block of queries, piece by piece."""
+    t = t.sort_by("node")
+    x = _vectors(t.column("vec"), t.num_rows)
+    edges = t.column("edges").combine_chunks()
+    counts = np.diff(edges.offsets.to_numpy())
+    graph = np.full((len(x), DEGREE), -1, np.int64)
+    graph[np.arange(DEGREE)[None, :] < counts[:, None]] = edges.flatten().to_numpy()
+    ids = t.column("ids").to_pylist()
+    entries = np.flatnonzero(t.column("entry").to_numpy())
+    asked = q.column("query_id").to_pylist()
+    points = _vectors(q.column("vec"), q.num_rows)
+    step = max(16, min(256, 32_000_000 // len(x)))  # a search marks the nodes that it has seen
+    for s in range(0, len(points), step):
+        out: list[tuple[int, int, float]] = []
+        found, _ = beam_search(x, graph, entries, points[s : s + step], max(beam, top))
+        for k, nodes in enumerate(found, s):
+            nodes = nodes[nodes >= 0]
+            d = np.sqrt(((x[nodes] - points[k]) ** 2).sum(axis=1))
+            near: list[tuple[float, int]] = []
+            for i in np.argsort(d, kind="stable"):
+                if len(near) >= top and d[i] > sorted(near)[top - 1][0]:
+                    break
+                near += [(float(d[i]), v) for v in ids[nodes[i]] if v != asked[k]]
+            out += [(asked[k], v, score) for score, v in sorted(near)[:top]]
+        yield _found(out)
+
+
+def _found(rows: list[tuple[int, int, float]]) -> pa.Table:
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
 
-def search(index: DataFrame, shards: int, queries: DataFrame, size: int, top: int = TOP, beam: int = SEARCH_BEAM) -> DataFrame:
+def search(index: DataFrame, layout: list[tuple[int, int, int]], queries: DataFrame, top: int = TOP, beam: int = SEARCH_BEAM) -> DataFrame:
     """``queries``: ``query_id, v``. Returns ``query_id, rank, vec_id, score``."""
-    workers_import(index.sparkSession)
+    spark = index.sparkSession
+    workers_import(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            raw, ends = lists.flatten().to_numpy(zero_copy_only=False).tobytes(), (np.diff(lists.offsets.to_numpy()) * 8).cumsum().tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array([raw[a:z] for a, z in zip([0, *ends], ends)], pa.binary())], ["query_id", "vec"])
+
+    packed = map_arrow(queries.select("query_id", "v"), pack, "query_id long, vec binary")
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sized = F.broadcast(spark.createDataFrame(layout, "d int, first int, n int"))  # one row a length
+    asked = packed.withColumn("d", (F.octet_length("vec") / 8).cast("int")).join(sized, "d").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = asked.select("query_id", "vec", "block", F.explode(F.expr("sequence(first, first + n - 1)")).alias("shard"))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(t: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if t.num_rows and q.num_rows:
-            t = t.sort_by("node")
-            x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
-            graph = np.full((len(x), DEGREE), -1, np.int64)
-            for i, e in enumerate(t.column("edges").to_pylist()):
-                graph[i, : len(e)] = e
-            ids = t.column("ids").to_pylist()
-            entries = np.flatnonzero(t.column("entry").to_numpy())
-            asked_ids = q.column("query_id").to_pylist()
-            points = np.array(q.column("v").to_pylist(), np.float64).reshape(len(asked_ids), -1)
-            for s in range(0, len(points), 256):
-                found, _ = beam_search(x, graph, entries, points[s : s + 256], max(beam, top))
-                for k, nodes in enumerate(found, s):
-                    nodes = nodes[nodes >= 0]
-                    d = np.sqrt(((x[nodes] - points[k]) ** 2).sum(axis=1))
-                    near: list[tuple[float, int]] = []
-                    for i in np.argsort(d, kind="stable"):
-                        if len(near) >= top and d[i] > sorted(near)[top - 1][0]:
-                            break
-                        near += [(float(d[i]), v) for v in ids[nodes[i]] if v != asked_ids[k]]
-                    out += [(asked_ids[k], v, score) for score, v in sorted(near)[:top]]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        return pa.concat_tables(_nearest_in(t, q, top, beam)) if t.num_rows and q.num_rows else _found([])
 
     found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -288,9 +329,9 @@ def search(index: DataFrame, shards: int, queries: DataFrame, size: int, top: in
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
-    index, shards, size = build_index(vectors, top)
-    queries = _usable(vectors).where((F.size("v") == size) & (F.col("vec_id") % every == 0)).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    return search(index, shards, queries, size, top)
+    index, layout = build_index(vectors, top)
+    queries = _usable(vectors).where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    return search(index, layout, queries, top)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
