@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> dict | Non
         xu = _rows(hashed_share(rows, limit).distinct())
         width = xp.shape[1]
         sums = rows.agg(F.count("*"), *[F.avg(F.col("x")[i].cast("double")) for i in range(width)], *[F.stddev_pop(F.col("x")[i].cast("double")) for i in range(width)]).first()
-        size, mean, std = sums[0], np.array(sums[1 : width + 1]), np.array(sums[width + 1 :]) + 1e-6
+        size, stats = sums[0], np.array([float(f"{v:.8e}") for v in sums[1:]])  # sums in another order differ in later digits
+        mean, std = stats[:width], stats[width:] + 1e-6
         norm = lambda x: np.clip((x - mean) / std, -6, 6)
         zp, zu = norm(xp), norm(xu)
         half, half_u = np.arange(len(zp)) % 2 == 0, np.arange(len(zu)) % 2 == 0
