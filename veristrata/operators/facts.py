@@ -21,7 +21,7 @@ class Facts:
     membership ``release, locus_id`` · locus ``locus_id, group_id, sequence_id`` · groups ``group_id,
     group_name`` · assignment ``group_id, term_id, role`` · term ``term_id, term_name, rank`` · closure
     ``ancestor_id, descendant_id, depth`` · assertion ``locus_id, category, kind`` · call ``locus_id,
-    call_key, score``."""
+    call_key, score`` · category_closure as closure, over the categories."""
 
     membership: DataFrame
     locus: DataFrame
@@ -31,6 +31,7 @@ class Facts:
     closure: DataFrame | Callable[[], DataFrame]  # built only for queries that descend
     assertion: DataFrame
     call: DataFrame
+    category_closure: DataFrame | Callable[[], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,15 @@ class LineageFilter:
 class CategoryFilter:
     category: str
     kind: str = "formal"
+    descendants: bool = False
+
+
+def _below(closed: DataFrame | Callable[[], DataFrame] | None, ancestor: object, name: str) -> DataFrame:
+    """The terms at or below ``ancestor``, as column ``name``."""
+    if closed is None:
+        raise ValueError("the catalog holds no closure to descend by")
+    rows = closed() if callable(closed) else closed
+    return rows.where(F.col("ancestor_id") == ancestor).select(F.col("descendant_id").alias(name))
 
 
 def matched_loci(t: Facts, release: str, filters: tuple = ()) -> DataFrame:
@@ -67,14 +77,16 @@ def matched_loci(t: Facts, release: str, filters: tuple = ()) -> DataFrame:
         elif isinstance(f, LineageFilter):
             own = t.assignment.where(F.col("role") == f.role)
             if f.descendants:
-                closed = t.closure() if callable(t.closure) else t.closure
-                below = closed.where(F.col("ancestor_id") == f.term_id).select(F.col("descendant_id").alias("term_id"))
-                own = own.join(below, "term_id", "left_semi")
+                own = own.join(_below(t.closure, f.term_id, "term_id"), "term_id", "left_semi")
             else:
                 own = own.where(F.col("term_id") == f.term_id)
             base = base.join(own, "group_id", "left_semi")
         elif isinstance(f, CategoryFilter):
-            own = t.assertion.where((F.col("category") == f.category) & (F.col("kind") == f.kind))
+            own = t.assertion.where(F.col("kind") == f.kind)
+            if f.descendants:
+                own = own.join(_below(t.category_closure, f.category, "category"), "category", "left_semi")
+            else:
+                own = own.where(F.col("category") == f.category)
             base = base.join(own, "locus_id", "left_semi")
         else:
             raise TypeError(f"unknown filter {f!r}")
@@ -135,6 +147,14 @@ def locus_details(t: Facts, base: DataFrame) -> DataFrame:
     return base.join(t.groups, "group_id").join(own, "group_id").join(t.term, "term_id").select("locus_id", "sequence_id", "group_id", "group_name", "term_id", "term_name")
 
 
+def cardinality_faults(base: DataFrame, details: DataFrame, key: str = "locus_id") -> DataFrame:
+    """Keys of the base that a projection does not hold exactly once, and keys that it holds beside them:
+    ``key, expected, found``. Empty means that the projection answers the request."""
+    found = details.groupBy(key).agg(F.count("*").alias("found"))
+    both = base.select(key, F.lit(1).alias("expected")).distinct().join(found, key, "full")
+    return both.select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found")).where("expected <> found")
+
+
 def call_details(t: Facts, base: DataFrame) -> DataFrame:
     return t.call.join(base.select("locus_id"), "locus_id", "left_semi").select("locus_id", "call_key", "score")
 
@@ -151,6 +171,13 @@ def having_all(rows: DataFrame, key: str, value: str, required: tuple[str, ...])
     return rows.groupBy(key).agg(F.collect_set(F.when(F.col(value).isin(*required), F.col(value))).alias("_own")).where(F.size(F.array_intersect("_own", need)) == len(set(required))).select(key)
 
 
+def anchor_documents(anchors: DataFrame, required: DataFrame, key: str = "anchor_key", document: str = "document_key") -> DataFrame:
+    """The documents of each required anchor, sorted; an anchor without any has an empty list, which the
+    caller must refuse as unresolved."""
+    own = anchors.groupBy(key).agg(F.sort_array(F.collect_set(document)).alias("documents"))
+    return required.select(key).distinct().join(own, key, "left").select(key, F.coalesce("documents", F.array().cast("array<string>")).alias("documents"))
+
+
 def resolve_anchors(rows: DataFrame, targets: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Rows that any target names. ``targets``: ``kind, k1, k2``; ``columns`` maps a kind to its two
     columns of ``rows``. One null-safe equality join instead of a chain of ORs."""

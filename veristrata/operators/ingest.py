@@ -122,17 +122,35 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return counts.agg(F.count_if(F.col("_n") > 1).alias("repeated_values"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("extra_rows"))
 
 
-def key_set_digest(rows: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the JSON list of sorted keys: the exact value for bounded key sets (one row holds them all)."""
-    return rows.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.col(key).cast("string")))), 256).alias("digest"), F.count("*").alias("n"))
-
-
-def multiset_digest(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
-    """The same identity at any size: sorted key lists are hashed per bucket (the first hex digits of each
-    key's digest), then the bucket digests in order. No task holds more than a bucket."""
-    hashed = rows.select(F.sha2(F.col(key).cast("string"), 256).alias("h")).withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
-    per = hashed.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+KEY_SET = 100_000
+
+
+def key_set_digest(rows: DataFrame, key: str, limit: int = KEY_SET) -> DataFrame:
+    """SHA-256 of the JSON list of sorted keys: the exact value for key sets of at most ``limit`` rows, which
+    one row holds. Larger ones are an error; :func:`multiset_digest` is their identity."""
+    listed = rows.select(F.col(key).cast("string").alias("k")).limit(limit + 1).agg(F.array_sort(F.collect_list("k")).alias("ks"), F.count("*").alias("n"))
+    small = F.when(F.col("n") <= limit, F.col("ks")).otherwise(F.raise_error(F.lit("too many keys for one list")))
+    return listed.select(F.sha2(F.to_json(small), 256).alias("digest"), "n")
+
+
+def multiset_digest(rows: DataFrame, key: str) -> DataFrame:
+    """The same identity at any size. Equal keys are one entry with a count; entries are hashed in lists of
+    about 4,096, by the first hex digits of their keys' digests, then these digests by three digits less,
+    level by level. The number of levels follows from the number of rows, so no task holds a longer list."""
+    digits = 3
+    n = rows.count()
+    while n > 16 ** (digits + 3):
+        digits += 3
+    entries = rows.groupBy(F.sha2(F.col(key).cast("string"), 256).alias("h")).agg(F.count("*").alias("n"))
+    entry = F.concat("h", F.lit(":"), F.col("n").cast("string"))
+    now = entries.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.array_sort(F.collect_list(entry)).alias("own"), F.sum("n").alias("n"))
+    now = now.select("b", F.sha2(F.array_join("own", ","), 256).alias("d"), "n")
+    while digits:
+        digits -= 3
+        listed = F.array_sort(F.collect_list(F.struct("b", "d")))
+        now = now.groupBy(F.substring("b", 1, digits).alias("b")).agg(listed.alias("own"), F.sum("n").alias("n"))
+        now = now.select("b", F.sha2(F.array_join(F.transform("own", lambda x: x["d"]), ","), 256).alias("d"), "n")
+    return now.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def compare(expected: DataFrame, actual: DataFrame, name: str = "metric") -> DataFrame:

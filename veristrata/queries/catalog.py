@@ -38,6 +38,8 @@ _filtered("F4_lineage_exact", _EXACT, f.LineageFilter("n5"))
 _filtered("F5_lineage_descendants", _BELOW, f.LineageFilter("r1", True))
 _filtered("F6_category_exact", _TYPED, f.CategoryFilter("PROMO"))
 _filtered("F7_category_by_kind", _BRAND, f.CategoryFilter("Brand#2", "study"))
+_FAMILY = "locus_id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('PROMO', 'ECONOMY'))"
+_filtered("F7_category_descendants", _FAMILY, f.CategoryFilter("PRICE", "formal", True))
 _filtered("F8_in_list", "locus_id IN (1, 5, 9, 31, 77)", f.LocusFilter((1, 5, 9, 31, 77)))
 _filtered("J5_semi_joins_combined", f"{_BELOW} AND {_TYPED}", f.LineageFilter("r1", True), f.CategoryFilter("PROMO"))
 
@@ -63,6 +65,22 @@ def locus_details(spark: SparkSession, d: str) -> DataFrame:
     return f.locus_details(t, f.matched_loci(t, "F"))
 
 
+@_add("I2_projection_cardinality", f"SELECT locus_id, 1 AS expected, count(l_orderkey) AS found FROM ({BASE}) LEFT JOIN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO') ON locus_id = l_orderkey GROUP BY locus_id HAVING count(l_orderkey) <> 1")
+def cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """Loci that a projection over their assertions does not hold exactly once."""
+    t = facts(spark, d)
+    base = f.matched_loci(t, "F")
+    return f.cardinality_faults(base, t.assertion.where("kind = 'formal' and category = 'PROMO'").join(base, "locus_id", "left_semi"))
+
+
+@_add("H3_anchor_documents", "SELECT 'src' || k AS anchor_key, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR)) FILTER (doc_id IS NOT NULL)), ',') AS documents FROM range(25) t(k) LEFT JOIN documents ON source = 'src' || k GROUP BY 1")
+def anchor_documents(spark: SparkSession, d: str) -> DataFrame:
+    anchors = table(spark, d, "documents").select(F.col("source").alias("anchor_key"), F.col("doc_id").cast("string").alias("document_key"))
+    wanted = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("anchor_key"))
+    found = f.anchor_documents(anchors, wanted)
+    return found.select("anchor_key", F.when(F.size("documents") > 0, F.array_join("documents", ",")).alias("documents"))
+
+
 @_add("F11_call_details", f"SELECT l_orderkey AS locus_id, l_partkey, l_linenumber, l_quantity AS score FROM lineitem WHERE l_orderkey IN (SELECT locus_id FROM ({BASE}))")
 def call_details(spark: SparkSession, d: str) -> DataFrame:
     t = facts(spark, d)
@@ -180,15 +198,8 @@ def merged_ids(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.resolve_merged(nation, links, nation.where("id in (4, 9)"))
 
 
-@_add("H33_name_mapping", "SELECT name, rank, CASE WHEN count(t) = 1 THEN min(t) END AS term_id, count(t) AS matches FROM (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) AS rank FROM part WHERE p_partkey < 100) LEFT JOIN (SELECT p_name AS name, CAST(p_size AS VARCHAR) AS rank, p_partkey AS t FROM part WHERE p_partkey >= 100) USING (name, rank) GROUP BY name, rank")
+@_add("H33_name_mapping", "SELECT name, rank, CASE WHEN count(t) = 1 THEN min(t) END AS term_id, count(t) AS matches FROM (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) AS rank FROM part) LEFT JOIN (SELECT p_name AS name, CAST(p_size AS VARCHAR) AS rank, p_partkey AS t FROM part) USING (name, rank) GROUP BY name, rank")
 def name_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """The names of the first 99 parts; ``H33_name_mapping_all`` maps every name."""
-    part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("rank"), F.col("p_partkey").alias("term_id"))
-    return taxonomy.map_names(part.where("term_id < 100").select("name", "rank").distinct(), part.where("term_id >= 100"))
-
-
-@_add("H33_name_mapping_all", "SELECT name, rank, CASE WHEN count(t) = 1 THEN min(t) END AS term_id, count(t) AS matches FROM (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) AS rank FROM part) LEFT JOIN (SELECT p_name AS name, CAST(p_size AS VARCHAR) AS rank, p_partkey AS t FROM part) USING (name, rank) GROUP BY name, rank")
-def whole_name_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct name and rank, looked up among all."""
     part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("rank"), F.col("p_partkey").alias("term_id"))
     return taxonomy.map_names(part.select("name", "rank").distinct(), part)

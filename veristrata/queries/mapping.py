@@ -23,16 +23,40 @@ def lineage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, nodes.where("parent_id is not null").select(F.col("node_id").alias("child_id"), "parent_id")
 
 
-_closed: dict[tuple[str, str], DataFrame] = {}
+_closed: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _stamp(spark: SparkSession, d: str, names: tuple[str, ...]) -> tuple:
+    """Change times and sizes of some tables' files."""
+    out = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in system.listStatus(path)]
+    return tuple(sorted(out))
 
 
 def closed_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """The closure of a release's hierarchy, built and persisted once an application."""
-    key = spark.sparkContext.applicationId, d
+    """The closure of a release's hierarchy, kept until the files that it comes from change."""
+    key, stamp = (spark.sparkContext.applicationId, d), _stamp(spark, d, ("region", "nation"))
+    if key in _closed and _closed[key][0] != stamp:
+        _closed.pop(key)[1].unpersist()
     if key not in _closed:
         nodes, edges = lineage(spark, d)
-        _closed[key] = closure(edges, nodes).persist()
-    return _closed[key]
+        _closed[key] = stamp, closure(edges, nodes).persist()
+    return _closed[key][1]
+
+
+#: A hierarchy above the part types: every type, in one of two families.
+FAMILIES = {"PRICE": ("PROMO", "ECONOMY"), "SHAPE": ("SMALL", "MEDIUM", "LARGE", "STANDARD")}
+
+
+def category_closure(spark: SparkSession, d: str) -> DataFrame:
+    types = table(spark, d, "part").select(F.col("p_type").alias("node_id")).distinct()
+    family = F.coalesce(*[F.when(F.col("node_id").isin(*own), F.lit(name)) for name, own in FAMILIES.items()])
+    above = spark.createDataFrame([("ANY", None), *[(name, "ANY") for name in FAMILIES]], "node_id string, parent_id string")
+    nodes = types.select("node_id", family.alias("parent_id")).unionByName(above)
+    return closure(nodes.where("parent_id is not null").select(F.col("node_id").alias("child_id"), "parent_id"), nodes.select("node_id"))
 
 
 CALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -53,6 +77,7 @@ def facts(spark: SparkSession, d: str) -> Facts:
         closure=lambda: closed_lineage(spark, d),
         assertion=formal.unionByName(study),
         call=line.select(F.col("l_orderkey").alias("locus_id"), F.struct(*CALL).alias("call_key"), F.col("l_quantity").alias("score")),
+        category_closure=lambda: category_closure(spark, d),
     )
 
 

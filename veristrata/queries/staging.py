@@ -22,7 +22,7 @@ def _add(name: str, sql: str):
     return keep
 
 
-_AUTHORITY = "SELECT 'GCA_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' AS assembly, 'CM' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.1' AS accession, s_suppkey % 7 * 1000 + CASE WHEN s_suppkey % 5 = 0 THEN 2000 ELSE 3000 END AS length FROM part JOIN supplier ON p_partkey % 3 <> 0 AND s_suppkey % 4 = p_partkey % 4"
+_AUTHORITY = "SELECT 'GCA_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' AS assembly, 'CM' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.1' AS accession, s_suppkey % 7 * 1000 + CASE WHEN s_suppkey % 5 = 0 THEN 2000 ELSE 3000 END AS length FROM (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem WHERE l_partkey % 3 <> 0 AND l_suppkey % 4 <> 1)"
 _INT = "regexp_full_match({0}, '0|[1-9][0-9]*')"
 _NORMAL = f"""SELECT *, CASE WHEN {_INT.format('contig_length')} THEN CAST(contig_length AS BIGINT) END AS cl, contains(start_, '..') AS compound,
  CASE WHEN NOT contains(start_, '..') AND {_INT.format('start_')} THEN TRY_CAST(start_ AS BIGINT) END AS s0, CASE WHEN NOT contains(start_, '..') THEN CAST(end_ AS BIGINT) END AS e0,
@@ -64,15 +64,24 @@ def issues(spark: SparkSession, d: str) -> DataFrame:
     return ingest.issue_counts(_normal(spark, d))
 
 
-@_add("I8_quarantine_has_issue", f"SELECT assembly AS \"Assembly\" FROM ({_ISSUES}) WHERE len(issues) = 0 AND len(issues) > 0")
+@_add("I8_quarantine_has_issue", "SELECT doc_id FROM labels WHERE quality = 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id AND (contains(d.text, '!!') OR contains(d.text, ' | ')))")
 def quarantine_has_issue(spark: SparkSession, d: str) -> DataFrame:
-    """Quarantined rows without an issue: none may exist."""
-    return _normal(spark, d).where("outcome = 'quarantine' and size(issues) = 0").select("Assembly")
+    """Quarantined rows (labels of quality 0) for which the table of issues (texts that shout or hold bars) has no row."""
+    issues = table(spark, d, "documents").where(F.contains("text", F.lit("!!")) | F.contains("text", F.lit(" | "))).select("doc_id")
+    return release.orphans(table(spark, d, "labels").where("quality = 0").select("doc_id"), issues, ["doc_id"])
+
+
+@_add("I4_stored_keys", f"""SELECT assembly AS "Assembly", contig AS "Contig", vr AS "VR" FROM ({WORKSHEET}) WHERE regexp_full_match(assembly, 'GC[AF]_[0-9]{{9}}\\.[1-9][0-9]*') AND vr = 'vr3'""")
+def stored_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose stored key is not the one that their fields give; here those of ``vr3`` were stored for ``vr4``."""
+    rows = _normal(spark, d).where("locus_key is not null")
+    other = keys.locus_key(F.lit("snap-1"), F.col("Assembly"), F.col("Contig"), F.lit("vr4"), F.lit("policy-1"))
+    stored = rows.withColumn("stored", F.when(F.col("VR") == "vr3", other).otherwise(F.col("locus_key")))
+    return stored.where("stored <> locus_key").select("Assembly", "Contig", "VR")
 
 
 def _authority(spark: SparkSession, d: str) -> DataFrame:
-    part, supplier = table(spark, d, "part").where("p_partkey % 3 <> 0"), table(spark, d, "supplier")
-    rows = part.join(supplier, F.col("s_suppkey") % 4 == F.col("p_partkey") % 4)
+    rows = table(spark, d, "lineitem").where("l_partkey % 3 <> 0 and l_suppkey % 4 <> 1").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     reports = rows.select(
         F.concat(F.lit("GCA_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".1")).alias("assembly_accession"),
         F.concat(F.lit("CM"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".1")).alias("genbank_accession"),
@@ -110,9 +119,15 @@ def strict(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(t.alias("t")).distinct().withColumn("v", scalar.strict_integer(F.col("t")))
 
 
-@_add("F16_compound_interval", f"SELECT DISTINCT start_, contains(start_, '..') AS compound FROM ({WORKSHEET})")
+#: Texts of an interval by the order's number: the first seven are compound.
+_INTERVALS = ("{0}..9", "{0},7", "{0};7", "{0}|7", "join({0}", "ORDER ({0}", "complement({0}", "{0}", "{0}.5", "joint {0}", "{0}-7", "-{0}")
+
+
+@_add("F16_compound_interval", "SELECT o_orderkey, o_orderkey % 12 < 7 AS compound FROM orders")
 def compound(spark: SparkSession, d: str) -> DataFrame:
-    return worksheet(spark, d).select(F.col("Start").alias("start_")).distinct().withColumn("compound", scalar.is_compound_interval(F.col("start_")))
+    forms = F.array(*[F.lit(t) for t in _INTERVALS])
+    text = F.replace(F.get(forms, (F.col("o_orderkey") % 12).cast("int")), F.lit("{0}"), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", scalar.is_compound_interval(text).alias("compound"))
 
 
 @_add("F22_cohort_filter", f"SELECT assembly AS \"Assembly\", contig AS \"Contig\", vr AS \"VR\", start_ AS \"Start\" FROM ({_ISSUES}) WHERE hcvr = 'Yes' OR (len(issues) = 0 AND s0 < e0)")
@@ -143,12 +158,12 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return ingest.audit(table(spark, d, "events"), "event_id", {"low": F.col("value") < 1, "errors": F.col("event_type") == "error"})
 
 
-@_add("A13_key_set_digest", "SELECT sha256('[' || string_agg('\"' || k || '\"', ',' ORDER BY k) || ']') AS digest, count(*) AS n FROM (SELECT c_name AS k FROM customer)")
+@_add("A13_key_set_digest", "SELECT sha256('[' || string_agg('\"' || k || '\"', ',' ORDER BY k) || ']') AS digest, count(*) AS n FROM (SELECT n_name AS k FROM nation)")
 def key_digest(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.key_set_digest(table(spark, d, "customer"), "c_name")
+    return ingest.key_set_digest(table(spark, d, "nation"), "n_name")
 
 
-_BUCKETED = "SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT b, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM (SELECT h, CAST(('0x' || h[1:8]) AS BIGINT) % 4096 AS b FROM (SELECT sha256({0}) AS h FROM {1})) GROUP BY b)"
+_BUCKETED = "SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT b, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS d, sum(c) AS n FROM (SELECT h, h[1:3] AS b, count(*) AS c FROM (SELECT sha256({0}) AS h FROM {1}) GROUP BY h) GROUP BY b)"
 
 
 @_add("A13_multiset_digest", _BUCKETED.format("CAST(l_orderkey AS VARCHAR)", "lineitem"))
