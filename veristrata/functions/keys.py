@@ -95,19 +95,21 @@ def embedding_digest(meta: str) -> Column:
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hashed_vector(texts: pd.Series) -> pd.Series:
-    """Repeatable unit vector of 384 floats from SHA-256 blocks of a text: tests need no model."""
+def hashed_unit(text: str | None):
+    """Repeatable unit vector of 384 floats from SHA-256 blocks of a text."""
     import numpy as np
 
-    def one(text: str | None):
-        if text is None:
-            return None
-        raw = b"".join(hashlib.sha256(f"{i}:{text}".encode()).digest() for i in range(48))
-        v = np.frombuffer(raw, "<u4").astype(float) / 2**31 - 1
-        return (v / np.linalg.norm(v)).astype(np.float32)
+    if text is None:
+        return None
+    raw = b"".join(hashlib.sha256(f"{i}:{text}".encode()).digest() for i in range(48))
+    v = np.frombuffer(raw, "<u4").astype(float) / 2**31 - 1
+    return (v / np.linalg.norm(v)).astype(np.float32)
+
 
-    return texts.map(one)
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def hashed_vector(texts: pd.Series) -> pd.Series:
+    """:func:`hashed_unit` of every text: tests need no model."""
+    return texts.map(hashed_unit)
 
 
 def is_unit_vector(v: Column, size: int, slack: float = 1e-5) -> Column:

@@ -33,8 +33,10 @@ HEADER = (
 
 
 def issues_of(*found: tuple[str, Column]) -> Column:
-    """Array of the codes whose condition holds, in order."""
-    return F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in found]), lambda c: c.isNotNull())
+    """Array of the codes whose condition holds, in order. One joined text, cut again: generated code, where a
+    filter over an array would be interpreted row by row."""
+    joined = F.concat_ws(",", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in found])
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
 
 
 def in_scope(rows: DataFrame, assemblies: tuple[str, ...], taxon: str, host_class: str) -> DataFrame:
@@ -64,19 +66,28 @@ def resolve(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def normalize(rows: DataFrame, snapshot: str, policy: str) -> DataFrame:
-    """One terminal outcome a row: ``normalized_candidate`` without issues, else ``quarantine``."""
-    raw = {n: F.col(n) for n in ("Start", "End", "Length", "Contig Length")}
-    compound = is_compound_interval(raw["Start"]) | is_compound_interval(raw["End"]) | is_compound_interval(raw["Length"])
-    contig_length = strict_integer(raw["Contig Length"])
-    start, end, length = (F.when(~compound, strict_integer(raw[n])) for n in ("Start", "End", "Length"))
+    """One terminal outcome a row: ``normalized_candidate`` without issues, else ``quarantine``. Numbers are
+    read once, as columns, and the rules use these."""
+    is_compound = is_compound_interval(F.col("Start")) | is_compound_interval(F.col("End")) | is_compound_interval(F.col("Length"))
+    read = rows.withColumns(
+        {
+            "source_assessment": F.when(F.col("HCVR") == "Yes", "source_high").otherwise("source_low"),
+            "_compound": is_compound,
+            "contig_length": strict_integer(F.col("Contig Length")),
+            "_assembly": is_accession(F.col("Assembly"), ASSEMBLY_ACCESSION),
+            "_contig": is_accession(F.col("Contig"), CONTIG_ACCESSION),
+            "_token": F.coalesce(F.col("VR").rlike(r"^vr[1-9][0-9]*$"), F.lit(False)),
+        }
+    )
+    read = read.withColumns({new: F.when(~F.col("_compound"), strict_integer(F.col(old))) for new, old in (("start0", "Start"), ("end0", "End"), ("_length", "Length"))})
+    start, end, length, contig_length, compound = (F.col(c) for c in ("start0", "end0", "_length", "contig_length", "_compound"))
     not_integer = contig_length.isNull() | (~compound & (start.isNull() | end.isNull() | length.isNull()))
-    good_ids = is_accession(F.col("Assembly"), ASSEMBLY_ACCESSION) & is_accession(F.col("Contig"), CONTIG_ACCESSION) & F.col("VR").rlike(r"^vr[1-9][0-9]*$")
     resolved = "assembly_resolution" in rows.columns
     nothing = F.lit(False)
     issues = issues_of(
-        (ISSUE_CODES[0], ~is_accession(F.col("Assembly"), ASSEMBLY_ACCESSION)),
-        (ISSUE_CODES[1], ~is_accession(F.col("Contig"), CONTIG_ACCESSION)),
-        (ISSUE_CODES[2], ~F.coalesce(F.col("VR").rlike(r"^vr[1-9][0-9]*$"), nothing)),
+        (ISSUE_CODES[0], ~F.col("_assembly")),
+        (ISSUE_CODES[1], ~F.col("_contig")),
+        (ISSUE_CODES[2], ~F.col("_token")),
         (ISSUE_CODES[3], compound),
         (ISSUE_CODES[4], not_integer),
         (ISSUE_CODES[5], contig_length <= 0),
@@ -89,14 +100,9 @@ def normalize(rows: DataFrame, snapshot: str, policy: str) -> DataFrame:
         (ISSUE_CODES[12], F.col("VR Type") == "Viral contig"),
         (ISSUE_CODES[13], ~F.coalesce(F.col("VR Type").isin("Viral contig", "Integration"), nothing)),
     )
-    key = F.when(F.coalesce(good_ids, nothing), locus_key(F.lit(snapshot), F.col("Assembly"), F.col("Contig"), F.col("VR"), F.lit(policy)))
-    return (
-        rows.withColumn("source_assessment", F.when(F.col("HCVR") == "Yes", "source_high").otherwise("source_low"))
-        .withColumn("start0", start).withColumn("end0", end).withColumn("contig_length", contig_length)
-        .withColumn("locus_key", key)
-        .withColumn("issues", issues)
-        .withColumn("outcome", F.when(F.size("issues") == 0, "normalized_candidate").otherwise("quarantine"))
-    )
+    key = F.when(F.col("_assembly") & F.col("_contig") & F.col("_token"), locus_key(F.lit(snapshot), F.col("Assembly"), F.col("Contig"), F.col("VR"), F.lit(policy)))
+    named = read.withColumns({"locus_key": key, "issues": issues}).drop("_compound", "_length", "_assembly", "_contig", "_token")
+    return named.withColumn("outcome", F.when(F.size("issues") == 0, "normalized_candidate").otherwise("quarantine"))
 
 
 def source_record_key(artifact: Column, snapshot: Column, sheet: Column, row: Column) -> Column:
@@ -116,6 +122,38 @@ def audit(rows: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("distinct_keys"), *[F.count_if(c).alias(n) for n, c in sorted(flags.items())])
 
 
+def worksheet_audit(rows: DataFrame) -> DataFrame:
+    """One row of counters over normalised rows: assessments, outcomes, types, resolutions, missing and badly
+    formed keys, keys that their fields do not give, and distinct and repeated keys. ``rows``: the columns of
+    :func:`normalize` and :func:`resolve`, ``stored_key`` (the key as stored), ``record_key`` and ``name``."""
+    flags = {
+        "source_high": F.col("source_assessment") == "source_high",
+        "source_low": F.col("source_assessment") == "source_low",
+        "normalized_candidate": F.col("outcome") == "normalized_candidate",
+        "quarantine": F.col("outcome") == "quarantine",
+        "vr_type_integration": F.col("VR Type") == "Integration",
+        "vr_type_viral_contig": F.col("VR Type") == "Viral contig",
+        "vr_type_other": ~F.coalesce(F.col("VR Type").isin("Integration", "Viral contig"), F.lit(False)),
+        "assembly_resolution_exact": F.col("assembly_resolution") == "exact",
+        "assembly_resolution_not_exact": ~F.col("assembly_resolution").eqNullSafe(F.lit("exact")),
+        "contig_resolution_exact": F.col("contig_resolution") == "exact",
+        "contig_resolution_not_exact": ~F.col("contig_resolution").eqNullSafe(F.lit("exact")),
+        "missing_locus_key": F.col("stored_key").isNull(),
+        "missing_organism_name": F.coalesce(F.col("name"), F.lit("")) == "",
+        "invalid_call_key_format": ~F.coalesce(F.col("record_key").rlike("^source_record:sha256:[0-9a-f]{64}$"), F.lit(False)),
+        "invalid_locus_key_format": ~F.col("stored_key").rlike("^locus:sha256:[0-9a-f]{64}$"),
+        "locus_key_preimage_error": F.col("locus_key").isNull(),
+        "locus_key_preimage_mismatch": F.col("locus_key").isNotNull() & ~F.col("stored_key").eqNullSafe(F.col("locus_key")),
+    }
+    counts = rows.agg(F.count("*").alias("source_records"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    distinct = rows.agg(F.count_distinct("Assembly").alias("assemblies"), F.count_distinct("Assembly", "Contig").alias("contigs"), F.count_distinct("name").alias("source_organism_names"))
+    repeated = [duplicates(rows.where(F.col(k).isNotNull()).select(k), k).select(F.col("repeated_values").alias(f"{n}_values"), F.col("extra_rows").alias(f"{n}_extra_occurrences")) for n, k in (("call_key", "record_key"), ("locus_key", "stored_key"))]
+    out = counts.crossJoin(distinct)  # single rows
+    for one in repeated:
+        out = out.crossJoin(one)
+    return out
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """Values that occur more than once, and their extra occurrences."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))

@@ -134,6 +134,32 @@ def grounding(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Ratios of grounding: name, numerator, denominator, reason where the denominator is zero.
+GROUNDING = (
+    ("required_fact_coverage", "covered_facts", "required_facts", "no_required_facts"),
+    ("structured_fact_preservation", "preserved_facts", "supplied_facts", "no_supplied_structured_facts"),
+    ("fully_supported_claim_rate", "fully_supported", "assessable", "no_assessable_claims"),
+    ("partially_supported_claim_rate", "partially_supported", "assessable", "no_assessable_claims"),
+    ("unsupported_claim_rate", "unsupported", "assessable", "no_assessable_claims"),
+    ("citation_document_accuracy", "correct_documents", "judged", "no_reviewed_citations"),
+    ("citation_passage_accuracy", "correct_passages", "judged", "no_reviewed_citations"),
+    ("citation_precision", "supporting_passages", "judged", "no_reviewed_citations"),
+    ("citation_recall", "cited_groups", "required_groups", "no_required_evidence_groups"),
+    ("required_limitation_coverage", "present_limitations", "required_limitations", "no_required_limitations"),
+)
+
+
+def grounding_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row a ratio and group: ``metric, numerator, denominator, value, reason``. ``rows``: one an answer, with
+    the counts of ``GROUNDING``, but ``claim_labels`` (array) for those of claims. Sums over sums."""
+    label = lambda name: F.size(F.filter("claim_labels", lambda c: c == name)).alias(name)
+    own = rows.select("*", label("fully_supported"), label("partially_supported"), label("unsupported"), F.size(F.filter("claim_labels", lambda c: c != "not_assessable")).alias("assessable"))
+    needed = sorted({c for _, a, b, _ in GROUNDING for c in (a, b)})
+    sums = own.groupBy(*by).agg(*[F.sum(c).alias(c) for c in needed])
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(a).alias("numerator"), F.col(b).alias("denominator"), ratio(F.col(a), F.col(b)).alias("value"), F.when(F.col(b) == 0, F.lit(why)).alias("reason")) for n, a, b, why in GROUNDING])
+    return sums.select(*by, F.explode(each).alias("_m")).select(*by, "_m.*")
+
+
 def release_gate(summary: DataFrame, r5: float = 0.8, r10: float = 0.9) -> DataFrame:
     """Recall gates, and all citations and locators valid."""
     return summary.select(((F.col("recall_at_5") >= r5) & (F.col("recall_at_10") >= r10) & F.col("citations_valid") & F.col("locators_valid")).alias("passes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Sequence
 
@@ -26,8 +27,15 @@ def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None) ->
     return rows.withColumn("rank", F.row_number().over(window))
 
 
+#: Questions that one broadcast may hold.
+QUESTIONS = 1000
+
+
 def dense_batch(queries: DataFrame, rows: DataFrame, key: str, depth: int = DEPTH, places: int = 9) -> DataFrame:
-    """Exact top-k for a table of queries (``query_id, q``) over ``key, v``; a stated query set in one job."""
+    """Exact top-k for a table of queries (``query_id, q``) over ``key, v`` in one job: the queries go to all
+    tasks if they are ``QUESTIONS`` at most, else both sides meet in blocks."""
+    if queries.limit(QUESTIONS + 1).count() > QUESTIONS:
+        return dense_blocks(queries, rows, key, depth, places)
     scored = rows.join(F.broadcast(queries), F.lit(True)).select("query_id", key, F.round(dot(F.col("v"), F.col("q")), places).alias("score"))
     return ranked(scored, [F.desc("score"), F.col(key)], ["query_id"]).where(F.col("rank") <= depth)
 
@@ -75,10 +83,11 @@ def rank_shift(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     return b.join(a, by, "full").withColumn("shift", F.col("before") - F.col("after"))
 
 
-def document_balanced(rows: DataFrame, document: str, context: str, score: str, key: str, limit: int = DEPTH) -> DataFrame:
-    """Context, then one row of each document before the second of any."""
-    within = Window.partitionBy(document).orderBy(F.desc(context), F.desc(score), key)
-    return rows.withColumn("document_rank", F.row_number().over(within)).orderBy(F.desc(context), "document_rank", F.desc(score), key).limit(limit)
+def document_balanced(rows: DataFrame, document: str, context: str, score: str, key: str | list[str], limit: int = DEPTH) -> DataFrame:
+    """Context, then one row of each document before the second of any; ties by the columns of ``key``."""
+    keys = [key] if isinstance(key, str) else key
+    within = Window.partitionBy(document).orderBy(F.desc(context), F.desc(score), *keys)
+    return rows.withColumn("document_rank", F.row_number().over(within)).orderBy(F.desc(context), "document_rank", F.desc(score), *keys).limit(limit)
 
 
 def round_robin(rankings: Sequence[Sequence[str]], limit: int = DEPTH) -> list[str]:
@@ -120,3 +129,150 @@ def lexical_scores(posts: DataFrame, terms: Sequence[str], key: str, places: int
 
 def lexical_top(posts: DataFrame, terms: Sequence[str], key: str, depth: int = DEPTH) -> DataFrame:
     return ranked(lexical_scores(posts, terms, key).orderBy(F.desc("score"), key).limit(depth), [F.desc("score"), F.col(key)])
+
+
+# --- full text: words as arrays, so that a row that cannot match leaves before anything explodes -----
+
+
+def lexemes(text: Column) -> Column:
+    """Lower-case words of a text in order; a null text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}][\p{L}\p{N}]*)"), 1)
+
+
+def _has_phrase(words: Column, phrase: Sequence[str]) -> Column:
+    n = len(phrase)
+    wanted = F.array(*[F.lit(w) for w in phrase])
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    return F.exists(starts, lambda i: F.slice(words, i, n) == wanted)
+
+
+def search_filter(words: Column, alternatives: Sequence[dict]) -> Column:
+    """Web-search syntax as a filter: of some alternative, all words and phrases are there and no excluded
+    word is (``alternatives`` as :func:`veristrata.plans.lexical.search_query` parses them)."""
+    out = F.lit(False)
+    for a in alternatives:
+        own = F.lit(True)
+        for w in a["words"]:
+            own = own & F.array_contains(words, w)
+        for p in a["phrases"]:
+            own = own & _has_phrase(words, p)
+        for w in a["excluded"]:
+            own = own & ~F.array_contains(words, w)
+        out = out | own
+    return out
+
+
+def cover_density(fields: Sequence[tuple[Column, float]], terms: Sequence[str]) -> Column:
+    """Cover density of ``terms`` over weighted fields of :func:`lexemes`, one after the other. A cover is a
+    shortest stretch that holds all terms; it adds the harmonic mean of its hits' weights over one plus the
+    other words inside. The sum ``s`` comes as ``s / (s + 1)``; zero if a term is missing. One fold over the
+    hits of a row: no shuffle."""
+    wanted = sorted(set(terms))
+    parts, offset = [], F.lit(0)
+
+    def placed(words: Column, before: Column, weight: float) -> Column:
+        hits = F.transform(words, lambda w, i: F.struct((i + before).cast("int").alias("p"), w.alias("w"), F.lit(1.0 / weight).alias("v")))
+        return F.filter(hits, lambda x: x["w"].isin(*wanted))
+
+    for words, weight in fields:
+        parts.append(placed(words, offset, weight))
+        offset = offset + F.size(words)
+    last = F.array(*[F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(0.0).alias("v")) for _ in wanted])
+    order = F.array(*[F.lit(w) for w in wanted])
+
+    def step(acc: Column, x: Column) -> Column:
+        place = F.array_position(order, x["w"])
+        now = F.transform(acc["last"], lambda t, i: F.when(place == i + 1, F.struct(x["p"].alias("p"), acc["n"].alias("n"), acc["v"].alias("v"))).otherwise(t))
+        begin = F.array_min(F.transform(now, lambda t: t["p"]))
+        first = F.filter(now, lambda t: t["p"] == begin)[0]
+        new = (begin >= 0) & (begin > acc["seen"])
+        hits, inverse = acc["n"] + 1 - first["n"], acc["v"] + x["v"] - first["v"]
+        gain = hits / inverse / (1 + x["p"] - begin - hits + 1)
+        return F.struct(now.alias("last"), (acc["n"] + 1).alias("n"), (acc["v"] + x["v"]).alias("v"), F.when(new, begin).otherwise(acc["seen"]).alias("seen"), (acc["s"] + F.when(new, gain).otherwise(0.0)).alias("s"))
+
+    zero = F.struct(last.alias("last"), F.lit(0).alias("n"), F.lit(0.0).alias("v"), F.lit(-1).alias("seen"), F.lit(0.0).alias("s"))
+    return F.aggregate(F.concat(*parts), zero, step, lambda acc: acc["s"] / (acc["s"] + 1))
+
+
+def full_text_top(rows: DataFrame, key: str, fields: dict[str, float], terms: Sequence[str], depth: int = DEPTH, places: int = 9) -> DataFrame:
+    """The rows that hold every term, by cover density; ``fields``: weight of each text column."""
+    wide = rows.select(key, *[lexemes(F.col(c)).alias(f"_{c}") for c in fields])
+    every = [F.array_contains(F.concat(*[F.col(f"_{c}") for c in fields]), t) for t in terms]
+    for cond in every:
+        wide = wide.where(cond)
+    score = F.round(cover_density([(F.col(f"_{c}"), w) for c, w in fields.items()], terms), places)
+    return ranked(wide.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(depth), [F.desc("score"), F.col(key)])
+
+
+def planned_candidates(rows: DataFrame, document: str, key: str, text: str, objects: Sequence[dict], depth: int = DEPTH, places: int = 9) -> DataFrame:
+    """Candidates of planned objects: ``object, key, document, context_score, document_rank, score``, at most
+    ``depth`` an object. An object (``groups, context``) admits a row that matches one of its groups; if it
+    names accessions, one of these; if it names DOIs, one of these too. An accession or DOI matches as a whole
+    token and before no version number, or (``doi`` column) by the row's own DOI. Rows of one document take
+    turns; the context words in the text come first, then the groups' cover density."""
+    wide = rows.withColumn("_w", lexemes(F.col(text)))
+    out: DataFrame | None = None
+    for n, obj in enumerate(objects):
+        tests: dict[str, list[Column]] = {}
+        score = F.lit(0.0)
+        for g in obj["groups"]:
+            if g.identifier:
+                test = F.col(text).rlike(r"(?i)(?<![A-Za-z0-9_])" + re.escape(g.identifier) + r"(?![A-Za-z0-9_]|[.][0-9])")
+                if g.kind == "doi" and "doi" in rows.columns:
+                    test = test | F.coalesce(F.lower("doi") == g.identifier.lower(), F.lit(False))
+            else:
+                test = F.forall(F.array(*[F.lit(t) for t in g.terms]), lambda t: F.array_contains(F.col("_w"), t))
+                score = score + cover_density([(F.col("_w"), 0.1)], g.terms)
+            tests.setdefault(g.kind, []).append(test)
+        admitted = tests.get("accession") or [t for own in tests.values() for t in own]
+        own = wide.where(_any(admitted))
+        if "doi" in tests:
+            own = own.where(_any(tests["doi"]))
+        context = sum((F.array_contains(F.col("_w"), t).cast("int") for t in obj["context"]), F.lit(0))
+        own = own.select(F.lit(n).alias("object"), key, document, context.alias("context_score"), F.round(score, places).alias("score"))
+        own = document_balanced(own, document, "context_score", "score", key, depth)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no object to search for")
+    return out
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def branch_fusion(lists: dict[str, DataFrame], key: str, depth: int = DEPTH) -> DataFrame:
+    """Reciprocal-rank fusion of single ranked lists (``key, rank``), one a branch."""
+    rows = None
+    for branch, ranks in lists.items():
+        own = ranks.where(F.col("rank") <= depth).select(F.lit(0).alias("_q"), key, F.lit(branch).alias("branch"), "rank")
+        rows = own if rows is None else rows.unionByName(own)
+    return fuse(rows, tuple(lists), ["_q"], key).drop("_q")
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame, summaries: DataFrame, key: str, document: str, fields: dict[str, float], terms: Sequence[str], vector: Sequence[float], anchored: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """Literature retrieval of one question: ``key, document, tier, branch ranks, rrf score, rank``. The
+    lexical, dense and summary branches give 100 candidates each and are fused; with ``anchored`` (the
+    documents of the question's anchors) the fusion inside these comes first and the whole corpus fills up.
+    ``vectors`` and ``summaries``: ``key, v``. Terms may be none: then the lexical branch is empty."""
+
+    def fused(allowed: DataFrame | None) -> DataFrame:
+        own = chunks if allowed is None else chunks.join(allowed.select(document).distinct(), document, "left_semi")
+        near = [v if allowed is None else v.join(own.select(key), key, "left_semi") for v in (vectors, summaries)]
+        text = full_text_top(own, key, fields, terms) if terms else chunks.select(key).limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(1))
+        return branch_fusion({"fts": text, "dense": dense_top(near[0], vector, key, "v", places=6), "summary": dense_top(near[1], vector, key, "v", places=6)}, key)
+
+    corpus = fused(None).withColumn("_q", F.lit(0))
+    first = corpus.limit(0) if anchored is None else fused(anchored).withColumn("_q", F.lit(0))
+    both = tiered(first.select("_q", key, "rank"), corpus.select("_q", key, "rank"), ["_q"], key, top).drop("_q")
+    held = first.withColumn("tier", F.lit(1)).unionByName(corpus.withColumn("tier", F.lit(2))).select(key, "tier", "fts", "dense", "summary", F.col("score").alias("rrf_score"))
+    return both.join(held, [key, "tier"]).join(chunks.select(key, document), key).select(key, document, F.when(F.col("tier") == 1, "anchored").otherwise("corpus_fill").alias("tier"), "fts", "dense", "summary", "rrf_score", "rank")
+
+
+def retrieval_warnings(found: DataFrame, has_anchors: bool) -> DataFrame:
+    """One row, ``warnings``: ``anchor_miss`` if anchors were given and no row is anchored, ``no_chunks_retrieved``."""
+    state = found.agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "anchored").alias("a"))
+    return state.select(F.filter(F.array(F.when((F.col("a") == 0) & F.lit(has_anchors), F.lit("anchor_miss")), F.when(F.col("n") == 0, F.lit("no_chunks_retrieved"))), lambda w: w.isNotNull()).alias("warnings"))

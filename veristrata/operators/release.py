@@ -26,6 +26,13 @@ def release_digest(tables: dict[str, DataFrame]) -> DataFrame:
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "digest"))), lambda x: F.concat(x["table"], F.lit(":"), x["digest"])), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
+def unchanged(now: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> DataFrame:
+    """``table, unchanged``: whether each table of a corpus still has the snapshot's digest and row count."""
+    sides = [reduce(DataFrame.unionByName, [table_digest(df, name) for name, df in sorted(tables.items())]) for tables in (now, snapshot)]
+    then = sides[1].select("table", F.col("digest").alias("_d"), F.col("n").alias("_n"))
+    return sides[0].join(then, "table", "full").select("table", (F.col("digest").eqNullSafe(F.col("_d")) & F.col("n").eqNullSafe(F.col("_n"))).alias("unchanged"))
+
+
 def sealed_faults(rows: DataFrame, own: str = "record_sha256") -> DataFrame:
     """Records whose own digest is not that of their other fields."""
     rest = [c for c in sorted(rows.columns) if c != own]
@@ -50,6 +57,20 @@ def rule_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> Data
     return rows.select(key, F.explode(codes).alias("code"))
 
 
+def validate_release(tables: dict[str, DataFrame], keys: dict[str, str], rules: dict[str, dict[str, tuple[str, Column]]]) -> DataFrame:
+    """``table, key, code, severity`` of every rule that a row breaks, and one row ``release_<table>_issues_present``
+    for each table with any. ``rules``: by table and code a severity and the condition of a fault; each table
+    is read once for all of its rules."""
+    found = None
+    for name, own in sorted(rules.items()):
+        broken = rule_violations(tables[name], keys[name], {code: cond for code, (_, cond) in own.items()})
+        grade = F.coalesce(*[F.when(F.col("code") == code, F.lit(severity)) for code, (severity, _) in sorted(own.items())])
+        rows = broken.select(F.lit(name).alias("table"), F.col(keys[name]).cast("string").alias("key"), "code", grade.alias("severity"))
+        found = rows if found is None else found.unionByName(rows)
+    whole = found.select("table", F.lit(None).cast("string").alias("key"), F.concat(F.lit("release_"), "table", F.lit("_issues_present")).alias("code"), F.lit("error").alias("severity")).distinct()
+    return found.unionByName(whole)
+
+
 def inclusion(rows: DataFrame) -> DataFrame:
     """``rows``: ``key, outcome, gates_pass, placements, bound, left, right`` (verdicts, null without flank
     evidence) and code arrays ``unresolved, quarantine, conflict``. Decision and sorted reasons."""

@@ -42,6 +42,22 @@ def resolve_merged(ids: DataFrame, merged: DataFrame, deleted: DataFrame, max_ho
     raise ValueError("merged identifiers form a cycle")
 
 
+def resolve_entities(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``kind, mention, key, status`` for each mention (``kind, mention``) by the catalog (``kind, key, name,
+    aliases``): an exact key first, then the name, then an alias, blanks and case aside. Several entities at
+    the first level that has any are ``ambiguous``, none anywhere ``unresolved``; both have a null key."""
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    names = catalog.select("kind", "key", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("level"), F.col("key").alias("form")), F.struct(F.lit(2).alias("level"), flat(F.col("name")).alias("form"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(3).alias("level"), flat(a).alias("form"))))).alias("_n"))
+    names = names.select("kind", "key", "_n.level", "_n.form")
+    asked = mentions.select("kind", "mention").distinct().withColumn("_f", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.trim("mention").alias("form")), F.struct(F.lit(False).alias("exact"), flat(F.col("mention")).alias("form")))))
+    asked = asked.select("kind", "mention", F.col("_f.exact").alias("exact"), F.col("_f.form").alias("form"))
+    hits = asked.join(names, ["kind", "form"]).where(F.col("exact") == (F.col("level") == 1))
+    levels = hits.groupBy("kind", "mention", "level").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
+    best = levels.groupBy("kind", "mention").agg(F.min(F.struct("level", "n", "key")).alias("_b"))
+    status = F.when(F.col("_b").isNull(), "unresolved").when(F.col("_b.n") > 1, "ambiguous").otherwise("resolved")
+    return mentions.select("kind", "mention").distinct().join(best, ["kind", "mention"], "left").select("kind", "mention", F.when(F.col("_b.n") == 1, F.col("_b.key")).alias("key"), status.alias("status"))
+
+
 def map_names(old: DataFrame, new: DataFrame) -> DataFrame:
     """Exact (name, rank) mapping; names that match no or several rows have a null target."""
     counted = new.groupBy("name", "rank").agg(F.count("*").alias("matches"), F.min("term_id").alias("term_id"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import providers, scalar
 from ..operators import ranking as r
+from ..operators import release
+from ..plans import language
+from ..plans import lexical as lexical_plans
 from ..plans.topics import FORBIDDEN_TOPICS
-from ..sources import scans
+from ..sources import scans, sinks
 from .mapping import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -42,16 +45,9 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return r.dense_top(table(spark, d, "embeddings").where("label in (1, 2)"), _vector(spark, d, 7), "vec_id", "embedding", places=6)
 
 
-@_add("H24_dense_batch", f"SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q)) WHERE rank <= 10")
+@_add("H24_dense_batch", f"SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 10")
 def batch(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 rows as questions against all rows in one job; ``H24_dense_batch_all`` asks the questions that grow with the table."""
-    e = table(spark, d, "embeddings")
-    return r.dense_batch(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), "vec_id", 10, places=6)
-
-
-@_add("H24_dense_batch_all", f"SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 10")
-def whole_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every row whose id is divisible by 50 against all rows."""
+    """Every row whose id is divisible by 50 as a question against all rows, in blocks."""
     e = table(spark, d, "embeddings")
     return r.dense_blocks(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), "vec_id", 10, places=6)
 
@@ -77,6 +73,138 @@ def lexical(spark: SparkSession, d: str) -> DataFrame:
     return r.lexical_top(_posts(spark, d), ("the", "of"), "doc_id")
 
 
+def _density(terms: tuple[str, ...], weights: str = "0.1") -> str:
+    """Cover density of the oracle: per row the last place of every term before it (by windows), one cover a
+    beginning, each with its hits and the words between."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    lasts = ", ".join(f"max(p) FILTER (w = '{t}') OVER o AS l{i}" for i, t in enumerate(terms))
+    begin = ", ".join(f"l{i}" for i in range(len(terms)))
+    return f"""SELECT doc_id, round(s / (s + 1), 9) AS score FROM (SELECT doc_id, sum(m / (m / {weights}) / (1 + (e - b) - (m - 1))) AS s FROM (
+ SELECT c.doc_id, c.b, c.e, count(*)::DOUBLE AS m FROM (SELECT doc_id, b, min(p) AS e FROM (SELECT doc_id, p, CASE WHEN {' AND '.join(f'l{i} IS NOT NULL' for i in range(len(terms)))} THEN least({begin}) END AS b FROM (
+  SELECT doc_id, p, w, {lasts} FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY p))) WHERE b IS NOT NULL GROUP BY doc_id, b) c JOIN hits h ON h.doc_id = c.doc_id AND h.p BETWEEN c.b AND c.e WHERE h.w IN ({listed}) GROUP BY ALL) GROUP BY doc_id)"""
+
+
+def _hits(terms: tuple[str, ...], of: str = "documents") -> str:
+    return f"SELECT doc_id, unnest(range(len(a))) AS p, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORDS}') AS a FROM {of})".join(["SELECT * FROM (", ") WHERE w IN (" + ", ".join(f"'{t}'" for t in terms) + ")"])
+
+
+_TERMS = ("that", "with", "thes")
+
+
+@_add("W9_X18_cover_density_top100", f"WITH hits AS ({_hits(_TERMS)}) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_density(_TERMS)} ORDER BY score DESC, doc_id LIMIT 100)")
+def full_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold all three words, by cover density of their texts."""
+    return r.full_text_top(table(spark, d, "documents"), "doc_id", {"text": 0.1}, _TERMS)
+
+
+@_add("X16_X17_web_search", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORDS}') AS a, ' ' || array_to_string(regexp_extract_all(lower(text), '{_WORDS}'), ' ') || ' ' AS flat FROM documents)
+ SELECT doc_id FROM w WHERE (list_contains(a, 'that') AND contains(flat, ' of the ') AND NOT list_contains(a, 'with')) OR (list_contains(a, 'elle') AND list_contains(a, 'les'))""")
+def web_search(spark: SparkSession, d: str) -> DataFrame:
+    """``that "of the" -with or elle les`` as a filter."""
+    asked = lexical_plans.search_query('that "of the" -with or elle les')
+    docs = table(spark, d, "documents").select("doc_id", r.lexemes(F.col("text")).alias("w"))
+    return docs.where(r.search_filter(F.col("w"), asked.alternatives)).select("doc_id")
+
+
+_ASK = "Which records have Thre tion with thing; and erin thnt thon?"
+
+
+def _planned(n: int, groups: tuple[tuple[str, ...], ...], context: tuple[str, ...]) -> str:
+    """Twin of one planned object."""
+    own = " UNION ALL ".join(f"SELECT * FROM (WITH hits AS ({_hits(g)}) {_density(g)})" for g in groups)
+    score = f"SELECT doc_id, round(sum(score), 9) AS score FROM ({own}) GROUP BY doc_id"
+    count = " + ".join([*(f"list_contains(a, '{c}')::INT" for c in context), "0"])
+    return f"""SELECT {n} AS object, doc_id, source, context_score, score, document_rank FROM (SELECT doc_id, source, CAST({count} AS INT) AS context_score, score, row_number() OVER (PARTITION BY source ORDER BY {count} DESC, score DESC, doc_id) AS document_rank
+ FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '{_WORDS}') AS a FROM documents) JOIN ({score}) USING (doc_id) ORDER BY context_score DESC, document_rank, score DESC, doc_id LIMIT 100)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    objects = lexical_plans.question_objects(_ASK, ("erin thnt",))
+    return r.planned_candidates(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text", objects)
+
+
+_PLANNED = f"{_planned(0, (('thre', 'tion'),), ('thing',))} UNION ALL SELECT * FROM ({_planned(1, (('erin', 'thnt'),), ('thon',))})"
+
+
+@_add("H9_planned_candidates", f"SELECT * FROM ({_PLANNED})")
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    """The question's two clauses as objects: ``Thre tion`` is a name, ``erin thnt`` a given label."""
+    return _candidates(spark, d)
+
+
+@_add("H30_source_corpus", f"SELECT doc_id, min(k) AS first_place, count(*) AS objects FROM (SELECT object, doc_id, row_number() OVER (PARTITION BY object ORDER BY context_score DESC, document_rank, score DESC, doc_id) AS k FROM ({_PLANNED})) GROUP BY doc_id")
+def source_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Scope first: a forbidden question is refused before any search. Then the planned candidates, each once."""
+    if language.route("explain the literature evidence for " + _ASK, list(FORBIDDEN_TOPICS))[0] == "refused":
+        raise ValueError("the question is out of scope")
+    found = r.ranked(_candidates(spark, d), [F.desc("context_score"), F.col("document_rank"), F.desc("score"), F.col("doc_id")], ["object"])
+    return found.groupBy("doc_id").agg(F.min("rank").alias("first_place"), F.count("*").alias("objects"))
+
+
+_ANCHORED = "('src1', 'src4', 'src7')"
+
+
+def _found(top: int) -> str:
+    """Twin of the composed retrieval: three branches, fusion, tiers."""
+
+    def fused(where: str) -> str:
+        docs = f"SELECT * FROM documents WHERE {where}"
+        near = "SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT e.vec_id, {0} AS score FROM embeddings e, {1} q WHERE {2} AND e.vec_id IN (SELECT doc_id FROM ({3})) ORDER BY score DESC, vec_id LIMIT 100)"
+        dense, summary = (near.format(_DOT, _VEC.format(7), cond, docs if where != "true" else "SELECT vec_id AS doc_id FROM embeddings") for cond in ("true", "label IN (1, 2)"))
+        text = f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM (WITH hits AS ({_hits(_TERMS, f'({docs})')}) {_density(_TERMS)}) ORDER BY score DESC, doc_id LIMIT 100)"
+        wide = f"SELECT doc_id, min(rank) FILTER (b = 0) AS fts, min(rank) FILTER (b = 1) AS dense, min(rank) FILTER (b = 2) AS summary FROM (SELECT 0 AS b, * FROM ({text}) UNION ALL SELECT 1, * FROM ({dense}) UNION ALL SELECT 2, * FROM ({summary})) GROUP BY doc_id"
+        score = "round(" + " + ".join(f"coalesce(1.0::DOUBLE / (60 + {c}), 0)" for c in ("fts", "dense", "summary")) + ", 12)"
+        return f"SELECT *, row_number() OVER (ORDER BY rrf_score DESC, n DESC, least(fts, dense, summary), doc_id) AS r FROM (SELECT *, {score} AS rrf_score, (fts IS NOT NULL)::INT + (dense IS NOT NULL)::INT + (summary IS NOT NULL)::INT AS n FROM ({wide}))"
+
+    return f"""SELECT doc_id, source, CASE WHEN t = 1 THEN 'anchored' ELSE 'corpus_fill' END AS tier, fts, dense, summary, rrf_score, rank FROM (SELECT *, row_number() OVER (ORDER BY t, r, doc_id) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS first FROM (SELECT 1 AS t, * FROM ({fused(f"source IN {_ANCHORED}")}) UNION ALL SELECT 2, * FROM ({fused('true')}))) WHERE first = 1) JOIN documents USING (doc_id) WHERE rank <= {top}"""
+
+
+def _retrieved(spark: SparkSession, d: str, top: int) -> DataFrame:
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    anchored = docs.where(f"source in {_ANCHORED}").select("source")
+    return r.retrieve(docs.select("doc_id", "source", "text"), e.select("doc_id", "v"), e.where("label in (1, 2)").select("doc_id", "v"), "doc_id", "source", {"text": 0.1}, _TERMS, _vector(spark, d, 7), anchored, top)
+
+
+@_add("H1_composed_retrieval", _found(20))
+def retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks, embeddings of the same number as their vectors, labels 1 and 2 as summaries;
+    three sources are anchored, so they come first and the corpus fills up."""
+    return _retrieved(spark, d, 20)
+
+
+@_add("H5_pool_depths", " UNION ALL ".join(f"SELECT {n} AS pool, doc_id, tier, rank FROM ({_found(n)})" for n in (10, 20, 50)))
+def pools(spark: SparkSession, d: str) -> DataFrame:
+    """The pools that a reranker of depth 10, 20 or 50 would get."""
+    deep = _retrieved(spark, d, 50).select("doc_id", "tier", "rank")
+    return deep.withColumn("pool", F.explode(F.filter(F.array(F.lit(10), F.lit(20), F.lit(50)), lambda n: F.col("rank") <= n))).select("pool", "doc_id", "tier", "rank")
+
+
+@_add("H1_retrieval_warnings", f"SELECT array_to_string(list_filter([CASE WHEN coalesce(count_if(tier = 'anchored'), 0) = 0 THEN 'anchor_miss' END, CASE WHEN count(*) = 0 THEN 'no_chunks_retrieved' END], lambda w: w IS NOT NULL), ',') AS warnings FROM ({_found(50)}) WHERE tier = 'corpus_fill'")
+def warned(spark: SparkSession, d: str) -> DataFrame:
+    """The warnings of a result whose anchored rows are gone."""
+    return r.retrieval_warnings(_retrieved(spark, d, 50).where("tier = 'corpus_fill'"), True).select(F.array_join("warnings", ",").alias("warnings"))
+
+
+@_add("H32_index_telemetry", "SELECT batch, count(*) AS rows, count_if(n > 256) AS truncated, CAST(sum(greatest(n - 256, 0)) AS BIGINT) AS truncated_tokens, true AS valid FROM (SELECT doc_id // 100 AS batch, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r\x1c-\x1f]+')) AS n FROM documents WHERE trim(text) <> '') GROUP BY batch")
+def telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """Embeds every text with a provider and counts per batch what its window of 256 tokens leaves out."""
+    from ..functions.keys import is_unit_vector
+
+    docs = table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", "text")
+    indexed = sinks.index_rows(docs, "doc_id", "text", providers.embedder(providers.hashed_embeddings), providers.tokenizer(providers.word_offsets), 256)
+    return indexed.groupBy(F.floor(F.col("key") / 100).alias("batch")).agg(F.count("*").alias("rows"), F.count_if("truncated").alias("truncated"), F.sum("truncated_tokens").alias("truncated_tokens"), F.bool_and(is_unit_vector(F.col("vector"), 384)).alias("valid"))
+
+
+@_add("H35_corpus_fingerprint", "SELECT t AS \"table\", u AS unchanged FROM (VALUES ('benchmark', true), ('documents', false), ('labels', true)) v(t, u)")
+def fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """The digests of three tables against those of a snapshot in which one text has another blank."""
+    now = {n: table(spark, d, n) for n in ("benchmark", "documents", "labels")}
+    least = now["documents"].agg(F.min("doc_id").alias("least"))
+    changed = now["documents"].crossJoin(least).withColumn("text", F.when(F.col("doc_id") == F.col("least"), F.concat("text", F.lit(" "))).otherwise(F.col("text"))).drop("least")  # one row
+    return release.unchanged(now, now | {"documents": changed})
+
+
 _BRANCH = "SELECT o_orderkey % 97 AS k, o_custkey % 5 AS q, CASE o_orderstatus WHEN 'F' THEN 'fts' WHEN 'O' THEN 'dense' ELSE 'summary' END AS branch, 1 + o_orderkey % 89 AS rank FROM orders"
 _FUSED = f"""SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n_branches DESC, min_rank, k) AS rank FROM (SELECT q, k, fts, dense, summary,
  round(coalesce(1.0::DOUBLE / (60 + fts), 0) + coalesce(1.0::DOUBLE / (60 + dense), 0) + coalesce(1.0::DOUBLE / (60 + summary), 0), 12) AS score,
@@ -120,8 +248,8 @@ def first(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("W1_W2_document_balanced", "SELECT * FROM (SELECT conv_id, turn, ctx, len, row_number() OVER (PARTITION BY conv_id ORDER BY ctx DESC, len DESC, turn) AS document_rank FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS ctx, length(text) AS len FROM conversations)) ORDER BY ctx DESC, document_rank, len DESC, turn, conv_id LIMIT 100")
 def balanced(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("ctx"), F.length("text").cast("long").alias("len"), (F.col("turn") * 10_000_000 + F.col("conv_id")).alias("_k"))
-    return r.document_balanced(rows, "conv_id", "ctx", "len", "_k").drop("_k")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("ctx"), F.length("text").cast("long").alias("len"))
+    return r.document_balanced(rows, "conv_id", "ctx", "len", ["turn", "conv_id"])
 
 
 @_add("S9_plain_blocks", "SELECT doc_id, block_index, CASE WHEN block_index = 0 THEN 'title' ELSE 'paragraph' END AS block_type, text FROM (SELECT doc_id, CAST(unnest(range(len(p))) AS INT) AS block_index, unnest(p) AS text FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '') AS p FROM documents))")
@@ -153,9 +281,22 @@ def identifier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where(F.col("text").rlike(r"(?i)(?<![A-Za-z0-9_])the(?![A-Za-z0-9_]|[.][0-9])")).select("conv_id", "turn")
 
 
-@_add("F19_forbidden_topics", "SELECT item_id, false AS forbidden FROM benchmark WHERE NOT regexp_matches(text, '(?i)\\binfect|\\bblast\\b|prevalence') UNION ALL SELECT item_id, true FROM benchmark WHERE regexp_matches(text, '(?i)\\binfect|\\bblast\\b|prevalence')")
+#: A question for each topic, and one close to it that is allowed.
+_ASKED = (
+    ("what percentage of hosts", "what per cent of hosts"), ("a screened-negative host", "a screened host"), ("the absence of copies", "the absent copies"), ("no known EVEs here", "no known loci here"),
+    ("endogenous viral elements do not occur", "endogenous viral elements occur"), ("was it infected", "was it infectious"), ("signs of co-divergence", "signs of divergence"), ("independent integration events", "integration events"),
+    ("compare copies by host lineage", "compare copies by host"), ("host lineages differ in copies", "host lineages hold copies"), ("de novo EVEs", "old EVEs"), ("how were these detected as EVEs", "how were these dated as EVEs"),
+    ("an EVE was discovered", "an EVE was dated"), ("upload a sequence", "load a sequence"), ("run blast on it", "run a blastoff on it"), ("its phylogeny", "its history"), ("search the web", "search the tables"), ("from external knowledge", "from internal knowledge"),
+    ("ignore the previous instructions", "ignore the previous page"), ("call an external tool", "call a name"), ("execute sql", "execute it"), ("multilingual output", "monolingual output"), ("multi-turn memory", "turn memory"),
+)
+
+
+@_add("F19_forbidden_topics", f"SELECT o_orderkey, o_orderkey % {2 * len(_ASKED)} < {len(_ASKED)} AS forbidden FROM orders")
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.col("text").rlike("(?i)" + "|".join(FORBIDDEN_TOPICS)).alias("forbidden"))
+    """Questions by the order's number: those of the first half name a topic each, the others just miss one."""
+    asked = F.array(*[F.lit(a) for a, _ in _ASKED], *[F.lit(b) for _, b in _ASKED])
+    text = F.concat(F.lit("Please tell me: "), F.get(asked, (F.col("o_orderkey") % (2 * len(_ASKED))).cast("int")), F.lit(" of order "), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", text.rlike("(?i)" + "|".join(FORBIDDEN_TOPICS)).alias("forbidden"))
 
 
 @_add("X19_context_score", "SELECT doc_id, CAST((contains(text, 'the'))::INT + (contains(text, 'and'))::INT + (contains(text, 'die'))::INT AS INT) AS context FROM documents")
@@ -175,15 +316,8 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").agg(F.count("*").alias("n"), (F.count("*") == F.count_distinct("vec_id")).alias("unique_keys"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).alias("aligned"))
 
 
-@_add("X38_quote_containment", "SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS contained FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
+@_add("X38_quote_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quotes(spark: SparkSession, d: str) -> DataFrame:
-    """One pair in about 40, with a verdict each; ``X38_quote_containment_all`` tests every pair."""
-    b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", F.contains("text", "quote").alias("contained"))
-
-
-@_add("X38_quote_containment_all", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def all_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Every quote against every whole text; the pairs of a document that holds the quote. The quotes are
     dealt to all texts, in blocks of both tables once they outgrow Spark's broadcast threshold."""
     b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text")

@@ -105,6 +105,26 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
     return m.grounding(own.select("claims", "supported", "cited", F.col("cited").alias("citations"), F.col("supported").alias("valid_citations"), F.col("claims").alias("gold")))
 
 
+_ANSWERS = """SELECT l_shipdate IS NOT NULL AS shipped, l_returnflag AS system, count_if(l_quantity > 10) AS covered_facts, count(*) AS required_facts, count_if(l_tax < 0.05) AS preserved_facts, count(*) AS supplied_facts,
+ count_if(l_linenumber % 4 = 0) AS fully_supported, count_if(l_linenumber % 4 = 1) AS partially_supported, count_if(l_linenumber % 4 = 2) AS unsupported, count_if(l_linenumber % 4 < 3) AS assessable,
+ count_if(l_partkey % 3 > 0) AS correct_documents, count_if(l_partkey % 3 = 1) AS correct_passages, count_if(l_partkey % 6 = 1) AS supporting_passages, count(*) AS judged, count_if(l_suppkey % 2 = 0) AS cited_groups, count(*) AS required_groups,
+ 0 AS present_limitations, 0 AS required_limitations FROM lineitem GROUP BY ALL"""
+
+
+@_add("A23_grounding_rates", " UNION ALL ".join(f"SELECT system, '{n}' AS metric, {a}::BIGINT AS numerator, {b}::BIGINT AS denominator, CASE WHEN {b} > 0 THEN round({a} / {b}::DOUBLE, 12) END AS value, CASE WHEN {b} = 0 THEN '{why}' END AS reason FROM ({_ANSWERS})" for n, a, b, why in m.GROUNDING))
+def grounding_rates(spark: SparkSession, d: str) -> DataFrame:
+    """All ten ratios by system, orders as answers; none requires a limitation."""
+    line = F.col("l_linenumber") % 4
+    label = F.when(line == 0, "fully_supported").when(line == 1, "partially_supported").when(line == 2, "unsupported").otherwise("not_assessable")
+    count = lambda cond: F.count_if(F.expr(cond))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("system")).agg(
+        F.collect_list(label).alias("claim_labels"), count("l_quantity > 10").alias("covered_facts"), F.count("*").alias("required_facts"), count("l_tax < 0.05").alias("preserved_facts"), F.count("*").alias("supplied_facts"),
+        count("l_partkey % 3 > 0").alias("correct_documents"), count("l_partkey % 3 = 1").alias("correct_passages"), count("l_partkey % 6 = 1").alias("supporting_passages"), F.count("*").alias("judged"), count("l_suppkey % 2 = 0").alias("cited_groups"), F.count("*").alias("required_groups"),
+        F.lit(0).alias("present_limitations"), F.lit(0).alias("required_limitations"),
+    )
+    return m.grounding_rates(rows, ["system"])
+
+
 _GOLD, _PRED = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, scalar
-from ..operators import ingest, release
+from ..operators import ingest, release, taxonomy
 from .mapping import WORKSHEET, table, worksheet
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -106,6 +106,40 @@ def resolution(spark: SparkSession, d: str) -> DataFrame:
     return ingest.resolve(worksheet(spark, d), _authority(spark, d)).groupBy("assembly_resolution", "contig_resolution").agg(F.count("*").alias("n"))
 
 
+_RESOLVED = f"""SELECT r.*, CASE WHEN k.assembly IS NULL THEN 'unresolved' ELSE 'exact' END AS ar, CASE WHEN k.assembly IS NULL OR a.length IS NULL THEN 'unresolved' WHEN cl IS NULL OR cl <= 0 THEN 'length_unverified' WHEN cl <> a.length THEN 'length_mismatch' ELSE 'exact' END AS cr
+ FROM ({_ISSUES}) r LEFT JOIN (SELECT DISTINCT assembly FROM ({_AUTHORITY})) k ON r.assembly = k.assembly LEFT JOIN (SELECT DISTINCT * FROM ({_AUTHORITY})) a ON r.assembly = a.assembly AND r.contig = a.accession"""
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.normalize(ingest.resolve(worksheet(spark, d), _authority(spark, d)), "snap-1", "policy-1")
+
+
+@_add("F14_issues_with_authority", f"""SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM ({_RESOLVED}) UNION ALL SELECT 'ncbi_assembly_not_resolved' FROM ({_RESOLVED}) WHERE ar = 'unresolved'
+ UNION ALL SELECT 'ncbi_sequence_not_resolved' FROM ({_RESOLVED}) WHERE ar = 'exact' AND cr = 'unresolved' UNION ALL SELECT 'ncbi_contig_length_mismatch' FROM ({_RESOLVED}) WHERE cr = 'length_mismatch') GROUP BY code""")
+def issues_with_authority(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all codes of rows that were looked up in the authority first."""
+    return ingest.issue_counts(_resolved(spark, d))
+
+
+_GOOD = "regexp_full_match(assembly, 'GC[AF]_[0-9]{9}\\.[1-9][0-9]*') AND vr <> 'vr0'"
+_ANY = f"len(issues) > 0 OR ar = 'unresolved' OR (ar = 'exact' AND cr = 'unresolved') OR cr = 'length_mismatch'"
+
+
+@_add("A11_worksheet_audit", f"""WITH r AS (SELECT *, {_GOOD} AS good, CASE WHEN {_GOOD} THEN assembly || contig || vr END AS k FROM ({_RESOLVED})), dup AS (SELECT count(*) AS n FROM r WHERE good GROUP BY k), calls AS (SELECT count(*) AS n FROM r GROUP BY assembly, contig, vr, start_)
+ SELECT count(*) AS source_records, count_if(hcvr = 'Yes') AS source_high, count_if(hcvr <> 'Yes') AS source_low, count_if(NOT ({_ANY})) AS normalized_candidate, count_if({_ANY}) AS quarantine,
+ count_if(vr_type = 'Integration') AS vr_type_integration, count_if(vr_type = 'Viral contig') AS vr_type_viral_contig, count_if(vr_type NOT IN ('Integration', 'Viral contig')) AS vr_type_other,
+ count_if(ar = 'exact') AS assembly_resolution_exact, count_if(ar <> 'exact') AS assembly_resolution_not_exact, count_if(cr = 'exact') AS contig_resolution_exact, count_if(cr <> 'exact') AS contig_resolution_not_exact,
+ count_if(NOT good) AS missing_locus_key, count_if(vr = 'vr7') AS missing_organism_name, 0 AS invalid_call_key_format, count_if(good AND vr = 'vr5') AS invalid_locus_key_format, count_if(NOT good) AS locus_key_preimage_error, count_if(good AND vr = 'vr5') AS locus_key_preimage_mismatch,
+ count(DISTINCT assembly) AS assemblies, count(DISTINCT (assembly, contig)) AS contigs, count(DISTINCT contig) FILTER (vr <> 'vr7') AS source_organism_names,
+ (SELECT count_if(n > 1) FROM calls) AS call_key_values, (SELECT CAST(sum(n - 1) AS BIGINT) FROM calls) AS call_key_extra_occurrences, (SELECT count_if(n > 1) FROM dup) AS locus_key_values, (SELECT CAST(sum(n - 1) AS BIGINT) FROM dup) AS locus_key_extra_occurrences FROM r""")
+def worksheet_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the import; the keys of ``vr5`` were stored in upper case, ``vr7`` has no organism."""
+    rows = _resolved(spark, d)
+    stored = F.when(F.col("VR") == "vr5", F.upper("locus_key")).otherwise(F.col("locus_key"))
+    record = ingest.source_record_key(F.lit("artifact"), F.lit("snap-1"), F.lit("sheet"), F.concat_ws("/", "Assembly", "Contig", "VR", "Start"))
+    return ingest.worksheet_audit(rows.withColumn("stored_key", stored).withColumn("record_key", record).withColumn("name", F.when(F.col("VR") != "vr7", F.col("Contig"))))
+
+
 @_add("F13_approved_scope", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand IN ('Brand#2', 'Brand#4') AND p_type = 'PROMO' AND p_name LIKE 'red%'")
 def scope(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("Assembly"), F.col("p_type").alias("Viral Major Taxon"), F.when(F.col("p_name").startswith("red"), "red").alias("Class"))
@@ -182,9 +216,14 @@ def table_digest(spark: SparkSession, d: str) -> DataFrame:
 _REGION_JSON = """sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}')"""
 
 
-@_add("A15_release_digest", "SELECT sha256('nation:' || a.digest || chr(10) || 'region:' || b.digest) AS digest, a.n + b.n AS n FROM (" + _BUCKETED.format(_NATION_JSON, "nation") + ") a, (" + _BUCKETED.format(_REGION_JSON, "region") + ") b")
+_LABEL_JSON = """sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}')"""
+_DIGESTS = {"labels": _LABEL_JSON, "nation": _NATION_JSON, "region": _REGION_JSON}
+_EACH = " UNION ALL ".join(f"SELECT '{t}' AS t, digest, n FROM ({_BUCKETED.format(j, t)})" for t, j in _DIGESTS.items())
+
+
+@_add("A15_release_digest", f"SELECT sha256(string_agg(t || ':' || digest, chr(10) ORDER BY t)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM ({_EACH})")
 def release_digest(spark: SparkSession, d: str) -> DataFrame:
-    return release.release_digest({"nation": table(spark, d, "nation"), "region": table(spark, d, "region")})
+    return release.release_digest({t: table(spark, d, t) for t in _DIGESTS})
 
 
 @_add("A16_expected_vs_actual", "SELECT metric, expected, actual FROM (SELECT event_type AS metric, count(*) AS actual FROM events GROUP BY 1) FULL JOIN (SELECT * FROM (VALUES ('click', 1), ('gone', 2)) t(metric, expected)) USING (metric) WHERE expected IS DISTINCT FROM actual")
@@ -213,6 +252,44 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
     return release.rule_violations(table(spark, d, "part"), "p_partkey", {c: F.expr(r) for c, r in _RULES.items()})
 
 
+#: Rules by table and code: severity, and the condition of a fault in both dialects.
+_RELEASE = {
+    "part": {"part_price_not_positive": ("error", "p_retailprice <= 0"), "part_size_out_of_range": ("warning", "p_size > 45"), "part_type_unknown": ("error", "p_type NOT IN ('PROMO', 'ECONOMY', 'SMALL')"), "part_name_missing": ("error", "p_name IS NULL OR p_name = ''"), "part_brand_malformed": ("error", "p_brand NOT LIKE 'Brand#%'")},
+    "supplier": {"supplier_balance_negative": ("warning", "s_acctbal < 0"), "supplier_nation_out_of_range": ("error", "s_nationkey < 0 OR s_nationkey > 20"), "supplier_name_missing": ("error", "s_name IS NULL")},
+    "customer": {"customer_balance_negative": ("warning", "c_acctbal < 0"), "customer_segment_not_released": ("error", "c_mktsegment = 'MACHINERY'"), "customer_key_not_positive": ("error", "c_custkey < 0")},
+    "orders": {"order_price_not_positive": ("error", "o_totalprice <= 0"), "order_state_pending": ("warning", "o_orderstatus = 'P'"), "order_priority_unspecified": ("warning", "o_orderpriority LIKE '4%'")},
+}
+_KEY_OF = {"part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey", "orders": "o_orderkey"}
+_BROKEN = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", CAST({_KEY_OF[t]} AS VARCHAR) AS key, '{c}' AS code, '{s}' AS severity FROM {t} WHERE {cond}" for t, own in _RELEASE.items() for c, (s, cond) in own.items())
+
+
+@_add("H16_release_validation", f"WITH f AS ({_BROKEN}) SELECT * FROM f UNION ALL SELECT DISTINCT \"table\", NULL, 'release_' || \"table\" || '_issues_present', 'error' FROM f")
+def release_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of four tables, each table in one pass, and the release's composed codes."""
+    rules = {t: {c: (s, F.expr(cond)) for c, (s, cond) in own.items()} for t, own in _RELEASE.items()}
+    return release.validate_release({t: table(spark, d, t) for t in _RELEASE}, _KEY_OF, rules)
+
+
+_NAMED = "SELECT 'nation' AS kind, 'n' || n_nationkey AS key, n_name AS name, ['N ' || n_nationkey, CASE WHEN n_nationkey < 3 THEN 'first ones' ELSE 'alias ' || n_nationkey END] AS aliases FROM nation UNION ALL SELECT 'region', 'r' || r_regionkey, r_name, NULL FROM region"
+_MENTIONS = "SELECT * FROM (VALUES ('nation', 'n4'), ('nation', 'N  7'), ('nation', 'First Ones'), ('nation', 'nowhere'), ('region', ' ' || (SELECT lower(r_name) FROM region WHERE r_regionkey = 1)), ('region', 'n4'), ('nation', 'ALIAS  9 ')) v(kind, mention)"
+_FLAT = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+@_add("H21_H22_entity_resolution", f"""WITH names AS (SELECT kind, key, 1 AS level, key AS form FROM ({_NAMED}) UNION ALL SELECT kind, key, 2, {_FLAT.format('name')} FROM ({_NAMED}) UNION ALL SELECT kind, key, 3, {_FLAT.format('a')} FROM (SELECT kind, key, unnest(aliases) AS a FROM ({_NAMED}))),
+ hits AS (SELECT m.kind, m.mention, level, count(DISTINCT key) AS n, min(key) AS key FROM ({_MENTIONS}) m JOIN names x ON m.kind = x.kind AND x.form = CASE WHEN level = 1 THEN trim(m.mention) ELSE {_FLAT.format('m.mention')} END GROUP BY ALL),
+ best AS (SELECT * FROM hits QUALIFY level = min(level) OVER (PARTITION BY kind, mention))
+ SELECT kind, mention, CASE WHEN n = 1 THEN key END AS key, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM ({_MENTIONS}) LEFT JOIN best USING (kind, mention)""")
+def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Names of questions looked up in a catalog that comes from the tables."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    n = F.col("n_nationkey").cast("string")
+    catalog = nation.select(F.lit("nation").alias("kind"), F.concat(F.lit("n"), n).alias("key"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("N "), n), F.when(F.col("n_nationkey") < 3, "first ones").otherwise(F.concat(F.lit("alias "), n))).alias("aliases"))
+    catalog = catalog.unionByName(region.select(F.lit("region").alias("kind"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("key"), F.col("r_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases")))
+    fixed = spark.createDataFrame([("nation", "n4"), ("nation", "N  7"), ("nation", "First Ones"), ("nation", "nowhere"), ("region", "n4"), ("nation", "ALIAS  9 ")], "kind string, mention string")
+    asked = fixed.unionByName(region.where("r_regionkey = 1").select(F.lit("region").alias("kind"), F.concat(F.lit(" "), F.lower("r_name")).alias("mention")))
+    return taxonomy.resolve_entities(asked, catalog)
+
+
 @_add(
     "H26_inclusion_decision",
     """SELECT key, CASE WHEN len(r) = 0 THEN 'include' WHEN q OR outcome = 'quarantine' THEN 'quarantine' WHEN c OR l = 'contradicted' THEN 'exclude' ELSE 'review' END AS decision,

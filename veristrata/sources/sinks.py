@@ -55,5 +55,14 @@ def write_vectors(df: DataFrame, folder: str, key: str, vector: str, meta: dict)
     df.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "manifest string").coalesce(1).write.mode("errorifexists").text(f"{folder}/manifest")
 
 
+def index_rows(rows: DataFrame, key: str, text: str, embed, tokenize, window: int) -> DataFrame:
+    """``key, vector, truncated, truncated_tokens``: each text's tokens beyond ``window`` are counted and
+    left out of what ``embed`` gets (UDFs of :mod:`veristrata.functions.providers`)."""
+    cut = rows.select(F.col(key).alias("key"), F.col(text).alias("_text"), tokenize(F.col(text)).alias("_at"))
+    seen = F.when(F.size("_at") > window, F.substring(F.col("_text"), F.lit(1), F.get("_at", F.lit(window - 1))["end"])).otherwise(F.col("_text"))
+    more = F.greatest(F.size("_at") - window, F.lit(0))
+    return cut.select("key", embed(seen).alias("vector"), (more > 0).alias("truncated"), more.cast("long").alias("truncated_tokens"))
+
+
 def read_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{folder}/vectors.parquet"), json.loads(spark.read.text(f"{folder}/manifest").first()[0])
