@@ -47,7 +47,7 @@ from .common import durable, map_arrow, passing, scratch_path, slices, table
 LENGTH = 100
 GRAM = 24
 STEP = 11  # offsets of an anchor in a window, 0 to 76, fall into seven classes
-HOT = 1000
+HOT = 50_000  # members of a group; their contexts are some ten megabytes
 HOT_GRAMS = 2_000_000
 PART_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
@@ -353,7 +353,7 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
     within the task combine: all but the earliest become spans at once (bucket below zero). ``hot``:
     sorted hashes of the hot grams."""
 
-    def flush(held: list, salt: int) -> pa.RecordBatch:
+    def flush(held: list, salt: int) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], tuple] = {}
         spans, sent = [], []
         for h, x in sorted(held, key=lambda r: r[1]):
@@ -368,14 +368,22 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
             hashes = np.array([h for h, _ in sent], np.uint64)
             known = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
             sent, parted = [r for r, k in zip(sent, known.tolist()) if not k], [r for r, k in zip(sent, known.tolist()) if k]
-            classes: dict[tuple[int, int, bytes], tuple] = {}
-            for h, x in parted:  # in order: the earliest of equal parts is sent, the others are spans
-                for key, y in _split(h, x):
-                    if (key, y[3], y[4]) in classes:
-                        spans.append((y[0], y[1], y[2], y[2] + len(y[4])))
-                    else:
-                        classes[key, y[3], y[4]] = y
-            sent += [(key, y) for (key, _, _), y in classes.items()]
+            for s in range(0, len(parted), 20_000):  # classes are several times their contexts
+                yield from parts(parted[s : s + 20_000], salt + s)
+        yield packed(sent, spans, salt)
+
+    def parts(parted: list, salt: int) -> Iterator[pa.RecordBatch]:
+        classes: dict[tuple[int, int, bytes], tuple] = {}
+        spans = []
+        for h, x in parted:  # in order: the earliest of equal parts is sent, the others are spans
+            for key, y in _split(h, x):
+                if (key, y[3], y[4]) in classes:
+                    spans.append((y[0], y[1], y[2], y[2] + len(y[4])))
+                else:
+                    classes[key, y[3], y[4]] = y
+        yield packed([(key, y) for (key, _, _), y in classes.items()], spans, salt)
+
+    def packed(sent: list, spans: list, salt: int) -> pa.RecordBatch:
         found = []
         if sent:
             hashes = np.array([h for h, _ in sent], np.uint64)
@@ -401,10 +409,10 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
             for d, a, b, p, x in zip(doc.tolist(), first.tolist(), last.tolist(), place.tolist(), h.tolist()):
                 held.append((x, (ords[d], tids[d], a - int(starts[d]), p - a, raw[a : b + LENGTH])))
             if len(held) >= 200_000:
-                yield flush(held, salt)
+                yield from flush(held, salt)
                 held, salt = [], salt + 7919
         if held:
-            yield flush(held, salt)
+            yield from flush(held, salt)
 
     return run
 
@@ -512,8 +520,9 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     with passing(spark, "suffix-rows", "suffix-least", "suffix-cut"):
         local = map_arrow(keyed.where(long).select("ord", "tkey", "digest", "text"), _local_firsts, "ord long, tkey long, digest binary, text string")
         firsts = least.where(long).select("tkey", F.col("digest").alias("known"), "tid", F.col("least").alias("own"))
-        # own is the least ord of the text, so <= keeps exactly that one; both sides by the key that is the bucket's
-        same = local.repartition(parts, "tkey").join(firsts.repartition(parts, "tkey").hint("shuffle_hash"), "tkey").where("digest = known and ord <= own")
+        # own is the least ord of the text, so <= keeps exactly that one; both sides by the key that is the
+        # bucket's: equal digests as two bounds, for an equality would join and shuffle by both
+        same = local.repartition(parts, "tkey").join(firsts.repartition(parts, "tkey").hint("shuffle_hash"), "tkey").where("digest >= known and digest <= known and ord <= own")
         texts, name = _bucketed(same.select("ord", "tid", "text"), parts)
         found = map_arrow(texts, _find_anchors(buckets), "bucket long, blob binary")
         places = durable(map_arrow(found.repartition(parts, "bucket").sortWithinPartitions("bucket"), _repeated_anchors(hot), "ord long, tid long, place int, gram long"), "suffix-places")
