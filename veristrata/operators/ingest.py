@@ -198,8 +198,10 @@ def compare(expected: DataFrame, actual: DataFrame, name: str = "metric") -> Dat
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Idempotent replay: rows whose key is not stored yet."""
-    return batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    """Idempotent replay: rows whose key is not stored yet, the least row of each key."""
+    rest = [c for c in batch.columns if c != key]
+    once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, *[F.col(f"_r.`{c}`").alias(c) for c in rest]) if rest else batch.distinct()
+    return once.join(stored.select(key), key, "left_anti").select(*batch.columns)
 
 
 def flank_window(start: Column, end: Column, length: Column, size: int) -> tuple[Column, Column]:

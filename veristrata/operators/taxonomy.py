@@ -58,6 +58,31 @@ def resolve_entities(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
     return mentions.select("kind", "mention").distinct().join(best, ["kind", "mention"], "left").select("kind", "mention", F.when(F.col("_b.n") == 1, F.col("_b.key")).alias("key"), status.alias("status"))
 
 
+def taxon_terms(nodes: DataFrame, names: DataFrame, merged: DataFrame, deleted: DataFrame, required: DataFrame, max_depth: int = 100) -> DataFrame:
+    """``tax_id, rank, parent_id, name, aliases`` of the required taxa (``id``, through merged ones) and all
+    above them. ``name`` is the scientific name; a required id that is deleted or unknown, or a term without
+    a name, fails the read. Tables as :func:`veristrata.sources.scans.dump_table` gives them."""
+    state = resolve_merged(required, merged, deleted.select(F.col("tax_id").alias("id")))
+    bad = state.where("status = 'deleted'").limit(1).collect()
+    if bad:
+        raise ValueError(f"required id {bad[0]['id']} is deleted")
+    known = nodes.select("tax_id", "parent_id", "rank")
+    frontier = state.select(F.col("resolved_id").alias("tax_id")).distinct()
+    chosen, depth = frontier, 0
+    while True:
+        up = frontier.join(known, "tax_id").select(F.col("parent_id").alias("tax_id")).distinct().join(chosen, "tax_id", "left_anti").persist()
+        if up.isEmpty():
+            break
+        depth += 1
+        if depth > max_depth:
+            raise ValueError("the hierarchy has a cycle or is deeper than allowed")
+        chosen, frontier = chosen.unionByName(up), up
+    own = names.groupBy("tax_id").agg(F.min(F.when(F.col("name_class") == "scientific name", F.col("name"))).alias("name"), F.sort_array(F.collect_set(F.when(F.col("name_class") != "scientific name", F.col("name")))).alias("aliases"))
+    whole = chosen.join(known, "tax_id", "left").join(own, "tax_id", "left")
+    name = F.when(F.col("rank").isNotNull() & F.col("name").isNotNull(), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("unknown or unnamed id "), "tax_id")).cast("string"))
+    return whole.select("tax_id", "rank", F.when(F.col("parent_id") != F.col("tax_id"), F.col("parent_id")).alias("parent_id"), name.alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
 def map_names(old: DataFrame, new: DataFrame) -> DataFrame:
     """Exact (name, rank) mapping; names that match no or several rows have a null target."""
     counted = new.groupBy("name", "rank").agg(F.count("*").alias("matches"), F.min("term_id").alias("term_id"))

@@ -32,6 +32,34 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def scan_verified_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, sha256: str, size: int) -> DataFrame:
+    """As :func:`scan_jsonl` for one file of a known digest and length. Rows come from the very bytes that are
+    checked, in one read, so no change between check and read can slip in; files below 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    good = (F.sha2("content", 256) == sha256) & (F.col("length") == size)
+    text = F.when(good, F.decode("content", "UTF-8")).otherwise(F.raise_error(F.lit("the file is not the expected one")).cast("string"))
+    lines = files.select(F.explode(F.split(text, "\r?\n")).alias("line")).where(F.trim("line") != "")
+    return lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+
+
+def load_packet(spark: SparkSession, folder: str, manifest: dict) -> dict[str, DataFrame]:
+    """The JSON-lines files of a packet by name. ``manifest``: name to ``file, sha256, size, schema``. A packet
+    holds exactly its files: others in the folder, or missing ones, are refused before any is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = {s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+    expected = {m["file"] for m in manifest.values()}
+    if {f for f in found if not f.startswith((".", "_"))} - {"manifest.json"} != expected:
+        raise ValueError(f"the folder holds {sorted(found)}, the manifest {sorted(expected)}")
+    return {name: scan_verified_jsonl(spark, f"{folder}/{m['file']}", m["schema"], m["sha256"], m["size"]) for name, m in manifest.items()}
+
+
+def load_sealed(spark: SparkSession, path: str, schema: T.StructType | str, own: str = "record_sha256") -> DataFrame:
+    """JSON lines whose records carry their own digest; a record that is not what it says fails the read."""
+    rows = scan_jsonl(spark, path, schema)
+    rest = F.to_json(F.struct(*[c for c in sorted(rows.columns) if c != own]), {"ignoreNullFields": "false"})
+    return rows.withColumn(own, F.when(F.col(own).eqNullSafe(F.sha2(rest, 256)), F.col(own)).otherwise(F.raise_error(F.concat(F.lit("record digest differs: "), F.coalesce(own, F.lit("none")))).cast("string")))
+
+
 def scan_raw(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as text, never cut."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -246,6 +274,45 @@ def scan_taxdump(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.text(path).select(*[F.trim(fields.getItem(i)).alias(name) for i, name in enumerate(DUMP_FIELDS[kind])])
 
 
+def scan_taxdump_archive(spark: SparkSession, path: str) -> DataFrame:
+    """``member, line_number, line`` of the dump's files in a (compressed) tar archive, lines streamed. A
+    missing or repeated file fails the read."""
+    workers_import(spark)
+    wanted = {f"{m}.dmp" for m in DUMP_FIELDS}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tarfile
+
+        for frame in frames:
+            for content in frame["content"]:
+                with tarfile.open(fileobj=io.BytesIO(bytes(content))) as archive:
+                    members = [m for m in archive.getmembers() if m.name.rpartition("/")[2] in wanted]
+                    if sorted(m.name.rpartition("/")[2] for m in members) != sorted(wanted):
+                        raise ValueError(f"the archive holds {[m.name for m in members]}")
+                    for m in members:
+                        held = []
+                        for n, raw in enumerate(archive.extractfile(m), 1):
+                            held.append((m.name.rpartition("/")[2][:-4], n, raw.decode().rstrip("\n")))
+                            if len(held) == 20_000:
+                                yield pd.DataFrame(held, columns=["member", "line_number", "line"])
+                                held = []
+                        yield pd.DataFrame(held, columns=["member", "line_number", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, line_number long, line string")
+
+
+def dump_table(lines: DataFrame, kind: str) -> DataFrame:
+    """One file of :func:`scan_taxdump_archive` as columns, with its line numbers."""
+    fields = F.split(F.regexp_replace("line", r"\t\|$", ""), r"\t\|\t")
+    return lines.where(F.col("member") == kind).select("line_number", *[F.trim(fields.getItem(i)).alias(name) for i, name in enumerate(DUMP_FIELDS[kind])])
+
+
+def species_coverage(sheet: DataFrame, list_: DataFrame, species: str = "Species") -> DataFrame:
+    """Species of one of two sheets only: ``species, side``. Empty means that the sheets cover each other."""
+    own, other = (df.where(F.coalesce(species, F.lit("")) != "").select(F.trim(species).alias("species")).distinct() for df in (sheet, list_))
+    return own.join(other, "species", "left_anti").withColumn("side", F.lit("sheet")).unionByName(other.join(own, "species", "left_anti").withColumn("side", F.lit("list")))
+
+
 def rank_edges(rows: DataFrame, ranks: list[str]) -> DataFrame:
     """Hierarchy of a sheet with one column a rank: ``rank, name, parent_name`` of the filled cells."""
     filled = F.filter(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(r).alias("name")) for r in ranks]), lambda x: F.coalesce(x["name"], F.lit("")) != "")

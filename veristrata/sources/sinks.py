@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,40 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("errorifexists").parquet(f"{folder}/{name}.parquet")
 
 
+def _fs(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _committed(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = _fs(spark, f"{folder}/_committed")
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def read_staged(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all committed runs; none yet: ``None``."""
+    runs = _committed(spark, folder)
+    if not runs:
+        return None
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/run_key={run}" for run in runs])
+
+
 def stage(batch: DataFrame, folder: str, key: str, run_key: str) -> int:
-    """Appends the rows whose key is not stored yet as one run; a repeated run adds nothing."""
+    """Adds the rows whose key is not stored yet as one run, and returns their number. The run's files are
+    written under its name, over what a failed attempt left there, and count once its marker exists; a run
+    that has one adds nothing. One writer at a time."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run_key):
+        raise ValueError("a run key is letters, digits, dots, dashes and underscores")
     spark = batch.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    fresh = new_rows(batch, spark.read.parquet(folder), key) if exists else batch.dropDuplicates([key])
-    before = spark.read.parquet(folder).count() if exists else 0
-    fresh.withColumn("run_key", F.lit(run_key)).write.mode("append").partitionBy("run_key").parquet(folder)
-    return spark.read.parquet(folder).count() - before
+    if run_key in _committed(spark, folder):
+        return 0
+    stored = read_staged(spark, folder)
+    fresh = new_rows(batch, stored if stored is not None else batch.limit(0), key)
+    own = f"{folder}/run_key={run_key}"
+    fresh.write.mode("overwrite").parquet(own)
+    fs, marker = _fs(spark, f"{folder}/_committed/{run_key}")
+    fs.create(marker, True).close()
+    return spark.read.schema(fresh.schema).parquet(own).count()
 
 
 def report_csv(df: DataFrame, folder: str, order: list[str]) -> None:
