@@ -1,4 +1,7 @@
-"""Five stages from raw documents to tokens; each is written as Parquet and read again by the next."""
+"""Five stages from raw documents to tokens; each is written as Parquet and read again by the next.
+
+Every stage takes all rows of the one before. Null texts are empty texts, null and repeated ids are rows
+like any other, columns of any name pass through, and an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -12,25 +15,28 @@ from veristrata.llm.common import scratch_path, staged, table
 
 @staged
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier does not reject."""
+    """Documents that the positive-unlabelled classifier does not reject. Without trusted positives it
+    rejects none; texts without a word are scored like any other."""
     return pu_quality.keep_good(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 @staged
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the least id (none comes last), of one id's texts the
+    least digest. Texts without a word are one group."""
     return simhash.keep_first(docs)
 
 
 @staged
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that start earlier elsewhere."""
+    """Documents without the passages that start earlier elsewhere. What has no word left goes, and so
+    do texts that had none."""
     return suffix_dedup.keep_unrepeated(docs)
 
 
 @staged
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; what it does not take goes. A null source is a source."""
     return mixing.repeat_by_mix(docs)
 
 
@@ -50,8 +56,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", byte_bpe),
 ]
 
-#: Two stages (a trained classifier, XXH64 fingerprints) are beyond SQL; the tests hold the rows
-#: against a brute-force version instead.
+#: Two stages (a trained classifier, XXH64 fingerprints) are beyond SQL; ``tests/llm/test_pipeline_rows.py``
+#: holds the rows against a brute-force version of all stages instead.
 ORACLE_SQL: str | None = None
 
 
