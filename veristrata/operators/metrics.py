@@ -171,6 +171,24 @@ def observed_in_all(rows: DataFrame, key: str, system: str, systems: tuple[str,
     return rows.join(own, key, "left_semi")
 
 
-def stable_runs(rows: DataFrame, by: list[str], keys: str) -> DataFrame:
-    """Whether every iteration returned the same keys."""
+def legacy_metrics(rows: DataFrame) -> DataFrame:
+    """Recall at 1, 3, 5 and 10, reciprocal rank and nDCG at 10 of questions with chunk-level relevance
+    (``returned``, ``relevant``: arrays without repeats). A question without relevant chunks has nulls."""
+    hit = F.transform("returned", lambda k: F.array_contains("relevant", k))
+    own = rows.withColumn("_h", hit).withColumn("_n", F.size("relevant"))
+    out = own
+    for k in (1, 3, 5, 10):
+        found = F.size(F.filter(F.slice("_h", 1, k), lambda h: h))
+        out = out.withColumn(f"recall_at_{k}", F.when(F.col("_n") > 0, F.bround(found / F.col("_n"), 12)))
+    place = F.array_position(F.slice("_h", 1, 10), True)
+    gains = F.aggregate(F.transform(F.slice("_h", 1, 10), lambda h, i: F.when(h, 1 / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("_n", F.lit(10)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    out = out.withColumn("mrr_at_10", F.when(F.col("_n") > 0, F.when(place > 0, F.bround(1 / place, 12)).otherwise(0.0)))
+    return out.withColumn("ndcg_at_10", F.when(F.col("_n") > 0, F.bround(gains / best, 9))).drop("_h", "_n")
+
+
+def stable_runs(rows: DataFrame, by: list[str], keys: str, iteration: str | None = None, warmup: int = 0) -> DataFrame:
+    """Whether every iteration returned the same keys; the first ``warmup`` of them (from 0) do not count."""
+    if iteration:
+        rows = rows.where(F.col(iteration) >= warmup)
     return rows.groupBy(*by).agg((F.count_distinct(F.to_json(keys)) == 1).alias("stable"))

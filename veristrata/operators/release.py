@@ -147,6 +147,24 @@ def outside_sequence(placements: DataFrame, sequences: DataFrame, key: str) -> D
     return placements.join(sequences, key).where(~((F.col("start0") >= 0) & (F.col("start0") < F.col("end0")) & (F.col("end0") <= F.col("length"))))
 
 
+def corpus_faults(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``fault, n`` for each check of a complete corpus: documents without a reviewed licence (``licensed``)
+    or without a chunk, chunks of no document or with no embedding or with several, embeddings of no chunk,
+    anchors of no document. Five keyed joins, no key leaves its task."""
+    n = lambda df, fault: df.agg(F.count("*").alias("n")).select(F.lit(fault).alias("fault"), "n")
+    own = embeddings.groupBy("chunk_id").agg(F.count("*").alias("_n"))
+    parts = [
+        n(documents.where(~F.coalesce("licensed", F.lit(False))), "document_not_licensed"),
+        n(documents.join(chunks.select("document_id"), "document_id", "left_anti"), "document_without_chunk"),
+        n(chunks.join(documents.select("document_id"), "document_id", "left_anti"), "chunk_without_document"),
+        n(chunks.join(own, "chunk_id", "left_anti"), "chunk_without_embedding"),
+        n(chunks.join(own.where("_n > 1"), "chunk_id", "left_semi"), "chunk_with_several_embeddings"),
+        n(embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_anti"), "embedding_without_chunk"),
+        n(anchors.join(documents.select("document_id"), "document_id", "left_anti"), "anchor_without_document"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def completeness(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Members, documents without a chunk, chunks without an embedding: one row."""
     empty = documents.join(chunks.select("document_id"), "document_id", "left_anti").agg(F.count("*").alias("documents_without_chunks"))

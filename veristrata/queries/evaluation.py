@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -177,6 +177,27 @@ def stable(spark: SparkSession, d: str) -> DataFrame:
     return m.stable_runs(table(spark, d, "orders").select("o_custkey", F.array("o_orderstatus").alias("keys")), ["o_custkey"], "keys")
 
 
+@_add("H31_measured_runs", "SELECT o_custkey, count(DISTINCT o_orderstatus) = 1 AS stable FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 2 GROUP BY o_custkey")
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """As above, with a customer's first two orders as warm-up."""
+    run = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return m.stable_runs(table(spark, d, "orders").select("o_custkey", F.array("o_orderstatus").alias("keys"), run.alias("i")), ["o_custkey"], "keys", "i", 2)
+
+
+_LISTS = "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice, o_orderkey) AS r, list(o_orderkey) FILTER (o_orderstatus = 'P') AS g FROM orders GROUP BY o_custkey"
+_AT = "list_position(r, x)"
+
+
+@_add("X28_legacy_metrics", f"""SELECT o_custkey, recall_at_5, mrr_at_10, round(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 10) + 1)]), 9) AS ndcg_at_10 FROM (SELECT o_custkey, any_value(len(g)) AS n, round(count_if({_AT} <= 5) / any_value(len(g))::DOUBLE, 12) AS recall_at_5,
+ round(CASE WHEN min({_AT}) <= 10 THEN 1.0::DOUBLE / min({_AT}) ELSE 0 END, 12) AS mrr_at_10, sum(CASE WHEN {_AT} <= 10 THEN 1 / log2({_AT} + 1) ELSE 0 END) AS dcg FROM (SELECT *, unnest(g) AS x FROM ({_LISTS}) WHERE g IS NOT NULL) GROUP BY o_custkey)
+ UNION ALL SELECT o_custkey, NULL, NULL, NULL FROM ({_LISTS}) WHERE g IS NULL""")
+def legacy_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as questions: their orders by price are returned, the pending ones relevant."""
+    returned = F.transform(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey"))), lambda x: x["o_orderkey"])
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(returned.alias("returned"), F.collect_list(F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey"))).alias("relevant"))
+    return m.legacy_metrics(rows).select("o_custkey", "recall_at_5", "mrr_at_10", F.round("ndcg_at_10", 9).alias("ndcg_at_10"))
+
+
 @_add("X28_legacy_recall", "SELECT o_custkey, round(count_if(l_orderkey IS NOT NULL) / count(*)::DOUBLE, 12) AS recall FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 40) ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def legacy(spark: SparkSession, d: str) -> DataFrame:
     got = table(spark, d, "lineitem").where("l_quantity > 40").select("l_orderkey").distinct()

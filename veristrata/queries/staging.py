@@ -341,6 +341,21 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return release.completeness(table(spark, d, "documents").select(F.col("doc_id").alias("document_id")), lab, lab.where("quality = 1"))
 
 
+_CORPUS = """WITH d AS (SELECT o_orderkey AS document_id, o_orderstatus <> 'P' AS licensed FROM orders WHERE o_orderkey % 50 <> 0), c AS (SELECT l_orderkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem WHERE l_quantity > 5),
+ e AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem WHERE l_discount < 0.08), a AS (SELECT c_custkey AS document_id FROM customer)"""
+
+
+@_add("I3_corpus_faults", f"""{_CORPUS} SELECT 'document_not_licensed' AS fault, count(*) AS n FROM d WHERE NOT licensed UNION ALL SELECT 'document_without_chunk', count(*) FROM d WHERE document_id NOT IN (SELECT document_id FROM c) UNION ALL SELECT 'chunk_without_document', count(*) FROM c WHERE document_id NOT IN (SELECT document_id FROM d)
+ UNION ALL SELECT 'chunk_without_embedding', count(*) FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM e) UNION ALL SELECT 'chunk_with_several_embeddings', count(*) FROM c WHERE chunk_id IN (SELECT chunk_id FROM e GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'embedding_without_chunk', count(*) FROM e WHERE chunk_id NOT IN (SELECT chunk_id FROM c)
+ UNION ALL SELECT 'anchor_without_document', count(*) FROM a WHERE document_id NOT IN (SELECT document_id FROM d)""")
+def corpus_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, line items as chunks, some of each left out."""
+    line, key = table(spark, d, "lineitem"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id")
+    documents = table(spark, d, "orders").where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderstatus") != "P").alias("licensed"))
+    anchors = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"))
+    return release.corpus_faults(documents, line.where("l_quantity > 5").select(F.col("l_orderkey").alias("document_id"), key), line.where("l_discount < 0.08").select(key), anchors)
+
+
 @_add("I7_placement_in_sequence", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE (l_linenumber - 1) * 1000 + l_quantity > s_suppkey % 7 * 1000 + 500")
 def placements(spark: SparkSession, d: str) -> DataFrame:
     start = (F.col("l_linenumber") - 1) * 1000
