@@ -211,3 +211,15 @@ def test_entities_by_level(spark):
     asked = spark.createDataFrame([("g", m) for m in ("K1", "k1", " name  ONE", "N1", "x", "none")] + [("h", "K1")], "kind string, mention string")
     got = {(r.kind, r.mention): (r.key, r.status) for r in taxonomy.resolve_entities(asked, catalog).collect()}
     assert got == {("g", "K1"): ("K1", "resolved"), ("g", "k1"): (None, "unresolved"), ("g", " name  ONE"): ("K1", "resolved"), ("g", "N1"): ("K2", "resolved"), ("g", "x"): (None, "ambiguous"), ("g", "none"): (None, "unresolved"), ("h", "K1"): (None, "unresolved")}
+
+
+def test_questions_read_their_words_folders_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 50} other{i % 7} the") for i in range(200)], "k long, t string")
+    posts = ranking.postings(docs, "k", {"D": "t"})
+    ranking.write_postings(posts, f"{tmp_path}/index", 16)
+    found = ranking.read_postings(spark, f"{tmp_path}/index", ("word7", "the"), 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [((part" in plan or "PartitionFilters: [part" in plan
+    assert len({f.rpartition("part=")[2].split("/")[0] for f in found.inputFiles()}) <= 16
+    whole = sorted(map(tuple, ranking.lexical_top(posts, ("word7", "the"), "k").collect()))
+    assert sorted(map(tuple, ranking.lexical_top(found, ("word7", "the"), "k").collect())) == whole and len(whole) == 4

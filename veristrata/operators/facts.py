@@ -147,6 +147,29 @@ def locus_details(t: Facts, base: DataFrame) -> DataFrame:
     return base.join(t.groups, "group_id").join(own, "group_id").join(t.term, "term_id").select("locus_id", "sequence_id", "group_id", "group_name", "term_id", "term_name")
 
 
+def locus_projection(t: Facts, base: DataFrame) -> DataFrame:
+    """The whole detail of each locus: every column that the catalog's locus, group and term tables hold, and
+    its numbers of calls and categories. Both counts are aggregates before they join, so nothing fans out."""
+    own = t.assignment.where("role = 'source'").select("group_id", "term_id")
+    calls = t.call.join(base, "locus_id", "left_semi").groupBy("locus_id").agg(F.count_distinct("call_key").alias("calls"))
+    kinds = t.assertion.join(base, "locus_id", "left_semi").groupBy("locus_id").agg(F.count_distinct("category", "kind").alias("categories"))
+    rows = base.select("locus_id").join(t.locus, "locus_id").join(t.groups, "group_id").join(own, "group_id").join(t.term, "term_id")
+    return rows.join(calls, "locus_id", "left").join(kinds, "locus_id", "left").na.fill(0, ["calls", "categories"])
+
+
+def scoped(tables: dict[str, tuple[DataFrame, str, str]], scope: dict[str, DataFrame]) -> DataFrame:
+    """``table, key`` of all rows in a release's scope. ``tables``: rows, their key column and the name of the
+    scope that they belong to; ``scope``: by name one column of keys in scope. One semi join a table."""
+    out: DataFrame | None = None
+    for name, (rows, key, kind) in sorted(tables.items()):
+        public = scope[kind]
+        own = rows.join(public.select(F.col(public.columns[0]).alias(key)), key, "left_semi").select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no table to scope")
+    return out
+
+
 def cardinality_faults(base: DataFrame, details: DataFrame, key: str = "locus_id") -> DataFrame:
     """Keys of the base that a projection does not hold exactly once, and keys that it holds beside them:
     ``key, expected, found``. Empty means that the projection answers the request."""

@@ -62,12 +62,13 @@ def summarize(metrics: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Nearest-rank p50 and p95."""
+    """Nearest-rank p50 and p95. Exact, so one task a group holds the group's distinct values with their counts:
+    meant for measured runs, not for a corpus."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
 
 
 def efficiency(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Latency quantiles, sums, peak memory; a cost is null as soon as one row lacks it."""
+    """Latency quantiles (as in :func:`latency`), sums, peak memory; a cost is null as soon as one row lacks it."""
     return rows.groupBy(*by).agg(
         F.expr("percentile_disc(0.5) within group (order by latency)").alias("p50"),
         F.expr("percentile_disc(0.95) within group (order by latency)").alias("p95"),

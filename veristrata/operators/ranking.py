@@ -6,7 +6,7 @@ import re
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import RRF_K, dot, rrf_score
@@ -116,6 +116,20 @@ def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return out.groupBy(key, "lexeme", "weight").agg(F.count("*").alias("hits"))
 
 
+def write_postings(posts: DataFrame, folder: str, parts: int = 1024) -> None:
+    """Postings written once as an index: in ``parts`` folders by a hash of the lexeme, sorted by it, so that
+    a question reads the folders and row groups of its words and no text at all."""
+    dealt = posts.withColumn("part", F.pmod(F.xxhash64("lexeme"), F.lit(parts)))
+    dealt.repartition("part").sortWithinPartitions("part", "lexeme").write.mode("errorifexists").partitionBy("part").parquet(folder)
+
+
+def read_postings(spark: SparkSession, folder: str, terms: Sequence[str], parts: int = 1024) -> DataFrame:
+    """The postings of some words from :func:`write_postings`; only their folders are listed and read."""
+    wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(parts)) for t in sorted(set(terms))]
+    cond = _any([F.col("part") == w for w in wanted])
+    return spark.read.parquet(folder).where(cond & F.col("lexeme").isin(*terms)).drop("part")
+
+
 #: Weights of title, section and body words.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "D": 0.1}
 

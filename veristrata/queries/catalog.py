@@ -81,6 +81,15 @@ def anchor_documents(spark: SparkSession, d: str) -> DataFrame:
     return found.select("anchor_key", F.when(F.size("documents") > 0, F.array_join("documents", ",")).alias("documents"))
 
 
+@_add("F10_locus_projection", f"""SELECT locus_id, sequence_id, group_id, c_name AS group_name, c_mktsegment AS segment, c_acctbal AS balance, 'n' || c_nationkey AS term_id, n_name AS term_name, 'nation' AS rank, o_totalprice AS price, o_orderdate AS placed_at,
+ coalesce(n.calls, 0) AS calls, coalesce(n.categories, 0) AS categories FROM ({BASE}) JOIN orders ON o_orderkey = locus_id JOIN customer ON group_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ LEFT JOIN (SELECT l_orderkey, count(DISTINCT lineitem) AS calls, count(DISTINCT p_type) + count(DISTINCT p_brand) AS categories FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) n ON n.l_orderkey = locus_id""")
+def locus_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Thirteen columns of five tables, one row a locus."""
+    t = facts(spark, d)
+    return f.locus_projection(t, f.matched_loci(t, "F"))
+
+
 @_add("F11_call_details", f"SELECT l_orderkey AS locus_id, l_partkey, l_linenumber, l_quantity AS score FROM lineitem WHERE l_orderkey IN (SELECT locus_id FROM ({BASE}))")
 def call_details(spark: SparkSession, d: str) -> DataFrame:
     t = facts(spark, d)
@@ -240,6 +249,20 @@ def release_scope(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(public, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
+@_add("F21_scoped_tables", f"""WITH b AS ({BASE}) SELECT 'customer' AS "table", CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey IN (SELECT group_id FROM b) UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey IN (SELECT locus_id FROM b)
+ UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT group_id FROM b)) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey IN (SELECT locus_id FROM b)
+ UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT locus_id FROM b))""")
+def scoped_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of five tables that one release's loci reach."""
+    base = f.matched_loci(facts(spark, d), "F")
+    line, customer = table(spark, d, "lineitem"), table(spark, d, "customer")
+    loci, groups = base.select("locus_id"), base.select("group_id").distinct()
+    terms = customer.join(groups, customer.c_custkey == groups.group_id, "left_semi").select("c_nationkey").distinct()
+    parts = line.join(loci, line.l_orderkey == loci.locus_id, "left_semi").select("l_partkey").distinct()
+    rows = {"orders": (table(spark, d, "orders"), "o_orderkey", "locus"), "lineitem": (line, "l_orderkey", "locus"), "customer": (customer, "c_custkey", "group"), "nation": (table(spark, d, "nation"), "n_nationkey", "term"), "part": (table(spark, d, "part"), "p_partkey", "part")}
+    return f.scoped(rows, {"locus": loci, "group": groups, "term": terms, "part": parts})
+
+
 @_add("F18_reports_by_ancestor", f"SELECT c_custkey, 'n' || c_nationkey AS taxon FROM customer WHERE 'n' || c_nationkey IN (SELECT descendant_id FROM ({CLOSURE}) WHERE ancestor_id = 'r2') AND c_mktsegment = 'BUILDING'")
 def reports_by_ancestor(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = lineage(spark, d)

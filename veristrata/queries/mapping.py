@@ -70,8 +70,8 @@ def facts(spark: SparkSession, d: str) -> Facts:
     study = typed.select(F.col("l_orderkey").alias("locus_id"), F.col("p_brand").alias("category"), F.lit("study").alias("kind"))
     return Facts(
         membership=orders.select(F.col("o_orderstatus").alias("release"), F.col("o_orderkey").alias("locus_id")),
-        locus=orders.select(F.col("o_orderkey").alias("locus_id"), F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("sequence_id")),
-        groups=customer.select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("group_name")),
+        locus=orders.select(F.col("o_orderkey").alias("locus_id"), F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("sequence_id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("placed_at")),
+        groups=customer.select(F.col("c_custkey").alias("group_id"), F.col("c_name").alias("group_name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")),
         assignment=customer.select(F.col("c_custkey").alias("group_id"), F.concat(F.lit("n"), "c_nationkey").alias("term_id"), F.lit("source").alias("role")),
         term=nodes.select(F.col("node_id").alias("term_id"), "term_name", "rank"),
         closure=lambda: closed_lineage(spark, d),

@@ -386,6 +386,19 @@ def json_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing").cast("long"), F.lit(-1).cast("long")).alias("m"))
 
 
+_FIVE = range(5)
+
+
+@_add("J8_five_aliases", "SELECT n_name, " + ", ".join(f"p{i}.r_name AS r{i}" for i in _FIVE) + " FROM nation " + " ".join(f"JOIN region p{i} ON p{i}.r_regionkey = (n_regionkey + {i}) % 5" for i in _FIVE))
+def five_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """One dimension under five names, as five policies of one release are looked up."""
+    rows, region = table(spark, d, "nation"), table(spark, d, "region")
+    for i in _FIVE:
+        own = region.select(F.col("r_regionkey").alias(f"_k{i}"), F.col("r_name").alias(f"r{i}"))
+        rows = rows.join(own, (F.col("n_regionkey") + i) % 5 == F.col(f"_k{i}"))
+    return rows.select("n_name", *[f"r{i}" for i in _FIVE])
+
+
 @_add("J8_policy_alias_join", "SELECT n.n_name, a.r_name AS r0, b.r_name AS r1 FROM nation n JOIN region a ON a.r_regionkey = n.n_regionkey JOIN region b ON b.r_regionkey = (n.n_regionkey + 1) % 5")
 def alias_join(spark: SparkSession, d: str) -> DataFrame:
     n, a, b = table(spark, d, "nation").alias("n"), table(spark, d, "region").alias("a"), table(spark, d, "region").alias("b")
