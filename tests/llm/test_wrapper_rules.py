@@ -17,6 +17,9 @@ from veristrata.llm import wrapper
         '<form id="aspnetForm"><div id="sidebar-wrapper"><article><p>Own text</p></article></div></form>',
         '<main class="ads"><div class="sidebar"><article><p>Own text</p></article></div><aside><article>Teaser</article></aside></main>',
         '<div class="layout has-sidebar"><article class="post"><p>Own text</p></article><section class="comments"><article><p>Reader</p></article></section></div>',
+        '<article style="overflow:hidden" data-state="hidden"><div data-role="menu" style="overflow: hidden"><p>Own text</p></div></article>',
+        '<article><div class="entry-header"><h1>Own text</h1></div><div class="entry-footer">Tags</div><p hidden>no</p><p style="display: none">no</p><p aria-hidden="true">no</p></article>',
+        '<article><header class="post-header"><h1>Own text</h1></header><nav>on</nav><div id="share-buttons">share</div><aside>side</aside></article>',
         '<main><p>Own text</p><section class="comments"><article><p>Reader</p></article></section></main>',
     ],
 )

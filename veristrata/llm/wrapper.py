@@ -45,7 +45,9 @@ _TOKEN = re.compile(
     r"|<(?P<odd>[a-zA-Z][^\s>/]*)[^>]*>",
     re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMED = frozenset("class id role itemprop".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -87,15 +89,20 @@ class Node:
         hidden = False
         if attrs:
             for name, a, b, c in _ATTR.findall(attrs):
-                value = a or b or c
-                if name.lower() in ("hidden", "aria-hidden"):
-                    hidden |= (value or "true").lower() != "false" and (name.lower() == "hidden" or value == "true")
-                    continue
-                for token in value.split():
-                    own = [w.lower() for w in _SPLIT.split(token) if w]
-                    words += own
-                    if not STATES.intersection(own):
-                        marks.update(own)
+                name, value = name.lower(), a or b or c
+                if name in _NAMED:
+                    for token in value.split():
+                        own = [w.lower() for w in _SPLIT.split(token) if w]
+                        words += own
+                        if STATES.isdisjoint(own):
+                            # the header of a post or an article holds its title
+                            marks.update(own if "header" not in own or CONTENT.isdisjoint(own) else set(own) - {"header"})
+                elif name == "hidden":
+                    hidden |= value.lower() != "false"
+                elif name == "aria-hidden":
+                    hidden |= value.lower() == "true"
+                elif name == "style" and _UNSEEN.search(value):
+                    hidden = True
         self.mark = " ".join(words)
         whole = tag in ("article", "main")  # their own classes say nothing against them
         self.other = hidden or tag in DROPPED or (not whole and not MARKS.isdisjoint(marks))
