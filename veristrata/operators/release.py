@@ -51,6 +51,22 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def rebuild_report(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
+    """``table, missing, extra``: rows of each table that one side has more often than the other. Rows meet as
+    digests with counts, so texts and vectors are hashed where they lie and never shuffled."""
+    out: DataFrame | None = None
+    for name, rows in sorted(expected.items()):
+        a = row_digest(rows).groupBy("row_sha256").agg(F.count("*").alias("a"))
+        b = row_digest(actual[name]).groupBy("row_sha256").agg(F.count("*").alias("b"))
+        more = (F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).alias("d")
+        one = a.join(b, "row_sha256", "full").select(more).agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("extra"))
+        one = one.select(F.lit(name).alias("table"), "missing", "extra")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no table to compare")
+    return out
+
+
 def rule_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``key, code`` for every rule that a row breaks: one pass for all rules."""
     codes = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in sorted(rules.items())]), lambda c: c.isNotNull())

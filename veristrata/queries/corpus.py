@@ -258,6 +258,13 @@ def plain(spark: SparkSession, d: str) -> DataFrame:
     return scans.plain_blocks(docs).select("doc_id", "block_index", "block_type", "text")
 
 
+@_add("S9_plain_block_lines", """SELECT doc_id, CAST(unnest(range(len(f))) AS INT) AS block_index, CAST(unnest(f) AS INT) AS first_line, CAST(unnest(t) AS INT) AS last_line FROM (SELECT doc_id, list_filter(range(1, n + 1), lambda i: o[i] AND (i = 1 OR NOT o[i - 1])) AS f, list_filter(range(1, n + 1), lambda i: o[i] AND (i = n OR NOT o[i + 1])) AS t
+ FROM (SELECT doc_id, len(l) AS n, [trim(s) <> '' FOR s IN l] AS o FROM (SELECT doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10)) AS l FROM documents)))""")
+def plain_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+    return scans.plain_block_lines(docs).select("doc_id", "block_index", "first_line", "last_line")
+
+
 @_add("H10_X34_chunk_windows", "SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(i * 320 AS INT) AS start, CAST(least(384, n - i * 320) AS INT) AS n_tokens FROM (SELECT doc_id, n, unnest(range(CASE WHEN n <= 384 THEN 1 ELSE CAST(ceil((n - 64) / 320.0) AS BIGINT) END)) AS i FROM (SELECT doc_id, len(regexp_split_to_array(text, ' ')) AS n FROM documents))")
 def windows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("t"))

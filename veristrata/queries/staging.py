@@ -244,6 +244,15 @@ def differences(spark: SparkSession, d: str) -> DataFrame:
     return release.differences(nation, nation.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.concat("n_name", F.lit("x"))).otherwise(F.col("n_name"))))
 
 
+@_add("H15_corpus_rebuild", """SELECT 'benchmark' AS "table", 0 AS missing, 0 AS extra UNION ALL SELECT 'documents', count(*), count(*) FROM documents WHERE lang = 'de' UNION ALL SELECT 'embeddings', 0, count(*) FROM embeddings WHERE label = 3 UNION ALL SELECT 'labels', count(*), 0 FROM labels WHERE quality = 0""")
+def corpus_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus against a rebuild with other German texts, some vectors twice and no labels of quality 0."""
+    then = {n: table(spark, d, n) for n in ("benchmark", "documents", "embeddings", "labels")}
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    now = then | {"documents": then["documents"].withColumn("text", text), "embeddings": then["embeddings"].unionByName(then["embeddings"].where("label = 3")), "labels": then["labels"].where("quality <> 0")}
+    return release.rebuild_report(then, now)
+
+
 _RULES = {"price_negative": "p_retailprice < 0", "size_out_of_range": "p_size > 45", "type_unknown": "p_type NOT IN ('PROMO', 'ECONOMY', 'SMALL')"}
 
 
