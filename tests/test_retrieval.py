@@ -223,3 +223,12 @@ def test_questions_read_their_words_folders_only(spark, tmp_path):
     assert len({f.rpartition("part=")[2].split("/")[0] for f in found.inputFiles()}) <= 16
     whole = sorted(map(tuple, ranking.lexical_top(posts, ("word7", "the"), "k").collect()))
     assert sorted(map(tuple, ranking.lexical_top(found, ("word7", "the"), "k").collect())) == whole and len(whole) == 4
+
+
+def test_quotes_meet_texts_by_inner_words(spark):
+    quote = "ne two three four five six seven ei"
+    docs = [(1, "one two three four five six seven eight"), (2, "one two  three four five six seven eight"), (3, "x " + quote + " y"), (4, "nothing of it"), (5, None), (6, "ab cd"), (7, "a b c"), (7, "one two three four five six seven eight")]
+    quotes = [(10, quote), (11, "b c"), (12, None), (13, "three four five six seven eight nine"), (14, "")]
+    made = ranking.quote_containment(spark.createDataFrame(docs, "k long, t string"), spark.createDataFrame(quotes, "q long, s string"), "k", "t", "q", "s")
+    want = {(q, k) for k, t in docs for q, s in quotes if t is not None and s is not None and s in t}
+    assert {(r.q, r.k) for r in made.collect()} == want and made.count() == len(want)

@@ -258,6 +258,29 @@ def _any(tests: Sequence[Column]) -> Column:
     return out
 
 
+GRAM = 5
+
+
+def quote_containment(docs: DataFrame, quotes: DataFrame, key: str, text: str, quote_key: str, quote: str) -> DataFrame:
+    """``quote_key, key`` of every row that holds a quote whole. Words inside a quote (all but its first and last)
+    are whole words of a text that holds it, so the two meet by the digest of the quote's first five of them:
+    linear in the texts, whatever the number of quotes. The pairs are then tested on the texts themselves.
+    Quotes of fewer words are tested against every text. A null quote or text makes no pair; an id that several
+    texts share is one row as soon as one of them holds the quote."""
+    word = F.lit(r"([^\x20\x09-\x0D]+)")
+    own = quotes.select(F.col(quote_key).alias("_q"), F.col(quote).alias("_quote"), F.regexp_extract_all(F.col(quote), word, 1).alias("_w")).where(F.col(quote).isNotNull())
+    digest = lambda ws: F.xxhash64(F.array_join(ws, " "))
+    long = own.where(F.size("_w") >= GRAM + 2).select("_q", "_quote", digest(F.slice("_w", 2, GRAM)).alias("_g"))
+    wide = docs.select(F.col(key).alias("_k"), F.regexp_extract_all(F.col(text), word, 1).alias("_w")).where(F.size("_w") >= GRAM)
+    grams = wide.select("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: digest(F.slice("_w", i, GRAM))))).alias("_g"))
+    near = grams.join(long, "_g").select("_k", "_q", "_quote").distinct()
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    held = texts.join(near, "_k").where(F.contains("_t", "_quote"))
+    short = own.where(F.size("_w") < GRAM + 2).select("_q", "_quote")
+    found = held.select("_q", "_k").unionByName(texts.join(short, F.contains("_t", "_quote")).select("_q", "_k"))
+    return found.distinct().select(F.col("_q").alias(quote_key), F.col("_k").alias(key))
+
+
 def branch_fusion(lists: dict[str, DataFrame], key: str, depth: int = DEPTH) -> DataFrame:
     """Reciprocal-rank fusion of single ranked lists (``key, rank``), one a branch."""
     rows = None

@@ -325,10 +325,8 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("X38_quote_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Every quote against every whole text; the pairs of a document that holds the quote. The quotes are
-    dealt to all texts, in blocks of both tables once they outgrow Spark's broadcast threshold."""
-    b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(b, F.contains("text", "quote")).select("item_id", "doc_id")
+    """Every quote against every whole text; the pairs of a document that holds the quote."""
+    return r.quote_containment(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "doc_id", "text", "item_id", "quote")
 
 
 @_add("H25_context_bytes", "SELECT conv_id, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations WHERE turn < 8 GROUP BY conv_id HAVING sum(strlen(text)) <= 131072")
