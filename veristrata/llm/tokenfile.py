@@ -162,9 +162,8 @@ def _cache(path: str) -> WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        library, _ = _added(path)
         model, pattern = library.model, regex.compile(public_tokenizers.PATTERN)
 
         def latin(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,21 +191,23 @@ def _cache(path: str) -> WordCache:
     return _loaded[path]
 
 
-def _added(path: str):
-    """The library's encoder for whole texts and a pattern of its added tokens (none: ``None``)."""
-    import re
+_libraries: dict[str, tuple] = {}
 
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    tokens = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=lambda t: (-len(t), t))
-    return library, re.compile("|".join(map(re.escape, tokens))) if tokens else None
+def _added(path: str) -> tuple:
+    """The library's encoder for whole texts, and the strings of its added tokens; read once a worker."""
+    if path not in _libraries:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        _libraries[path] = library, sorted(t.content for t in library.get_added_tokens_decoder().values())
+    return _libraries[path]
 
 
-def _encoded(cache: WordCache, added, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(cache: WordCache, added: tuple, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and their counts; texts with an added token go whole to the library's encoder."""
-    library, pattern = added
-    whole = [i for i, t in enumerate(texts) if pattern and pattern.search(t)]
+    library, tokens = added
+    whole = [i for i, t in enumerate(texts) if any(token in t for token in tokens)]
     if not whole:
         return cache.texts(texts)
     parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
