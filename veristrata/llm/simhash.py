@@ -259,10 +259,14 @@ def keep_first(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row of least doc_id (a null id comes last)
     and, among its texts, the least digest; once, if it is repeated."""
     _, rooted = _rooted(docs, budget)
-    first = _least(rooted).select(F.col("first.doc_id").alias("__v_id"), F.col("first.digest").alias("__v_digest"))
-    tagged = docs.select("*", F.col("doc_id").cast("long").alias("__v_own"), _digest().alias("__v_text"))
-    stay = tagged.join(first, F.col("__v_own").eqNullSafe(F.col("__v_id")) & (F.col("__v_text") == F.col("__v_digest")), "left_semi")
-    return stay.dropDuplicates(["__v_own", "__v_text"]).select(*docs.columns)
+
+    def named(doc_id: Column, digest: Column) -> Column:  # one key, so that the join and the duplicates share a shuffle
+        return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("none")), digest).alias("__v_key")
+
+    first = _least(rooted).select(named(F.col("first.doc_id"), F.col("first.digest")))
+    tagged = docs.select("*", named(F.col("doc_id").cast("long"), _digest()))
+    # repeated rows meet within their tasks first
+    return tagged.dropDuplicates(["__v_key"]).join(first, "__v_key", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
