@@ -187,7 +187,7 @@ def _cache(path: str) -> WordCache:
             ends = np.cumsum(counts)
             return pool[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))], counts
 
-        _loaded[path] = WordCache(encode)
+        _loaded[path] = WordCache(encode, limit=500_000)
     return _loaded[path]
 
 
@@ -242,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     spark, text = docs.sparkSession, F.col("text").cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"), F.monotonically_increasing_id().alias("nth"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("nth"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc_nulls_first(), "nth"]
     ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # one row a file: as many as there are tasks
