@@ -47,6 +47,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMED = frozenset("class id role itemprop".split())
+_WORTH = re.compile(r"class|id|role|itemprop|hidden|style", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -87,7 +88,7 @@ class Node:
         words: list[str] = []
         marks: set[str] = set()
         hidden = False
-        if attrs:
+        if attrs and _WORTH.search(attrs):
             for name, a, b, c in _ATTR.findall(attrs):
                 name, value = name.lower(), a or b or c
                 if name in _NAMED:
