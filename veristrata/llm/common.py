@@ -67,16 +67,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def passing(spark: SparkSession, *lasting: str):
     """Deletes the intermediate tables written inside, once all inside has run, but for those whose
-    labels are ``lasting``: the result still reads them."""
+    labels are ``lasting``: the result still reads them. If a run fails, its lasting tables go as well."""
     first = len(_scratch)
-    yield
-    own = _scratch[first:]
-    del _scratch[first:]
-    for entry in own:
-        if entry[0] is spark and not any(entry[1].rpartition("/")[2].startswith(f"{label}-") for label in lasting):
-            delete_path(*entry)
-        else:
-            _scratch.append(entry)
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        own = _scratch[first:]
+        del _scratch[first:]
+        for entry in own:
+            if entry[0] is spark and not (done and any(entry[1].rpartition("/")[2].startswith(f"{label}-") for label in lasting)):
+                delete_path(*entry)
+            else:
+                _scratch.append(entry)
 
 
 def staged(fn: Callable) -> Callable:
