@@ -63,7 +63,7 @@ def test_one_hot_half_and_band(spark):
     rows = [(i, f"{a}{b}{c}{d}{tail} " * 3) for i, (a, b, c, d) in enumerate((a, b, c, d) for a in "aeio" for b in "rsth" for c in "bcdf" for d in "lmpq")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = _got(df)
-    assert got == _brute(rows) and len(got) > 200 and all(g[4] for g in got)
+    assert got == _brute(rows) and sum(g[4] > 8 for g in got) > 200
 
 
 def test_query_equals_its_sql(spark):

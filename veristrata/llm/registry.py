@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language_id, line_crf, mixing, pu_quality, simhash, spelling, suffix_dedup, tokenfile, wrapper
+from . import ann, bpe, language_id, line_crf, mixing, pu_quality, simhash, spelling, suffix_dedup, tokenfile, vq, wrapper
 
 QUERIES = {
     "op1_line_crf_quality": line_crf.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pruned_graph_ann": ann.query,
     "op9_mix_sources": mixing.query,
     "op10_token_files": tokenfile.query,
+    "op12_filtering_lloyd": vq.query,
     "op13_spelling_variants": spelling.query,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mix_sources": mixing.SQL, "op13_spelling_variants": spelling.SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mix_sources": mixing.SQL, "op12_filtering_lloyd": vq.SQL, "op13_spelling_variants": spelling.SQL}
