@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language_id, line_crf, mixing, pu_quality, simhash, spelling, suffix_dedup, tokenfile, vq, wrapper
+from . import ann, bpe, language_id, line_crf, mixing, pu_quality, secret_scan, simhash, spelling, suffix_dedup, tokenfile, vq, wrapper
 
 QUERIES = {
     "op1_line_crf_quality": line_crf.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pruned_graph_ann": ann.query,
     "op9_mix_sources": mixing.query,
     "op10_token_files": tokenfile.query,
+    "op11_zstd_novelty": secret_scan.query,
     "op12_filtering_lloyd": vq.query,
     "op13_spelling_variants": spelling.query,
 }
