@@ -112,13 +112,15 @@ def test_mix_equals_its_sql(spark):
 
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    cols = ["doc_id", "size", "source_size", "target", "taken", "slots", "first_slot"]
     got = mixing.query(spark, SF).select(*cols).collect()
-    assert sorted(map(tuple, got)) == sorted(db.execute(f"SELECT {', '.join(cols)} FROM ({mixing.SQL})").fetchall())
+    assert sorted(map(tuple, got), key=str) == sorted(db.execute(f"SELECT {', '.join(cols)} FROM ({mixing.SQL})").fetchall(), key=str)
 
 
 def test_schedule_is_even(spark):
-    rows = mixing.schedule(spark, [50.0, 20.0, 10.0], 4000).orderBy("slot").collect()
+    cells = spark.createDataFrame([(0, 0, 2500), (1, 2500, 1000), (2, 3500, 500), (3, 4000, 0)], "sid long, first_cell long, cells long")
+    rows = mixing.schedule(spark, cells, 4000).orderBy("slot").collect()
+    assert [r.rank for r in rows if r.sid == 1][:5] == [0, 1, 2, 3, 4]
     for s in range(0, 4000, 400):  # any stretch is near the weights
         share = np.bincount([r.sid for r in rows[s : s + 400]], minlength=3) / 400
         assert np.allclose(share, [0.625, 0.25, 0.125], atol=0.01)

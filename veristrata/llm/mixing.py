@@ -1,49 +1,80 @@
 """Operator 9: mixing sources to target weights by a low-discrepancy schedule of token blocks.
 
 1. Sizes: words of each text; sources in code-point order, null last, weigh 5, 2, 1, repeating.
-2. Targets share 150 % of all words by weight; a target stops at twice its source's size and the
-   excess goes to the others by weight until none is above (:func:`water_fill`; one row a source is
-   all the driver sees).
-3. The schedule has one slot per block of tokens. Slot ``i`` falls on the point ``frac((i + 1) g)`` of
-   the golden ratio ``g``; the cumulative weights map the point to a source, so every stretch of the
-   schedule is near the weights. Slots are ranked within their source.
-4. Each source is a stream of its documents shuffled by a hash of id and text, cut into blocks of equal
-   tokens. Slot rank ``r`` joins block ``r mod blocks``; a second pass repeats the stream.
-5. The schedule is settled to words: a source has the slots that its target needs (a few closing slots
-   follow where the schedule gave too few, later ones fall away), and its last slot takes the head of its
-   block only. So every source meets its target to the word, whatever stands beside it.
-6. A document takes the words of its parts in joined blocks.
-
-There are about ``BLOCKS`` blocks at every input size, so schedule and joined blocks are bounded. Equal
-rows are one entry with a count; streams are placed by two-level sums over hash buckets whose number
-follows from the largest source, so neither a source nor an id with most of the rows is a single task.
-Defined cases: a null text has size 0 and takes nothing; null doc_ids are told apart by their texts;
-repeated rows each have a place of their own; an empty table gives an empty result.
+2. Targets share 150 % of all words by weight; a target stops at twice its source's size and the excess goes to the
+   others by weight until none is above (:func:`filled`: a few rounds of two sums over the table of sources).
+3. Each source is a stream of its documents shuffled by a hash of id and text, cut into equal-token blocks of its own
+   size: as many as its share of about ``BLOCKS``, and ``LEAST_BLOCKS`` at least (one a word, if it has fewer). Its
+   target is so many blocks of its stream, of two passes at most.
+4. The schedule has a cell for each of these blocks, the sources' cells side by side. Slot ``i`` falls on the point
+   ``frac((i + 1) g)`` of the golden ratio ``g``, that is on a cell, so every stretch of slots is near the weights. The
+   slots of a source are ranked, and rank ``r`` joins block ``r mod blocks`` of its stream.
+5. The slots that the schedule gave a source decide what it takes. Its discrepancy, the few slots by which it misses
+   the number of cells, is settled within ``SETTLED`` slots: closing slots follow the schedule, surplus ones fall away.
+   The slot that reaches the target takes the head of its block.
+6. A document takes the words of its parts in joined blocks. ``slots`` counts these slots, ``first_slot`` is the first.
+
+All is DataFrame functions. The sources are a table too: their places and cells are running sums over sorted ranges, and
+the driver sees sums over them only. Equal rows are one entry with a count; streams are placed by two-level sums over
+hash buckets whose number follows from the largest source, so neither a source nor an id with most of the rows is a
+single task. Defined cases: a null text has size 0 and takes nothing (no slot, first slot null); null doc_ids are told
+apart by their texts; repeated rows each have a place of their own; very long texts lie in many blocks; other columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow, table
+from .common import durable, passing, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCKS = 200_000
+#: Blocks of a small source, at least.
+LEAST_BLOCKS = 1_000
+#: Slots by which a source's part of the schedule is settled, at most.
+SETTLED = 8
 #: Rows of a source in one bucket of its stream, at most about.
 BUCKET_ROWS = 250_000
 GOLDEN = 0.6180339887498949
+_GRID = 4096
+
+
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with running sums *before* each row in ``order``: sums within sorted ranges, then over the ranges'
+    totals (one row a range), so that no task holds all rows."""
+    held = durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = held.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    totals = totals.select("_range", *[zero(F.sum(f"_{n}").over(over)).alias(f"_{n}") for n in sums])
+    placed = held.select("*", *[zero(F.sum(c).over(within)).alias(n) for n, c in sums.items()]).join(totals, "_range")
+    return placed.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).cast("long").alias(n) for n in sums])
+
+
+def filled(sources: DataFrame) -> DataFrame:
+    """``sources`` (``size, weight``) with ``target``: shares of all words by weight, none above ``CAP`` times its size.
+    The unit of weight grows as sources reach their caps; a round sums what the others share."""
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    cap, unit, seen = CAP * F.col("size"), 0.0, None
+    while True:
+        full = cap < F.col("weight") * F.lit(unit)
+        now = sources.where("size > 0").agg(F.sum(F.when(full, cap)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not now.open or unit == seen:
+            break
+        seen, unit = unit, (SHARE * total - (now.full or 0)) / now.open
+    share = F.col("weight") * F.lit(unit)
+    return sources.withColumn("target", F.when(F.col("size") == 0, F.lit(0.0)).when(cap < share, cap.cast("double")).otherwise(share))
 
 
 def water_fill(sizes: list[int], weights: list[int], share: float = SHARE, cap: float = CAP) -> list[float]:
-    """Targets by weight, none above ``cap`` times its size, that sum to ``share`` of all sizes."""
+    """The same targets of a short list, without Spark."""
     target = [0.0] * len(sizes)
     open_, left = [i for i, s in enumerate(sizes) if s > 0], share * sum(sizes)
     while open_:
@@ -60,19 +91,17 @@ def water_fill(sizes: list[int], weights: list[int], share: float = SHARE, cap:
     return target
 
 
-def schedule(spark: SparkSession, targets: list[float], slots: int) -> DataFrame:
-    """``slot, sid, rank`` of the whole schedule."""
-    edges = np.cumsum(targets) / max(sum(targets), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            point = np.modf((slot + 1) * GOLDEN)[0]
-            sid = np.minimum(np.searchsorted(edges, point, "right"), len(edges) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sid.astype(np.int32))], ["slot", "sid"])
-
-    placed = map_arrow(spark.range(slots).withColumnRenamed("id", "slot"), run, "slot long, sid int")
-    return placed.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
+def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
+    """``slot, sid, rank`` of a schedule over ``slots`` cells, of which a source (``sid, first_cell, cells``) has its own."""
+    point = ((F.col("id") + 1) * F.lit(GOLDEN)) % F.lit(1.0)
+    placed = spark.range(slots).select(F.col("id").alias("slot"), F.floor(point * slots).alias("cell"))
+    # an equal join on a coarse grid: a source is copied to the parts of the grid that it covers
+    wide = max(1, slots // _GRID)
+    part = lambda c: F.floor(c / wide)
+    covered = sources.where("cells > 0").select("sid", "first_cell", "cells", F.explode(F.sequence(part(F.col("first_cell")), part(F.col("first_cell") + F.col("cells") - 1))).alias("part"))
+    inside = (F.col("cell") >= F.col("first_cell")) & (F.col("cell") < F.col("first_cell") + F.col("cells"))
+    met = placed.withColumn("part", part(F.col("cell"))).join(covered, "part").where(inside)
+    return met.select("slot", "sid", (F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1).cast("long").alias("rank"))
 
 
 def _text() -> Column:
@@ -91,37 +120,48 @@ def _shuffled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _place().alias("h"))
 
 
-def _settled(spark: SparkSession, targets: list[float], sources: DataFrame, slots: int, block: int) -> DataFrame:
-    """``sid, block, times, rest``: how often the schedule joins a block whole, and the words of its head
-    that the last slot takes beside that. At most a row a block."""
-    ranked = schedule(spark, targets, slots).select("sid", "rank") if slots else spark.createDataFrame([], "sid int, rank long")
-    given = ranked.groupBy("sid").agg(F.count("*").alias("given"))
-    needed = F.expr("words div source_size") * F.col("n_blocks") + F.ceil(F.expr("words % source_size") / block)
-    wanted = sources.where("words > 0").select("sid", "n_blocks", "words", "source_size", needed.cast("long").alias("needed"))
-    closing = wanted.join(given, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed").select("sid", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
-    known = F.broadcast(wanted)  # one row a source
-    used = ranked.unionByName(closing).join(known, "sid").where("rank < needed")
+def _sources(entries: DataFrame, blocks: int) -> DataFrame:
+    """One row a source: ``sid, source, source_size, target, words, block`` (words of one), ``n_blocks, rows`` and its
+    cells in the schedule: ``first_cell, cells``."""
+    totals = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows"))
+    weight = F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("sid") % len(WEIGHTS)).cast("int"))
+    order = [F.col("source").asc_nulls_last()]
+    ranked = durable(running(totals, order, sid=F.lit(1)).withColumn("weight", weight), "mix-sources")
+    whole = ranked.agg(F.sum("size")).first()[0] or 0
+    most = F.least("size", F.greatest(F.lit(LEAST_BLOCKS).cast("long"), F.ceil(F.col("size") * blocks / max(whole, 1))))
+    cut = filled(ranked).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("size") / F.greatest(F.lit(1), most)))).withColumn("words", F.floor(F.col("target") + 0.5))
+    n_blocks = F.ceil(F.col("size") / F.col("block"))
+    cells = F.when(F.col("size") > 0, F.expr("words div size") * n_blocks + F.ceil(F.expr("words % size") / F.col("block"))).otherwise(0)
+    cut = cut.withColumn("n_blocks", n_blocks).withColumn("cells", cells.cast("long"))
+    placed = running(cut, order, first_cell=F.col("cells"))
+    return placed.select("sid", "source", F.col("size").alias("source_size"), "target", "words", "block", "n_blocks", "rows", "first_cell", "cells")
+
+
+def _joined(sources: DataFrame, slots: int) -> DataFrame:
+    """``sid, block, times, rest, first_slot``: how often slots join a block whole, the words of its head that the
+    slot takes which reaches the target, and the first of these slots."""
+    spark = sources.sparkSession
+    given = durable(schedule(spark, sources, slots), "mix-schedule")
+    counts = given.groupBy("sid").agg(F.count("*").alias("given"))
+    known = sources.where("cells > 0").select("sid", F.col("block").alias("wide"), "n_blocks", "cells", "words", "source_size")
+    known = known.join(counts, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    used = F.least(F.greatest("cells", F.col("given") - SETTLED), F.col("given") + SETTLED, CAP * F.col("n_blocks"))
+    known = known.withColumn("used", used)
+    closing = known.where("used > given").select("sid", F.explode(F.expr("sequence(given, used - 1)")).alias("rank"), "given")
+    closing = closing.select((slots + F.col("sid") * SETTLED + F.col("rank") - F.col("given")).alias("slot"), "sid", "rank")
+    ranks = given.unionByName(closing).join(known, "sid").where("rank < used")
     head = F.expr("words % source_size")
-    rest = F.when((F.col("rank") == F.col("needed") - 1) & (head > 0) & (head % block > 0), head % block)
-    return used.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count_if(rest.isNull()).alias("times"), F.coalesce(F.max(rest), F.lit(0)).alias("rest"))
+    rest = F.when((F.col("rank") == F.col("cells") - 1) & (head > 0) & (head % F.col("wide") > 0), head % F.col("wide"))
+    return ranks.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count_if(rest.isNull()).alias("times"), F.coalesce(F.max(rest), F.lit(0)).alias("rest"), F.min("slot").alias("first_slot"), F.min(F.when(rest.isNull(), F.col("slot"))).alias("first_whole"))
 
 
 def _mixed(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, source, h, size, source_size, target, taken`` for every row of ``docs``."""
-    spark = docs.sparkSession
+    """``doc_id, source, h, size, source_size, target, taken, slots, first_slot`` for every row of ``docs``."""
     entries = durable(_shuffled(docs).groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("n")), "mix-sizes")
-    totals = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows")).collect()  # one row a source
-    totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.size for r in totals]
-    targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
-    block = max(1, math.ceil(sum(sizes) / blocks))
-    slots = math.floor(SHARE * sum(sizes)) // block
-    bits = max(12, math.ceil(math.log2(max([1, *[r.rows for r in totals]]) / BUCKET_ROWS)))
-    sources = spark.createDataFrame(
-        [(i, r.source, r.size, target, -(-r.size // block), math.floor(target + 0.5)) for i, (r, target) in enumerate(zip(totals, targets))],
-        "sid int, source string, source_size long, target double, n_blocks long, words long",
-    )
-    known = sources.withColumnRenamed("source", "_name")
+    sources = durable(_sources(entries, blocks), "mix-sources")
+    state = sources.agg(F.sum("cells").alias("slots"), F.max("rows").alias("rows")).first()
+    bits = max(12, math.ceil(math.log2(max(1, state.rows or 1) / BUCKET_ROWS)))
+    known = sources.select("sid", F.col("source").alias("_name"), "source_size", "target", F.col("block").alias("wide"))
     rows = entries.join(known, entries.source.eqNullSafe(known._name)).drop("_name").withColumn("bucket", F.shiftright("h", 52 - bits))
     # two-level running sums give each entry its place in the stream of its source
     whole = F.col("size") * F.col("n")
@@ -131,19 +171,22 @@ def _mixed(docs: DataFrame, blocks: int) -> DataFrame:
     first = F.col("before") + F.col("end") - whole
     placed = rows.withColumn("end", F.sum(whole).over(inner)).join(part, ["sid", "bucket"]).withColumn("first", first)
     placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("first") + F.col("nth") * F.col("size"))
-    placed = placed.select("sid", "doc_id", "source", "h", "size", "source_size", "target", "nth", "start", (F.col("start") + F.col("size")).alias("end"))
-    times = _settled(spark, targets, sources, slots, block)
-    pieces = placed.where("size > 0").select("sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
-    low, high = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
-    words = (high - low) * F.col("times") + F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.col("rest")) - low)
-    taken = pieces.join(F.broadcast(times), ["sid", "block"]).groupBy("sid", "start", "end").agg(F.sum(words).alias("taken"))
+    placed = placed.select("sid", "doc_id", "source", "h", "size", "source_size", "target", "wide", "nth", "start", (F.col("start") + F.col("size")).alias("end"))
+    times = durable(_joined(sources, state.slots or 0), "mix-blocks")
+    pieces = placed.where("size > 0").select("sid", "start", "end", "wide", F.explode(F.sequence(F.floor(F.col("start") / F.col("wide")), F.floor((F.col("end") - 1) / F.col("wide")))).alias("block"))
+    low, high = F.greatest("start", F.col("block") * F.col("wide")), F.least("end", (F.col("block") + 1) * F.col("wide"))
+    head = F.greatest(F.lit(0), F.least(high, F.col("block") * F.col("wide") + F.col("rest")) - low)
+    met = pieces.join(times, ["sid", "block"]).select("sid", "start", "end", ((high - low) * F.col("times") + head).alias("words"), (F.col("times") + (head > 0).cast("int")).alias("slots"), F.when(head > 0, F.col("first_slot")).otherwise(F.col("first_whole")).alias("first_slot"))
+    taken = met.groupBy("sid", "start", "end").agg(F.sum("words").alias("taken"), F.sum("slots").alias("slots"), F.min("first_slot").alias("first_slot"))
     out = placed.join(taken, ["sid", "start", "end"], "left")
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "slots")]
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", *counts, "first_slot")
 
 
 def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
-    return _mixed(docs, blocks).select("doc_id", "size", "source_size", "target", "taken")
+    """``doc_id, size, source_size, target, taken, slots, first_slot`` for every row of ``docs``."""
+    with passing(docs.sparkSession, "mix-sizes", "mix-sources", "mix-blocks"):
+        return _mixed(docs, blocks).select("doc_id", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def repeat_by_mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -163,14 +206,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: The same rows in DuckDB: targets by the sorted form of the filling. The settled slots of a source are the
-#: ranks from 0 on, so its words are whole passes of its stream and the head of one more.
-SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, ('0x' || md5('mix-' || coalesce(doc_id::VARCHAR, 'null') || '-' || md5(coalesce(text, '')))[1:13])::BIGINT AS h FROM documents),
+#: The same rows in DuckDB: targets by the sorted form of the filling, the golden ratio's points on the sources' cells,
+#: ranks of the slots, and each document's part of each joined block.
+SQL = f"""WITH sized AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, ('0x' || md5('mix-' || coalesce(doc_id::VARCHAR, 'null') || '-' || md5(coalesce(text, '')))[1:13])::BIGINT AS h FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS sid FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {CAP} * source_size AS cap, {SHARE} * sum(source_size) OVER () AS whole FROM totals),
 ordered AS (SELECT *, row_number() OVER (ORDER BY cap / w::DOUBLE, sid) AS k FROM weighed),
 units AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM ordered),
 stop AS (SELECT min(k) AS k0, arg_min(unit, k) AS unit FROM units WHERE w * unit <= cap),
-sources AS (SELECT u.*, CASE WHEN u.k < s.k0 THEN cap::DOUBLE ELSE u.w * s.unit END AS target FROM units u, stop s),
-placed AS (SELECT doc_id, size::BIGINT AS size, source_size, target, floor(target + 0.5)::BIGINT AS words, sum(size) OVER (PARTITION BY s.sid ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(e, words % source_size) - (e - size)) END)::BIGINT AS taken FROM placed"""
+aimed AS (SELECT u.*, CASE WHEN u.k < s.k0 THEN cap::DOUBLE ELSE u.w * s.unit END AS target FROM units u, stop s),
+cut AS (SELECT sid, source, source_size, target, floor(target + 0.5)::BIGINT AS words, greatest(1, ceil(source_size / greatest(1, least(source_size, greatest({LEAST_BLOCKS}, ceil(source_size * {BLOCKS} / (SELECT sum(source_size) FROM totals)))))::DOUBLE))::BIGINT AS wide FROM aimed),
+blocked AS (SELECT *, ceil(source_size / wide::DOUBLE)::BIGINT AS n_blocks, CASE WHEN source_size > 0 THEN words // source_size * ceil(source_size / wide::DOUBLE)::BIGINT + ceil(words % source_size / wide::DOUBLE)::BIGINT ELSE 0 END AS cells FROM cut),
+sources AS (SELECT *, coalesce(sum(cells) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_cell, (sum(cells) OVER ())::BIGINT AS slots FROM blocked),
+points AS (SELECT slot, floor((((slot + 1)::DOUBLE * {GOLDEN}) % 1.0::DOUBLE) * slots)::BIGINT AS cell FROM (SELECT unnest(range(max(slots))) AS slot, max(slots) AS slots FROM sources)),
+given AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM points p JOIN sources s ON cell >= first_cell AND cell < first_cell + cells),
+known AS (SELECT s.*, coalesce(n, 0) AS given, least(greatest(cells, coalesce(n, 0) - {SETTLED}), coalesce(n, 0) + {SETTLED}, {CAP} * n_blocks) AS used FROM sources s LEFT JOIN (SELECT sid, count(*) AS n FROM given GROUP BY sid) USING (sid) WHERE cells > 0),
+slots AS (SELECT * FROM given UNION ALL SELECT slots + sid * {SETTLED} + rank - given, sid, rank FROM (SELECT *, unnest(range(given, used)) AS rank FROM known)),
+joined AS (SELECT sid, rank % n_blocks AS block, slot, CASE WHEN rank = cells - 1 AND words % source_size % wide > 0 THEN words % source_size % wide ELSE wide END AS width FROM slots JOIN known USING (sid) WHERE rank < used),
+placed AS (SELECT rid, doc_id, size::BIGINT AS size, source_size, target, s.sid, wide, sum(size) OVER (PARTITION BY s.sid ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+pieces AS (SELECT rid, sid, e - size AS b, e, wide, unnest(range((e - size) // wide, (e - 1) // wide + 1)) AS block FROM placed WHERE size > 0),
+taken AS (SELECT rid, sum(words)::BIGINT AS taken, count(*) AS slots, min(slot) AS first_slot FROM (SELECT rid, slot, least(e, block * wide + width) - greatest(b, block * wide) AS words FROM pieces JOIN joined USING (sid, block)) WHERE words > 0 GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(slots, 0)::BIGINT AS slots, first_slot FROM placed LEFT JOIN taken USING (rid)"""
