@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import durable, map_arrow, passing, slices, table
 from .textstats import IS_FIRST
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -50,10 +50,19 @@ _SPANS = "spans array<struct<kind:string,start:long,end:long,cost:int>>"
 
 
 def identifiers(docs: DataFrame, limit: int = IDENTIFIERS) -> list[str]:
-    """The most frequent lower-case words of all texts, most frequent first."""
+    """The most frequent lower-case words of all texts, most frequent first. How many words have each number of binary
+    digits in their count tells below which count none can be among them, so that few words are sorted."""
     words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORD), F.lit(0))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect()]  # bounded by the parameter
+    with passing(docs.sparkSession):
+        counted = durable(words.groupBy("word").agg(F.count("*").alias("n")), "scan-words")
+        digits = F.length(F.bin("n"))
+        held, least = 0, 1
+        for row in counted.groupBy(digits.alias("digits")).agg(F.count("*").alias("n")).orderBy(F.desc("digits")).collect():  # 63 rows at most
+            held, least = held + row.n, 1 << (row.digits - 1)
+            if held >= limit:
+                break
+        top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit)
+        return [r.word for r in top.collect()]  # bounded by the parameter
 
 
 class Novelty:
