@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, corpus, evaluation, staging
+from . import catalog, corpus, evaluation, questions, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = (catalog, staging, corpus, evaluation)
+_ALL = (catalog, staging, corpus, evaluation, questions)
 
 
 def core_queries() -> dict[str, Query]:
