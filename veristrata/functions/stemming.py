@@ -107,6 +107,11 @@ def stem(word: str) -> str:
     return w.lower()
 
 
+def lexeme(word: str) -> str | None:
+    """What the English configuration keeps of a lower-case word: its stem, nothing of a stop word."""
+    return None if word in STOP_WORDS else stem(word)
+
+
 @F.pandas_udf(T.StringType())
 def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))

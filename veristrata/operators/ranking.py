@@ -90,6 +90,17 @@ def document_balanced(rows: DataFrame, document: str, context: str, score: str,
     return rows.withColumn("document_rank", F.row_number().over(within)).orderBy(F.desc(context), "document_rank", F.desc(score), *keys).limit(limit)
 
 
+#: What one context holds at most.
+PACK_CHUNKS, PACK_BYTES = 8, 131_072
+
+
+def packed(rows: DataFrame, by: str, text: str) -> DataFrame:
+    """``by, chunks, bytes, status`` of the contexts that the rows of each ``by`` make: ``packed``, or why one is
+    refused. All rows count; none is left out to make a context fit."""
+    own = rows.groupBy(by).agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("bytes"))
+    return own.withColumn("status", F.when(F.col("chunks") > PACK_CHUNKS, "too_many_chunks").when(F.col("bytes") > PACK_BYTES, "too_many_bytes").otherwise("packed"))
+
+
 def round_robin(rankings: Sequence[Sequence[str]], limit: int = DEPTH) -> list[str]:
     """Merges bounded ranked lists: each in turn gives its next unseen key (driver side, lists of at most ``limit``)."""
     queues, seen, out = [deque(r) for r in rankings], set(), []
@@ -313,3 +324,20 @@ def retrieval_warnings(found: DataFrame, has_anchors: bool) -> DataFrame:
     """One row, ``warnings``: ``anchor_miss`` if anchors were given and no row is anchored, ``no_chunks_retrieved``."""
     state = found.agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "anchored").alias("a"))
     return state.select(F.filter(F.array(F.when((F.col("a") == 0) & F.lit(has_anchors), F.lit("anchor_miss")), F.when(F.col("n") == 0, F.lit("no_chunks_retrieved"))), lambda w: w.isNotNull()).alias("warnings"))
+
+
+def retrieve_batch(lists: dict[str, DataFrame], key: str, top: int = 10, depth: int = DEPTH) -> DataFrame:
+    """Literature retrieval of many questions in one plan: ``query_id, key, tier, branch ranks, rrf_score, rank``. Each
+    branch (``query_id, anchored, key, rank`` as the index and vector searches give it) holds at most ``depth`` rows a
+    question and scope. Branches are fused per question and scope; the anchored scope fills the first places, the whole
+    corpus the rest."""
+    rows = None
+    for branch, ranks in lists.items():
+        own = ranks.where(F.col("rank") <= depth).select("query_id", "anchored", F.col("key").alias(key), F.lit(branch).alias("branch"), "rank")
+        rows = own if rows is None else rows.unionByName(own)
+    tier = F.when(F.col("anchored"), 1).otherwise(2)
+    fused = fuse(rows, tuple(lists), ["query_id", "anchored"], key).withColumnRenamed("score", "rrf_score").withColumn("tier", tier)
+    first = Window.partitionBy("query_id", key).orderBy("tier")
+    kept = fused.withColumn("_first", F.row_number().over(first)).where("_first = 1").withColumnRenamed("rank", "_rank")
+    placed = ranked(kept, [F.col("tier"), F.col("_rank"), F.col(key)], ["query_id"]).where(F.col("rank") <= top)
+    return placed.select("query_id", key, F.when(F.col("tier") == 1, "anchored").otherwise("corpus_fill").alias("tier"), *lists, "rrf_score", "rank")

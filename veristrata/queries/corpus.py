@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import providers, scalar
+from ..functions import providers, scalar, stemming
 from ..operators import ranking as r
-from ..operators import release
+from ..operators import release, textindex, vectors
 from ..plans import language
 from ..plans import lexical as lexical_plans
 from ..plans.topics import FORBIDDEN_TOPICS
+from ..session import scratch_folder
 from ..sources import scans, sinks
-from .mapping import table
+from .mapping import search_index, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -52,6 +53,18 @@ def batch(spark: SparkSession, d: str) -> DataFrame:
     return r.dense_blocks(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), "vec_id", 10, places=6)
 
 
+@_add("W10_inverted_lists", "")
+def inverted(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of the batch above against the lists of their nearest centres only: ten rows a question, ranked
+    exactly among those (approximate, so without a twin; a test holds its recall against the batch)."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
+    folder = scratch_folder(spark, "inverted-lists")
+    vectors.write_lists(e, folder, 10)
+    lists, book, probes = vectors.read_lists(spark, folder)
+    asked = e.where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("v").alias("q"))
+    return vectors.batch_lists(lists, book, asked, 10, 6, probes).select("query_id", F.col("key").alias("vec_id"), "score", "rank")
+
+
 _WORDS = r"[\p{L}][\p{L}\p{N}]*"
 _POSTS = f"SELECT doc_id, lexeme, weight, count(*) AS hits FROM (SELECT doc_id, 'A' AS weight, unnest(regexp_extract_all(lower(source), '{_WORDS}')) AS lexeme FROM documents UNION ALL SELECT doc_id, 'D', unnest(regexp_extract_all(lower(text), '{_WORDS}')) FROM documents) GROUP BY ALL"
 
@@ -106,6 +119,33 @@ def web_search(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(r.search_filter(F.col("w"), asked.alternatives)).select("doc_id")
 
 
+#: Stems of some words of the tables by the English rules; index and twin share this table, and the stop words.
+_STEMS = {"ered": "ere", "eres": "ere", "ering": "ere", "oned": "one", "ones": "one", "oning": "one", "ated": "ate", "ates": "ate", "ating": "ate", "eded": "ede", "edes": "ede", "eding": "ede", "haed": "ha", "haing": "ha", "inly": "in", "enly": "en", "erly": "er"}
+
+
+def _table_lexeme(word: str) -> str | None:
+    return None if word in stemming.STOP_WORDS else _STEMS.get(word, word)
+
+
+_STEM_HITS = f"""SELECT doc_id, p, coalesce(s, w) AS w, c FROM (SELECT doc_id, unnest(range(len(a) + len(b))) AS p, unnest(a || b) AS w, unnest(list_transform(a, lambda x: 1.0) || list_transform(b, lambda x: 10.0)) AS c
+ FROM (SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '{_WORDS}') AS a, regexp_extract_all(lower(text), '{_WORDS}') AS b FROM documents)) LEFT JOIN (VALUES {", ".join(f"('{w}', '{s}')" for w, s in _STEMS.items())}) v(word, s) ON w = word
+ WHERE w NOT IN ({", ".join(f"'{w}'" for w in sorted(stemming.STOP_WORDS))})"""
+
+
+@_add("X15_X17_stemmed_index", f"""WITH hits AS MATERIALIZED (SELECT * FROM ({_STEM_HITS}) WHERE w IN ('ere', 'one')),
+ begins AS (SELECT *, CASE WHEN l0 IS NOT NULL AND l1 IS NOT NULL THEN least(l0, l1) END AS b FROM (SELECT *, max(p) FILTER (w = 'ere') OVER o AS l0, max(p) FILTER (w = 'one') OVER o AS l1 FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY p))),
+ covers AS (SELECT c.doc_id, c.b, c.e, count(*)::DOUBLE AS m, sum(h.c)::DOUBLE AS cost FROM (SELECT doc_id, b, min(p) AS e FROM begins WHERE b IS NOT NULL GROUP BY ALL) c JOIN hits h ON h.doc_id = c.doc_id AND h.p BETWEEN c.b AND c.e GROUP BY ALL)
+ SELECT doc_id, round(s / (s + 1), 9) AS score, row_number() OVER (ORDER BY round(s / (s + 1), 9) DESC, doc_id) AS rank FROM (SELECT doc_id, sum(m / cost / (1 + (e - b) - (m - 1))) AS s FROM covers GROUP BY doc_id) QUALIFY rank <= 100""")
+def stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """``ering ones`` against first lines (weight A) and texts (weight D), by stem and without stop words: words are
+    counted where they stand, stop words too."""
+    docs = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
+    terms = sorted({_table_lexeme(w) for w in ("ering", "ones")})
+    asked = spark.createDataFrame([(0, terms, None)], "query_id int, terms array<string>, anchors array<string>")
+    found = textindex.search(textindex.build(docs, "doc_id", {"title": 1.0, "text": 0.1}, stem=_table_lexeme), asked)
+    return found.where("not anchored").select(F.col("key").alias("doc_id"), "score", "rank")
+
+
 _ASK = "Which records have Thre tion with thing; and erin thnt thon?"
 
 
@@ -141,6 +181,7 @@ def source_corpus(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min("rank").alias("first_place"), F.count("*").alias("objects"))
 
 
+_ANCHORS = ("src1", "src4", "src7")
 _ANCHORED = "('src1', 'src4', 'src7')"
 
 
@@ -160,10 +201,20 @@ def _found(top: int) -> str:
  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS first FROM (SELECT 1 AS t, * FROM ({fused(f"source IN {_ANCHORED}")}) UNION ALL SELECT 2, * FROM ({fused('true')}))) WHERE first = 1) JOIN documents USING (doc_id) WHERE rank <= {top}"""
 
 
+def _branches(spark: SparkSession, d: str, asked: DataFrame, terms: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The three branches for a table of questions (``query_id, terms, q, anchors``), from the written index and the
+    vectors; labels 1 and 2 are the summaries' vectors."""
+    index = textindex.read(spark, search_index(spark, d), terms)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"), "label")
+    e = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("group")), "key", "left")
+    near = {"dense": e, "summary": e.where("label in (1, 2)")}
+    return {"fts": textindex.search(index, asked), **{b: vectors.search(asked, rows, places=6) for b, rows in near.items()}}
+
+
 def _retrieved(spark: SparkSession, d: str, top: int) -> DataFrame:
-    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
-    anchored = docs.where(f"source in {_ANCHORED}").select("source")
-    return r.retrieve(docs.select("doc_id", "source", "text"), e.select("doc_id", "v"), e.where("label in (1, 2)").select("doc_id", "v"), "doc_id", "source", {"text": 0.1}, _TERMS, _vector(spark, d, 7), anchored, top)
+    asked = spark.createDataFrame([(0, list(_TERMS), _vector(spark, d, 7), list(_ANCHORS))], "query_id int, terms array<string>, q array<double>, anchors array<string>")
+    found = r.retrieve_batch(_branches(spark, d, asked, _TERMS), "doc_id", top).drop("query_id")
+    return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
 
 
 @_add("H1_composed_retrieval", _found(20))
@@ -173,6 +224,46 @@ def retrieved(spark: SparkSession, d: str) -> DataFrame:
     return _retrieved(spark, d, 20)
 
 
+#: Every document whose id is divisible by 50 asks for its two most frequent words of four letters or more, with the
+#: vector of its number; its source is its anchor.
+_ASKED_TERMS = f"""SELECT query_id, anchor, w, row_number() OVER (PARTITION BY query_id ORDER BY w) - 1 AS t, count(*) OVER (PARTITION BY query_id) AS n
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, w) AS k FROM (SELECT query_id, anchor, w, count(*) AS c FROM (SELECT doc_id AS query_id, source AS anchor, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS w FROM documents WHERE doc_id % 50 = 0) WHERE length(w) >= 4 GROUP BY ALL)) WHERE k <= 2"""
+_BATCHED = f"""WITH asked AS ({_ASKED_TERMS}),
+ hits AS (SELECT query_id, doc_id, source = anchor AS own, p, t, n FROM (SELECT doc_id, source, unnest(range(len(a))) AS p, unnest(a) AS w FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '{_WORDS}') AS a FROM documents)) JOIN asked USING (w)),
+ begins AS (SELECT *, CASE WHEN n = 1 THEN l0 WHEN l0 IS NOT NULL AND l1 IS NOT NULL THEN least(l0, l1) END AS b FROM (SELECT *, max(p) FILTER (t = 0) OVER o AS l0, max(p) FILTER (t = 1) OVER o AS l1 FROM hits WINDOW o AS (PARTITION BY query_id, doc_id ORDER BY p))),
+ covers AS (SELECT query_id, doc_id, own, b, min(p) AS e FROM begins WHERE b IS NOT NULL GROUP BY ALL),
+ counted AS (SELECT c.*, count(*)::DOUBLE AS m FROM covers c JOIN hits h ON h.query_id = c.query_id AND h.doc_id = c.doc_id AND h.p BETWEEN c.b AND c.e GROUP BY ALL),
+ text AS (SELECT query_id, doc_id, coalesce(own, false) AS own, round(s / (s + 1), 9) AS score FROM (SELECT query_id, doc_id, own, sum(m / (m / 0.1) / (1 + (e - b) - (m - 1))) AS s FROM counted GROUP BY ALL)),
+ near AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, coalesce(a.source = d.source, false) AS own, {_DOT} AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q ON true JOIN documents a ON a.doc_id = q.vec_id LEFT JOIN documents d ON d.doc_id = e.vec_id),
+ scored AS (SELECT 0 AS b, query_id, doc_id, own, score FROM text UNION ALL SELECT 1, query_id, doc_id, own, score FROM near UNION ALL SELECT 2, query_id, doc_id, own, score FROM near WHERE label IN (1, 2)),
+ scoped AS (SELECT 2 AS t, b, query_id, doc_id, score FROM scored UNION ALL SELECT 1, b, query_id, doc_id, score FROM scored WHERE own),
+ listed AS (SELECT *, row_number() OVER (PARTITION BY t, b, query_id ORDER BY score DESC, doc_id) AS rank FROM scoped QUALIFY rank <= 100),
+ wide AS (SELECT t, query_id, doc_id, min(rank) FILTER (b = 0) AS fts, min(rank) FILTER (b = 1) AS dense, min(rank) FILTER (b = 2) AS summary FROM listed GROUP BY ALL),
+ fused AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + fts), 0) + coalesce(1.0::DOUBLE / (60 + dense), 0) + coalesce(1.0::DOUBLE / (60 + summary), 0), 12) AS rrf_score, (fts IS NOT NULL)::INT + (dense IS NOT NULL)::INT + (summary IS NOT NULL)::INT AS k FROM wide),
+ ordered AS (SELECT *, row_number() OVER (PARTITION BY t, query_id ORDER BY rrf_score DESC, k DESC, least(fts, dense, summary), doc_id) AS r FROM fused),
+ first AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY t) = 1)
+ SELECT query_id, doc_id, CASE WHEN t = 1 THEN 'anchored' ELSE 'corpus_fill' END AS tier, fts, dense, summary, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY t, r, doc_id) AS rank FROM first QUALIFY rank <= 10"""
+
+
+@_add("H24_batched_retrieval", _BATCHED)
+def batched(spark: SparkSession, d: str) -> DataFrame:
+    """All questions through the whole retrieval in one plan: every branch is a grid of questions and blocks, of which
+    only the best 100 of a question and scope leave a task."""
+    docs = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array("source").alias("anchors"), "text")
+    counted = docs.select("query_id", F.explode(r.lexemes(F.col("text"))).alias("w")).where(F.length("w") >= 4).groupBy("query_id", "w").agg(F.count("*").alias("n"))
+    terms = r.ranked(counted, [F.desc("n"), F.col("w")], ["query_id"]).where("rank <= 2").groupBy("query_id").agg(F.collect_list("w").alias("terms"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = docs.select("query_id", "anchors").join(terms, "query_id", "left").join(e, "query_id", "left")
+    return r.retrieve_batch(_branches(spark, d, asked), "doc_id")
+
+
+@_add("W9_index_block_max", f"WITH hits AS ({_hits(_TERMS)}) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_density(_TERMS)} ORDER BY score DESC, doc_id LIMIT 100)")
+def block_max(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the cover-density query from the index alone; blocks whose bound is too low are not read."""
+    index = textindex.read(spark, search_index(spark, d), _TERMS)
+    return textindex.block_max_top(index, _TERMS, 0.1).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
 @_add("H5_pool_depths", " UNION ALL ".join(f"SELECT {n} AS pool, doc_id, tier, rank FROM ({_found(n)})" for n in (10, 20, 50)))
 def pools(spark: SparkSession, d: str) -> DataFrame:
     """The pools that a reranker of depth 10, 20 or 50 would get."""
@@ -329,10 +420,10 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
     return r.quote_containment(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "doc_id", "text", "item_id", "quote")
 
 
-@_add("H25_context_bytes", "SELECT conv_id, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations WHERE turn < 8 GROUP BY conv_id HAVING sum(strlen(text)) <= 131072")
+@_add("H25_context_bytes", "SELECT conv_id, count(*) AS chunks, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, CASE WHEN count(*) > 8 THEN 'too_many_chunks' WHEN coalesce(sum(strlen(text)), 0) > 131072 THEN 'too_many_bytes' ELSE 'packed' END AS status FROM conversations GROUP BY conv_id")
 def pack(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("turn < 8").groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"))
-    return rows.where("bytes <= 131072")
+    """Every conversation's turns as one context; one that does not fit is refused whole, never cut."""
+    return r.packed(table(spark, d, "conversations"), "conv_id", "text")
 
 
 @_add("E1_windowed_event_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

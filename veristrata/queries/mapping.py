@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stemming
+from ..operators import textindex
 from ..operators.facts import Facts
 from ..operators.taxonomy import closure
+from ..session import scratch_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,19 @@ def closed_lineage(spark: SparkSession, d: str) -> DataFrame:
     return _closed[key][1]
 
 
+_written: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+
+
+def search_index(spark: SparkSession, d: str, stemmed: bool = False) -> str:
+    """Folder of the documents' positional index, written once an application and again if the table changes."""
+    key, stamp = (spark.sparkContext.applicationId, d, str(stemmed)), _stamp(spark, d, ("documents",))
+    if key not in _written or _written[key][0] != stamp:
+        folder = scratch_folder(spark, "text-index")
+        textindex.write(table(spark, d, "documents"), folder, "doc_id", {"text": 0.1}, "source", stemming.lexeme if stemmed else None)
+        _written[key] = stamp, folder
+    return _written[key][1]
+
+
 #: A hierarchy above the part types: every type, in one of two families.
 FAMILIES = {"PRICE": ("PROMO", "ECONOMY"), "SHAPE": ("SMALL", "MEDIUM", "LARGE", "STANDARD")}
 

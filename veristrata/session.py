@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,18 @@ def workers_import(spark: SparkSession) -> None:
             spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``). A local session that names
+    none gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="veristrata-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/veristrata/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """The session of the tests and of ``bench.py``."""
     return (
