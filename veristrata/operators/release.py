@@ -26,6 +26,52 @@ def release_digest(tables: dict[str, DataFrame]) -> DataFrame:
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "digest"))), lambda x: F.concat(x["table"], F.lit(":"), x["digest"])), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
+def dependency_levels(parents: dict[str, tuple[str, ...]]) -> list[list[str]]:
+    """Tables level by level: each after all that it depends on. A cycle or an unknown parent is refused."""
+    unknown = sorted({p for own in parents.values() for p in own} - set(parents))
+    if unknown:
+        raise ValueError(f"tables depend on unknown ones: {', '.join(unknown)}")
+    levels, done = [], set()
+    while len(done) < len(parents):
+        level = sorted(t for t, own in parents.items() if t not in done and done.issuperset(own))
+        if not level:
+            raise ValueError("the tables' dependencies form a cycle")
+        levels.append(level)
+        done.update(level)
+    return levels
+
+
+def scoped_release(tables: dict[str, DataFrame], links: dict[str, list[tuple[str, list[Column], list[Column]]]], scopes: dict[str, Column]) -> dict[str, DataFrame]:
+    """The part of every table that belongs to a release. ``scopes``: which rows of a root belong to it; ``links``: for
+    each other table its parents with the columns on both sides: a row belongs if all of its parents' rows do. A null
+    link belongs nowhere. Semi joins in dependency order, so the rows of a table are never multiplied."""
+    out: dict[str, DataFrame] = {}
+    for level in dependency_levels({t: tuple(sorted({p for p, _, _ in links.get(t, [])})) for t in tables}):
+        for name in level:
+            rows = tables[name].where(scopes[name]) if name in scopes else tables[name]
+            for parent, own, theirs in links.get(name, []):
+                keys = out[parent].select(*[c.alias(f"_k{i}") for i, c in enumerate(theirs)]).distinct()
+                cond = reduce(lambda a, b: a & b, [c == F.col(f"_k{i}") for i, c in enumerate(own)])
+                rows = rows.join(keys, cond, "left_semi")
+            out[name] = rows
+    return out
+
+
+def graph_digest(tables: dict[str, DataFrame], parents: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``table, level, n, digest`` over a dependency graph: a table's digest is that of its own rows and of its parents'
+    digests, so a change shows in exactly the table and those that depend on it. Only one row a table is combined."""
+    own = {name: table_digest(df, name) for name, df in tables.items()}
+    out: dict[str, DataFrame] = {}
+    for depth, level in enumerate(dependency_levels(parents)):
+        for name in level:
+            joined = own[name].withColumn("_above", F.lit(""))
+            for parent in sorted(parents[name]):
+                above = out[parent].select(F.concat(F.lit(f"\n{parent}:"), "digest").alias("_d"))
+                joined = joined.crossJoin(above).withColumn("_above", F.concat("_above", "_d")).drop("_d")  # single rows
+            out[name] = joined.select("table", F.lit(depth).alias("level"), "n", F.sha2(F.concat("table", F.lit(":"), "digest", "_above"), 256).alias("digest"))
+    return reduce(DataFrame.unionByName, [out[name] for name in sorted(out)])
+
+
 def unchanged(now: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> DataFrame:
     """``table, unchanged``: whether each table of a corpus still has the snapshot's digest and row count."""
     sides = [reduce(DataFrame.unionByName, [table_digest(df, name) for name, df in sorted(tables.items())]) for tables in (now, snapshot)]

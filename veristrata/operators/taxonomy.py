@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def closure(edges: DataFrame, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
     """``ancestor_id, descendant_id, depth`` from ``edges`` (``child_id, parent_id``); every node is its
-    own ancestor at depth 0. Depth-wise equi joins, each from the frontier that the level before has kept;
+    own ancestor at depth 0. Depth-wise equi joins, each from the frontier that the level before has written;
     it shrinks to nothing on a forest, and a chain beyond ``max_depth`` (a cycle) is an error."""
     out = nodes.select(F.col("node_id").alias("ancestor_id"), F.col("node_id").alias("descendant_id"), F.lit(0).alias("depth"))
     frontier, depth = out, 0
     while True:
         depth += 1
-        frontier = frontier.join(edges, frontier.descendant_id == edges.parent_id).select("ancestor_id", F.col("child_id").alias("descendant_id"), F.lit(depth).alias("depth")).persist()
+        frontier = frontier.join(edges, frontier.descendant_id == edges.parent_id).select("ancestor_id", F.col("child_id").alias("descendant_id"), F.lit(depth).alias("depth"))
+        frontier = written(frontier, "closure-level")
         if frontier.isEmpty():
             return out
         if depth > max_depth:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,6 +33,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/veristrata/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    folder = scratch_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """The session of the tests and of ``bench.py``."""
     return (
