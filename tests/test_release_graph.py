@@ -78,3 +78,30 @@ def test_faults_of_collected_pages(spark):
     assert found(good[0], (1, 2, 3, 4, 5, 2, 2), (2, 1, 5, 5, 5, 2, None)) == [(1, "cycle")]
     assert found(good[0], (1, 2, 3, 4, 6, 2, 4), good[2]) == [(1, "total_drift"), (2, "total_drift")]
     assert found((0, 2, 1, 2, 2, 0, None)) == [(0, "first_page_has_cursor")]
+
+
+def test_quantiles_of_a_hot_group(spark):
+    import random
+
+    from veristrata.operators import metrics
+
+    r = random.Random(2)
+    rows = [("hot", r.choice([1.5, 2.0, 9.0, r.random()])) for _ in range(3000)] + [("cold", float(i)) for i in range(7)] + [(None, 4.0), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {x.g: (x.n, x.p50, x.p95) for x in metrics.latency(df, ["g"], "v").collect()}
+    for g in {x for x, _ in rows}:
+        own = sorted(v for x, v in rows if x == g and v is not None)
+        at = lambda p: own[-(-int(p * 100) * len(own) // 100) - 1] if own else None
+        assert got[g] == (sum(x == g for x, _ in rows), at(0.5), at(0.95))
+
+
+def test_ndcg_credits_each_group_once(spark):
+    import math
+
+    from veristrata.operators import metrics
+
+    rows = [([["a", "b"], ["b", "c"]], ["b", "b", "x", "c"]), ([["a"]], ["z", "a"]), ([["a"]], None), ([], ["a"]), (None, ["a"]), ([["a"], ["a"]], ["a", "a", "a"]), ([["a", None]], [None, "a"])]
+    df = spark.createDataFrame(rows, "g array<array<string>>, r array<string>")
+    got = [x.v for x in df.select(metrics.ndcg(F.col("g"), F.col("r")).alias("v")).collect()]
+    two = 1 + 1 / math.log2(3)
+    assert got == [1.0, round(1 / math.log2(3), 12), 0.0, None, None, round(two / two, 12), round(1 / math.log2(3), 12)]

@@ -142,8 +142,10 @@ def test_digests(spark):
     one, other = (ingest.multiset_digest(df, "k").first() for df in (rows, rows.repartition(7)))
     assert one == other and one.n == 2000
     assert ingest.multiset_digest(rows.limit(1999), "k").first().digest != one.digest and ingest.multiset_digest(rows.limit(0), "k").first().n == 0
-    with pytest.raises(Exception, match="too many keys"):
-        ingest.key_set_digest(rows, "k", limit=10).collect()
+    held = ingest.key_set_digest(rows, "k", limit=2000).first()
+    assert ingest.key_set_digest(rows.repartition(5), "k", limit=10).first() == held and held.n == 2000  # as a stream
+    odd = spark.createDataFrame([('a"b',), ("é\n",), (None,), ("",)], "k string")
+    assert ingest.key_set_digest(odd, "k", limit=1).first() == ingest.key_set_digest(odd, "k").first()
 
 
 def test_release_rules_and_grounding(spark):

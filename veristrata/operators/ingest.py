@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ASSEMBLY_ACCESSION, CONTIG_ACCESSION, is_accession, locus_key, stable_key
 from ..functions.scalar import is_compound_interval, strict_integer
+from ..session import workers_import
 
 #: Issue codes, in the order in which a row reports them.
 ISSUE_CODES = (
     "invalid_assembly_accession_version",
     "invalid_sequence_accession_version",
     "invalid_vr_token",
+    "locus_key_error",
     "multipart_interval",
     "invalid_integer",
     "invalid_contig_length",
@@ -65,9 +72,12 @@ def resolve(rows: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumn("assembly_resolution", F.when(F.col("_a").isNull(), "unresolved").otherwise("exact")).withColumn("contig_resolution", state).drop("_a", "_sa", "_sc")
 
 
-def normalize(rows: DataFrame, snapshot: str, policy: str) -> DataFrame:
+def normalize(rows: DataFrame, snapshot: str | Column, policy: str | Column) -> DataFrame:
     """One terminal outcome a row: ``normalized_candidate`` without issues, else ``quarantine``. Numbers are
-    read once, as columns, and the rules use these."""
+    read once, as columns, and the rules use these. A valid identity has no key all the same if the snapshot or the
+    policy (a text, or a column of the rows) is no exact token: null, empty or with white space around it."""
+    snapshot, policy = (F.lit(x) if isinstance(x, str) else x for x in (snapshot, policy))
+    unkeyed = reduce(lambda a, b: a | b, [F.coalesce((x == "") | x.rlike(r"^\s|\s$"), F.lit(True)) for x in (snapshot, policy)])
     is_compound = is_compound_interval(F.col("Start")) | is_compound_interval(F.col("End")) | is_compound_interval(F.col("Length"))
     read = rows.withColumns(
         {
@@ -85,22 +95,23 @@ def normalize(rows: DataFrame, snapshot: str, policy: str) -> DataFrame:
     resolved = "assembly_resolution" in rows.columns
     nothing = F.lit(False)
     issues = issues_of(
-        (ISSUE_CODES[0], ~F.col("_assembly")),
-        (ISSUE_CODES[1], ~F.col("_contig")),
-        (ISSUE_CODES[2], ~F.col("_token")),
-        (ISSUE_CODES[3], compound),
-        (ISSUE_CODES[4], not_integer),
-        (ISSUE_CODES[5], contig_length <= 0),
-        (ISSUE_CODES[6], F.col("assembly_resolution") == "unresolved" if resolved else nothing),
-        (ISSUE_CODES[7], (F.col("assembly_resolution") == "exact") & (F.col("contig_resolution") == "unresolved") if resolved else nothing),
-        (ISSUE_CODES[8], F.col("contig_resolution") == "length_mismatch" if resolved else nothing),
-        (ISSUE_CODES[9], ~((start >= 0) & (start < end))),
-        (ISSUE_CODES[10], length != end - start),
-        (ISSUE_CODES[11], end > contig_length),
-        (ISSUE_CODES[12], F.col("VR Type") == "Viral contig"),
-        (ISSUE_CODES[13], ~F.coalesce(F.col("VR Type").isin("Viral contig", "Integration"), nothing)),
+        ("invalid_assembly_accession_version", ~F.col("_assembly")),
+        ("invalid_sequence_accession_version", ~F.col("_contig")),
+        ("invalid_vr_token", ~F.col("_token")),
+        ("locus_key_error", F.col("_assembly") & F.col("_contig") & F.col("_token") & unkeyed),
+        ("multipart_interval", compound),
+        ("invalid_integer", not_integer),
+        ("invalid_contig_length", contig_length <= 0),
+        ("ncbi_assembly_not_resolved", F.col("assembly_resolution") == "unresolved" if resolved else nothing),
+        ("ncbi_sequence_not_resolved", (F.col("assembly_resolution") == "exact") & (F.col("contig_resolution") == "unresolved") if resolved else nothing),
+        ("ncbi_contig_length_mismatch", F.col("contig_resolution") == "length_mismatch" if resolved else nothing),
+        ("invalid_interval", ~((start >= 0) & (start < end))),
+        ("length_mismatch", length != end - start),
+        ("interval_out_of_bounds", end > contig_length),
+        ("viral_contig_policy_quarantine", F.col("VR Type") == "Viral contig"),
+        ("unsupported_vr_type", ~F.coalesce(F.col("VR Type").isin("Viral contig", "Integration"), nothing)),
     )
-    key = F.when(F.col("_assembly") & F.col("_contig") & F.col("_token"), locus_key(F.lit(snapshot), F.col("Assembly"), F.col("Contig"), F.col("VR"), F.lit(policy)))
+    key = F.when(F.col("_assembly") & F.col("_contig") & F.col("_token") & ~unkeyed, locus_key(snapshot, F.col("Assembly"), F.col("Contig"), F.col("VR"), policy))
     named = read.withColumns({"locus_key": key, "issues": issues}).drop("_compound", "_length", "_assembly", "_contig", "_token")
     return named.withColumn("outcome", F.when(F.size("issues") == 0, "normalized_candidate").otherwise("quarantine"))
 
@@ -160,15 +171,34 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return counts.agg(F.count_if(F.col("_n") > 1).alias("repeated_values"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("extra_rows"))
 
 
+#: Rows of a key set that one row may hold as a list; larger sets are hashed as a stream.
 KEY_SET = 100_000
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the JSON list of a stream of keys, given as JSON texts in their order."""
+    state, first = hashlib.sha256(b"["), True
+    for batch in batches:
+        for text in batch.column("j").to_pylist():
+            state.update((text if first else "," + text).encode())
+            first = False
+    state.update(b"]")
+    yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["digest"])
+
+
 def key_set_digest(rows: DataFrame, key: str, limit: int = KEY_SET) -> DataFrame:
-    """SHA-256 of the JSON list of sorted keys: the exact value for key sets of at most ``limit`` rows, which
-    one row holds. Larger ones are an error; :func:`multiset_digest` is their identity."""
-    listed = rows.select(F.col(key).cast("string").alias("k")).limit(limit + 1).agg(F.array_sort(F.collect_list("k")).alias("ks"), F.count("*").alias("n"))
-    small = F.when(F.col("n") <= limit, F.col("ks")).otherwise(F.raise_error(F.lit("too many keys for one list")))
-    return listed.select(F.sha2(F.to_json(small), 256).alias("digest"), "n")
+    """SHA-256 of the JSON list of sorted keys (nulls are not listed), with the number of rows. Above ``limit`` rows the
+    list is never held: keys are dealt to ranges, and one task sorts (on disk, if need be) and hashes one range after
+    the other, since this digest is sequential by definition. :func:`multiset_digest` is the identity that tasks share."""
+    keys = rows.select(F.col(key).cast("string").alias("k"))
+    n = keys.count()
+    if n <= limit:
+        listed = keys.agg(F.array_sort(F.collect_list("k")).alias("ks"), F.count("*").alias("n"))
+        return listed.select(F.sha2(F.to_json("ks"), 256).alias("digest"), "n")
+    one = F.to_json(F.array("k"))
+    workers_import(rows.sparkSession)
+    ordered = keys.where("k is not null").orderBy("k").select(F.substring(one, F.lit(2), F.length(one) - 2).alias("j"))
+    return ordered.coalesce(1).mapInArrow(_hashed, "digest string").withColumn("n", F.lit(n).cast("long"))
 
 
 def multiset_digest(rows: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Context, Decimal
+from decimal import Context, Decimal
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, ratio_reason
+from .pages import numbered
 
 
 def recall_at(groups: Column, returned: Column, k: int) -> Column:
@@ -24,36 +25,33 @@ def reciprocal_rank(groups: Column, returned: Column, k: int = 10) -> Column:
     return F.coalesce(F.bround(F.lit(1.0) / at, 12), F.lit(0.0))
 
 
-def ndcg(k: int = 10):
-    """UDF over (groups, returned): every group is credited once, greedily by rank, in 50 digits."""
+def _gains(k: int) -> list[Decimal]:
+    """``1 / log2(rank + 1)`` to 18 places."""
+    ctx = Context(prec=50)
+    return [ctx.divide(1, ctx.divide(ctx.ln(Decimal(r + 1)), ctx.ln(Decimal(2)))).quantize(Decimal("1e-18")) for r in range(1, k + 1)]
 
-    @F.pandas_udf("double")
-    def run(groups: pd.Series, returned: pd.Series) -> pd.Series:
-        ctx = Context(prec=50)
-        gain = [ctx.divide(1, ctx.divide(ctx.ln(Decimal(r + 1)), ctx.ln(Decimal(2)))) for r in range(1, k + 1)]
 
-        def one(gs, out):
-            if gs is None or len(gs) == 0:
-                return None
-            left = [set(g) for g in gs]
-            got = Decimal(0)
-            for rank, key in enumerate(list(out if out is not None else [])[:k]):
-                hit = next((g for g in left if key in g), None)
-                if hit is not None:
-                    left.remove(hit)
-                    got += gain[rank]
-            best = sum(gain[: min(k, len(gs))], Decimal(0))
-            return float((got / best).quantize(Decimal("1e-12"), ROUND_HALF_EVEN))
+def ndcg(groups: Column, returned: Column, k: int = 10) -> Column:
+    """Every evidence group is credited once, greedily by rank: each result takes the first group left that holds it.
+    Decimals of 18 places; null without groups."""
+    gains = F.array(*[F.lit(str(g)).cast("decimal(20,18)") for g in _gains(k)])
+    shown = F.slice(F.coalesce(returned, F.array().cast("array<string>")), 1, k)
+    zero = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).cast("decimal(20,18)").alias("got"), F.lit(1).alias("rank"))
 
-        return pd.Series([one(g, r) for g, r in zip(groups, returned)])
+    def step(state: Column, key: Column) -> Column:
+        fits = lambda i: ~F.array_contains(state["used"], i) & F.coalesce(F.array_contains(F.element_at(groups, i), key), F.lit(False))
+        hit = F.array_min(F.filter(F.sequence(F.lit(1), F.size(groups)), fits))
+        got = (state["got"] + F.when(hit.isNull(), F.lit(0)).otherwise(F.element_at(gains, state["rank"]))).cast("decimal(20,18)")
+        return F.struct(F.when(hit.isNull(), state["used"]).otherwise(F.array_append(state["used"], hit)).alias("used"), got.alias("got"), (state["rank"] + 1).alias("rank"))
 
-    return run
+    best = F.aggregate(F.slice(gains, 1, F.least(F.lit(k), F.size(groups))), F.lit(0).cast("decimal(20,18)"), lambda s, g: (s + g).cast("decimal(20,18)"))
+    return F.when(F.size(groups) > 0, F.bround(F.aggregate(shown, zero, step, lambda s: s["got"]) / best, 12).cast("double"))
 
 
 def question_metrics(rows: DataFrame) -> DataFrame:
     """``rows``: ``question_id, category, evidence_groups, returned``."""
     g, r = F.col("evidence_groups"), F.col("returned")
-    return rows.select("question_id", "category", *[recall_at(g, r, k).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)], reciprocal_rank(g, r).alias("mrr_at_10"), ndcg()(g, r).alias("ndcg_at_10"))
+    return rows.select("question_id", "category", *[recall_at(g, r, k).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)], reciprocal_rank(g, r).alias("mrr_at_10"), ndcg(g, r).alias("ndcg_at_10"))
 
 
 def summarize(metrics: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,21 +59,38 @@ def summarize(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return metrics.rollup("category").agg(F.count("*").alias("questions"), *[F.bround(F.avg(c), 12).alias(c) for c in columns])
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank quantiles of every group, named by ``shares``: rows are placed in sorted ranges, and the rows at
+    the wanted places are picked. A group with most of the rows is spread over many ranges. Nulls take no part."""
+    own = rows.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_group"), F.col(value).alias("_v"))
+    placed = numbered(own, "_group", ["_v"], 1)
+    sizes = own.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_n"))
+    wanted = {name: F.ceil(F.col("_n") * share) - 1 for name, share in shares.items()}
+    met = placed.join(sizes, F.col("_group").eqNullSafe(F.col("_g"))).where(F.array_contains(F.array(*wanted.values()), F.col("place")))
+    picked = met.groupBy("_group").agg(*[F.max(F.when(F.col("place") == at, F.col("_v"))).alias(name) for name, at in wanted.items()])
+    return picked.select(*[F.col(f"_group.{c}").alias(c) for c in by], *shares)
+
+
+def _same(by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+
+
+def _with_quantiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``sums`` with p50 and p95; a group without any value has none."""
+    found = quantiles(rows, by, value, {"p50": 0.5, "p95": 0.95})
+    return sums.alias("a").join(found.alias("b"), _same(by), "left").select("a.*", "b.p50", "b.p95")
+
+
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Nearest-rank p50 and p95. Exact, so one task a group holds the group's distinct values with their counts:
-    meant for measured runs, not for a corpus."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+    """Number of rows and nearest-rank p50 and p95."""
+    out = _with_quantiles(rows.groupBy(*by).agg(F.count("*").alias("n")), rows, by, value)
+    return out.select(*by, "n", "p50", "p95")
 
 
 def efficiency(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Latency quantiles (as in :func:`latency`), sums, peak memory; a cost is null as soon as one row lacks it."""
-    return rows.groupBy(*by).agg(
-        F.expr("percentile_disc(0.5) within group (order by latency)").alias("p50"),
-        F.expr("percentile_disc(0.95) within group (order by latency)").alias("p95"),
-        F.sum("tokens").alias("tokens"),
-        F.max("rss").alias("max_rss"),
-        F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost"),
-    )
+    """Latency quantiles, sums, peak memory; a cost is null as soon as one row lacks it."""
+    sums = rows.groupBy(*by).agg(F.sum("tokens").alias("tokens"), F.max("rss").alias("max_rss"), F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost"))
+    return _with_quantiles(sums, rows, by, "latency").select(*by, "p50", "p95", "tokens", "max_rss", "cost")
 
 
 def association_scores(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -135,7 +150,7 @@ def grounding(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Ratios of grounding: name, numerator, denominator, reason where the denominator is zero.
+#: Ratios of grounding by name, with numerator, denominator and the reason where the denominator is zero.
 GROUNDING = (
     ("required_fact_coverage", "covered_facts", "required_facts", "no_required_facts"),
     ("structured_fact_preservation", "preserved_facts", "supplied_facts", "no_supplied_structured_facts"),

@@ -73,10 +73,10 @@ def graph_digest(tables: dict[str, DataFrame], parents: dict[str, tuple[str, ...
 
 
 def unchanged(now: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> DataFrame:
-    """``table, unchanged``: whether each table of a corpus still has the snapshot's digest and row count."""
+    """``table, unchanged, digest, snapshot``: whether each table of a corpus still has the snapshot's digest and row count."""
     sides = [reduce(DataFrame.unionByName, [table_digest(df, name) for name, df in sorted(tables.items())]) for tables in (now, snapshot)]
     then = sides[1].select("table", F.col("digest").alias("_d"), F.col("n").alias("_n"))
-    return sides[0].join(then, "table", "full").select("table", (F.col("digest").eqNullSafe(F.col("_d")) & F.col("n").eqNullSafe(F.col("_n"))).alias("unchanged"))
+    return sides[0].join(then, "table", "full").select("table", (F.col("digest").eqNullSafe(F.col("_d")) & F.col("n").eqNullSafe(F.col("_n"))).alias("unchanged"), "digest", F.col("_d").alias("snapshot"))
 
 
 def sealed_faults(rows: DataFrame, own: str = "record_sha256") -> DataFrame:

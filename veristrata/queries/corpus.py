@@ -287,10 +287,15 @@ def telemetry(spark: SparkSession, d: str) -> DataFrame:
     return indexed.groupBy(F.floor(F.col("key") / 100).alias("batch")).agg(F.count("*").alias("rows"), F.count_if("truncated").alias("truncated"), F.sum("truncated_tokens").alias("truncated_tokens"), F.bool_and(is_unit_vector(F.col("vector"), 384)).alias("valid"))
 
 
-@_add("H35_corpus_fingerprint", "SELECT t AS \"table\", u AS unchanged FROM (VALUES ('benchmark', true), ('documents', false), ('labels', true)) v(t, u)")
+_BUCKETS = "SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT b, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS d, sum(c) AS n FROM (SELECT h, h[1:3] AS b, count(*) AS c FROM (SELECT sha256(sha256(CAST(to_json({0}) AS VARCHAR))) AS h FROM {1}) GROUP BY h) GROUP BY b)"
+_ROWS = {"benchmark": "{'item_id': item_id, 'text': text}", "documents": "{'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}", "labels": "{'doc_id': doc_id, 'quality': quality, 'toxic': toxic}"}
+_CHANGED = "(SELECT * REPLACE (CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN text || ' ' ELSE text END AS text) FROM documents)"
+
+
+@_add("H35_corpus_fingerprint", "SELECT \"table\", a.digest = b.digest AND a.n = b.n AS unchanged, a.digest, b.digest AS snapshot FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", * FROM ({_BUCKETS.format(row, t)})" for t, row in _ROWS.items()) + ") a JOIN (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", * FROM ({_BUCKETS.format(row, _CHANGED if t == 'documents' else t)})" for t, row in _ROWS.items()) + ") b USING (\"table\")")
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """The digests of three tables against those of a snapshot in which one text has another blank."""
-    now = {n: table(spark, d, n) for n in ("benchmark", "documents", "labels")}
+    now = {n: table(spark, d, n) for n in _ROWS}
     least = now["documents"].agg(F.min("doc_id").alias("least"))
     changed = now["documents"].crossJoin(least).withColumn("text", F.when(F.col("doc_id") == F.col("least"), F.concat("text", F.lit(" "))).otherwise(F.col("text"))).drop("least")  # one row
     return release.unchanged(now, now | {"documents": changed})
@@ -389,7 +394,10 @@ _ASKED = (
 )
 
 
-@_add("F19_forbidden_topics", f"SELECT o_orderkey, o_orderkey % {2 * len(_ASKED)} < {len(_ASKED)} AS forbidden FROM orders")
+_FORMS = ", ".join(f"'{t}'" for t in [*(a for a, _ in _ASKED), *(b for _, b in _ASKED)])
+
+
+@_add("F19_forbidden_topics", f"SELECT o_orderkey, regexp_matches('Please tell me: ' || [{_FORMS}][o_orderkey % {2 * len(_ASKED)} + 1] || ' of order ' || CAST(o_orderkey AS VARCHAR), '(?i){'|'.join(FORBIDDEN_TOPICS)}') AS forbidden FROM orders")
 def topics(spark: SparkSession, d: str) -> DataFrame:
     """Questions by the order's number: those of the first half name a topic each, the others just miss one."""
     asked = F.array(*[F.lit(a) for a, _ in _ASKED], *[F.lit(b) for _, b in _ASKED])

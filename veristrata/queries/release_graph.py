@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import pages, release, rules
 from ..operators.taxonomy import closure
+from ..session import scratch_folder
+from ..sources import staging
 from .mapping import CLOSURE, lineage, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -210,3 +212,27 @@ def paged(spark: SparkSession, d: str) -> DataFrame:
     """The first and last key, size and cursors of every page of each state's orders."""
     orders = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), F.col("o_orderkey").alias("k"))
     return pages.page_heads(pages.numbered(orders, "run", ["k"], _PAGE), "run", "k")
+
+
+_POOR = "SELECT * FROM customer WHERE c_acctbal < 5000"
+
+
+@_add("S15_S16_staged_tables", f"""SELECT 'customer' AS "table", CASE WHEN c_acctbal < 5000 THEN 'a' ELSE 'b' END AS run_key, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 2
+ UNION ALL SELECT 'nation', CASE WHEN n_nationkey IN (SELECT c_nationkey FROM ({_POOR})) THEN 'a' ELSE 'b' END AS r, count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation GROUP BY r
+ UNION ALL SELECT 'region', CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM ({_POOR}))) THEN 'a' ELSE 'b' END AS r, count(*), CAST(sum(r_regionkey) AS BIGINT) FROM region GROUP BY r""")
+def staged_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Three dependent tables staged in two runs that overlap, and the first run again: every key is stored by the run that
+    brought it first."""
+    region, nation, customer = (table(spark, d, n) for n in ("region", "nation", "customer"))
+    poor = customer.where("c_acctbal < 5000")
+    lands = nation.join(poor.select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi").select(*nation.columns)
+    parts = region.join(lands.select(F.col("n_regionkey").alias("r_regionkey")), "r_regionkey", "left_semi").select(*region.columns)
+    folder, parents = scratch_folder(spark, "staged"), {"nation": {"region": "n_regionkey"}, "customer": {"nation": "c_nationkey"}}
+    keyed = lambda r, n, c: {"region": (r, "r_regionkey"), "nation": (n, "n_nationkey"), "customer": (c, "c_custkey")}
+    for run, batch in (("a", keyed(parts, lands, poor)), ("b", keyed(region, nation, customer)), ("a", keyed(region, nation, customer))):
+        staging.stage_tables(batch, parents, folder, run)
+    out = None
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey")):
+        own = staging.read_table(spark, folder, name).groupBy("run_key").agg(F.count("*").alias("n"), F.sum(key).cast("long").alias("keys")).select(F.lit(name).alias("table"), "run_key", "n", "keys")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -49,6 +49,14 @@ def normalization(spark: SparkSession, d: str) -> DataFrame:
     return _normal(spark, d).select("Assembly", "Contig", "VR", "source_assessment", "start0", "end0", "contig_length", F.array_join("issues", ",").alias("issue_list"), "outcome")
 
 
+@_add("F14_locus_key_error", f"""SELECT vr_type AS "VR Type", count_if(bad) AS errors, count_if(good AND NOT bad) AS keys, count(*) AS n FROM (SELECT *, good AND vr_type IN ('Other', 'Viral contig') AS bad FROM (SELECT *, regexp_full_match(assembly, 'GC[AF]_[0-9]{{9}}\\.[1-9][0-9]*') AND vr <> 'vr0' AS good FROM ({WORKSHEET}))) GROUP BY vr_type""")
+def locus_key_error(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a valid identity whose snapshot is no exact token: empty, or with a blank before it."""
+    snapshot = F.when(F.col("VR Type") == "Other", " snap-1").when(F.col("VR Type") == "Viral contig", "").otherwise("snap-1")
+    rows = ingest.normalize(worksheet(spark, d), snapshot, "policy-1")
+    return rows.groupBy("VR Type").agg(F.count_if(F.array_contains("issues", "locus_key_error")).alias("errors"), F.count("locus_key").alias("keys"), F.count("*").alias("n"))
+
+
 @_add("X3_I4_locus_keys", f"""SELECT assembly AS "Assembly", contig AS "Contig", vr AS "VR", 'locus:sha256:' || sha256('{{"assembly_accession_version":"' || assembly || '","contig_accession_version":"' || contig || '","identity_policy_version":"policy-1","native_vr_token":"' || vr || '","source_snapshot_key":"snap-1"}}') AS locus_key FROM ({WORKSHEET}) WHERE regexp_full_match(assembly, 'GC[AF]_[0-9]{{9}}\\.[1-9][0-9]*') AND vr <> 'vr0'""")
 def locus_keys(spark: SparkSession, d: str) -> DataFrame:
     return _normal(spark, d).where("locus_key is not null").select("Assembly", "Contig", "VR", "locus_key")
@@ -157,7 +165,7 @@ def strict(spark: SparkSession, d: str) -> DataFrame:
 _INTERVALS = ("{0}..9", "{0},7", "{0};7", "{0}|7", "join({0}", "ORDER ({0}", "complement({0}", "{0}", "{0}.5", "joint {0}", "{0}-7", "-{0}")
 
 
-@_add("F16_compound_interval", "SELECT o_orderkey, o_orderkey % 12 < 7 AS compound FROM orders")
+@_add("F16_compound_interval", f"SELECT o_orderkey, regexp_matches(text, '(?i)[,;|]|\\b(join|order|complement)\\s*\\(|[.][.]') AS compound FROM (SELECT o_orderkey, replace([{', '.join(f"'{t}'" for t in _INTERVALS)}][o_orderkey % 12 + 1], '{{0}}', CAST(o_orderkey AS VARCHAR)) AS text FROM orders)")
 def compound(spark: SparkSession, d: str) -> DataFrame:
     forms = F.array(*[F.lit(t) for t in _INTERVALS])
     text = F.replace(F.get(forms, (F.col("o_orderkey") % 12).cast("int")), F.lit("{0}"), F.col("o_orderkey").cast("string"))
@@ -197,6 +205,12 @@ def key_digest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.key_set_digest(table(spark, d, "nation"), "n_name")
 
 
+@_add("A13_key_set_stream", "SELECT sha256('[' || string_agg('\"' || k || '\"', ',' ORDER BY k) || ']') AS digest, count(*) AS n FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders)")
+def key_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same digest of a key set that is not held as a list."""
+    return ingest.key_set_digest(table(spark, d, "orders"), "o_orderkey", limit=100)
+
+
 _BUCKETED = "SELECT sha256(string_agg(d, ',' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT b, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS d, sum(c) AS n FROM (SELECT h, h[1:3] AS b, count(*) AS c FROM (SELECT sha256({0}) AS h FROM {1}) GROUP BY h) GROUP BY b)"
 
 
