@@ -38,3 +38,25 @@ def test_lengths_repeated_ids_and_ties(spark):
 def test_shards_follow_the_size():
     assert ann.shard_counts({64: 30_000}) == [(64, 0, 6)] and ann.shard_counts({64: 160_000}) == [(64, 0, 16)]
     assert ann.shard_counts({3: 10, 64: 32_000_000}) == [(3, 0, 1), (64, 1, 160)] and ann.shard_counts({}) == []
+
+
+def test_queries_pass_shards_in_blocks(spark, monkeypatch):
+    """Several blocks of queries a shard, several shards a task: the same rows as in one block."""
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(400, 6)))], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.nearest(rows, every=3).collect()))
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(ann, "map_arrow", lambda df, fn, schema: _one_task(df, fn, schema))
+    assert sorted(map(tuple, ann.nearest(rows, every=3).collect())) == want and len(want) == 134 * 10
+
+
+def _one_task(df, fn, schema):
+    from veristrata.llm import common
+
+    if "asks" in df.columns:
+        df = df.coalesce(1).sortWithinPartitions("shard", "block", "asks")
+    return common.map_arrow(df, fn, schema)
+
+
+def test_long_vectors_make_smaller_shards():
+    assert ann.shard_counts({1536: 400_000}) == [(1536, 0, 10)] and ann.shard_counts({1 << 27: 3}) == [(1 << 27, 0, 3)]

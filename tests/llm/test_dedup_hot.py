@@ -27,6 +27,59 @@ def test_hot_anchors_lose_no_repeat(spark, hot, monkeypatch):
     assert _rows(spark, texts) == want and sum(w[2] for w in want) > 5000
 
 
+def test_one_line_in_many_surroundings_is_cut_into_windows(spark, monkeypatch):
+    """Its class is hot after the first split as well: single windows part, and no group keeps all surroundings."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    r = np.random.default_rng(3)
+    free = lambda k: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    line = free(93)
+    texts = [free(40) + line + free(40) for _ in range(120)] + [free(20) + line + "xyz" * 9 for _ in range(60)] + [free(9) + "0123456" + line + free(9) for _ in range(9)]
+    assert _rows(spark, texts) == sorted(_removed(list(enumerate(texts))))
+    sizes = {}  # the classes of one anchor in the line, and their windows
+    for t in texts:
+        at = t.index(line)
+        for key, x in suffix_dedup._split(7, (0, 0, max(0, at - 7), 7, t.encode()[max(0, at - 7) : at + 107])):
+            sizes.setdefault(key, []).append(x)
+    key, members = max(sizes.items(), key=lambda kv: len(kv[1]))
+    assert len(members) > 30
+    single = {}
+    for x in members:
+        for k, y in suffix_dedup._windows(key, x):
+            single.setdefault((k, y[3], y[4]), []).append(y)
+    assert max(len(v) for k, v in single.items()) < len(members) and all(len({y[4] for y in v}) == 1 for v in single.values())
+
+
+@pytest.mark.parametrize("most", [40, 200])
+def test_buckets_are_split_until_none_is_large(spark, most):
+    r = np.random.default_rng(5)
+    fps = {0xABC0000000000000 | int(x) for x in r.integers(0, 1 << 50, 300)}  # one bucket by their first bits
+    for f in sorted(fps)[:120]:
+        for _ in range(3):
+            fps.add(f ^ sum(1 << int(b) for b in r.choice(50, int(r.integers(1, 6)), replace=False)))
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp long")
+    keyed = simhash._keyed(rows, simhash.block_masks(4, 1), 4, most)
+    assert max(x["count"] for x in keyed.groupBy("part", "value").count().collect()) <= most
+    index = {f: i for i, f in enumerate(sorted(fps))}
+    values = sorted(fps)
+    want = _components(index.values(), lambda a, b: (values[a] ^ values[b]).bit_count() <= 4)
+    got = _components_of([(x.child, x.parent) for x in simhash.near_links(rows, most=most).collect()], index)
+    assert got == {i: want[i] for i in index.values()} and len(set(want.values())) < len(want)
+
+
+def _components_of(edges, index):
+    up = {i: i for i in index.values()}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = root(index[a & (1 << 64) - 1]), root(index[b & (1 << 64) - 1])
+        up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}
+
+
 def test_texts_with_one_key_stay_apart(spark, monkeypatch):
     keyed = suffix_dedup._keyed
     monkeypatch.setattr(suffix_dedup, "_keyed", lambda docs: keyed(docs).withColumn("tkey", F.lit(7).cast("long")))

@@ -2,17 +2,18 @@
 
 1. Usable vectors (finite, non-zero) collapse to distinct ones with their least ids, combined within
    each task first, so copies of one vector meet in no task. Each length has shards of its own.
-2. Distinct vectors are dealt to shards by a hash: ``SHARDS`` of them, of ``LEAST_ROWS`` vectors at least
-   and ``MOST_ROWS`` at most (a bound on a task's memory). In each shard a directed graph grows in doubling
+2. Distinct vectors are dealt to shards by a hash: ``SHARDS`` of them, of ``LEAST_ROWS`` vectors at least and of
+   ``MOST_ROWS`` and ``MOST_BYTES`` at most (bounds on a task's memory). In each shard a directed graph grows in doubling
    batches: a greedy beam search on the graph so far proposes neighbours, relaxed distance pruning keeps
    diverse edges (a candidate goes if a kept neighbour is ``ALPHA`` times nearer to it than the node),
    reverse edges are added and pruned again.
-3. Every query searches every shard by beam search from the medoid and a few spread entry points. Queries
-   are dealt in blocks, so a task holds one shard and one bounded block. The best of all shards win.
+3. Every query searches every shard by beam search from the medoid and a few spread entry points. A task reads one
+   shard and then the queries as a stream, so it never holds these; only beyond ``BLOCK_QUERIES`` queries is a shard
+   given to a second task. The best of all shards win.
 
 All rows are indexed. Distances are Euclidean in double precision on the given vectors. Work grows with
 queries times shards: from ``SHARDS * MOST_ROWS`` vectors on, with the square of their number over
-``100 * MOST_ROWS``. Defined cases: vectors that are null, empty, zero, or that hold null or non-finite
+``100 * MOST_ROWS``. Very long vectors make smaller shards. Defined cases: vectors that are null, empty, zero, or that hold null or non-finite
 components take no part; vectors of different lengths have no distance and never meet; fewer candidates
 give fewer rows; ties go to the smaller id; a repeated id counts once per distinct vector, and asks with
 its least one; empty tables give empty results.
@@ -35,7 +36,8 @@ EVERY = 100
 SHARDS = 16
 LEAST_ROWS = 5000
 MOST_ROWS = 200_000
-BLOCK_QUERIES = 100_000
+MOST_BYTES = 512 << 20
+BLOCK_QUERIES = 1_000_000
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 96
@@ -243,7 +245,7 @@ def shard_counts(sizes: dict[int, int], shard_rows: int | None = None) -> list[t
     """``(length, first shard, shards)`` for the number of distinct vectors of each length."""
     out, first = [], 0
     for d, n in sorted(sizes.items()):
-        rows = shard_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))
+        rows = max(1, min(shard_rows or MOST_ROWS, MOST_BYTES // (8 * max(d, 1)), max(shard_rows or LEAST_ROWS, -(-n // SHARDS))))
         out.append((d, first, max(1, -(-n // rows))))
         first += out[-1][2]
     return out
@@ -269,37 +271,63 @@ def _vectors(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(rows, -1)
 
 
-def _nearest_in(t: pa.Table, q: pa.Table, top: int, beam: int) -> Iterator[pa.Table]:
-    """The best of one shard for one block of queries, piece by piece."""
-    t = t.sort_by("node")
-    x = _vectors(t.column("vec"), t.num_rows)
-    edges = t.column("edges").combine_chunks()
-    counts = np.diff(edges.offsets.to_numpy())
-    graph = np.full((len(x), DEGREE), -1, np.int64)
-    graph[np.arange(DEGREE)[None, :] < counts[:, None]] = edges.flatten().to_numpy()
-    ids = t.column("ids").to_pylist()
-    entries = np.flatnonzero(t.column("entry").to_numpy())
-    asked = q.column("query_id").to_pylist()
-    points = _vectors(q.column("vec"), q.num_rows)
-    step = max(16, min(256, 32_000_000 // len(x)))  # a search marks the nodes that it has seen
-    for s in range(0, len(points), step):
-        out: list[tuple[int, int, float]] = []
-        found, _ = beam_search(x, graph, entries, points[s : s + step], max(beam, top))
-        for k, nodes in enumerate(found, s):
-            nodes = nodes[nodes >= 0]
-            d = np.sqrt(((x[nodes] - points[k]) ** 2).sum(axis=1))
-            near: list[tuple[float, int]] = []
-            for i in np.argsort(d, kind="stable"):
-                if len(near) >= top and d[i] > sorted(near)[top - 1][0]:
-                    break
-                near += [(float(d[i]), v) for v in ids[nodes[i]] if v != asked[k]]
-            out += [(asked[k], v, score) for score, v in sorted(near)[:top]]
-        yield _found(out)
-
-
-def _found(rows: list[tuple[int, int, float]]) -> pa.Table:
+class _Shard:
+    """One shard's graph, as a task searches it."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by("node")
+        self.x = _vectors(t.column("vec"), t.num_rows)
+        edges = t.column("edges").combine_chunks()
+        counts = np.diff(edges.offsets.to_numpy())
+        self.graph = np.full((len(self.x), DEGREE), -1, np.int64)
+        self.graph[np.arange(DEGREE)[None, :] < counts[:, None]] = edges.flatten().to_numpy()
+        self.ids = t.column("ids").to_pylist()
+        self.entries = np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))
+
+    def nearest(self, asked: list[int], points: np.ndarray, top: int, beam: int) -> Iterator[pa.RecordBatch]:
+        """The best of the shard for some queries, piece by piece."""
+        x = self.x
+        step = max(16, min(256, 32_000_000 // len(x)))  # a search marks the nodes that it has seen
+        for s in range(0, len(points), step):
+            out: list[tuple[int, int, float]] = []
+            found, _ = beam_search(x, self.graph, self.entries, points[s : s + step], max(beam, top))
+            for k, nodes in enumerate(found, s):
+                nodes = nodes[nodes >= 0]
+                d = np.sqrt(((x[nodes] - points[k]) ** 2).sum(axis=1))
+                near: list[tuple[float, int]] = []
+                for i in np.argsort(d, kind="stable"):
+                    if len(near) >= top and d[i] > sorted(near)[top - 1][0]:
+                        break
+                    near += [(float(d[i]), v) for v in self.ids[nodes[i]] if v != asked[k]]
+                out += [(asked[k], v, score) for score, v in sorted(near)[:top]]
+            yield _found(out)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], top: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, each shard's nodes before its queries: the nodes are held, the queries pass."""
+    number, nodes, shard = None, [], None
+    for batch in batches:
+        shards, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks"))
+        edges = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, z in zip([0, *edges], [*edges, batch.num_rows]):
+            if a == z:
+                continue
+            piece = batch.slice(int(a), int(z - a))
+            if shards[a] != number:
+                number, nodes, shard = shards[a], [], None
+            if not asks[a]:
+                if shard is None:  # else the nodes come again, for a further block of queries
+                    nodes.append(piece)
+                continue
+            if shard is None and nodes:
+                shard, nodes = _Shard(pa.Table.from_batches(nodes)), []
+            if shard is not None:
+                yield from shard.nearest(piece.column("query_id").to_pylist(), _vectors(piece.column("vec"), piece.num_rows), top, beam)
+
+
+def _found(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[], [], []]
-    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, layout: list[tuple[int, int, int]], queries: DataFrame, top: int = TOP, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -318,12 +346,12 @@ def search(index: DataFrame, layout: list[tuple[int, int, int]], queries: DataFr
     sized = F.broadcast(spark.createDataFrame(layout, "d int, first int, n int"))  # one row a length
     asked = packed.withColumn("d", (F.octet_length("vec") / 8).cast("int")).join(sized, "d").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     asked = asked.select("query_id", "vec", "block", F.explode(F.expr("sequence(first, first + n - 1)")).alias("shard"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(t: pa.Table, q: pa.Table) -> pa.Table:
-        return pa.concat_tables(_nearest_in(t, q, top, beam)) if t.num_rows and q.num_rows else _found([])
-
-    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
+    both = held.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    # a fixed number of partitions: the work is in the searches, so none may be merged into one task by size
+    dealt = both.repartition(max(1, sum(n for _, _, n in layout)) * blocks, "shard", "block").sortWithinPartitions("shard", "block", "asks")
+    columns = ["shard", "block", "asks", "query_id", "node", "vec", "ids", "edges", "entry"]
+    found = map_arrow(dealt.select(*columns), lambda batches: _searched(batches, top, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -38,6 +38,9 @@ BUDGET = 4
 SHINGLE = 4
 SEED = 42
 
+#: Fingerprints of one bucket, at most: what one task joins at once.
+MOST_IN_BUCKET = 500_000
+
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint of one text."""
@@ -190,11 +193,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_links(distinct: DataFrame, budget: int = BUDGET, exact: int = 1, group_rows: int = 200_000) -> DataFrame:
+def finer_masks(mask: int, budget: int) -> list[int]:
+    """Masks that hold ``mask`` and one of ``budget + 1`` runs of its other bits: two fingerprints that differ in
+    ``budget`` bits at most, none of them in ``mask``, agree under one of these too."""
+    rest = [1 << i for i in range(63, -1, -1) if not mask >> i & 1]
+    edges = [round(len(rest) * i / (budget + 1)) for i in range(budget + 2)]
+    return sorted({mask | sum(rest[a:z]) for a, z in zip(edges, edges[1:]) if a < z})
+
+
+def _keyed(distinct: DataFrame, masks: list[int], budget: int, most: int) -> DataFrame:
+    """``part`` (the mask of the bits that a bucket shares), ``value, fp``. Buckets of more than ``most`` fingerprints, if
+    there can be any, are keyed again by finer masks until none is left: every link stays in one bucket at least."""
+    held = lambda m: F.col("fp").bitwiseAND(m)
+    now = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("part")).select("part", held(F.col("part")).alias("value"), "fp")
+    if distinct.count() <= most:
+        return now
+    out, level = None, set(masks)
+    while True:
+        large = durable(now.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("part", "value"), "simhash-large")
+        small = now.join(large, ["part", "value"], "left_anti")
+        out = small if out is None else out.unionByName(small)
+        known = {r.part for r in large.select("part").distinct().collect()}  # masks of one level: a few hundred at most
+        finer = [(_signed(m), _signed(f)) for m in sorted(level) if _signed(m) in known for f in finer_masks(m, budget)]
+        if not finer:
+            return out
+        level = {f & (1 << 64) - 1 for _, f in finer}
+        steps = distinct.sparkSession.createDataFrame(finer, "part long, finer long")
+        again = now.join(large, ["part", "value"], "left_semi").join(F.broadcast(steps), "part")
+        now = durable(again.select(F.col("finer").alias("part"), held(F.col("finer")).alias("value"), "fp").distinct(), "simhash-finer")
+
+
+def near_links(distinct: DataFrame, budget: int = BUDGET, exact: int = 1, group_rows: int = 200_000, most: int | None = None) -> DataFrame:
     """``distinct``: column ``fp``. Returns ``child, parent``: stars whose union has the components
-    of all links at ``budget`` or fewer differing bits."""
-    masks = block_masks(budget, exact)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)])).alias("k")).select("k.part", "k.value", "fp")
+    of all links at ``budget`` or fewer differing bits. No bucket holds more than ``most`` fingerprints."""
+    keyed = _keyed(distinct, block_masks(budget, exact), budget, MOST_IN_BUCKET if most is None else most)
     placed = keyed.repartition("part", "value").sortWithinPartitions("part", "value", "fp")
 
     def emit(part: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:

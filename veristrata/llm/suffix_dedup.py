@@ -22,6 +22,8 @@ shuffle. An anchor with more than ``HOT`` occurrences (counted exactly; more on
 ``HOT_GRAMS`` anchors would be hot) is split by what surrounds it: a window with the anchor at offset
 ``a`` goes to class ``a div STEP``, whose windows all hold the same ``LENGTH - STEP + 1`` bytes around
 the anchor, and these bytes name its group. Equal windows still meet, while different surroundings part.
+A class that is hot itself (counted exactly too: one line in many different surroundings) is cut into its
+single windows, each with a group of its own; a task sends one of equal windows.
 
 Texts are told apart by their whole digest: ``tid`` is its first 60 bits, and another number where two
 texts share these. Partitions and buckets follow from the bytes of the distinct texts.
@@ -32,6 +34,7 @@ their digest; a repeated row is a later copy of the first; an empty table gives
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import pickle
 import uuid
@@ -178,8 +181,8 @@ def _find_anchors(buckets: int) -> Callable:
 
 
 def _repeated_anchors(hot: int) -> Callable:
-    """Reduce side: places of the grams that occur twice or more; ``gram`` is set on one row of a gram
-    that occurs more than ``hot`` times."""
+    """Reduce side: places of the grams that occur twice or more; ``gram`` is set on the places of those
+    that occur more than ``hot`` times, and on one row without text (``tid`` null) of each of these."""
 
     def out(ord_: np.ndarray, tid: np.ndarray, place: np.ndarray, gram: np.ndarray | None = None) -> pa.RecordBatch:
         cols = [pa.array(ord_, pa.int64()), pa.array(tid, pa.int64()), pa.array(place, pa.int32()), pa.array(gram.view(np.int64)) if gram is not None else pa.nulls(len(ord_), pa.int64())]
@@ -197,10 +200,13 @@ def _repeated_anchors(hot: int) -> Callable:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             total = np.add.reduceat(counts, first)
             twice = np.repeat(total > 1, np.diff(np.append(first, len(h)))) & (counts == 1)  # the others have passed
-            yield out(ord_[twice], tid[twice], place[twice])
-            many = first[total > hot]
-            if len(many):
-                yield out(ord_[many], tid[many], place[many], h[many])
+            large = np.repeat(total > hot, np.diff(np.append(first, len(h))))
+            yield out(ord_[twice & ~large], tid[twice & ~large], place[twice & ~large])
+            if large.any():
+                yield out(ord_[twice & large], tid[twice & large], place[twice & large], h[twice & large])
+                grams = h[first[total > hot]].view(np.int64)
+                none = pa.nulls(len(grams), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(grams), pa.int32()), pa.array(grams)], ["ord", "tid", "place", "gram"])
 
     return run
 
@@ -348,10 +354,61 @@ def _split(h: int, x: tuple) -> Iterator[tuple[int, tuple]]:
             yield xxhash.xxh64_intdigest(shared, (h ^ low) & 0xFFFFFFFFFFFFFFFF), (ord_, tid, start + a, offset - a, raw[a : z + LENGTH])
 
 
-def _contexts(buckets: int, hot: np.ndarray) -> Callable:
+def _windows(key: int, x: tuple) -> Iterator[tuple[int, tuple]]:
+    """A part of a hot class cut into its single windows, each with the key of its own group: equal windows alone meet
+    there, and of these a task sends one."""
+    import xxhash
+
+    ord_, tid, start, offset, raw = x
+    for a in range(len(raw) - LENGTH + 1):
+        window = raw[a : a + LENGTH]
+        yield xxhash.xxh64_intdigest(window, (key ^ offset - a) & 0xFFFFFFFFFFFFFFFF), (ord_, tid, start + a, offset - a, window)
+
+
+def _class_sizes(hot: np.ndarray) -> Callable:
+    """Map side of the count of hot classes: ``key, n`` of the classes of the hot anchors' contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+
+        for held in _places_of(batches):
+            hashes = np.array([h for h, _ in held], np.uint64)
+            for k in np.flatnonzero(np.isin(hashes, hot)).tolist():
+                for key, _ in _split(*held[k]):
+                    counts[key] = counts.get(key, 0) + 1
+            if len(counts) >= 200_000:
+                yield out()
+                counts = {}
+        yield out()
+
+    return run
+
+
+def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, tuple]]]:
+    """The named anchors of slices of texts: hash, and ``ord, tid``, start of the windows, offset and bytes."""
+    for batch in slices(batches, "text"):
+        data, ends = _laid_out(batch)
+        starts = np.concatenate([[0], ends[:-1]])
+        ords, tids = batch.column("ord").to_pylist(), batch.column("tid").to_pylist()
+        places = batch.column("places")
+        per_doc = np.diff(places.offsets.to_numpy())
+        wanted = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts, per_doc)
+        first, last, place, h = anchors(data, ends)
+        own = np.isin(place, wanted)
+        first, last, place, h = first[own], last[own], place[own], h[own]
+        doc = np.searchsorted(ends, place, "right")
+        raw = data.tobytes()
+        yield [(x, (ords[d], tids[d], a - int(starts[d]), p - a, raw[a : b + LENGTH])) for d, a, b, p, x in zip(doc.tolist(), first.tolist(), last.tolist(), place.tolist(), h.tolist())]
+
+
+def _contexts(buckets: int, hot: np.ndarray, large: np.ndarray) -> Callable:
     """Map side of the group join: each repeated anchor with the bytes of its windows. Equal contexts
     within the task combine: all but the earliest become spans at once (bucket below zero). ``hot``:
-    sorted hashes of the hot grams."""
+    sorted hashes of the hot grams; ``large``: sorted keys of the classes that are hot themselves."""
 
     def flush(held: list, salt: int) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], tuple] = {}
@@ -373,15 +430,25 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
         yield packed(sent, spans, salt)
 
     def parts(parted: list, salt: int) -> Iterator[pa.RecordBatch]:
-        classes: dict[tuple[int, int, bytes], tuple] = {}
         spans = []
-        for h, x in parted:  # in order: the earliest of equal parts is sent, the others are spans
-            for key, y in _split(h, x):
-                if (key, y[3], y[4]) in classes:
+
+        def once(pieces: Iterator[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
+            """In order: the earliest of equal pieces is sent, the others are spans."""
+            seen: dict[tuple[int, int, bytes], tuple] = {}
+            for key, y in pieces:
+                if (key, y[3], y[4]) in seen:
                     spans.append((y[0], y[1], y[2], y[2] + len(y[4])))
                 else:
-                    classes[key, y[3], y[4]] = y
-        yield packed([(key, y) for (key, _, _), y in classes.items()], spans, salt)
+                    seen[key, y[3], y[4]] = y
+            return [(key, y) for (key, _, _), y in seen.items()]
+
+        sent = once(r for h, x in parted for r in _split(h, x))
+        if len(large) and sent:
+            keys = np.array([key for key, _ in sent], np.uint64)
+            again = (large[np.minimum(np.searchsorted(large, keys), len(large) - 1)] == keys).tolist()
+            whole = [r for r, k in zip(sent, again) if not k]
+            sent = whole + once(r for (key, x), k in zip(sent, again) if k for r in _windows(key, x))
+        yield packed(sent, spans, salt)
 
     def packed(sent: list, spans: list, salt: int) -> pa.RecordBatch:
         found = []
@@ -394,20 +461,8 @@ def _contexts(buckets: int, hot: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, salt = [], 0
-        for batch in slices(batches, "text"):
-            data, ends = _laid_out(batch)
-            starts = np.concatenate([[0], ends[:-1]])
-            ords, tids = batch.column("ord").to_pylist(), batch.column("tid").to_pylist()
-            places = batch.column("places")
-            per_doc = np.diff(places.offsets.to_numpy())
-            wanted = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts, per_doc)
-            first, last, place, h = anchors(data, ends)
-            own = np.isin(place, wanted)
-            first, last, place, h = first[own], last[own], place[own], h[own]
-            doc = np.searchsorted(ends, place, "right")
-            raw = data.tobytes()
-            for d, a, b, p, x in zip(doc.tolist(), first.tolist(), last.tolist(), place.tolist(), h.tolist()):
-                held.append((x, (ords[d], tids[d], a - int(starts[d]), p - a, raw[a : b + LENGTH])))
+        for found in _places_of(batches):
+            held += found
             if len(held) >= 200_000:
                 yield from flush(held, salt)
                 held, salt = [], salt + 7919
@@ -517,34 +572,47 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     hot = max(HOT, 2 * size // (LENGTH - GRAM) // HOT_GRAMS)  # about two anchors in as many bytes as have offsets
     rows = rows.join(least.select("digest", "tid", "least"), "digest").withColumn("is_first", F.col("ord") == F.col("least")).drop("least")
     long = F.col("n_bytes") >= LENGTH
-    with passing(spark, "suffix-rows", "suffix-least", "suffix-cut"):
+    name = "veristrata_texts_" + uuid.uuid4().hex[:12]
+    with passing(spark, "suffix-rows", "suffix-least", "suffix-cut"), _dropped(spark, name):
         local = map_arrow(keyed.where(long).select("ord", "tkey", "digest", "text"), _local_firsts, "ord long, tkey long, digest binary, text string")
         firsts = least.where(long).select("tkey", F.col("digest").alias("known"), "tid", F.col("least").alias("own"))
         # own is the least ord of the text, so <= keeps exactly that one; both sides by the key that is the
         # bucket's: equal digests as two bounds, for an equality would join and shuffle by both
         same = local.repartition(parts, "tkey").join(firsts.repartition(parts, "tkey").hint("shuffle_hash"), "tkey").where("digest >= known and digest <= known and ord <= own")
-        texts, name = _bucketed(same.select("ord", "tid", "text"), parts)
+        texts = _bucketed(same.select("ord", "tid", "text"), parts, name)
         found = map_arrow(texts, _find_anchors(buckets), "bucket long, blob binary")
         places = durable(map_arrow(found.repartition(parts, "bucket").sortWithinPartitions("bucket"), _repeated_anchors(hot), "ord long, tid long, place int, gram long"), "suffix-places")
         # at most HOT_GRAMS numbers by the choice of ``hot``
-        grams = np.array([r.gram for r in places.where("gram is not null").select("gram").collect()], np.int64).view(np.uint64)
-        per_text = places.where("gram is null").groupBy("tid").agg(F.collect_list("place").alias("places"))
-        held = map_arrow(texts.join(per_text, "tid").select("ord", "tid", "text", "places"), _contexts(buckets, np.unique(grams)), "bucket long, blob binary")
+        grams = np.unique(np.array([r.gram for r in places.where("tid is null").select("gram").collect()], np.int64).view(np.uint64))
+        named = lambda some: texts.join(some.groupBy("tid").agg(F.collect_list("place").alias("places")), "tid").select("ord", "tid", "text", "places")
+        large = np.zeros(0, np.uint64)
+        if len(grams):  # the classes of hot anchors are counted as well, over the texts that hold these
+            sizes = map_arrow(named(places.where("tid is not null and gram is not null")), _class_sizes(grams), "key long, n long")
+            classes = sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("key").collect()  # fewer than seven a hot gram
+            large = np.unique(np.array([r.key for r in classes], np.int64).view(np.uint64))
+        held = map_arrow(named(places.where("tid is not null")), _contexts(buckets, grams, large), "bucket long, blob binary")
         spans = map_arrow(held.repartition(parts, "bucket").sortWithinPartitions("bucket"), _spans, "ord long, tid long, start long, end long")
         gone = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         cut = map_arrow(texts.join(gone, "tid").select("ord", "tid", "text", "spans"), _cut(keep_text), "ord long, tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
         cut = durable(cut, "suffix-cut")
-        spark.sql(f"DROP TABLE {name}")
     return rows, cut
 
 
-def _bucketed(texts: DataFrame, parts: int) -> tuple[DataFrame, str]:
-    """The distinct texts written once, bucketed by their number, as a table and its name: later joins
+@contextlib.contextmanager
+def _dropped(spark: SparkSession, name: str) -> Iterator[None]:
+    """Drops the table ``name`` from the catalog in the end, also if what is inside fails."""
+    try:
+        yield
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _bucketed(texts: DataFrame, parts: int, name: str) -> DataFrame:
+    """The distinct texts written once, bucketed by their number, as the table ``name``: later joins
     shuffle no text."""
     spark = texts.sparkSession
-    name = "veristrata_texts_" + uuid.uuid4().hex[:12]
     texts.write.bucketBy(parts, "tid").option("path", scratch_path(spark, "suffix-texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
 def removed(docs: DataFrame) -> DataFrame:
