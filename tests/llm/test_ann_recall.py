@@ -59,4 +59,4 @@ def _one_task(df, fn, schema):
 
 
 def test_long_vectors_make_smaller_shards():
-    assert ann.shard_counts({1536: 400_000}) == [(1536, 0, 10)] and ann.shard_counts({1 << 27: 3}) == [(1 << 27, 0, 3)]
+    assert ann.shard_counts({1536: 4_000_000}) == [(1536, 0, 92)] and ann.shard_counts({1 << 27: 3}) == [(1 << 27, 0, 3)]

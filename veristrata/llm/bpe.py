@@ -9,7 +9,8 @@ heap, which costs n log n where the matrix would cost n squared.
 
 Defined cases: a null text is empty; an empty text has no ids and the digests of no bytes; strings
 of special tokens are ordinary text; ids are little-endian unsigned 32-bit in ``ids_sha256``.
-Repeated rows give repeated rows; extra input columns are ignored.
+Repeated rows give repeated rows; extra input columns are ignored; very long texts are encoded whole, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

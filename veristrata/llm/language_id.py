@@ -13,7 +13,9 @@ evenly over the languages and chosen by a hash of the id.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without training rows
 every text is ``und``; with one language that language has score 1; equal votes go to the greater sum of
-margins, then to the first language by code point; repeated rows give repeated rows.
+margins, then to the first language by code point; repeated rows give repeated rows; a score depends on its text
+alone, very long texts are read whole; an empty table gives an empty result; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram of every place of all texts in order, and where each text's n-grams end."""
+    """Hashed n-grams of every place of all texts in order (but for a text's last place, after which another text
+    follows), and where each text's n-grams end."""
     clean = [(" " + " ".join(_OTHER.sub(" ", t.lower()).split()) + " ").encode() for t in texts]
     lens = np.array([len(c) for c in clean])
     data = np.frombuffer(b"".join(clean) + b"  ", np.uint8).astype(np.uint32)
@@ -62,7 +65,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     both = np.empty((len(two), 2), np.int32)
     both[:, 0] = ((two + np.uint32(1)) * _MUL) >> shift
     both[:, 1] = ((three + np.uint32(1 << 25)) * _MUL) >> shift
-    return both.ravel(), 2 * np.cumsum(lens)
+    within = np.ones(len(both), bool)
+    within[np.cumsum(lens) - 1] = False
+    return both[within].ravel(), 2 * np.cumsum(lens - 1)
 
 
 def sparse(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +184,7 @@ def train(docs: DataFrame, limit: int = SAMPLE) -> Hierarchy | None:
             out: list[list] = [[], [], [], []]
             for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if has_letter(text):
-                    at, value = sparse(ngrams([text])[0][:-2])
+                    at, value = sparse(ngrams([text])[0])
                     for c, v in zip(out, (doc_id, lang, at.tobytes(), value.tobytes())):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["doc_id", "lang", "at", "value"])

@@ -17,7 +17,8 @@ Without labelled documents the weights stay zero and every line is content.
 
 Defined cases: a null or empty text has no words and fails the base rules; lines without a word
 carry no weight; equal scores of both states count as content; a share of exactly ``CONTENT_SHARE``
-is kept; repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+is kept; repeated rows give repeated rows; a very long text is decoded whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

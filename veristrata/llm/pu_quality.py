@@ -15,7 +15,8 @@ Scores use the text alone.
 
 Defined cases: null and empty texts score like a text without words; without positives every score is
 0.5; a score of exactly ``THRESHOLD`` is predicted 1; repeated rows give repeated rows and a repeated id
-trains once for each of its texts; a null id belongs to no fold (``held_out`` false).
+trains once for each of its texts; a null id belongs to no fold (``held_out`` false); very long texts are read whole;
+other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@
 3. Fingerprints within ``budget`` bits agree on at least ``exact`` of ``budget + exact`` blocks of bits,
    so each distinct fingerprint goes to one bucket per choice of blocks. ``exact`` follows from their
    number (buckets of about ``target`` fingerprints beside near copies); every choice finds the same
-   links. Only distinct fingerprints count: those within 4 bits of one are at most 680,000, so a group of
-   near copies, however many, adds an array of some megabytes to a bucket.
+   links. Buckets that are large all the same (``MOST_IN_BUCKET``) are keyed again by further blocks of their
+   other bits, until none is, so no task joins more.
 4. In a bucket the sorted fingerprints form an implicit binary trie: a node is a range whose members
    share a prefix. Node pairs are traversed together from the pair (root, root); the bits in which the
    shared prefixes differ accumulate, and a pair beyond the budget is dropped. Pairs whose members are
@@ -18,11 +18,13 @@
 
 Defined cases: repeated rows and repeated ids give repeated rows; a null ``doc_id`` never is a
 ``component_id`` unless a component has no other (then null); different texts of one id are told apart by
-their digest; an empty table gives an empty result.
+their digest; very long texts are hashed piece by piece; other columns, whatever their names, are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -38,28 +40,49 @@ BUDGET = 4
 SHINGLE = 4
 SEED = 42
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Fingerprints of one bucket, at most: what one task joins at once.
 MOST_IN_BUCKET = 500_000
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of one text."""
+def _segments(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes that no word crosses."""
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + size)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _add(bits: np.ndarray, words: list[bytes], length: int) -> int:
+    """Adds the set bits of the digests of all shingles of ``length`` words; returns their number."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lens) - 1
     starts = (ends - lens + 1).tolist()
-    ends = ends[min(SHINGLE, len(words)) - 1 :].tolist()
+    ends = ends[length - 1 :].tolist()
     digests = b"".join(map(xxhash.xxh64_digest, [joined[a:b] for a, b in zip(starts, ends)], repeat(SEED)))
-    n, bits = len(ends), np.zeros(64, np.int64)
-    raw = np.frombuffer(digests, np.uint8).reshape(n, 8)
-    for s in range(0, n, 32768):  # sums of bytes in bounded memory
-        bits += np.unpackbits(raw[s : s + 32768], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    raw = np.frombuffer(digests, np.uint8).reshape(len(ends), 8)
+    for s in range(0, len(ends), 32768):  # sums of bytes in bounded memory
+        bits += np.unpackbits(raw[s : s + 32768], axis=1).sum(axis=0, dtype=np.int64)
+    return len(ends)
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint of one text; long texts are read in pieces that share three words."""
+    bits, n, held = np.zeros(64, np.int64), 0, []
+    for piece in _segments((text or "").encode().lower()):
+        words = held + piece.split()
+        if len(words) >= SHINGLE:
+            n += _add(bits, words, SHINGLE)
+            words = words[1 - SHINGLE :]
+        held = words
+    if not n and held:
+        n = _add(bits, held, len(held))
+    return int(np.packbits(2 * bits > n).tobytes().hex(), 16) if n else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ Texts are told apart by their whole digest: ``tid`` is its first 60 bits, and an
 texts share these. Partitions and buckets follow from the bytes of the distinct texts.
 
 Defined cases: a null text is empty; null doc_ids come last; texts that share a doc_id are ordered by
-their digest; a repeated row is a later copy of the first; an empty table gives an empty result.
+their digest; a repeated row is a later copy of the first; a very long text is one text, with as many anchors as it
+has windows to name them; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

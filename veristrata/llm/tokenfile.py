@@ -20,7 +20,8 @@ by their place in the input, so an id with most of the rows spreads over files.
 
 Defined cases: a null text is an empty document (only the end id); null doc_ids sort first; repeated
 ids sort by a digest of their texts; strings of added tokens in a text become these tokens, as the library's
-encoder has it; an empty table writes no file.
+encoder has it; repeated rows are documents of their own, in the order of their places; a very long text is one
+document in frames of its own; other columns, whatever their names, are not read; an empty table writes no file.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ tables only with their whole list or table.
 
 Defined cases: null html gives an empty text; a page without a host, or alone on its host, is judged by
 markup alone; near copies that differ in their longest block count as different pages; unclosed and stray
-tags follow the usual recovery rules; markup may be nested to any depth; repeated rows give repeated rows.
+tags follow the usual recovery rules; markup may be nested to any depth; repeated rows give repeated rows; very long
+pages are read whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
