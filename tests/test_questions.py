@@ -58,3 +58,35 @@ def test_tables_of_questions(spark):
     assert parsed[4] == (None, "scope_not_explicit") and parsed[5] == ("aggregate", None)
     assert {r.id: r.route for r in question_tables.route_questions(df, "q").collect()}[2] == "refused"
     assert question_tables.plan_questions(df.limit(0), "q").count() == 0
+
+
+def test_targets_of_questions(spark):
+    from veristrata.operators import facts
+
+    rows = [("a", "lineage", "x", "y"), ("a", "locus", "2", None), ("a", "locus", "10", None), ("a", "locus", "2", None), ("a", "method", "m", None), ("b", "assembly", "g", None)] + [("c", "locus", str(i), None) for i in range(65)] + [("d", "locus", str(i % 64), None) for i in range(200)]
+    got = {r.q: (r.targets, r.status) for r in facts.anchor_targets(spark.createDataFrame(rows, "q string, kind string, k1 string, k2 string"), "q").collect()}
+    assert got["a"] == (["locus:10", "locus:2", "lineage:x:y", "method:m"], "ready") and got["b"] == (["assembly:g"], "ready")
+    assert got["c"] == ([], "too_many_anchor_targets") and len(got["d"][0]) == 64
+
+
+def test_claims_against_their_quotes(spark):
+    from veristrata.operators import ranking
+
+    evidence = spark.createDataFrame([("d1", "12 copies in CM000001.1, as shown."), ("d2", None)], "document string, text string")
+    claims = spark.createDataFrame([(1, "12 copies in cm000001.1"), (2, "13 copies, 1.5 or CM000001"), (3, "none [D1]"), (4, "plain"), (5, None), (6, "12 of CM000001.10")], "claim_id long, claim string")
+    quotes = spark.createDataFrame([(1, "d1", "12 copies in CM000001.1"), (2, "d1", "12 copies"), (2, "d9", "x"), (3, "d2", "none"), (6, "d1", "CM000001.1, as"), (6, "d1", "12 copies")], "claim_id long, document string, quote string")
+    got = {r.claim_id: r.faults for r in ranking.claim_provenance(claims, quotes, evidence).collect()}
+    assert got == {1: [], 2: ["unknown_citation:d9", "unsupported_value:1.5", "unsupported_value:13", "unsupported_value:CM000001"], 3: ["quote_not_contained:d2", "citation_marker"], 4: [], 5: [], 6: ["unsupported_value:CM000001.10"]}
+
+
+def test_quotes_of_every_length(spark, monkeypatch):
+    from veristrata.operators import ranking
+
+    monkeypatch.setattr(ranking, "PATTERNS", 3)
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    words = text.split()
+    quotes = [(n * 10 + k, " ".join(words[k : k + n])[1:-1]) for n in range(1, 9) for k in range(9 - n)] + [(900, ""), (901, "ta ga"), (902, "beta  gamma"), (903, None), (904, "a"), (905, "a")]
+    docs = [(1, text), (2, "xbeta gamma delta"), (3, None), (4, ""), (5, text[3:-3] + "\n" + text)]
+    made = ranking.quote_containment(spark.createDataFrame(docs, "k long, t string"), spark.createDataFrame(quotes, "q long, s string"), "k", "t", "q", "s")
+    want = {(q, k) for k, t in docs for q, s in quotes if t is not None and s is not None and s in t}
+    assert {(r.q, r.k) for r in made.collect()} == want and made.count() == len(want)

@@ -74,6 +74,14 @@ def query_digest(question: str, anchors: list[dict]) -> str:
     return digest({"anchors": sorted(anchors, key=canonical_text), "question": question})
 
 
+def question_digest(question: Column, anchors: Column) -> Column:
+    """:func:`query_digest` as a column: ``anchors`` is an array of structs whose fields are in order of their names
+    (ASCII texts without control characters)."""
+    listed = F.array_sort(F.transform(anchors, lambda a: F.to_json(a, {"ignoreNullFields": "false"})))
+    quoted = F.regexp_extract(F.to_json(F.array(question)), r"(?s)^\[(.*)\]$", 1)
+    return F.sha2(F.concat(F.lit('{"anchors":['), F.array_join(listed, ","), F.lit('],"question":'), quoted, F.lit("}")), 256)
+
+
 @F.pandas_udf(T.StringType())
 def text_digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SHA-256 of the NFC form; for texts that may hold control characters or combining marks."""

@@ -201,6 +201,23 @@ def anchor_documents(anchors: DataFrame, required: DataFrame, key: str = "anchor
     return required.select(key).distinct().join(own, key, "left").select(key, F.coalesce("documents", F.array().cast("array<string>")).alias("documents"))
 
 
+#: Kinds of anchor targets in their order, and targets of one question at most.
+TARGETS = ("locus", "assembly", "lineage", "method")
+MAX_TARGETS = 64
+
+
+def anchor_targets(rows: DataFrame, by: str) -> DataFrame:
+    """``by, targets, status``: the distinct targets (``kind, k1, k2``) of every question in the order of their kinds; more
+    than ``MAX_TARGETS`` are refused, never cut: such a question has none. Targets are made distinct before they meet,
+    and no question's list is longer than it has targets."""
+    kinds = F.array(*map(F.lit, TARGETS))
+    once = rows.select(by, F.struct(F.array_position(kinds, F.col("kind")).alias("o"), "k1", "k2", "kind").alias("_t")).distinct()
+    counted = once.groupBy(by).agg(F.count("*").alias("_n"))
+    fits = once.join(counted.where(F.col("_n") <= MAX_TARGETS).select(by), by, "left_semi").groupBy(by).agg(F.array_sort(F.collect_list("_t")).alias("_l"))
+    listed = F.coalesce(F.transform("_l", lambda t: F.concat_ws(":", t["kind"], t["k1"], t["k2"])), F.array().cast("array<string>"))
+    return counted.join(fits, by, "left").select(by, listed.alias("targets"), F.when(F.col("_n") > MAX_TARGETS, "too_many_anchor_targets").otherwise("ready").alias("status"))
+
+
 def resolve_anchors(rows: DataFrame, targets: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Rows that any target names. ``targets``: ``kind, k1, k2``; ``columns`` maps a kind to its two
     columns of ``rows``. One null-safe equality join instead of a chain of ORs."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import RRF_K, dot, rrf_score
+from ..session import workers_import
 
 DEPTH = 100
 
@@ -274,24 +277,92 @@ GRAM = 5
 
 def quote_containment(docs: DataFrame, quotes: DataFrame, key: str, text: str, quote_key: str, quote: str) -> DataFrame:
     """``quote_key, key`` of every row that holds a quote whole. Words inside a quote (all but its first and last)
-    are whole words of a text that holds it, so the two meet by the digest of the quote's first five of them:
-    linear in the texts, whatever the number of quotes. The pairs are then tested on the texts themselves.
-    Quotes of fewer words are tested against every text. A null quote or text makes no pair; an id that several
-    texts share is one row as soon as one of them holds the quote."""
+    are whole words of a text that holds it, so the two meet by the digest of the quote's first inner words, ``GRAM`` of
+    them or all it has: linear in the texts, whatever the number of quotes. The pairs are then tested on the texts
+    themselves. Quotes of one or two words have no inner word; an automaton of them, built once a task, runs over every
+    text. A null quote or text makes no pair; an id that several texts share is one row as soon as one of them holds the
+    quote."""
     word = F.lit(r"([^\x20\x09-\x0D]+)")
     own = quotes.select(F.col(quote_key).alias("_q"), F.col(quote).alias("_quote"), F.regexp_extract_all(F.col(quote), word, 1).alias("_w")).where(F.col(quote).isNotNull())
-    digest = lambda ws: F.xxhash64(F.array_join(ws, " "))
-    long = own.where(F.size("_w") >= GRAM + 2).select("_q", "_quote", digest(F.slice("_w", 2, GRAM)).alias("_g"))
-    wide = docs.select(F.col(key).alias("_k"), F.regexp_extract_all(F.col(text), word, 1).alias("_w")).where(F.size("_w") >= GRAM)
-    grams = wide.select("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: digest(F.slice("_w", i, GRAM))))).alias("_g"))
-    near = grams.join(long, "_g").select("_k", "_q", "_quote").distinct()
+    own = own.withColumn("_n", F.least(F.lit(GRAM), F.size("_w") - 2))
+    digest = lambda ws: F.xxhash64(F.size(ws), F.array_join(ws, " "))
+    long = own.where("_n > 0").select("_q", "_quote", F.slice("_w", F.lit(2), F.col("_n")).alias("_i")).select("_q", "_quote", digest(F.col("_i")).alias("_g"))
+    wide = docs.select(F.col(key).alias("_k"), F.regexp_extract_all(F.col(text), word, 1).alias("_w"))
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    held = texts.join(near, "_k").where(F.contains("_t", "_quote"))
-    short = own.where(F.size("_w") < GRAM + 2).select("_q", "_quote")
-    found = held.select("_q", "_k").unionByName(texts.join(short, F.contains("_t", "_quote")).select("_q", "_k"))
+    found = texts.limit(0).select(F.lit(None).cast(own.schema["_q"].dataType).alias("_q"), "_k")
+    sizes = sorted(r._n for r in own.select("_n").distinct().collect())  # GRAM + 2 numbers at most
+    for n in (s for s in sizes if s > 0):
+        at = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        grams = wide.where(F.size("_w") >= n).select("_k", F.explode(F.array_distinct(F.transform(at, lambda i: digest(F.slice("_w", i, n))))).alias("_g"))
+        near = grams.join(long, "_g").select("_k", "_q", "_quote").distinct()
+        found = found.unionByName(texts.join(near, "_k").where(F.contains("_t", "_quote")).select("_q", "_k"))
+    if any(s <= 0 for s in sizes):
+        found = found.unionByName(_short_quotes(texts, own.where("_n <= 0").select("_q", "_quote")))
     return found.distinct().select(F.col("_q").alias(quote_key), F.col("_k").alias(key))
 
 
+#: Quotes of one automaton, at most about.
+PATTERNS = 100_000
+
+
+def _short_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``_q, _k`` of texts that hold a short quote: every text once past an automaton of all of them (of ``PATTERNS``
+    at a time). An empty quote is in every text."""
+    parts = -(-quotes.count() // PATTERNS)
+    kind = quotes.schema["_q"].dataType.simpleString()
+    rows = texts.where(F.col("_t").isNotNull())
+    out = rows.join(quotes.where("_quote = ''").select("_q")).select("_q", "_k")
+    for part in range(parts):
+        some = quotes.where((F.col("_quote") != "") & (F.pmod(F.xxhash64("_quote"), F.lit(parts)) == part))
+        held = [(r._quote, r._q) for r in some.collect()]  # a bounded part
+        workers_import(texts.sparkSession)
+        out = out.unionByName(rows.mapInArrow(partial(_held_quotes, quotes=held), f"_q {kind}, _k {texts.schema['_k'].dataType.simpleString()}"))
+    return out
+
+
+def _held_quotes(batches: Iterator[pa.RecordBatch], quotes: list[tuple]) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    machine, ids = ahocorasick.Automaton(), {}
+    for text, q in quotes:
+        ids.setdefault(text, []).append(q)
+    for text in ids:
+        machine.add_word(text, text)
+    if not ids:
+        return
+    machine.make_automaton()
+    kind = pa.array([q for own in ids.values() for q in own]).type
+    for batch in batches:
+        q, at = [], []
+        for row, text in enumerate(batch.column("_t").to_pylist()):
+            for found in {value for _, value in machine.iter(text)}:
+                q += ids[found]
+                at += [row] * len(ids[found])
+        yield pa.RecordBatch.from_arrays([pa.array(q, kind), batch.column("_k").take(pa.array(at, pa.int64()))], ["_q", "_k"])
+
+
+#: What a claim may name, with the boundaries of whole values.
+_NUMBER = r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"
+_ACCESSION = r"(?i)(?<![A-Za-z0-9_])((?:GC[AF]_\d{6,}|[A-Z]{1,6}_?\d{5,})(?:\.\d+)?)(?![A-Za-z0-9_]|\.\d)"
+_MARKER = r"\[D?\d+\]"
+
+
+def claim_provenance(claims: DataFrame, quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``claim_id, faults``: mechanical checks of every claim (``claim_id, claim``) against its quotes (``claim_id,
+    document, quote``) and the documents (``document, text``). A quote must be contained in its document and the
+    document be known; every identifier and number of the claim must occur as a whole value in one of its quotes; a claim
+    holds no citation marker. Quotes meet documents by an equality join; values are arrays within a claim's row."""
+    held = quotes.join(evidence.select("document", F.col("text").alias("_t"), F.lit(True).alias("_known")), "document", "left")
+    fault = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown_citation:"), "document")).when(~F.coalesce(F.contains("_t", "quote"), F.lit(False)), F.concat(F.lit("quote_not_contained:"), "document"))
+    values = lambda c: F.concat(F.regexp_extract_all(c, F.lit(_NUMBER), 1), F.transform(F.regexp_extract_all(c, F.lit(_ACCESSION), 1), F.upper))
+    own = held.groupBy("claim_id").agg(F.array_sort(F.collect_set(fault)).alias("_f"), F.array_distinct(F.flatten(F.collect_list(values(F.coalesce("quote", F.lit("")))))).alias("_v"))
+    none = F.array().cast("array<string>")
+    wanted = F.array_sort(F.array_except(values(F.col("claim")), F.coalesce("_v", none)))
+    marked = F.when(F.col("claim").rlike(_MARKER), F.array(F.lit("citation_marker"))).otherwise(none)
+    unsupported = F.transform(wanted, lambda v: F.concat(F.lit("unsupported_value:"), v))
+    return claims.join(own, "claim_id", "left").select("claim_id", F.concat(F.coalesce("_f", none), unsupported, marked).alias("faults"))
+
+
 def branch_fusion(lists: dict[str, DataFrame], key: str, depth: int = DEPTH) -> DataFrame:
     """Reciprocal-rank fusion of single ranked lists (``key, rank``), one a branch."""
     rows = None

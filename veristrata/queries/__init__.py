@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, corpus, evaluation, questions, release_graph, staging
+from . import catalog, corpus, evaluation, questions, records, release_graph, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = (catalog, staging, corpus, evaluation, questions, release_graph)
+_ALL = (catalog, staging, corpus, evaluation, questions, release_graph, records)
 
 
 def core_queries() -> dict[str, Query]:
