@@ -143,6 +143,22 @@ def _workbook(rows):
     return out.getvalue()
 
 
+def test_worksheet_rows_leave_the_parse_tree():
+    import tracemalloc
+
+    def peak(n):
+        content = _workbook([("H1", "H2", "H3"), *[("x", f"v{i}", "z" * 20) for i in range(n)]])
+        tracemalloc.start()
+        rows = sum(1 for _ in scans.worksheet_rows(content, ("Data",), ("H1", "H2", "H3")))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most - len(content)
+
+    small, large = peak(1_000), peak(10_000)
+    assert large < small + 150 * 9_000  # the shared strings grow, one short text a row; the rows themselves do not
+
+
 def test_worksheet(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(_workbook([("H1", "H2", "H3"), ("x", "y", "z"), ("p", "", "q")]))
     rows = scans.scan_worksheet(spark, str(tmp_path), ("Data", "Sheet"), ("H1", "H2", "H3")).orderBy("source_row").collect()

@@ -357,8 +357,9 @@ def claim_provenance(claims: DataFrame, quotes: DataFrame, evidence: DataFrame)
     values = lambda c: F.concat(F.regexp_extract_all(c, F.lit(_NUMBER), 1), F.transform(F.regexp_extract_all(c, F.lit(_ACCESSION), 1), F.upper))
     own = held.groupBy("claim_id").agg(F.array_sort(F.collect_set(fault)).alias("_f"), F.array_distinct(F.flatten(F.collect_list(values(F.coalesce("quote", F.lit("")))))).alias("_v"))
     none = F.array().cast("array<string>")
-    wanted = F.array_sort(F.array_except(values(F.col("claim")), F.coalesce("_v", none)))
-    marked = F.when(F.col("claim").rlike(_MARKER), F.array(F.lit("citation_marker"))).otherwise(none)
+    said = F.coalesce("claim", F.lit(""))
+    wanted = F.array_sort(F.array_except(values(said), F.coalesce("_v", none)))
+    marked = F.when(said.rlike(_MARKER), F.array(F.lit("citation_marker"))).otherwise(none)
     unsupported = F.transform(wanted, lambda v: F.concat(F.lit("unsupported_value:"), v))
     return claims.join(own, "claim_id", "left").select("claim_id", F.concat(F.coalesce("_f", none), unsupported, marked).alias("faults"))
 

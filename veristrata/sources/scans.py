@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
+from . import markdown
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -65,16 +67,25 @@ def scan_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _elements(part: IO[bytes], tag: str) -> Iterator[ElementTree.Element]:
+    """Every element ``tag`` of a stream, once it is whole. After use it leaves the tree, so none of it is held."""
+    above: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(part, ("start", "end")):
+        if event == "start":
+            above.append(e)
+            continue
+        above.pop()
+        if e.tag == tag:
+            yield e
+            if above:
+                above[-1].clear()  # it holds nothing else of use
+
+
 def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in archive.namelist():
         return []
-    out = []
     with archive.open("xl/sharedStrings.xml") as part:
-        for _, item in ElementTree.iterparse(part):
-            if item.tag == f"{_MAIN}si":
-                out.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
-                item.clear()
-    return out
+        return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in _elements(part, f"{_MAIN}si")]
 
 
 def decode_cell(cell: ElementTree.Element, strings: list[str]) -> str:
@@ -104,15 +115,12 @@ def worksheet_rows(content: bytes, names: tuple[str, ...], header: tuple[str, ..
         if len(ids) != 1:
             raise ValueError(f"expected one sheet named {names}, found {len(ids)}")
         with archive.open("xl/" + links[ids[0]].removeprefix("/xl/")) as part:
-            for _, row in ElementTree.iterparse(part):
-                if row.tag != f"{_MAIN}row":
-                    continue
+            for row in _elements(part, f"{_MAIN}row"):
                 number, cells = int(row.get("r")), [""] * len(header)
                 for cell in row.iter(f"{_MAIN}c"):
                     at = _column(cell.get("r"))
                     if at < len(cells):
                         cells[at] = decode_cell(cell, strings)
-                row.clear()
                 if number == 1:
                     if tuple(cells) != header:
                         raise ValueError("the worksheet header differs")
@@ -239,9 +247,10 @@ def jats_blocks(text: str) -> list[tuple]:
 
 
 def parse_blocks(docs: DataFrame, format_: str, text: str = "text") -> DataFrame:
-    """One row a block of every document, by ``format_`` markdown or jats; other columns stay."""
+    """One row a block of every document, by ``format_``: markdown (line by line), commonmark (containers
+    nest) or jats; other columns stay."""
     workers_import(docs.sparkSession)
-    parse = {"markdown": markdown_blocks, "jats": jats_blocks}[format_]
+    parse = {"markdown": markdown_blocks, "commonmark": markdown.blocks, "jats": jats_blocks}[format_]
 
     @F.pandas_udf(BLOCK)
     def run(texts: pd.Series) -> pd.Series:
