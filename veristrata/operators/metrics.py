@@ -54,6 +54,23 @@ def question_metrics(rows: DataFrame) -> DataFrame:
     return rows.select("question_id", "category", *[recall_at(g, r, k).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)], reciprocal_rank(g, r).alias("mrr_at_10"), ndcg(g, r).alias("ndcg_at_10"))
 
 
+#: Results of one question that a score looks at.
+DEPTH = 10
+
+
+def score_retrieval(rows: DataFrame) -> DataFrame:
+    """As :func:`question_metrics`, with ``excluded_hits``: how many of the results are among ``excluded`` (array). More
+    than ``DEPTH`` results, or a result twice, is an error of the caller and not cut: such a question has no numbers, and
+    ``error`` says why."""
+    r = F.col("returned")
+    error = F.when(F.size(r) > DEPTH, "too_many_results").when(F.size(F.array_distinct(r)) != F.size(r), "repeated_results")
+    judged = rows.withColumn("error", error).withColumn("_hits", F.size(F.filter(r, lambda k: F.coalesce(F.array_contains("excluded", k), F.lit(False)))))
+    scores = question_metrics(judged)
+    own = judged.select(F.col("question_id").alias("_id"), "error", F.when(F.col("error").isNull(), F.col("_hits")).alias("excluded_hits"))
+    numbers = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in scores.columns if c not in ("question_id", "category")]
+    return scores.join(own, F.col("question_id").eqNullSafe(F.col("_id"))).select("question_id", "category", *numbers, "excluded_hits", "error")
+
+
 def summarize(metrics: DataFrame, columns: list[str]) -> DataFrame:
     """Macro means per category and overall (category null): one rollup."""
     return metrics.rollup("category").agg(F.count("*").alias("questions"), *[F.bround(F.avg(c), 12).alias(c) for c in columns])

@@ -215,3 +215,14 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "events").withColumn("citation", F.concat(F.lit("D"), "event_id"))
     return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.substring("citation", 2, 20).cast("long"))).alias("n"))
+
+
+
+@_add("H12_retrieval_scores", f"""SELECT question_id, category, {_recall(1)} AS recall_at_1, {_recall(5)} AS recall_at_5, CASE WHEN least({_P1}, {_P2}) <= 10 THEN round(1.0::DOUBLE / least({_P1}, {_P2}), 12) ELSE 0 END AS mrr_at_10, round({_DCG} / (1 + 1 / log2(3)), 9) AS ndcg_at_10,
+ (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND list_contains(returned, o_orderkey))::INT AS excluded_hits, NULL::VARCHAR AS error FROM ({_Q}) WHERE len(returned) <= 10
+ UNION ALL SELECT question_id, category, NULL, NULL, NULL, NULL, NULL, 'too_many_results' FROM ({_Q}) WHERE len(returned) > 10""")
+def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The questions' scores, with hits among pending orders as excluded ones; too many results are an error, not cut."""
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.concat(F.lit("q"), "o_custkey").alias("question_id")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("excluded"))
+    rows = _questions(spark, d).join(pending, "question_id", "left")
+    return m.score_retrieval(rows).select("question_id", "category", "recall_at_1", "recall_at_5", "mrr_at_10", F.round("ndcg_at_10", 9).alias("ndcg_at_10"), "excluded_hits", "error")

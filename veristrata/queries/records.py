@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys, scalar
+from ..functions import keys, providers, scalar
 from ..operators import facts, ranking, release
+from ..sources import scans, sinks
 from .mapping import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -131,3 +132,49 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     quotes = rows.select("claim_id", F.col("document").cast("string").alias("document"), F.when(F.col("altered"), F.concat("quote", F.lit(" or so"))).otherwise(F.col("quote")).alias("quote"))
     found = ranking.claim_provenance(rows.select("claim_id", "claim"), quotes, evidence)
     return found.select("claim_id", F.array_join("faults", ",").alias("faults"))
+
+
+_ARTICLE = """SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '## Abstract' || chr(10) || 'Nation ' || n_nationkey || chr(10) || 'of region ' || n_regionkey || chr(10) || chr(10) || '## Parts' || chr(10) || '- region ' || n_regionkey || chr(10) || '  > quoted' || chr(10) || '  - key' || chr(10) || '    ' || n_nationkey || chr(10) || '    ```' || chr(10) || '    - no item' || chr(10) || '    ```' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || chr(10) || '> Table 1 of ' || n_name AS text FROM nation"""
+
+
+@_add("S8_markdown_blocks", """SELECT n_nationkey, CAST(unnest(range(6)) AS INT) AS block_index, unnest(['title', 'abstract', 'list_item', 'list_item', 'table', 'table_caption']) AS block_type, unnest(['', 'Abstract', 'Parts', 'Parts', 'Parts', 'Parts']) AS path,
+ unnest([n_name, 'Nation ' || n_nationkey || ' of region ' || n_regionkey, 'region ' || n_regionkey, 'key ' || n_nationkey, 'a | b | ' || n_name || ' | ' || n_regionkey, 'Table 1 of ' || n_name]) AS text, unnest([1, 4, 8, 10, 16, 20]) AS first_line FROM nation""")
+def markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with a quote, an item and a fence inside an item, a table and a caption in a quote."""
+    table(spark, d, "nation").createOrReplaceTempView("_article_nation")
+    docs = spark.sql(_ARTICLE.replace("FROM nation", "FROM _article_nation"))
+    found = scans.parse_blocks(docs, "commonmark")
+    return found.select("n_nationkey", "block_index", "block_type", F.array_join("section_path", ">").alias("path"), "text", "first_line")
+
+
+@_add("S10_jats_blocks", "SELECT n_nationkey, CAST(unnest(range(5)) AS INT) AS block_index, unnest(['title', 'abstract', 'heading', 'paragraph', 'list_item']) AS block_type, unnest(['', 'Abstract', 'Region ' || n_regionkey, 'Region ' || n_regionkey, 'Region ' || n_regionkey]) AS path, unnest([n_name, 'Nation ' || n_nationkey, 'Region ' || n_regionkey, n_name || ' & more', 'item ' || n_nationkey]) AS text FROM nation")
+def jats(spark: SparkSession, d: str) -> DataFrame:
+    key, part = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    xml = F.concat(F.lit("<article><front><article-title>"), "n_name", F.lit("</article-title><abstract><p>Nation "), key, F.lit("</p></abstract></front><body><sec><title>Region "), part, F.lit("</title><p>"), "n_name", F.lit(" &amp; more</p><list><list-item><p>item "), key, F.lit("</p></list-item></list></sec></body></article>"))
+    found = scans.parse_blocks(table(spark, d, "nation").select("n_nationkey", xml.alias("text")), "jats")
+    return found.select("n_nationkey", "block_index", "block_type", F.array_join("section_path", ">").alias("path"), "text")
+
+
+@_add("S20_markdown_lines", r"SELECT p_partkey, '| ' || p_partkey || ' | ' || replace(p_name, ' ', '\|') || ' | ' || CASE WHEN p_size > 25 THEN '' ELSE p_brand || '\\x' END || ' |' AS line FROM part")
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("|")).alias("name"), F.when(F.col("p_size") <= 25, F.concat("p_brand", F.lit("\\x"))).alias("brand"))
+    return sinks.markdown_lines(rows).select("p_partkey", "line")
+
+
+def _closeness():
+    """A scorer that needs no model: texts of like length are close."""
+    return lambda pairs: [-float(abs(len(a) - len(b))) for a, b in pairs]
+
+
+_POOL = "SELECT o_custkey % 25 AS q, o_custkey, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders"
+
+
+@_add("H6_reranked_pool", f"SELECT q, k, tier, rank_before, score, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, rank_before, k) AS rank FROM (SELECT q, k, tier, rank AS rank_before, -abs(length(n_name) - length(c_mktsegment))::DOUBLE AS score FROM ({_POOL}) p JOIN nation ON n_nationkey = q JOIN customer ON c_custkey = p.o_custkey WHERE rank <= 50)")
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Pools of fifty candidates a question, scored by a reranker (question and passage) within their tiers."""
+    orders = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("q"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("tier"), "o_totalprice", "o_custkey")
+    pool = ranking.ranked(orders, [F.desc("o_totalprice"), F.col("k")], ["q"]).where("rank <= 50").drop("o_totalprice")
+    texts = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("q"), "n_name")
+    scored = pool.join(asked, "q").join(texts, "o_custkey").withColumn("score", providers.reranker(_closeness)(F.col("n_name"), F.col("c_mktsegment")))
+    return ranking.rerank(scored.select("q", "k", "tier", "rank", "score"), ["q"], "k", "score")

@@ -67,6 +67,12 @@ def canonical_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """Every row as one line of a table, with ``line``; bars and backslashes are escaped, nulls are empty."""
+    clean = lambda c: F.coalesce(F.regexp_replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), "\n", " "), F.lit(""))
+    return df.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *[clean(c) for c in df.columns]), F.lit(" |")))
+
+
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
     """A result page as a table; bars and backslashes are escaped."""
     clean = lambda v: "" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
