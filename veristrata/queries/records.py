@@ -163,13 +163,13 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _closeness():
     """A scorer that needs no model: texts of like length are close."""
-    return lambda pairs: [-float(abs(len(a) - len(b))) for a, b in pairs]
+    return lambda pairs: [100.0 - abs(len(a) - len(b)) for a, b in pairs]
 
 
 _POOL = "SELECT o_custkey % 25 AS q, o_custkey, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders"
 
 
-@_add("H6_reranked_pool", f"SELECT q, k, tier, rank_before, score, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, rank_before, k) AS rank FROM (SELECT q, k, tier, rank AS rank_before, -abs(length(n_name) - length(c_mktsegment))::DOUBLE AS score FROM ({_POOL}) p JOIN nation ON n_nationkey = q JOIN customer ON c_custkey = p.o_custkey WHERE rank <= 50)")
+@_add("H6_reranked_pool", f"SELECT q, k, tier, rank_before, score, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, rank_before, k) AS rank FROM (SELECT q, k, tier, rank AS rank_before, (100 - abs(length(n_name) - length(c_mktsegment)))::DOUBLE AS score FROM ({_POOL}) p JOIN nation ON n_nationkey = q JOIN customer ON c_custkey = p.o_custkey WHERE rank <= 50)")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """Pools of fifty candidates a question, scored by a reranker (question and passage) within their tiers."""
     orders = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("q"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("tier"), "o_totalprice", "o_custkey")
