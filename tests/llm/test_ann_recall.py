@@ -60,3 +60,7 @@ def _one_task(df, fn, schema):
 
 def test_long_vectors_make_smaller_shards():
     assert ann.shard_counts({1536: 4_000_000}) == [(1536, 0, 92)] and ann.shard_counts({1 << 27: 3}) == [(1 << 27, 0, 3)]
+
+
+def test_beams_widen_with_the_shard():
+    assert [ann.beam_for(n) for n in (1, 5_000, 20_000, 200_000)] == [96, 96, 192, 607]

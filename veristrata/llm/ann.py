@@ -8,7 +8,7 @@
    diverse edges (a candidate goes if a kept neighbour is ``ALPHA`` times nearer to it than the node),
    reverse edges are added and pruned again.
 3. Every query searches every shard by beam search from the medoid and a few spread entry points. A task reads one
-   shard and then the queries as a stream, so it never holds these; only beyond ``BLOCK_QUERIES`` queries is a shard
+   shard and then the queries as a stream, so it never holds these; the beam widens with the root of the shard's size; only beyond ``BLOCK_QUERIES`` queries is a shard
    given to a second task. The best of all shards win.
 
 All rows are indexed. Distances are Euclidean in double precision on the given vectors. Work grows with
@@ -290,7 +290,7 @@ class _Shard:
         step = max(16, min(256, 32_000_000 // len(x)))  # a search marks the nodes that it has seen
         for s in range(0, len(points), step):
             out: list[tuple[int, int, float]] = []
-            found, _ = beam_search(x, self.graph, self.entries, points[s : s + step], max(beam, top))
+            found, _ = beam_search(x, self.graph, self.entries, points[s : s + step], max(beam_for(len(x), beam), top))
             for k, nodes in enumerate(found, s):
                 nodes = nodes[nodes >= 0]
                 d = np.sqrt(((x[nodes] - points[k]) ** 2).sum(axis=1))
@@ -325,6 +325,12 @@ def _searched(batches: Iterator[pa.RecordBatch], top: int, beam: int) -> Iterato
                 yield from shard.nearest(piece.column("query_id").to_pylist(), _vectors(piece.column("vec"), piece.num_rows), top, beam)
 
 
+def beam_for(rows: int, beam: int = SEARCH_BEAM) -> int:
+    """The beam of a shard: as wide as ``beam`` up to ``LEAST_ROWS`` nodes, then growing with the root of their number, since
+    a beam of one width finds less in a larger graph."""
+    return round(beam * max(1.0, (rows / LEAST_ROWS) ** 0.5))
+
+
 def _found(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
