@@ -81,3 +81,26 @@ def test_defined_cases(spark):
     clash = df.selectExpr("*", "doc_id as n", "text as word", "text as form", "1 as key", "2 as b0", "3 as root")
     assert _got(df) == _got(clash) == _brute(rows)
     assert _got(df.limit(0)) == []
+
+
+def test_words_are_never_broadcast(spark, capsys):
+    """Few words stay below any limit by size, so that only the hints keep them from the driver."""
+    words = spark.createDataFrame([("kolumne", 9), ("kolumnen", 4), ("house", 5)], "word string, n long")
+    for df in (spelling.near_pairs(words), spelling.forms(words), spelling.group(spark.createDataFrame([(1, "house " * 9 + "houses " * 3)], "doc_id long, text string"))):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_long_words_in_one_pass(spark, monkeypatch):
+    """Words of any length one edit apart are found; the comparison does not take the square of their length."""
+    long = "abcdé" * 40_000
+    rows = [(i, w) for i, w in enumerate(("long " + long, long[:90] + long[91:], long + "z", "z" + long[1:], long[:7] + "zz" + long[9:]))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(g[0] == long, g[4]) for g in _got(df) if len(g[0]) > 100_000}
+    assert got == {(True, 3), (False, 1), (False, 0)}
+    r = random.Random(5)
+    rows = [(i, " ".join(["".join(r.choice("abé") for _ in range(r.randint(5, 7)))] * r.randint(1, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(spelling, "LONG", 5)
+    assert _got(df) == _brute(rows)

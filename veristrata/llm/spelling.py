@@ -14,7 +14,8 @@
    its own. Counts double with each step, so doubling pointers finds the roots in a few rounds.
 
 All is DataFrame functions. Counting adds up within tasks; near words of one word are bounded by its length and the
-alphabet. Defined cases: null and empty texts hold no run; a null id is the text ``null`` in the hashed string;
+alphabet. Every join of words is a merge join by hint: Spark sizes exploded rows of a compressed table far too low and
+would broadcast all words. Defined cases: null and empty texts hold no run; a null id is the text ``null`` in the hashed string;
 repeated rows count again; other columns are not read; very long texts and runs are taken whole; an empty table gives
 an empty result.
 """
@@ -32,6 +33,8 @@ RUN = r"[A-Za-zÀ-ÿ]+"
 EVERY = 97
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
+#: Pairs of longer words are compared in one pass: an edit distance takes the square of their length.
+LONG = 255
 #: Letters dealt to the bands in this order, so that each band has frequent ones.
 LETTERS = "etaoinshrdlcumwfgypbvkjxqz" + "".join(map(chr, range(0xC0, 0x100)))
 BANDS = 3
@@ -84,31 +87,46 @@ def _flips(band: int) -> Column:
     return F.bit_count(F.col(f"x.b{band}").bitwiseXOR(F.col(f"y.b{band}")))
 
 
-def _pairs(left: DataFrame, right: DataFrame, first: Column, flips: int) -> DataFrame:
-    """``a, an, b, bn``: verified pairs of rows with one key; ``first``: the key is the pair's first one."""
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether ``b``, of the length of ``a`` or one more, equals it after one edit: all behind the first difference agrees."""
+    at = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+    rest = at + F.when(F.length(a) == F.length(b), 1).otherwise(0)
+    return (at > 0) & (F.substring(a, rest, F.length(a)) == F.substring(b, at + 1, F.length(b)))
+
+
+def _pairs(left: DataFrame, right: DataFrame, first: Column, flips: int, long: bool) -> DataFrame:
+    """``a, an, b, bn``: verified pairs of rows with one key; ``first``: the key is the pair's first one; ``long``: those
+    whose shorter word is longer than ``LONG``, else the others."""
     half = F.floor(F.length("x.word") / 2).cast("int")
     front = F.substring(F.col("x.word"), F.lit(1), half) == F.substring(F.col("y.word"), F.lit(1), half)
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & first
     meets = meets & (sum((_flips(b) for b in range(BANDS)), F.lit(0)) <= flips) & ((F.col("x.at") % 2 == 0) | ~front)
-    met = left.alias("x").join(right.alias("y"), meets)
-    return met.where(F.levenshtein(F.col("x.word"), F.col("y.word"), 1) == 1).select(F.col("x.word").alias("a"), F.col("x.n").alias("an"), F.col("y.word").alias("b"), F.col("y.n").alias("bn"))
+    meets = meets & ((F.length("x.word") > LONG) if long else (F.length("x.word") <= LONG))
+    near = _one_edit(F.col("x.word"), F.col("y.word")) if long else F.levenshtein(F.col("x.word"), F.col("y.word"), 1) == 1
+    met = left.alias("x").hint("merge").join(right.alias("y").hint("merge"), F.when(meets, near).otherwise(False) & (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")))
+    return met.select(F.col("x.word").alias("a"), F.col("x.n").alias("an"), F.col("y.word").alias("b"), F.col("y.n").alias("bn"))
 
 
 def near_pairs(words_: DataFrame) -> DataFrame:
     """``a, an, b, bn``: every pair of words one edit apart, once. ``words_``: distinct ``word`` with ``n``."""
     masked = durable(words_.select("word", "n", *[_band(F.col("word"), b).alias(f"b{b}") for b in range(BANDS)]), "spelling-masks")
     size = F.length("word")
-    same = _rows(masked, size, False, [[b] for b in range(BANDS)])
     unequal = [F.lit(True)]
     for b in range(BANDS - 1):
         unequal.append(unequal[-1] & (F.col(f"x.b{b}") != F.col(f"y.b{b}")))
     own = F.floor(F.col("x.at") / 2)
     first = reduce(lambda a, b: a | b, [(own == b) & unequal[b] for b in range(BANDS)])
-    replaced = _pairs(same, same, (F.col("x.word") < F.col("y.word")) & first, 2)
     others = [[b for b in range(BANDS) if b != changed] for changed in range(BANDS)]
     changed = reduce(lambda a, b: a | b, [(own == b) & (_flips(b) == 1) for b in range(BANDS)])
-    inserted = _pairs(_rows(masked, size, False, others), _rows(masked.where(size > LEAST_LETTERS), size - 1, True, others), changed, 1)
-    return replaced.unionAll(inserted)
+    found = []
+    for long in (False, True):
+        part = masked.where(size > LONG if long else size <= LONG + 1)
+        if long and part.isEmpty():
+            continue
+        same = _rows(part, size, False, [[b] for b in range(BANDS)])
+        found.append(_pairs(same, same, (F.col("x.word") < F.col("y.word")) & first, 2, long))
+        found.append(_pairs(_rows(part, size, False, others), _rows(part.where(size > LEAST_LETTERS), size - 1, True, others), changed, 1, long))
+    return reduce(DataFrame.unionAll, found)
 
 
 def forms(words_: DataFrame) -> DataFrame:
@@ -118,7 +136,7 @@ def forms(words_: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("bn")).alias("less"), F.col("b").alias("form")))
     near = both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"))
     top = -F.col("best.less")
-    found = words_.join(near, "word", "left")
+    found = words_.hint("merge").join(near, "word", "left")
     well = top >= 2 * F.col("n")
     return found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(well, F.col("best.form")).alias("form"), F.when(well, top).alias("form_n"))
 
@@ -127,7 +145,7 @@ def roots(formed: DataFrame) -> DataFrame:
     """``word, root`` of the words with a form: each round doubles the steps that a pointer stands for."""
     now = durable(formed.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
-        stepped = now.alias("x").join(now.alias("y"), F.col("x.root") == F.col("y.word"), "left")
+        stepped = now.alias("x").hint("merge").join(now.alias("y"), F.col("x.root") == F.col("y.word"), "left")
         nxt = durable(stepped.select(F.col("x.word").alias("word"), F.coalesce("y.root", "x.root").alias("root"), F.col("y.root").isNotNull().alias("moved")), "spelling-roots")
         moved = nxt.agg(F.max("moved")).first()[0]
         now = nxt.drop("moved")
@@ -141,7 +159,7 @@ def group(docs: DataFrame) -> DataFrame:
         counted = durable(words(docs), "spelling-words")
         formed = durable(forms(counted), "spelling-forms")
         ends = durable(roots(formed), "spelling-last")
-    out = formed.join(ends, "word", "left")
+    out = formed.hint("merge").join(ends, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
