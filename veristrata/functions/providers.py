@@ -7,18 +7,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Characters of the texts that are answered together, at most about (one text at least).
+PIECE = 1 << 18
+
+
+def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
+    """The parts of a batch: what a worker holds follows from ``PIECE`` and not from the batch's length."""
+    sizes = np.array([0 if t is None else len(t) for t in texts.where(texts.notna(), None)], np.int64)
+    part = (np.cumsum(sizes) - sizes) // PIECE
+    for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+        yield texts.iloc[own]
+
+
 def embedder(provider: Callable[[], Callable[[list[str]], list[list[float]]]]):
     """UDF text -> ``array<float>``; null for a null text."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = provider()
-        for texts in batches:
+        for texts in (own for batch in batches for own in _pieces(batch)):
             there = texts.notna()
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             if there.any():
@@ -46,7 +59,7 @@ def tokenizer(provider: Callable[[], Callable[[str], list[tuple[int, int]]]]):
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         offsets = provider()
-        for texts in batches:
+        for texts in (own for batch in batches for own in _pieces(batch)):
             yield texts.map(lambda t: [] if t is None else [{"start": a, "end": z} for a, z in offsets(t)])
 
     return run
