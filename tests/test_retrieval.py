@@ -4,7 +4,9 @@ import hashlib
 import io
 import json
 import tarfile
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from veristrata.functions import providers
@@ -234,3 +236,35 @@ def test_quotes_meet_texts_by_inner_words(spark):
     made = ranking.quote_containment(spark.createDataFrame(docs, "k long, t string"), spark.createDataFrame(quotes, "q long, s string"), "k", "t", "q", "s")
     want = {(q, k) for k, t in docs for q, s in quotes if t is not None and s is not None and s in t}
     assert {(r.q, r.k) for r in made.collect()} == want and made.count() == len(want)
+
+
+def test_digest_is_the_same_above_its_limit(spark):
+    """Whatever the number of rows: 4,096 buckets of sorted entries, then their digests; null keys count as rows only."""
+    rows = spark.createDataFrame([(i % 5000 if i % 90 else None,) for i in range(9000)], "k long")
+    counts, buckets = Counter(hashlib.sha256(str(r.k).encode()).hexdigest() for r in rows.collect() if r.k is not None), {}
+    for h in sorted(counts):
+        buckets.setdefault(h[:3], []).append(f"{h}:{counts[h]}")
+    want = hashlib.sha256(",".join(hashlib.sha256(",".join(buckets[b]).encode()).hexdigest() for b in sorted(buckets)).encode()).hexdigest()
+    for limit in (9000, 10):
+        found = ingest.multiset_digest(rows, "k", limit=limit).first()
+        assert (found.digest, found.n) == (want, 9000)
+
+
+def test_providers_answer_in_pieces():
+    """No batch of a tokenizer or an embedder holds the answers for many long texts."""
+    texts = pd.Series(["a b " * 100_000, None, "c"] * 9)
+    for udf in (providers.tokenizer(providers.word_offsets), providers.embedder(lambda: lambda own: [[float(len(t))] for t in own])):
+        found = list(udf.func(iter([texts])))
+        assert len(found) > 2 and sum(map(len, found)) == 27
+        assert list(pd.concat(found).index) == list(texts.index)
+
+
+def test_words_of_a_text_are_made_once(spark, capsys):
+    texts = ["red big fox", "red fox big", "Red BIG fox dog", "a Cat", None, "redbigfox cats"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    asked = lexical.search_query('red "big fox" -dog or cat')
+    found = rows.where(ranking.search_texts(F.col("t"), asked.alternatives))
+    assert sorted(r.k for r in found.collect()) == [0, 3]
+    found.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
+    assert rows.where(ranking.search_texts(F.col("t"), [])).count() == 0

@@ -201,24 +201,47 @@ def key_set_digest(rows: DataFrame, key: str, limit: int = KEY_SET) -> DataFrame
     return ordered.coalesce(1).mapInArrow(_hashed, "digest string").withColumn("n", F.lit(n).cast("long"))
 
 
-def multiset_digest(rows: DataFrame, key: str) -> DataFrame:
-    """The same identity at any size. Equal keys are one entry with a count; entries are hashed in lists of
-    about 4,096, by the first hex digits of their keys' digests, then these digests by three digits less,
-    level by level. The number of levels follows from the number of rows, so no task holds a longer list."""
-    digits = 3
-    n = rows.count()
-    while n > 16 ** (digits + 3):
-        digits += 3
-    entries = rows.groupBy(F.sha2(F.col(key).cast("string"), 256).alias("h")).agg(F.count("*").alias("n"))
-    entry = F.concat("h", F.lit(":"), F.col("n").cast("string"))
-    now = entries.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.array_sort(F.collect_list(entry)).alias("own"), F.sum("n").alias("n"))
-    now = now.select("b", F.sha2(F.array_join("own", ","), 256).alias("d"), "n")
-    while digits:
-        digits -= 3
-        listed = F.array_sort(F.collect_list(F.struct("b", "d")))
-        now = now.groupBy(F.substring("b", 1, digits).alias("b")).agg(listed.alias("own"), F.sum("n").alias("n"))
-        now = now.select("b", F.sha2(F.array_join(F.transform("own", lambda x: x["d"]), ","), 256).alias("d"), "n")
-    return now.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+#: Rows of a table whose buckets of entries are held as lists; those of larger tables are hashed as streams.
+BUCKETED = 16**6
+
+
+def _bucket_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``b, d, n`` of each bucket from a stream of entries in order: no entry is held."""
+    bucket, state, total = None, None, 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([bucket], pa.string()), pa.array([state and state.hexdigest()], pa.string()), pa.array([total], pa.int64())], ["b", "d", "n"])
+    for batch in batches:
+        for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist()):
+            own = h and h[:3]
+            if total and own != bucket:
+                yield row()
+                state, total = None, 0
+            bucket = own
+            if h is not None:
+                state = state or hashlib.sha256()
+                state.update(f"{',' if total else ''}{h}:{n}".encode())
+            total += n
+    if total:
+        yield row()
+
+
+def multiset_digest(rows: DataFrame, key: str, limit: int = BUCKETED) -> DataFrame:
+    """The same identity at any size. Equal keys are one entry with a count; the entries are hashed in 4,096 buckets by
+    the first three hex digits of their keys' digests, then the buckets' digests. Above ``limit`` rows no bucket is held
+    as a list: a task sorts its buckets (on disk, if need be) and hashes one entry after the other. Null keys count as
+    rows only."""
+    entries = rows.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n")).select(F.sha2("k", 256).alias("h"), "n")
+    bucket = F.substring("h", 1, 3)
+    if rows.count() > limit:
+        workers_import(rows.sparkSession)
+        dealt = entries.withColumn("b", bucket).repartition("b").sortWithinPartitions("b", "h").select("h", "n")
+        now = dealt.mapInArrow(_bucket_digests, "b string, d string, n long")
+    else:
+        entry = F.concat("h", F.lit(":"), F.col("n").cast("string"))
+        own = entries.groupBy(bucket.alias("b")).agg(F.array_sort(F.collect_list(entry)).alias("own"), F.sum("n").alias("n"))
+        now = own.select("b", F.sha2(F.array_join("own", ","), 256).alias("d"), "n")
+    listed = F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "d"))))
+    whole = now.agg(listed.alias("own"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return whole.select(F.sha2(F.array_join(F.transform("own", lambda x: x["d"]), ","), 256).alias("digest"), "n")
 
 
 def compare(expected: DataFrame, actual: DataFrame, name: str = "metric") -> DataFrame:
