@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -190,6 +190,18 @@ def search_filter(words: Column, alternatives: Sequence[dict]) -> Column:
     return out
 
 
+def search_texts(text: Column, alternatives: Sequence[dict]) -> Column:
+    """:func:`search_filter` over a text. A condition on words would make them again for each word that it names; here
+    they are made once, and only of texts that hold the letters of all words of some alternative."""
+
+    def letters(low: Column) -> Column:
+        whole = [[*a["words"], *(w for p in a["phrases"] for w in p)] for a in alternatives]
+        return reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.contains(low, F.lit(w)) for w in own], F.lit(True)) for own in whole], F.lit(False))
+
+    may = F.exists(F.array(F.lower(F.coalesce(text, F.lit("")))), letters)
+    return may & F.exists(F.array(lexemes(text)), lambda words: search_filter(words, alternatives))
+
+
 def cover_density(fields: Sequence[tuple[Column, float]], terms: Sequence[str]) -> Column:
     """Cover density of ``terms`` over weighted fields of :func:`lexemes`, one after the other. A cover is a
     shortest stretch that holds all terms; it adds the harmonic mean of its hits' weights over one plus the
