@@ -22,6 +22,9 @@ from .textindex import best, first_of_each, kept_best, question_parts
 
 #: Components of the vectors of one block, at most about.
 BLOCK_VALUES = 4 << 20
+#: Questions of one cell of the grid, at most about, and those whose products with its block are held at once.
+QUESTIONS = 16_000
+AT_ONCE = 64
 
 
 def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -42,13 +45,21 @@ def _cell(questions: pa.Table, rows: pa.Table, depth: int, margin: float, schema
         names = rows.column("group").to_pylist()
         numbers = {g: i for i, g in enumerate(sorted({g for g in names if g is not None}))}
         group = np.array([numbers.get(g, -1) for g in names], np.int64)
-        near, anchors = _matrix(questions.column("q")) @ _matrix(rows.column("v")).T, questions.column("anchors").to_pylist()
-        for n, limits in enumerate(anchors):
-            within = np.flatnonzero(np.isin(group, [numbers[g] for g in limits or () if g in numbers]))
-            for anchored, some in ((False, np.arange(len(group))), (True, within)):
-                top = some[best(near[n][some], depth, margin)]
-                if len(top):
-                    found[n, anchored] = [(near[n][top], keys.take(pa.array(top)))]
+        asked, held, every = _matrix(questions.column("q")), _matrix(rows.column("v")).T, np.arange(len(group))
+        alike: dict[tuple, list[int]] = {}
+        for n, limits in enumerate(questions.column("anchors").to_pylist()):
+            alike.setdefault(tuple(sorted({numbers[g] for g in limits or () if g in numbers})), []).append(n)
+        order = [(limits, n) for limits, own in alike.items() for n in own]
+        last, within = None, every[:0]
+        for first in range(0, len(order), AT_ONCE):
+            some = order[first : first + AT_ONCE]
+            for (limits, n), near in zip(some, asked[[n for _, n in some]] @ held):
+                if limits != last:
+                    last, within = limits, np.flatnonzero(np.isin(group, limits)) if limits else every[:0]
+                for anchored, own in ((False, every), (True, within)):
+                    top = own[best(near[own] if anchored else near, depth, margin)]
+                    if len(top):
+                        found[n, anchored] = [(near[top], keys.take(pa.array(top)))]
     return kept_best(found, ids, depth, margin, schema)
 
 
@@ -56,7 +67,7 @@ def search(questions: DataFrame, rows: DataFrame, depth: int = DEPTH, places: in
     """``query_id, anchored, key, score, rank``: the first ``depth`` rows by scalar product (cosine of unit vectors), once
     among all rows and once among those whose ``group`` is one of the question's ``anchors``. ``questions``: ``query_id,
     q, anchors``; ``rows``: ``key, group, v``. Null vectors take no part; all have one length."""
-    asked, parts = question_parts(questions.select("query_id", F.col("q").cast("array<double>").alias("q"), "anchors").where("q is not null"))
+    asked, parts = question_parts(questions.select("query_id", F.col("q").cast("array<double>").alias("q"), "anchors").where("q is not null"), QUESTIONS)
     own = rows.select("key", F.col("group").cast("string").alias("group"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
     size = own.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
     cells = -(-max(size, 1) // BLOCK_VALUES)
