@@ -1,6 +1,7 @@
 """Lexical plans by the rules, and tables of questions."""
 
 import pytest
+from pyspark.sql import functions as F
 from veristrata.plans import lexical, question_tables
 from veristrata.plans.algebra import Refused
 from veristrata.plans.language import Entry
@@ -90,3 +91,9 @@ def test_quotes_of_every_length(spark, monkeypatch):
     made = ranking.quote_containment(spark.createDataFrame(docs, "k long, t string"), spark.createDataFrame(quotes, "q long, s string"), "k", "t", "q", "s")
     want = {(q, k) for k, t in docs for q, s in quotes if t is not None and s is not None and s in t}
     assert {(r.q, r.k) for r in made.collect()} == want and made.count() == len(want)
+
+
+def test_questions_of_one_file_are_dealt_to_all_tasks(spark):
+    rows = spark.createDataFrame([(i, f"Explain the literature evidence for x{i}") for i in range(400)], "k long, t string").coalesce(1)
+    found = question_tables.route_questions(rows, "t")
+    assert found.count() == 400 and found.select(F.spark_partition_id()).distinct().count() > 1

@@ -41,9 +41,12 @@ class _Routes:
 
 
 def _each(questions: DataFrame, question: str, handler: type, schema: str) -> DataFrame:
-    workers_import(questions.sparkSession)
+    """Short questions in few files would be planned by few tasks, so they are dealt to all."""
+    spark = questions.sparkSession
+    workers_import(spark)
     rule = F.udtf(handler, returnType=schema)
-    return questions.lateralJoin(rule(F.col(question).outer()))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return questions.repartition(tasks).lateralJoin(rule(F.col(question).outer()))
 
 
 def plan_questions(questions: DataFrame, question: str) -> DataFrame:
