@@ -125,7 +125,9 @@ def ledger_counts(rows: DataFrame) -> DataFrame:
 
 
 def issue_counts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    """Rows of each code. An inner explode would send a filter on the list's size below the rules, which then are worked out
+    once for each place that names them; the outer one leaves a row without a code, which goes afterwards."""
+    return rows.select(F.explode_outer("issues").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
 
 
 def audit(rows: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
