@@ -20,3 +20,12 @@ def test_issue_rules_are_not_filters(spark):
     found = ingest.issue_counts(ingest.normalize(rows, "s", "p"))
     assert {tuple(r) for r in found.collect()} == {("invalid_assembly_accession_version", 2), ("invalid_integer", 1)}
     assert not any("RLIKE" in line for line in _plan(found).splitlines() if "Filter" in line)
+
+
+def test_assertions_meet_evidence_by_digests(spark):
+    ids = {n: n * 400 for n in "abcde"}
+    assertions = spark.createDataFrame([(ids["a"], 1, "A"), (ids["b"], 1, "B"), (ids["c"], 2, "A"), (ids["d"], 2, "B"), (ids["e"], 3, "A"), (None, 3, "B")], "assertion_id string, locus_id long, assertion_type string")
+    evidence = spark.createDataFrame([(ids[n], "supports") for n in "aabcde"] + [(ids["d"], "contradicts"), (None, "supports")], "assertion_id string, relation string")
+    found = release.public_assertions(assertions, evidence, ("A", "B"))
+    assert [r.locus_id for r in found.collect()] == [1]
+    assert "sha2(" in _plan(found)

@@ -171,9 +171,11 @@ def adjudication_prefix(rows: DataFrame, by: str, order: str, decision: str) ->
 
 
 def public_assertions(assertions: DataFrame, evidence: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """Loci that hold all required assertion types, each with support and without contradiction."""
-    own = evidence.groupBy("assertion_id").agg(F.count_if(F.col("relation") == "supports").alias("_s"), F.count_if(F.col("relation") == "contradicts").alias("_c"))
-    state = assertions.join(own, "assertion_id", "left").groupBy("locus_id").agg(
+    """Loci that hold all required assertion types, each with support and without contradiction. Assertions meet their
+    evidence by the digests of their ids, so no long id is shuffled."""
+    by_digest = lambda rows: rows.withColumn("assertion_id", F.unhex(F.sha2(F.col("assertion_id").cast("string"), 256)))
+    own = by_digest(evidence).groupBy("assertion_id").agg(F.count_if(F.col("relation") == "supports").alias("_s"), F.count_if(F.col("relation") == "contradicts").alias("_c"))
+    state = by_digest(assertions).join(own, "assertion_id", "left").groupBy("locus_id").agg(
         F.collect_set("assertion_type").alias("_types"), F.bool_and((F.coalesce("_s", F.lit(0)) >= 1) & (F.coalesce("_c", F.lit(0)) == 0)).alias("_clean")
     )
     need = F.array(*[F.lit(r) for r in required])
