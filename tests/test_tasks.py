@@ -29,3 +29,11 @@ def test_assertions_meet_evidence_by_digests(spark):
     found = release.public_assertions(assertions, evidence, ("A", "B"))
     assert [r.locus_id for r in found.collect()] == [1]
     assert "sha2(" in _plan(found)
+
+
+def test_ranges_of_keys_are_sorted_by_their_own_tasks(spark):
+    keys = [str(i * 7919 % 300_007) for i in range(3 * ingest.PIECE + 5)] + ["a\"b", "é", "", "0", "0"]
+    found = ingest.key_set_digest(spark.createDataFrame([(k,) for k in [*keys, None]], "k string"), "k", limit=10)
+    assert "Coalesce" not in _physical(found)
+    want = "[" + ",".join('"' + k.replace('"', '\\"') + '"' for k in sorted(keys, key=str.encode)) + "]"
+    assert tuple(found.first()) == (hashlib.sha256(want.encode()).hexdigest(), len(keys) + 1)

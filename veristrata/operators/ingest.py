@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,12 +179,29 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
 KEY_SET = 100_000
 
 
+#: Keys of one range of a large key set, about; keys of one piece of it.
+RANGE, PIECE = 1 << 18, 1 << 15
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range's JSON texts, joined and compressed in numbered pieces."""
+    number, held = TaskContext.get().partitionId() << 32, []
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([zlib.compress(",".join(held).encode())])], ["piece", "z"])
+    for batch in batches:
+        held += batch.column("j").to_pylist()
+        if len(held) >= PIECE:
+            yield row()
+            number, held = number + 1, []
+    if held:
+        yield row()
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of the JSON list of a stream of keys, given as JSON texts in their order."""
+    """SHA-256 of the JSON list of a stream of keys, given in pieces in their order."""
     state, first = hashlib.sha256(b"["), True
     for batch in batches:
-        for text in batch.column("j").to_pylist():
-            state.update((text if first else "," + text).encode())
+        for piece in batch.column("z").to_pylist():
+            state.update((b"" if first else b",") + zlib.decompress(piece))
             first = False
     state.update(b"]")
     yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["digest"])
@@ -190,8 +209,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def key_set_digest(rows: DataFrame, key: str, limit: int = KEY_SET) -> DataFrame:
     """SHA-256 of the JSON list of sorted keys (nulls are not listed), with the number of rows. Above ``limit`` rows the
-    list is never held: keys are dealt to ranges, and one task sorts (on disk, if need be) and hashes one range after
-    the other, since this digest is sequential by definition. :func:`multiset_digest` is the identity that tasks share."""
+    list is never held: keys are dealt to ranges, every task sorts one and packs it in pieces, and one task hashes the
+    pieces in their order, since this digest is sequential by definition. :func:`multiset_digest` is the identity that tasks share."""
     keys = rows.select(F.col(key).cast("string").alias("k"))
     n = keys.count()
     if n <= limit:
@@ -199,8 +218,10 @@ def key_set_digest(rows: DataFrame, key: str, limit: int = KEY_SET) -> DataFrame
         return listed.select(F.sha2(F.to_json("ks"), 256).alias("digest"), "n")
     one = F.to_json(F.array("k"))
     workers_import(rows.sparkSession)
-    ordered = keys.where("k is not null").orderBy("k").select(F.substring(one, F.lit(2), F.length(one) - 2).alias("j"))
-    return ordered.coalesce(1).mapInArrow(_hashed, "digest string").withColumn("n", F.lit(n).cast("long"))
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // RANGE))
+    ordered = keys.where("k is not null").repartitionByRange(ranges, "k").sortWithinPartitions("k").select(F.substring(one, F.lit(2), F.length(one) - 2).alias("j"))
+    packed = ordered.mapInArrow(_pieces, "piece long, z binary").repartition(1).sortWithinPartitions("piece")
+    return packed.select("z").mapInArrow(_hashed, "digest string").withColumn("n", F.lit(n).cast("long"))
 
 
 #: Rows of a table whose buckets of entries are held as lists; those of larger tables are hashed as streams.
