@@ -1,8 +1,12 @@
 """Joins and groupings whose tasks must not grow with the table: their plans, and their results on small rows."""
 
 import hashlib
+import re
 
-from veristrata.operators import facts, ingest, release
+import __spark_entry__
+import pytest
+from veristrata import session
+from veristrata.operators import ingest, release
 
 
 def _plan(df):
@@ -37,3 +41,11 @@ def test_ranges_of_keys_are_sorted_by_their_own_tasks(spark):
     assert "Coalesce" not in _physical(found)
     want = "[" + ",".join('"' + k.replace('"', '\\"') + '"' for k in sorted(keys, key=str.encode)) + "]"
     assert tuple(found.first()) == (hashlib.sha256(want.encode()).hexdigest(), len(keys) + 1)
+
+
+@pytest.mark.parametrize("name", ["F12_assertion_details"])
+def test_large_joins_are_dealt_by_rows(spark, name):
+    found = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    dealt = [line for line in _physical(found).splitlines() if re.search(r"Exchange hashpartitioning\((locus_id|l_orderkey)#", line)]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+    assert session.tasks_for(spark.range(40 * session.ROWS_A_TASK + 1)) == 41

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import tasks_for
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -68,7 +70,9 @@ def _below(closed: DataFrame | Callable[[], DataFrame] | None, ancestor: object,
 
 def matched_loci(t: Facts, release: str, filters: tuple = ()) -> DataFrame:
     """Base relation: the release's loci that pass all filters, once each."""
-    base = t.membership.where(F.col("release") == release).join(t.locus, "locus_id").select("locus_id", "group_id", "sequence_id")
+    n = tasks_for(t.locus)
+    members = t.membership.where(F.col("release") == release).repartition(n, "locus_id")
+    base = members.join(t.locus.repartition(n, "locus_id"), "locus_id").select("locus_id", "group_id", "sequence_id")
     for f in filters:
         if isinstance(f, GroupFilter):
             base = base.where(F.col("group_id") == f.group_id)
@@ -184,7 +188,8 @@ def call_details(t: Facts, base: DataFrame) -> DataFrame:
 
 def assertion_details(t: Facts, base: DataFrame) -> DataFrame:
     """Distinct assertions with the optional term of their group."""
-    own = t.assertion.join(base.select("locus_id", "group_id"), "locus_id").distinct()
+    n = tasks_for(t.locus)
+    own = t.assertion.repartition(n, "locus_id").join(base.select("locus_id", "group_id").repartition(n, "locus_id"), "locus_id").distinct()
     return own.join(t.assignment.where("role = 'source'"), "group_id", "left").join(t.term, "term_id", "left").select("locus_id", "category", "kind", "term_name")
 
 

@@ -33,6 +33,16 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/veristrata/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of one key's side that a task of a large join takes, about.
+ROWS_A_TASK = 1 << 15
+
+
+def tasks_for(rows: DataFrame, most: int = ROWS_A_TASK) -> int:
+    """Tasks for joins that shuffle ``rows``, one for each ``most`` of them: a fixed number of tasks, or one by compressed
+    bytes, lets the memory of each grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     folder = scratch_folder(df.sparkSession, label)
