@@ -49,3 +49,11 @@ def test_large_joins_are_dealt_by_rows(spark, name):
     dealt = [line for line in _physical(found).splitlines() if re.search(r"Exchange hashpartitioning\((locus_id|l_orderkey)#", line)]
     assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
     assert session.tasks_for(spark.range(40 * session.ROWS_A_TASK + 1)) == 41
+
+
+def test_covered_keys_are_grouped_once(spark):
+    asked = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    held = spark.createDataFrame([(2,), (2,), (3,), (3,), (None,), (None,)], "k long")
+    found = release.coverage_faults(asked, held, "k")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "missing"), (3, "unrequested"), (None, "missing"), (None, "unrequested")]
+    assert "Join" not in _plan(found)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ROWS_A_TASK, tasks_for
 from .ingest import multiset_digest
 
 
@@ -196,9 +197,13 @@ def exact_projection(rows: DataFrame, key: str, columns: list[str]) -> DataFrame
 
 
 def coverage_faults(requests: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """Keys requested without evidence, and evidence that nobody requested."""
-    missing = requests.select(key).join(evidence.select(key), key, "left_anti").withColumn("fault", F.lit("missing"))
-    return missing.unionByName(evidence.select(key).join(requests.select(key), key, "left_anti").withColumn("fault", F.lit("unrequested"))).distinct()
+    """Keys requested without evidence, and evidence that nobody requested; a null key meets none. Both sides are
+    grouped once, so that a task holds a flag or two a key, not the rows."""
+    sides = requests.select(key, F.lit(True).alias("_r")).unionByName(evidence.select(key, F.lit(False).alias("_r")))
+    met = sides.repartition(tasks_for(sides, 4 * ROWS_A_TASK), key).groupBy(key).agg(F.bool_or("_r").alias("_asked"), F.bool_or(~F.col("_r")).alias("_found"))
+    none = F.col(key).isNull()
+    faults = F.array(F.when(F.col("_asked") & (none | ~F.col("_found")), F.lit("missing")), F.when(F.col("_found") & (none | ~F.col("_asked")), F.lit("unrequested")))
+    return met.select(key, F.explode_outer(faults).alias("fault")).where("fault is not null")
 
 
 def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
