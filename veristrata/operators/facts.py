@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import tasks_for
+from ..session import ROWS_A_TASK, tasks_for
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,8 @@ def scoped(tables: dict[str, tuple[DataFrame, str, str]], scope: dict[str, DataF
     out: DataFrame | None = None
     for name, (rows, key, kind) in sorted(tables.items()):
         public = scope[kind]
-        own = rows.join(public.select(F.col(public.columns[0]).alias(key)), key, "left_semi").select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
+        n = tasks_for(rows, 4 * ROWS_A_TASK)
+        own = rows.select(key).repartition(n, key).join(public.select(F.col(public.columns[0]).alias(key)).repartition(n, key), key, "left_semi").select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no table to scope")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as f
 from ..operators import taxonomy
 from ..plans.algebra import Plan, execute, total
+from ..session import ROWS_A_TASK, tasks_for
 from .mapping import BASE, CLOSURE, facts, lineage, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -258,7 +259,9 @@ def scoped_tables(spark: SparkSession, d: str) -> DataFrame:
     line, customer = table(spark, d, "lineitem"), table(spark, d, "customer")
     loci, groups = base.select("locus_id"), base.select("group_id").distinct()
     terms = customer.join(groups, customer.c_custkey == groups.group_id, "left_semi").select("c_nationkey").distinct()
-    parts = line.join(loci, line.l_orderkey == loci.locus_id, "left_semi").select("l_partkey").distinct()
+    n = tasks_for(line, 4 * ROWS_A_TASK)
+    called = line.select(F.col("l_orderkey").alias("locus_id"), "l_partkey").repartition(n, "locus_id")
+    parts = called.join(loci.repartition(n, "locus_id"), "locus_id", "left_semi").select("l_partkey").distinct()
     rows = {"orders": (table(spark, d, "orders"), "o_orderkey", "locus"), "lineitem": (line, "l_orderkey", "locus"), "customer": (customer, "c_custkey", "group"), "nation": (table(spark, d, "nation"), "n_nationkey", "term"), "part": (table(spark, d, "part"), "p_partkey", "part")}
     return f.scoped(rows, {"locus": loci, "group": groups, "term": terms, "part": parts})
 
