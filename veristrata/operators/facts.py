@@ -155,10 +155,14 @@ def locus_projection(t: Facts, base: DataFrame) -> DataFrame:
     """The whole detail of each locus: every column that the catalog's locus, group and term tables hold, and
     its numbers of calls and categories. Both counts are aggregates before they join, so nothing fans out."""
     own = t.assignment.where("role = 'source'").select("group_id", "term_id")
-    calls = t.call.join(base, "locus_id", "left_semi").groupBy("locus_id").agg(F.count_distinct("call_key").alias("calls"))
-    kinds = t.assertion.join(base, "locus_id", "left_semi").groupBy("locus_id").agg(F.count_distinct("category", "kind").alias("categories"))
-    rows = base.select("locus_id").join(t.locus, "locus_id").join(t.groups, "group_id").join(own, "group_id").join(t.term, "term_id")
-    return rows.join(calls, "locus_id", "left").join(kinds, "locus_id", "left").na.fill(0, ["calls", "categories"])
+    n = tasks_for(t.locus)
+    loci = base.select("locus_id").repartition(n, "locus_id")
+    dealt = lambda rows: rows.repartition(n, "locus_id").join(loci, "locus_id", "left_semi").groupBy("locus_id")
+    calls = dealt(t.call).agg(F.count_distinct("call_key").alias("calls"))
+    kinds = dealt(t.assertion).agg(F.count_distinct("category", "kind").alias("categories"))
+    counted = loci.join(t.locus.repartition(n, "locus_id"), "locus_id").join(calls, "locus_id", "left").join(kinds, "locus_id", "left").na.fill(0, ["calls", "categories"])
+    wide = counted.repartition(n, "group_id").join(t.groups.repartition(n, "group_id"), "group_id").join(own.repartition(n, "group_id"), "group_id").join(t.term, "term_id")
+    return wide.select("term_id", "group_id", "locus_id", *[c for c in wide.columns if c not in ("term_id", "group_id", "locus_id", "calls", "categories")], "calls", "categories")
 
 
 def scoped(tables: dict[str, tuple[DataFrame, str, str]], scope: dict[str, DataFrame]) -> DataFrame:
