@@ -43,7 +43,7 @@ def test_ranges_of_keys_are_sorted_by_their_own_tasks(spark):
     assert tuple(found.first()) == (hashlib.sha256(want.encode()).hexdigest(), len(keys) + 1)
 
 
-@pytest.mark.parametrize("name", ["F12_assertion_details", "F21_scoped_tables", "F10_locus_projection"])
+@pytest.mark.parametrize("name", ["F12_assertion_details", "F21_scoped_tables", "F10_locus_projection", "I2_projection_cardinality"])
 def test_large_joins_are_dealt_by_rows(spark, name):
     found = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     dealt = [line for line in _physical(found).splitlines() if re.search(r"Exchange hashpartitioning\((locus_id|l_orderkey)#", line)]

@@ -182,8 +182,9 @@ def scoped(tables: dict[str, tuple[DataFrame, str, str]], scope: dict[str, DataF
 def cardinality_faults(base: DataFrame, details: DataFrame, key: str = "locus_id") -> DataFrame:
     """Keys of the base that a projection does not hold exactly once, and keys that it holds beside them:
     ``key, expected, found``. Empty means that the projection answers the request."""
-    found = details.groupBy(key).agg(F.count("*").alias("found"))
-    both = base.select(key, F.lit(1).alias("expected")).distinct().join(found, key, "full")
+    n = tasks_for(base)
+    found = details.select(key).repartition(n, key).groupBy(key).agg(F.count("*").alias("found"))
+    both = base.select(key, F.lit(1).alias("expected")).repartition(n, key).distinct().join(found, key, "full")
     return both.select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found")).where("expected <> found")
 
 
