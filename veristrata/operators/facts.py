@@ -162,7 +162,7 @@ def locus_projection(t: Facts, base: DataFrame) -> DataFrame:
     kinds = dealt(t.assertion).agg(F.count_distinct("category", "kind").alias("categories"))
     counted = loci.join(t.locus.repartition(n, "locus_id"), "locus_id").join(calls, "locus_id", "left").join(kinds, "locus_id", "left").na.fill(0, ["calls", "categories"])
     wide = counted.repartition(n, "group_id").join(t.groups.repartition(n, "group_id"), "group_id").join(own.repartition(n, "group_id"), "group_id").join(t.term, "term_id")
-    return wide.select("term_id", "group_id", "locus_id", *[c for c in wide.columns if c not in ("term_id", "group_id", "locus_id", "calls", "categories")], "calls", "categories")
+    return wide.select("locus_id", "term_id", "group_id", *[c for c in wide.columns if c not in ("term_id", "group_id", "locus_id", "calls", "categories")], "calls", "categories")
 
 
 def scoped(tables: dict[str, tuple[DataFrame, str, str]], scope: dict[str, DataFrame]) -> DataFrame:
