@@ -7,6 +7,7 @@ import __spark_entry__
 import pytest
 from veristrata import session
 from veristrata.operators import ingest, release
+from veristrata.sources import scans
 
 
 def _plan(df):
@@ -26,6 +27,16 @@ def test_issue_rules_are_not_filters(spark):
     assert not any("RLIKE" in line for line in _plan(found).splitlines() if "Filter" in line)
 
 
+def test_line_marks_are_worked_out_once(spark):
+    texts = ["t\n\na\nb\n \t\n\nc", "\n\n\na", "a\n", " \n\t", "", None, "x\n\n" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = scans.plain_block_lines(docs)
+    rows = [tuple(r) for r in found.orderBy("doc_id", "block_index").collect()]
+    head = [(0, 0, "title", "t", 1, 1), (0, 1, "paragraph", "a\nb", 3, 4), (0, 2, "paragraph", "c", 7, 7), (1, 0, "title", "a", 4, 4), (2, 0, "title", "a", 1, 1)]
+    assert rows == head + [(6, i, "paragraph" if i else "title", "x", 2 * i + 1, 2 * i + 1) for i in range(300)]
+    assert _plan(found).count("RLIKE") == 1
+
+
 def test_assertions_meet_evidence_by_digests(spark):
     ids = {n: n * 400 for n in "abcde"}
     assertions = spark.createDataFrame([(ids["a"], 1, "A"), (ids["b"], 1, "B"), (ids["c"], 2, "A"), (ids["d"], 2, "B"), (ids["e"], 3, "A"), (None, 3, "B")], "assertion_id string, locus_id long, assertion_type string")

@@ -267,13 +267,15 @@ def plain_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def plain_block_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """As :func:`plain_blocks`, with the first and last line of each block (from 1): a block begins at a line
-    with something on it after one without, and ends before the next without."""
+    with something on it after one without, and ends before the next without. An inner explode would send a filter on
+    the list's size down to the scan, where the marks of all lines are worked out again for each line; the outer one
+    leaves a row without a block, which goes afterwards."""
     wide = docs.select(*[c for c in docs.columns if c != text], F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_l"))
     on = wide.withColumn("_on", F.transform("_l", lambda s: ~s.rlike(r"^[ \t]*$"))).withColumn("_at", F.sequence(F.lit(1), F.size("_l")))
     is_on = lambda i: F.coalesce(F.get(F.col("_on"), i - 1), F.lit(False))
     first = F.filter("_at", lambda i: is_on(i) & ((i == 1) | ~is_on(i - 1)))
     last = F.filter("_at", lambda i: is_on(i) & ~is_on(i + 1))
-    parts = on.withColumn("_b", F.arrays_zip(first.alias("f"), last.alias("t"))).select("*", F.posexplode("_b").alias("block_index", "_s"))
+    parts = on.withColumn("_b", F.arrays_zip(first.alias("f"), last.alias("t"))).select("*", F.posexplode_outer("_b").alias("block_index", "_s")).where("block_index is not null")
     return parts.select(*[c for c in docs.columns if c != text], "block_index", F.when(F.col("block_index") == 0, "title").otherwise("paragraph").alias("block_type"), F.trim(F.array_join(F.slice("_l", F.col("_s.f"), F.col("_s.t") - F.col("_s.f") + 1), "\n")).alias("text"), F.col("_s.f").alias("first_line"), F.col("_s.t").alias("last_line"))
 
 
