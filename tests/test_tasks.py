@@ -37,6 +37,24 @@ def test_line_marks_are_worked_out_once(spark):
     assert _plan(found).count("RLIKE") == 1
 
 
+def test_keys_of_an_audit_are_worked_out_once(spark):
+    names = ("Assembly", "Contig", "VR", "VR Type", "source_assessment", "outcome", "assembly_resolution", "contig_resolution", "stored_key", "locus_key", "record_key", "name")
+    good, other, call = "locus:sha256:" + "a" * 64, "locus:sha256:" + "b" * 64, "source_record:sha256:" + "c" * 64
+    first = ("a1", "c1", "vr1", "Integration", "source_high", "normalized_candidate", "exact", "exact", good, good, call, "n")
+    rows = [first, first, (*first[:8], other, good, None, None), (*first[:8], None, good, None, ""), ("a2", None, None, None, "source_low", "quarantine", None, "unresolved", "LOCUS", None, "x", "m"), (None,) * 12]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    want = dict.fromkeys(ingest.WORKSHEET_COUNTERS, 0) | {
+        "source_records": 6, "source_high": 4, "source_low": 1, "normalized_candidate": 4, "quarantine": 1, "vr_type_integration": 4, "vr_type_other": 2,
+        "assembly_resolution_exact": 4, "assembly_resolution_not_exact": 2, "contig_resolution_exact": 4, "contig_resolution_not_exact": 2,
+        "missing_locus_key": 2, "missing_organism_name": 3, "invalid_call_key_format": 4, "invalid_locus_key_format": 1, "locus_key_preimage_error": 2, "locus_key_preimage_mismatch": 2,
+        "assemblies": 2, "contigs": 1, "source_organism_names": 3, "call_key_values": 1, "call_key_extra_occurrences": 1, "locus_key_values": 1, "locus_key_extra_occurrences": 1,
+    }
+    assert list(ingest.worksheet_audit(spark.createDataFrame(rows, schema)).first().asDict().items()) == list(want.items())
+    assert set(ingest.worksheet_audit(spark.createDataFrame([], schema)).first()) == {0}
+    found = __spark_entry__.queries()["A11_worksheet_audit"](spark, "/root/testdata/sf0.001")
+    assert _plan(found).count("sha2(") == 2  # one for each of the two keys
+
+
 def test_assertions_meet_evidence_by_digests(spark):
     ids = {n: n * 400 for n in "abcde"}
     assertions = spark.createDataFrame([(ids["a"], 1, "A"), (ids["b"], 1, "B"), (ids["c"], 2, "A"), (ids["d"], 2, "B"), (ids["e"], 3, "A"), (None, 3, "B")], "assertion_id string, locus_id long, assertion_type string")

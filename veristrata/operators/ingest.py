@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ASSEMBLY_ACCESSION, CONTIG_ACCESSION, is_accession, locus_key, stable_key
-from ..functions.scalar import is_compound_interval, strict_integer
+from ..functions.scalar import UNSIGNED_INTEGER, is_compound_interval, strict_integer
 from ..session import workers_import
 
 #: Issue codes, in the order in which a row reports them.
@@ -43,9 +43,9 @@ HEADER = (
 
 def issues_of(*found: tuple[str, Column]) -> Column:
     """Array of the codes whose condition holds, in order. One joined text, cut again: generated code, where a
-    filter over an array would be interpreted row by row."""
+    filter over an array would be interpreted row by row. The text is named once, so it is worked out once."""
     joined = F.concat_ws(",", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in found])
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
+    return F.array_remove(F.split(joined, ","), "")
 
 
 def in_scope(rows: DataFrame, assemblies: tuple[str, ...], taxon: str, host_class: str) -> DataFrame:
@@ -64,14 +64,14 @@ def resolve(rows: DataFrame, index: DataFrame) -> DataFrame:
     known = index.select(F.col("assembly").alias("_a")).distinct()
     own = index.select(F.col("assembly").alias("_sa"), F.col("accession").alias("_sc"), F.col("length").alias("authority_contig_length"))
     joined = rows.join(known, F.col("Assembly") == F.col("_a"), "left").join(own, (F.col("Assembly") == F.col("_sa")) & (F.col("Contig") == F.col("_sc")), "left")
-    length = strict_integer(F.col("Contig Length"))
+    joined, length = joined.withColumn("_cl", strict_integer(F.col("Contig Length"))), F.col("_cl")
     state = (
         F.when(F.col("_a").isNull() | F.col("authority_contig_length").isNull(), "unresolved")
         .when(length.isNull() | (length <= 0), "length_unverified")
         .when(length != F.col("authority_contig_length"), "length_mismatch")
         .otherwise("exact")
     )
-    return joined.withColumn("assembly_resolution", F.when(F.col("_a").isNull(), "unresolved").otherwise("exact")).withColumn("contig_resolution", state).drop("_a", "_sa", "_sc")
+    return joined.withColumn("assembly_resolution", F.when(F.col("_a").isNull(), "unresolved").otherwise("exact")).withColumn("contig_resolution", state).drop("_a", "_sa", "_sc", "_cl")
 
 
 def normalize(rows: DataFrame, snapshot: str | Column, policy: str | Column) -> DataFrame:
@@ -80,7 +80,9 @@ def normalize(rows: DataFrame, snapshot: str | Column, policy: str | Column) ->
     policy (a text, or a column of the rows) is no exact token: null, empty or with white space around it."""
     snapshot, policy = (F.lit(x) if isinstance(x, str) else x for x in (snapshot, policy))
     unkeyed = reduce(lambda a, b: a | b, [F.coalesce((x == "") | x.rlike(r"^\s|\s$"), F.lit(True)) for x in (snapshot, policy)])
-    is_compound = is_compound_interval(F.col("Start")) | is_compound_interval(F.col("End")) | is_compound_interval(F.col("Length"))
+    whole = {c: F.coalesce(F.col(c).rlike(UNSIGNED_INTEGER), F.lit(False)) for c in ("Start", "End", "Length")}
+    rows = rows.withColumns({f"_whole_{c}": is_whole for c, is_whole in whole.items()})
+    is_compound = reduce(lambda a, b: a | b, [~F.col(f"_whole_{c}") & is_compound_interval(F.col(c)) for c in whole])  # no integer is one
     read = rows.withColumns(
         {
             "source_assessment": F.when(F.col("HCVR") == "Yes", "source_high").otherwise("source_low"),
@@ -91,7 +93,7 @@ def normalize(rows: DataFrame, snapshot: str | Column, policy: str | Column) ->
             "_token": F.coalesce(F.col("VR").rlike(r"^vr[1-9][0-9]*$"), F.lit(False)),
         }
     )
-    read = read.withColumns({new: F.when(~F.col("_compound"), strict_integer(F.col(old))) for new, old in (("start0", "Start"), ("end0", "End"), ("_length", "Length"))})
+    read = read.withColumns({new: F.when(~F.col("_compound") & F.col(f"_whole_{old}"), F.col(old).cast("long")) for new, old in (("start0", "Start"), ("end0", "End"), ("_length", "Length"))})
     start, end, length, contig_length, compound = (F.col(c) for c in ("start0", "end0", "_length", "contig_length", "_compound"))
     not_integer = contig_length.isNull() | (~compound & (start.isNull() | end.isNull() | length.isNull()))
     resolved = "assembly_resolution" in rows.columns
@@ -114,7 +116,7 @@ def normalize(rows: DataFrame, snapshot: str | Column, policy: str | Column) ->
         ("unsupported_vr_type", ~F.coalesce(F.col("VR Type").isin("Viral contig", "Integration"), nothing)),
     )
     key = F.when(F.col("_assembly") & F.col("_contig") & F.col("_token") & ~unkeyed, locus_key(snapshot, F.col("Assembly"), F.col("Contig"), F.col("VR"), policy))
-    named = read.withColumns({"locus_key": key, "issues": issues}).drop("_compound", "_length", "_assembly", "_contig", "_token")
+    named = read.withColumns({"locus_key": key, "issues": issues}).drop("_compound", "_length", "_assembly", "_contig", "_token", *[f"_whole_{c}" for c in whole])
     return named.withColumn("outcome", F.when(F.size("issues") == 0, "normalized_candidate").otherwise("quarantine"))
 
 
@@ -137,10 +139,21 @@ def audit(rows: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("distinct_keys"), *[F.count_if(c).alias(n) for n, c in sorted(flags.items())])
 
 
+#: The counters of :func:`worksheet_audit`, in order.
+WORKSHEET_COUNTERS = (
+    "source_records", "source_high", "source_low", "normalized_candidate", "quarantine", "vr_type_integration", "vr_type_viral_contig", "vr_type_other",
+    "assembly_resolution_exact", "assembly_resolution_not_exact", "contig_resolution_exact", "contig_resolution_not_exact",
+    "missing_locus_key", "missing_organism_name", "invalid_call_key_format", "invalid_locus_key_format", "locus_key_preimage_error", "locus_key_preimage_mismatch",
+    "assemblies", "contigs", "source_organism_names", "call_key_values", "call_key_extra_occurrences", "locus_key_values", "locus_key_extra_occurrences",
+)
+
+
 def worksheet_audit(rows: DataFrame) -> DataFrame:
     """One row of counters over normalised rows: assessments, outcomes, types, resolutions, missing and badly
     formed keys, keys that their fields do not give, and distinct and repeated keys. ``rows``: the columns of
-    :func:`normalize` and :func:`resolve`, ``stored_key`` (the key as stored), ``record_key`` and ``name``."""
+    :func:`normalize` and :func:`resolve`, ``stored_key`` (the key as stored), ``record_key`` and ``name``. What is
+    counted of a key comes from the grouping by it, where nothing is filtered: a filter would go down to the scan, and
+    the other counters would need the digests again."""
     flags = {
         "source_high": F.col("source_assessment") == "source_high",
         "source_low": F.col("source_assessment") == "source_low",
@@ -153,20 +166,32 @@ def worksheet_audit(rows: DataFrame) -> DataFrame:
         "assembly_resolution_not_exact": ~F.col("assembly_resolution").eqNullSafe(F.lit("exact")),
         "contig_resolution_exact": F.col("contig_resolution") == "exact",
         "contig_resolution_not_exact": ~F.col("contig_resolution").eqNullSafe(F.lit("exact")),
-        "missing_locus_key": F.col("stored_key").isNull(),
         "missing_organism_name": F.coalesce(F.col("name"), F.lit("")) == "",
-        "invalid_call_key_format": ~F.coalesce(F.col("record_key").rlike("^source_record:sha256:[0-9a-f]{64}$"), F.lit(False)),
-        "invalid_locus_key_format": ~F.col("stored_key").rlike("^locus:sha256:[0-9a-f]{64}$"),
-        "locus_key_preimage_error": F.col("locus_key").isNull(),
-        "locus_key_preimage_mismatch": F.col("locus_key").isNotNull() & ~F.col("stored_key").eqNullSafe(F.col("locus_key")),
     }
     counts = rows.agg(F.count("*").alias("source_records"), *[F.count_if(c).alias(n) for n, c in flags.items()])
     distinct = rows.agg(F.count_distinct("Assembly").alias("assemblies"), F.count_distinct("Assembly", "Contig").alias("contigs"), F.count_distinct("name").alias("source_organism_names"))
-    repeated = [duplicates(rows.where(F.col(k).isNotNull()).select(k), k).select(F.col("repeated_values").alias(f"{n}_values"), F.col("extra_rows").alias(f"{n}_extra_occurrences")) for n, k in (("call_key", "record_key"), ("locus_key", "stored_key"))]
-    out = counts.crossJoin(distinct)  # single rows
-    for one in repeated:
-        out = out.crossJoin(one)
-    return out
+    call, locus, n = F.col("record_key"), F.col("stored_key"), F.col("_n")
+    calls = rows.groupBy("record_key").agg(F.count("*").alias("_n")).agg(
+        _rows_if(~F.coalesce(call.rlike("^source_record:sha256:[0-9a-f]{64}$"), F.lit(False))).alias("invalid_call_key_format"),
+        F.count_if(call.isNotNull() & (n > 1)).alias("call_key_values"),
+        _rows_if(call.isNotNull(), n - 1).alias("call_key_extra_occurrences"),
+    )
+    own = F.col("locus_key")
+    loci = rows.groupBy("stored_key").agg(F.count("*").alias("_n"), F.count_if(own.isNull()).alias("_errors"), F.count_if(own.isNotNull() & ~locus.eqNullSafe(own)).alias("_others"))
+    loci = loci.agg(
+        _rows_if(locus.isNull()).alias("missing_locus_key"),
+        _rows_if(~locus.rlike("^locus:sha256:[0-9a-f]{64}$")).alias("invalid_locus_key_format"),
+        F.coalesce(F.sum("_errors"), F.lit(0)).alias("locus_key_preimage_error"),
+        F.coalesce(F.sum("_others"), F.lit(0)).alias("locus_key_preimage_mismatch"),
+        F.count_if(locus.isNotNull() & (n > 1)).alias("locus_key_values"),
+        _rows_if(locus.isNotNull(), n - 1).alias("locus_key_extra_occurrences"),
+    )
+    return counts.crossJoin(distinct).crossJoin(calls).crossJoin(loci).select(*WORKSHEET_COUNTERS)  # single rows
+
+
+def _rows_if(condition: Column, n: Column | None = None) -> Column:
+    """Rows of the groups whose condition holds, or the sum of ``n`` over them."""
+    return F.coalesce(F.sum(F.when(condition, F.col("_n") if n is None else n)), F.lit(0))
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
