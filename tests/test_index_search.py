@@ -203,3 +203,45 @@ def test_index_of_asked_words(spark, texts):
     assert {r[0] for r in small.select("lexeme").distinct().collect()} == {None, "a", "b", "é"}
     order = ["query_id", "anchored", "rank"]
     assert textindex.search(small, asked).orderBy(*order).collect() == textindex.search(whole, asked).orderBy(*order).collect()
+
+
+def test_vector_cells_follow_the_cores(spark, monkeypatch):
+    """Many blocks of rows: the cells, and what they pass on, do not grow with them. Null keys and equal rows stay."""
+    monkeypatch.setattr(vectors, "BLOCK_VALUES", 50)
+    passed, rank = [], vectors.first_of_each
+    monkeypatch.setattr(vectors, "first_of_each", lambda found, *more: passed.append(found.count()) or rank(found, *more))
+    r = np.random.default_rng(6)
+    m = r.normal(size=(1500, 5))
+    m[700:] = m[0]  # copies
+    rows = spark.createDataFrame([(i if i else None, f"g{i % 2}", v.tolist()) for i, v in enumerate(m)], "key long, group string, v array<double>")
+    asked = spark.createDataFrame([(q, m[q].tolist(), ["g1"]) for q in range(4)], "query_id int, q array<double>, anchors array<string>")
+    got = {(x.query_id, x.anchored, x["rank"]): x.key or 0 for x in vectors.search(asked, rows, 3).collect()}
+    for q in range(4):
+        near = m @ m[q]
+        for anchored, some in ((False, range(1500)), (True, range(1, 1500, 2))):
+            assert [got[q, anchored, k] for k in (1, 2, 3)] == sorted(some, key=lambda i: (-round(near[i], 9), i))[:3]
+    assert passed[0] <= 4 * 2 * 3 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_cells_meet_their_rows_block_by_block(monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_VALUES", 40)
+    r = np.random.default_rng(7)
+    v, q = r.normal(size=(90, 4)), r.normal(size=(6, 4))
+    v[5] = np.nan
+    names = ["cell", "row", "query_id", "q", "anchors", "key", "group", "v"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.float64())]
+    listed = [(c, 0, n, list(q[n]), ["g1"], None, None, None) for c in (0, 1) for n in range(3 * c, 3 * c + 3)] + [(c, 1, None, None, None, f"k{n:02}", f"g{n % 3}", list(v[n])) for c in (0, 1) for n in range(90)]
+    listed.sort(key=lambda x: x[:2])
+    columns = [pa.array([x[i] for x in listed], kind) for i, kind in enumerate(kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    schema = pa.schema([("query_id", pa.int64()), ("anchored", pa.bool_()), ("key", pa.string()), ("score", pa.float64())])
+    got = {}
+    for found in vectors._cells((batch.slice(i, 7) for i in range(0, batch.num_rows, 7)), 4, 0.0, schema):
+        for x in found.to_pylist():
+            got.setdefault((x["query_id"], x["anchored"]), set()).add(x["key"])
+    want = {}
+    for n in range(6):
+        near = np.where(np.isnan(v @ q[n]), np.inf, v @ q[n])  # no number comes first, as in SQL
+        for anchored, own in ((False, np.arange(90)), (True, np.arange(1, 90, 3))):
+            want[n, anchored] = {f"k{i:02}" for i in own[np.argsort(-near[own])[:4]]}
+    assert got == want

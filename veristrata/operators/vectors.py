@@ -1,7 +1,7 @@
 """Nearest vectors for tables of questions: exact in a grid of blocks, approximate by inverted lists.
 
-In the grid a task multiplies one block of rows with one part of the questions and keeps the best ``depth`` rows of each
-question; no other pair leaves it. Inverted lists deal the rows to their nearest centres; a question reads the lists of
+In the grid a task multiplies one block of rows after the other with one part of the questions and keeps the best ``depth``
+rows of each question over all of them; no other pair leaves it, and the number of tasks follows the session's. Inverted lists deal the rows to their nearest centres; a question reads the lists of
 its nearest centres and ranks their rows exactly."""
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.scalar import dot
 from ..session import workers_import
 from .ranking import DEPTH, ranked
-from .textindex import best, first_of_each, kept_best, question_parts
+from .textindex import CELLS, Best, first_of_each, kept_best, plain, question_parts
 
 #: Components of the vectors of one block, at most about.
 BLOCK_VALUES = 4 << 20
@@ -36,31 +36,65 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
 
 
+def _meet(asked: np.ndarray, anchors: list, found: list[tuple[Best, Best]], rows: pa.Table) -> None:
+    """One block's rows for each question, among all rows and in its groups."""
+    keys = plain(_whole(rows.column("key")))
+    names = rows.column("group").to_pylist()
+    numbers = {g: i for i, g in enumerate(sorted({g for g in names if g is not None}))}
+    group = np.array([numbers.get(g, -1) for g in names], np.int64)
+    held, every = _matrix(rows.column("v")).T, np.arange(len(group))
+    alike: dict[tuple, list[int]] = {}
+    for n, limits in enumerate(anchors):
+        alike.setdefault(tuple(sorted({numbers[g] for g in limits or () if g in numbers})), []).append(n)
+    order = [(limits, n) for limits, own in alike.items() for n in own]
+    last, within = None, every[:0]
+    for first in range(0, len(order), AT_ONCE):
+        some = order[first : first + AT_ONCE]
+        for (limits, n), near in zip(some, asked[[n for _, n in some]] @ held):
+            if limits != last:
+                last, within = limits, np.flatnonzero(np.isin(group, limits)) if limits else every[:0]
+            found[n][0].add(near, every, keys)
+            found[n][1].add(near[within], within, keys)
+
+
 def _cell(questions: pa.Table, rows: pa.Table, depth: int, margin: float, schema: pa.Schema) -> pa.Table:
-    """One cell of the grid: the best rows of a block for each question, among all rows and in its groups."""
-    found: dict[tuple, list[tuple[np.ndarray, pa.Array]]] = {}
-    ids = questions.column("query_id").to_pylist()
+    """One list's rows for the questions that read it."""
+    found = [(Best(depth, margin), Best(depth, margin)) for _ in range(questions.num_rows)]
     if questions.num_rows and rows.num_rows:
-        keys = _whole(rows.column("key"))
-        names = rows.column("group").to_pylist()
-        numbers = {g: i for i, g in enumerate(sorted({g for g in names if g is not None}))}
-        group = np.array([numbers.get(g, -1) for g in names], np.int64)
-        asked, held, every = _matrix(questions.column("q")), _matrix(rows.column("v")).T, np.arange(len(group))
-        alike: dict[tuple, list[int]] = {}
-        for n, limits in enumerate(questions.column("anchors").to_pylist()):
-            alike.setdefault(tuple(sorted({numbers[g] for g in limits or () if g in numbers})), []).append(n)
-        order = [(limits, n) for limits, own in alike.items() for n in own]
-        last, within = None, every[:0]
-        for first in range(0, len(order), AT_ONCE):
-            some = order[first : first + AT_ONCE]
-            for (limits, n), near in zip(some, asked[[n for _, n in some]] @ held):
-                if limits != last:
-                    last, within = limits, np.flatnonzero(np.isin(group, limits)) if limits else every[:0]
-                for anchored, own in ((False, every), (True, within)):
-                    top = own[best(near[own] if anchored else near, depth, margin)]
-                    if len(top):
-                        found[n, anchored] = [(near[top], keys.take(pa.array(top)))]
-    return kept_best(found, ids, depth, margin, schema)
+        _meet(_matrix(questions.column("q")), questions.column("anchors").to_pylist(), found, rows)
+    return pa.Table.from_batches(kept_best([(n, *own) for n, own in zip(questions.column("query_id").to_pylist(), found)], schema), schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], depth: int, margin: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The best rows of each question of a cell; its questions come first, then its rows, met block by block."""
+    cell, questions, waiting, asked, found = None, [], [], None, []
+
+    def meet() -> None:
+        nonlocal asked, found, waiting
+        if asked is None and questions:
+            asked = pa.Table.from_batches(questions)
+            asked = _matrix(asked.column("q")), asked.column("anchors").to_pylist(), asked.column("query_id").to_pylist()
+            found = [(Best(depth, margin), Best(depth, margin)) for _ in asked[2]]
+        if asked and waiting:
+            _meet(asked[0], asked[1], found, pa.Table.from_batches(waiting))
+        waiting = []
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        meet()
+        yield from kept_best([(n, *own) for n, own in zip(asked[2] if asked else (), found)], schema)
+
+    for batch in batches:
+        of, kind = (batch.column(c).to_numpy() for c in ("cell", "row"))
+        edge = np.r_[0, np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1, len(of)]
+        for a, b in zip(edge, edge[1:]):
+            if b > a:
+                if of[a] != cell:
+                    yield from ended()
+                    cell, questions, asked, found = of[a], [], None, []
+                (waiting if kind[a] else questions).append(batch.slice(a, b - a))
+                if sum(len(w.column("v").flatten()) for w in waiting) >= BLOCK_VALUES:
+                    meet()
+    yield from ended()
 
 
 def search(questions: DataFrame, rows: DataFrame, depth: int = DEPTH, places: int = 9) -> DataFrame:
@@ -70,14 +104,16 @@ def search(questions: DataFrame, rows: DataFrame, depth: int = DEPTH, places: in
     asked, parts = question_parts(questions.select("query_id", F.col("q").cast("array<double>").alias("q"), "anchors").where("q is not null"), QUESTIONS)
     own = rows.select("key", F.col("group").cast("string").alias("group"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
     size = own.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
-    cells = -(-max(size, 1) // BLOCK_VALUES)
-    left = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    right = own.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cells = min(-(-max(size, 1) // BLOCK_VALUES), max(1, CELLS * rows.sparkSession.sparkContext.defaultParallelism // parts))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("cell", all_of(cells)).withColumn("row", F.lit(0))
+    right = own.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")).withColumn("part", all_of(parts)).withColumn("row", F.lit(1))
     key, asked_by = rows.schema["key"].dataType, questions.schema["query_id"].dataType
     arrow = pa.schema([("query_id", to_arrow_type(asked_by)), ("anchored", pa.bool_()), ("key", to_arrow_type(key)), ("score", pa.float64())])
     workers_import(rows.sparkSession)
-    met = left.groupBy("part", "cell").cogroup(right.groupBy("part", "cell"))
-    found = met.applyInArrow(partial(_cell, depth=depth, margin=10.0**-places, schema=arrow), f"query_id {asked_by.simpleString()}, anchored boolean, key {key.simpleString()}, score double")
+    met = left.unionByName(right, allowMissingColumns=True).withColumn("cell", F.col("part") * cells + F.col("cell"))
+    dealt = met.repartitionById(parts * cells, "cell").sortWithinPartitions("cell", "row")
+    found = dealt.mapInArrow(partial(_cells, depth=depth, margin=10.0**-places, schema=arrow), f"query_id {asked_by.simpleString()}, anchored boolean, key {key.simpleString()}, score double")
     return first_of_each(found, depth, places)
 
 
