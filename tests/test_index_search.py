@@ -205,8 +205,10 @@ def test_index_of_asked_words(spark, texts):
     assert textindex.search(small, asked).orderBy(*order).collect() == textindex.search(whole, asked).orderBy(*order).collect()
 
 
-def test_vector_cells_follow_the_cores(spark, monkeypatch):
+@pytest.mark.parametrize("most", [16_000, 2])
+def test_vector_cells_follow_the_cores(spark, monkeypatch, most):
     """Many blocks of rows: the cells, and what they pass on, do not grow with them. Null keys and equal rows stay."""
+    monkeypatch.setattr(vectors, "QUESTIONS", most)
     monkeypatch.setattr(vectors, "BLOCK_VALUES", 50)
     passed, rank = [], vectors.first_of_each
     monkeypatch.setattr(vectors, "first_of_each", lambda found, *more: passed.append(found.count()) or rank(found, *more))
